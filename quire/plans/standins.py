@@ -121,3 +121,32 @@ def attendance(spark: SparkSession, d: str) -> DataFrame:
     per_day = ev.groupBy("user_id", F.col("ts").cast("date").alias("day")).agg(
         F.min("ts").alias("t_in"), F.max("ts").alias("t_out"))
     return per_day.select("user_id", "day", elapsed_hours("t_in", "t_out").alias("hours"))
+
+
+# --------------------------------------------------------------- investments
+INVESTMENTS_SQL = """
+investments AS (
+  SELECT l.l_orderkey, l.l_linenumber, l.l_returnflag AS round_type, l.l_extendedprice AS amount,
+         s.s_name AS company, n.n_name AS country, split_part(p.p_name, ' ', 1) AS category,
+         p.p_type AS sector
+  FROM lineitem l
+  JOIN part p ON l.l_partkey = p.p_partkey
+  JOIN supplier s ON l.l_suppkey = s.s_suppkey
+  JOIN nation n ON s.s_nationkey = n.n_nationkey)"""
+
+
+def investments(spark: SparkSession, d: str) -> DataFrame:
+    """Funding-round stand-in: one row per line item with its round type, amount,
+    funded company (supplier), country, category and sector."""
+    from quire.functions.scalars import first_token
+    li = load(spark, d, "lineitem")
+    part = load(spark, d, "part")
+    sup = load(spark, d, "supplier")
+    nat = F.broadcast(load(spark, d, "nation"))
+    j = (li.join(part, F.col("l_partkey") == F.col("p_partkey"))
+           .join(sup, F.col("l_suppkey") == F.col("s_suppkey"))
+           .join(nat, F.col("s_nationkey") == F.col("n_nationkey")))
+    return j.select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("round_type"),
+                    F.col("l_extendedprice").alias("amount"), F.col("s_name").alias("company"),
+                    F.col("n_name").alias("country"), first_token("p_name", " ").alias("category"),
+                    F.col("p_type").alias("sector"))
