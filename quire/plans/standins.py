@@ -48,10 +48,12 @@ def segment_orders(spark: SparkSession, d: str) -> DataFrame:
 # --------------------------------------------------------------- applicants
 # Coefficients of the deterministic score used wherever an
 # evaluation needs a probability that DuckDB can recompute exactly.
-SCORE_Z_SQL = ("(-0.9 - 0.15 * CAST(substr(o_orderpriority, 1, 1) AS INTEGER)"
-               " + 0.05 * floor(o_totalprice / 25000.0)"
-               " + CASE WHEN c_acctbal < 0 THEN 0.4 ELSE 0.0 END"
-               " - 0.1 * (year(o_orderdate) - 1998))")
+# The linear term is summed in integers and divided once, so equal scores are
+# bit-identical in every engine (ties then order by the key everywhere).
+SCORE_Z_SQL = ("(CAST(-90 - 15 * CAST(substr(o_orderpriority, 1, 1) AS INTEGER)"
+               " + 5 * CAST(floor(o_totalprice / 25000.0) AS INTEGER)"
+               " + CASE WHEN c_acctbal < 0 THEN 40 ELSE 0 END"
+               " - 10 * (CAST(year(o_orderdate) AS INTEGER) - 1998) AS DOUBLE) / 100.0)")
 
 APPLICANTS_SQL = f"""
 applicants AS (
