@@ -88,3 +88,28 @@ def rank_within(df: DataFrame, groups: Sequence[str], order: Sequence, rank_col:
     if size_col:
         out = out.withColumn(size_col, F.col("_q_size").cast("long"))
     return out.drop("_q_grank", "_q_start", "_q_size")
+
+
+def global_cumsum(df: DataFrame, order: Sequence, cols: Sequence[str], suffix: str = "_cum",
+                  num_partitions: int | None = None) -> DataFrame:
+    """Inclusive running sums of ``cols`` under a total ``order`` without a one-task window.
+
+    Range partitions are summed independently (a window partitioned by the range
+    partition id), and each partition adds the totals of the partitions before it
+    (one row per partition, broadcast)."""
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    order = _cols(order)
+    n = num_partitions or shuffle_partitions(spark)
+    tagged = (df.repartitionByRange(n, *order)
+                .withColumn("_q_pid", F.spark_partition_id())
+                .checkpoint(eager=True))
+    totals = tagged.groupBy("_q_pid").agg(*[F.sum(c).alias(f"_q_t_{c}") for c in cols])
+    w_prev = Window.orderBy("_q_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_q_pid", *[F.coalesce(F.sum(f"_q_t_{c}").over(w_prev), F.lit(0)).alias(f"_q_o_{c}")
+                                        for c in cols])
+    w_local = Window.partitionBy("_q_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = tagged.select("*", *[F.sum(c).over(w_local).alias(f"_q_l_{c}") for c in cols])
+    out = local.join(F.broadcast(offsets), "_q_pid")
+    out = out.withColumns({f"{c}{suffix}": F.col(f"_q_o_{c}") + F.col(f"_q_l_{c}") for c in cols})
+    return out.drop("_q_pid", *[f"_q_o_{c}" for c in cols], *[f"_q_l_{c}" for c in cols])
