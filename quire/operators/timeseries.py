@@ -22,3 +22,372 @@ def monthly_index(df: DataFrame, keys: Sequence[str], period: str,
     long = long.select(F.concat_ws("|", "_seg", "measure").alias("series_id"), period, "value")
     w = Window.partitionBy("series_id").orderBy(period)
     return long.withColumn("t", F.row_number().over(w).cast("long")).select("series_id", period, "t", "value")
+
+
+# ----------------------------------------------------------------- helpers
+import math  # noqa: E402
+
+import numpy as np  # noqa: E402
+import pandas as pd  # noqa: E402
+from pyspark.sql import types as T  # noqa: E402
+
+from quire.operators.ols import grouped_ols, linear_predict, normal_equations, ols_from_sums  # noqa: E402
+
+SERIES, TIME, VALUE = "series_id", "t", "value"
+
+# Fixed values (public tables used by the usual R tests):
+# KPSS level-stationarity critical values and their p-values.
+KPSS_LEVEL_CRIT = [0.347, 0.463, 0.574, 0.739]
+KPSS_LEVEL_P = [0.10, 0.05, 0.025, 0.01]
+# Augmented Dickey-Fuller (constant + trend) critical values by sample size,
+# one list per p-value column, rows for T = 25, 50, 100, 250, 500, 100000.
+ADF_T = [25, 50, 100, 250, 500, 100000]
+ADF_P = [0.01, 0.025, 0.05, 0.10, 0.90, 0.95, 0.975, 0.99]
+ADF_CRIT = [
+    [-4.38, -4.15, -4.04, -3.99, -3.98, -3.96],
+    [-3.95, -3.80, -3.73, -3.69, -3.68, -3.66],
+    [-3.60, -3.50, -3.45, -3.43, -3.42, -3.41],
+    [-3.24, -3.18, -3.15, -3.13, -3.13, -3.12],
+    [-1.14, -1.19, -1.22, -1.23, -1.24, -1.25],
+    [-0.80, -0.87, -0.90, -0.92, -0.93, -0.94],
+    [-0.50, -0.58, -0.62, -0.64, -0.65, -0.66],
+    [-0.15, -0.24, -0.28, -0.31, -0.32, -0.33],
+]
+
+
+def _w(series: str = SERIES, t: str = TIME):
+    return Window.partitionBy(series).orderBy(t)
+
+
+def _wall(series: str = SERIES):
+    return Window.partitionBy(series)
+
+
+def with_length(df: DataFrame, series: str = SERIES, out: str = "n") -> DataFrame:
+    return df.withColumn(out, F.count(F.lit(1)).over(_wall(series)))
+
+
+def holdout(df: DataFrame, h: int = 6, series: str = SERIES, t: str = TIME) -> DataFrame:
+    """K2: the last ``h`` periods of every series are the test part."""
+    n = F.max(t).over(_wall(series))
+    return df.withColumn("is_test", F.col(t) > n - h)
+
+
+def smooth(df: DataFrame, width: int = 1, series: str = SERIES, t: str = TIME, value: str = VALUE,
+           out: str = "smoothed") -> DataFrame:
+    """K3: centred moving average of 2w+1 points; the first and last w points are
+    extended linearly with the first/last inner difference.  ``t`` must run 1..n."""
+    w = width
+    n = F.count(F.lit(1)).over(_wall(series))
+    ma = F.avg(value).over(_w(series, t).rowsBetween(-w, w))
+    tmp = df.withColumn("_n", n).withColumn(
+        "_in", F.when((F.col(t) > w) & (F.col(t) <= F.col("_n") - w), ma))
+    pick = lambda cond: F.max(F.when(cond, F.col("_in"))).over(_wall(series))
+    tmp = tmp.withColumns({
+        "_a1": pick(F.col(t) == w + 1), "_a2": pick(F.col(t) == w + 2),
+        "_b1": pick(F.col(t) == F.col("_n") - w), "_b2": pick(F.col(t) == F.col("_n") - w - 1)})
+    left = F.col("_a1") - (F.lit(w + 1) - F.col(t)) * (F.col("_a2") - F.col("_a1"))
+    right = F.col("_b1") + (F.col(t) - (F.col("_n") - w)) * (F.col("_b1") - F.col("_b2"))
+    res = F.when(F.col(t) <= w, left).when(F.col(t) > F.col("_n") - w, right).otherwise(F.col("_in"))
+    return tmp.withColumn(out, res).drop("_n", "_in", "_a1", "_a2", "_b1", "_b2")
+
+
+# ----------------------------------------------------------------- trend model
+def trend_terms(t: Column, n: Column, spec: str = "sin_poly3") -> dict[str, Column]:
+    """Design columns.  Polynomials use the centred/scaled time u = (t - (n+1)/2) / n
+    (same fitted values as R's orthogonal ``poly``, well conditioned)."""
+    u = (t - (n + 1) / 2.0) / n
+    tt = t.cast("double")
+    if spec == "sin_poly3":          # y ~ sin(0.5 t) + poly(t, 3)
+        return {"x0": F.lit(1.0), "x1": F.sin(tt * 0.5), "x2": u, "x3": u * u, "x4": u * u * u}
+    if spec == "cos_poly3_x_sin":    # y ~ cos(0.6 t) + poly(t, 3) * sin(0.19 t)
+        s = F.sin(tt * 0.19)
+        return {"x0": F.lit(1.0), "x1": F.cos(tt * 0.6), "x2": u, "x3": u * u, "x4": u * u * u, "x5": s,
+                "x6": u * s, "x7": u * u * s, "x8": u * u * u * s}
+    if spec == "linear":
+        return {"x0": F.lit(1.0), "x1": tt}
+    raise ValueError(spec)
+
+
+def trend_fit(train: DataFrame, value: str = "smoothed", spec: str = "sin_poly3",
+              series: str = SERIES, t: str = TIME) -> DataFrame:
+    """K4: one regression per series on its training rows -> (series, n_train, coef, se, rss)."""
+    n = F.max(t).over(_wall(series))
+    d = train.withColumn("n_train", n)
+    terms = trend_terms(F.col(t), F.col("n_train"), spec)
+    d = d.withColumns(terms)
+    fit = grouped_ols(d, [series], value, list(terms))
+    nt = d.groupBy(series).agg(F.max("n_train").alias("n_train"))
+    return fit.join(nt, series)
+
+
+def trend_predict(df: DataFrame, fit: DataFrame, spec: str = "sin_poly3", series: str = SERIES,
+                  t: str = TIME, out: str = "fitted") -> DataFrame:
+    """K5: evaluate the fitted design at every t (train: in-sample fit; test: forecast).
+    The per-series coefficient rows are joined on the series key."""
+    j = df.join(fit.select(series, "coef", "n_train"), series)
+    terms = trend_terms(F.col(t), F.col("n_train"), spec)
+    return j.withColumn(out, linear_predict(F.col("coef"), list(terms.values()))).drop("coef", "n_train")
+
+
+# ----------------------------------------------------------------- ACF / PACF
+def default_max_lag(df: DataFrame, series: str = SERIES) -> int:
+    m = df.groupBy(series).count().agg(F.max("count")).first()[0] or 1
+    return max(1, int(math.floor(10 * math.log10(m))))
+
+
+def acf(df: DataFrame, value: str = VALUE, max_lag: int | None = None, series: str = SERIES,
+        t: str = TIME) -> DataFrame:
+    """K7: (series, lag, acf) for lag 0..min(floor(10 log10 n), n-1); divisor n."""
+    K = max_lag or default_max_lag(df, series)
+    w = _w(series, t)
+    d = df.select(series, t, value).withColumn("_xc", F.col(value) - F.avg(value).over(_wall(series)))
+    prods = {f"_p{k}": F.col("_xc") * F.lag("_xc", k).over(w) for k in range(K + 1)}
+    d = d.withColumns(prods)
+    sums = d.groupBy(series).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in prods])
+    lagmax = F.least(F.floor(F.log10(F.col("n")) * 10), F.col("n") - 1)
+    rows = F.array(*[F.struct(F.lit(k).alias("lag"), (F.col(f"_p{k}") / F.col("_p0")).alias("acf"))
+                     for k in range(K + 1)])
+    out = sums.select(series, "n", lagmax.alias("_lm"), F.explode(rows).alias("r"))
+    return out.filter(F.col("r.lag") <= F.col("_lm")).select(series, "n", F.col("r.lag").cast("int").alias("lag"),
+                                                             F.col("r.acf").alias("acf"))
+
+
+def pacf(acf_df: DataFrame, series: str = SERIES) -> DataFrame:
+    """K8: partial autocorrelations by Durbin-Levinson on each series' (bounded) ACF list."""
+    lists = acf_df.groupBy(series).agg(F.sort_array(F.collect_list(F.struct("lag", "acf"))).alias("r"))
+    gf = [f for f in lists.schema.fields if f.name == series]
+    schema = T.StructType(gf + [T.StructField("lag", T.IntegerType()), T.StructField("pacf", T.DoubleType())])
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for key, r in zip(pdf[series], pdf["r"]):
+                rho = np.array([x["acf"] for x in r], dtype=float)
+                K = len(rho) - 1
+                phi_prev = np.zeros(0)
+                for k in range(1, K + 1):
+                    if k == 1:
+                        phikk = rho[1]
+                        phi = np.array([phikk])
+                    else:
+                        num = rho[k] - np.dot(phi_prev, rho[k - 1:0:-1])
+                        den = 1.0 - np.dot(phi_prev, rho[1:k])
+                        phikk = num / den if den != 0 else float("nan")
+                        phi = np.append(phi_prev - phikk * phi_prev[::-1], phikk)
+                    rows.append((key, k, float(phikk)))
+                    phi_prev = phi
+            yield pd.DataFrame(rows, columns=[series, "lag", "pacf"]).astype({"lag": "int32"})
+
+    return lists.mapInPandas(run, schema)
+
+
+def ljung_box(acf_df: DataFrame, series: str = SERIES) -> DataFrame:
+    """K12: Q(h) = n(n+2) sum_{k<=h} r_k^2/(n-k) for h = 1..max lag (cumulative over the
+    few lag rows of each series)."""
+    terms = acf_df.filter(F.col("lag") >= 1).withColumn(
+        "_term", F.col("acf") * F.col("acf") / (F.col("n") - F.col("lag")))
+    w = Window.partitionBy(series).orderBy("lag").rowsBetween(Window.unboundedPreceding, 0)
+    return terms.select(series, "lag", (F.col("n") * (F.col("n") + 2) * F.sum("_term").over(w)).alias("q"))
+
+
+def chi2_sf(x: float, k: int) -> float:
+    """Upper tail of the chi-square distribution with integer degrees of freedom."""
+    if x is None or (isinstance(x, float) and math.isnan(x)):
+        return float("nan")
+    if x <= 0:
+        return 1.0
+    h = x / 2.0
+    if k % 2 == 0:
+        term, total = 1.0, 1.0
+        for i in range(1, k // 2):
+            term *= h / i
+            total += term
+        return math.exp(-h) * total
+    total = math.erfc(math.sqrt(h))
+    for i in range(1, (k - 1) // 2 + 1):
+        total += math.exp((i - 0.5) * math.log(h) - h - math.lgamma(i + 0.5))
+    return total
+
+
+def ljung_box_pvalues(lb: DataFrame, fitdf: int = 0) -> DataFrame:
+    """Adds the chi-square p-value (df = lag - fitdf) with a vectorised pandas UDF."""
+    @F.pandas_udf(T.DoubleType())
+    def sf(q: pd.Series, lag: pd.Series) -> pd.Series:
+        return pd.Series([chi2_sf(float(a), int(b) - fitdf) if int(b) - fitdf > 0 else float("nan")
+                          for a, b in zip(q, lag)])
+    return lb.withColumn("p_value", sf(F.col("q"), F.col("lag")))
+
+
+# ----------------------------------------------------------------- KPSS / ADF
+def _interp_expr(x: Column, xs: list[float], ys: list[float]) -> Column:
+    """Piecewise-linear interpolation with flat ends (R ``approx(rule = 2)``)."""
+    expr = F.when(x <= xs[0], F.lit(ys[0]))
+    for (x0, y0), (x1, y1) in zip(zip(xs, ys), zip(xs[1:], ys[1:])):
+        expr = expr.when(x <= x1, F.lit(y0) + (x - F.lit(x0)) * F.lit((y1 - y0) / (x1 - x0)))
+    return expr.otherwise(F.lit(ys[-1]))
+
+
+def kpss(df: DataFrame, value: str = VALUE, series: str = SERIES, t: str = TIME,
+         max_lag: int | None = None) -> DataFrame:
+    """K11: KPSS level statistic with the Bartlett long-run variance,
+    truncation l = trunc(3 sqrt(n) / 13), p-value interpolated in the published table."""
+    if max_lag is None:
+        m = df.groupBy(series).count().agg(F.max("count")).first()[0] or 1
+        max_lag = max(1, int(3 * math.sqrt(m) / 13))
+    w = _w(series, t)
+    d = df.select(series, t, value).withColumn("_e", F.col(value) - F.avg(value).over(_wall(series)))
+    d = d.withColumn("_s", F.sum("_e").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    d = d.withColumns({f"_g{i}": F.col("_e") * F.lag("_e", i).over(w) for i in range(1, max_lag + 1)})
+    agg = d.groupBy(series).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("_s") * F.col("_s")).alias("_ss"),
+                                F.sum(F.col("_e") * F.col("_e")).alias("_ee"),
+                                *[F.sum(f"_g{i}").alias(f"_g{i}") for i in range(1, max_lag + 1)])
+    n = F.col("n").cast("double")
+    l = F.floor(F.lit(3.0) * F.sqrt(n) / 13)
+    s2 = F.col("_ee") / n
+    for i in range(1, max_lag + 1):
+        s2 = s2 + F.when(F.lit(i) <= l, 2.0 / n * (1 - F.lit(i) / (l + 1)) * F.coalesce(F.col(f"_g{i}"), F.lit(0.0))) \
+                   .otherwise(F.lit(0.0))
+    stat = (F.col("_ss") / (n * n)) / s2
+    out = agg.select(series, F.col("n").cast("long").alias("n"), l.cast("int").alias("lags"), stat.alias("stat"))
+    return out.withColumn("p_value", _interp_expr(F.col("stat"), KPSS_LEVEL_CRIT, KPSS_LEVEL_P))
+
+
+def _adf_pvalue(stat: float, n: int) -> float:
+    row = [float(np.interp(n, ADF_T, col)) for col in ADF_CRIT]
+    return float(np.interp(stat, row, ADF_P))
+
+
+def adf(df: DataFrame, value: str = VALUE, series: str = SERIES, t: str = TIME, max_k: int | None = None) -> DataFrame:
+    """K11: augmented Dickey-Fuller test with constant and trend, k = trunc((N-1)^(1/3))
+    lagged differences; regression sums per series, t-statistic of the lagged level."""
+    if max_k is None:
+        m = df.groupBy(series).count().agg(F.max("count")).first()[0] or 2
+        max_k = max(0, int(math.floor((m - 1) ** (1 / 3) + 1e-12)))
+    w = _w(series, t)
+    d = df.select(series, t, value).withColumn("_N", F.count(F.lit(1)).over(_wall(series)))
+    d = d.withColumn("_k", F.floor(F.pow(F.col("_N") - 1, 1 / 3) + 1e-12).cast("int"))
+    d = d.withColumn("_d", F.col(value) - F.lag(value, 1).over(w))
+    cols = {"_one": F.lit(1.0), "_lvl": F.lag(value, 1).over(w), "_tt": (F.col(t) - 1).cast("double")}
+    for j in range(1, max_k + 1):
+        cols[f"_l{j}"] = F.when(F.lit(j) <= F.col("_k"), F.lag("_d", j).over(w)).otherwise(F.lit(0.0))
+    d = d.withColumns(cols).filter(F.col(t) >= F.col("_k") + 2)
+    xcols = list(cols)
+    ne = normal_equations(d, [series], "_d", xcols).join(
+        d.groupBy(series).agg(F.max("_k").alias("k"), F.max("_N").alias("n_series")), series)
+    gf = [f for f in ne.schema.fields if f.name == series]
+    schema = T.StructType(gf + [T.StructField("n_series", T.LongType()), T.StructField("k", T.IntegerType()),
+                                T.StructField("stat", T.DoubleType()), T.StructField("p_value", T.DoubleType())])
+    K = len(xcols)
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for key, n, xtx, xty, yy, k, N in zip(pdf[series], pdf["n"], pdf["xtx"], pdf["xty"], pdf["yy"],
+                                                  pdf["k"], pdf["n_series"]):
+                keep = 3 + int(k)
+                A = np.asarray(xtx, dtype=float).reshape(K, K)[:keep, :keep]
+                b = np.asarray(xty, dtype=float)[:keep]
+                beta, se, _, _ = ols_from_sums(float(n), A, b, float(yy))
+                stat = float(beta[1] / se[1]) if se[1] > 0 else float("nan")
+                rows.append((key, int(N), int(k), stat, _adf_pvalue(stat, int(N) - 1)))
+            yield pd.DataFrame(rows, columns=[series, "n_series", "k", "stat", "p_value"]).astype(
+                {"n_series": "int64", "k": "int32"})
+
+    return ne.mapInPandas(run, schema)
+
+
+# ----------------------------------------------------------------- AR models
+def ar_candidates(df: DataFrame, value: str = VALUE, max_p: int = 3, series: str = SERIES,
+                  t: str = TIME) -> DataFrame:
+    """K9: conditional least squares AR(p), p = 0..max_p, on levels (d=0) and first
+    differences (d=1), over the common sample where all max_p lags exist.
+    -> (series, d, p, n_obs, coef [c, phi1..phip], sigma2, aicc)."""
+    w = _w(series, t)
+    base = df.select(series, t, value)
+    frames = []
+    for dd in (0, 1):
+        z = F.col(value) if dd == 0 else F.col(value) - F.lag(value, 1).over(w)
+        f = base.withColumn("_z", z).withColumn("d", F.lit(dd))
+        f = f.withColumns({"_one": F.lit(1.0), **{f"_z{j}": F.lag("_z", j).over(w) for j in range(1, max_p + 1)}})
+        frames.append(f.select(series, "d", "_z", "_one", *[f"_z{j}" for j in range(1, max_p + 1)]))
+    data = frames[0].unionByName(frames[1])
+    xcols = ["_one", *[f"_z{j}" for j in range(1, max_p + 1)]]
+    ne = normal_equations(data, [series, "d"], "_z", xcols)
+    gf = [f for f in ne.schema.fields if f.name in (series, "d")]
+    schema = T.StructType(gf + [T.StructField("p", T.IntegerType()), T.StructField("n_obs", T.LongType()),
+                                T.StructField("coef", T.ArrayType(T.DoubleType())),
+                                T.StructField("sigma2", T.DoubleType()), T.StructField("aicc", T.DoubleType())])
+    K = len(xcols)
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for key, dd, n, xtx, xty, yy in zip(pdf[series], pdf["d"], pdf["n"], pdf["xtx"], pdf["xty"], pdf["yy"]):
+                A_all = np.asarray(xtx, dtype=float).reshape(K, K)
+                b_all = np.asarray(xty, dtype=float)
+                m = float(n)
+                for p in range(0, max_p + 1):
+                    A, b = A_all[:p + 1, :p + 1], b_all[:p + 1]
+                    beta, _, rss, _ = ols_from_sums(m, A, b, float(yy))
+                    s2 = rss / m if m > 0 else float("nan")
+                    npar = p + 2
+                    if rss > 0 and m - npar - 1 > 0:
+                        aicc = m * math.log(rss / m) + 2 * npar + 2 * npar * (npar + 1) / (m - npar - 1)
+                    else:
+                        aicc = float("nan")
+                    rows.append((key, int(dd), p, int(n), beta.tolist(), s2, aicc))
+            yield pd.DataFrame(rows, columns=[series, "d", "p", "n_obs", "coef", "sigma2", "aicc"]).astype(
+                {"d": "int32", "p": "int32", "n_obs": "int64"})
+
+    return ne.mapInPandas(run, schema)
+
+
+def ar_select(df: DataFrame, value: str = VALUE, max_p: int = 3, series: str = SERIES, t: str = TIME,
+              kpss_crit: float = 0.463) -> DataFrame:
+    """Differencing chosen by the KPSS level test (stat above the 5% point -> d = 1),
+    then the order with the smallest AICc: one row per series."""
+    cands = ar_candidates(df, value, max_p, series, t)
+    dsel = kpss(df, value, series, t).select(series, (F.col("stat") > kpss_crit).cast("int").alias("d"))
+    c = cands.join(dsel, [series, "d"])
+    w = Window.partitionBy(series).orderBy(F.col("aicc").asc_nulls_last(), F.col("p"))
+    return c.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+
+
+def ar_forecast(df: DataFrame, model: DataFrame, h: int, value: str = VALUE, series: str = SERIES,
+                t: str = TIME) -> DataFrame:
+    """K10: h-step recursion from each series' last values -> (series, step, t, forecast)."""
+    maxp = model.agg(F.max("p")).first()[0] or 0
+    last_n = maxp + 2
+    n = F.max(t).over(_wall(series))
+    tail = df.select(series, t, value).withColumn("_n", n).filter(F.col(t) > F.col("_n") - last_n)
+    lists = tail.groupBy(series).agg(F.max("_n").alias("_n"),
+                                     F.sort_array(F.collect_list(F.struct(t, value))).alias("hist"))
+    j = lists.join(model.select(series, "d", "p", "coef"), series)
+    gf = [f for f in j.schema.fields if f.name == series]
+    schema = T.StructType(gf + [T.StructField("step", T.IntegerType()), T.StructField(t, T.LongType()),
+                                T.StructField("forecast", T.DoubleType())])
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for key, n_last, hist, dd, p, coef in zip(pdf[series], pdf["_n"], pdf["hist"], pdf["d"], pdf["p"], pdf["coef"]):
+                x = [float(r[value]) for r in hist]
+                z = list(np.diff(x)) if dd == 1 else list(x)
+                c = list(coef)
+                level = x[-1]
+                for s in range(1, h + 1):
+                    nxt = c[0] + sum(c[i] * z[-i] for i in range(1, int(p) + 1))
+                    z.append(nxt)
+                    level = level + nxt if dd == 1 else nxt
+                    rows.append((key, s, int(n_last) + s, float(level)))
+            yield pd.DataFrame(rows, columns=[series, "step", t, "forecast"]).astype({"step": "int32", t: "int64"})
+
+    return j.mapInPandas(run, schema)
+
+
+def mape(df: DataFrame, actual: str, forecast: str, groups: Sequence[str]) -> DataFrame:
+    """K13: mean absolute percentage error per group (in percent)."""
+    return df.groupBy(*groups).agg(
+        (F.avg(F.abs((F.col(actual) - F.col(forecast)) / F.col(actual))) * 100).alias("mape"),
+        F.count(F.lit(1)).cast("long").alias("n"))
