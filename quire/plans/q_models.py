@@ -1 +1,167 @@
-"""Registered queries."""
+"""Queries for §2.8: model fits and their tables (rows-only checks; the numpy
+re-computations live in tests), plus logit scoring with fixed coefficients (SQL)."""
+
+from __future__ import annotations
+
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.pipeline import Pipeline
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.sql import functions as F
+
+from quire.functions.scalars import r6
+from quire.operators import evaluate as ev
+from quire.operators import features as fe
+from quire.operators import models as M
+from quire.plans.catalog import register
+from quire.plans.standins import APPLICANTS_SQL, applicants
+from quire.sources.tables import load
+
+NUMERIC = ["o_totalprice", "c_acctbal", "order_year"]
+CATEGORICAL = ["c_mktsegment", "o_orderpriority"]
+
+
+def model_frame(spark, d):
+    """Applicants with z-scored numbers and dummy-coded categories (first level dropped)."""
+    a = applicants(spark, d)
+    a = fe.zscore(a, NUMERIC)
+    levels = fe.fit_levels(a, CATEGORICAL)
+    a = fe.dummy_code(a, levels)
+    feats = NUMERIC + [c for c in a.columns if ".x" in c]
+    renamed = {c: c.replace(".", "_") for c in feats}
+    a = a.withColumnsRenamed(renamed)
+    return a, [renamed.get(c, c) for c in feats]
+
+
+@register("logit_coefficients")
+def q_logit_coefficients(spark, d):
+    a, feats = model_frame(spark, d)
+    fit = M.logit_fit(a, "y", feats)
+    return fit.table(spark).withColumn("aic", F.lit(fit.aic))
+
+
+@register("weighted_logit")
+def q_weighted_logit(spark, d):
+    a, feats = model_frame(spark, d)
+    bal = fe.balance_weights(a, "y", "app_id", fraction=0.5, weight=2.0)
+    fit = M.logit_fit(bal, "y", feats, weight="weights")
+    return fit.table(spark).withColumn("aic", F.lit(fit.aic))
+
+
+@register("stepwise_aic")
+def q_stepwise_aic(spark, d):
+    a, feats = model_frame(spark, d)
+    _, steps = M.stepwise_aic(a, "y", feats[:6], max_steps=6)
+    return steps
+
+
+@register("vif_table")
+def q_vif_table(spark, d):
+    a, feats = model_frame(spark, d)
+    fit = M.logit_fit(a, "y", feats)
+    return M.vif_table(a, fit)
+
+
+@register("backward_eliminate")
+def q_backward_eliminate(spark, d):
+    a, feats = model_frame(spark, d)
+    fit, steps = M.backward_eliminate(a, "y", feats, vif_max=2.0, p_max=0.05)
+    kept = fit.table(spark).withColumn("status", F.lit("kept")).select(
+        "term", "status", "estimate", "p_value")
+    dropped = steps.select(F.col("dropped").alias("term"), F.concat(F.lit("dropped:"), "reason").alias("status"),
+                           F.lit(None).cast("double").alias("estimate"), "p_value")
+    return kept.unionByName(dropped)
+
+
+# Coefficients of a deployed logit used to score new rows.
+SCORE_INTERCEPT = -1.2
+SCORE_COEF = {"o_totalprice": 2.0e-6, "c_acctbal": -4.0e-5}
+
+
+@register("logit_score", sql=f"""
+WITH {APPLICANTS_SQL}
+SELECT app_id, round(1.0 / (1.0 + exp(-({SCORE_INTERCEPT} + {SCORE_COEF['o_totalprice']!r} * o_totalprice
+                                      + {SCORE_COEF['c_acctbal']!r} * c_acctbal))), 6) AS prob FROM applicants""")
+def q_logit_score(spark, d):
+    a = applicants(spark, d)
+    return a.select("app_id", r6(M.logit_predict_expr(SCORE_INTERCEPT, SCORE_COEF)).alias("prob"))
+
+
+def _rf(spark, d):
+    a, feats = model_frame(spark, d)
+    split = fe.shuffle_split(a, "app_id", 0.8, seed=11)
+    train, test = split.filter("is_train"), split.filter("NOT is_train")
+    model = M.random_forest(train, "y", feats, num_trees=30, mtry=5, max_depth=6)
+    return model, feats, test
+
+
+@register("random_forest_importance")
+def q_random_forest_importance(spark, d):
+    model, feats, _ = _rf(spark, d)
+    return M.importance_table(model, feats, spark)
+
+
+@register("random_forest_eval")
+def q_random_forest_eval(spark, d):
+    """Hold-out evaluation of the forest: optimal-cutoff record plus AUC and KS."""
+    model, feats, test = _rf(spark, d)
+    scored = M.positive_probability(model, test.select("app_id", "y", *feats), feats)
+    best = ev.evaluate_binary(scored, "y", "prob", n=100, start=0.01, stop=0.99)
+    ak = ev.auc_ks(scored, "y", "prob").first()
+    return best.withColumns({"auc": F.lit(ak["auc"]), "ks": F.lit(ak["ks"])})
+
+
+@register("mlp_scores")
+def q_mlp_scores(spark, d):
+    a, feats = model_frame(spark, d)
+    model, loss = M.mlp_best_of(a, "y", feats, hidden=5, seeds=(1, 2, 3), max_iter=50)
+    return M.positive_probability(model, a.select("app_id", "y", *feats), feats).select(
+        "app_id", "y", "prob", F.lit(loss).alias("train_loss"))
+
+
+def _digits(spark, d):
+    e = load(spark, d, "embeddings")
+    e = e.withColumn("x", fe.scale_array("embedding", 1.0)).withColumn("label", F.col("label").cast("double"))
+    split = fe.shuffle_split(e, "vec_id", 0.8, seed=5)
+    return split
+
+
+@register("svm_linear")
+def q_svm_linear(spark, d):
+    s = _digits(spark, d).withColumn("features", array_to_vector("x"))
+    train, test = s.filter("is_train").cache(), s.filter("NOT is_train")
+    model = M.linear_svm(train, "label", max_iter=20)
+    pred = model.transform(test)
+    out = ev.confusion_multiclass(pred, "label", "prediction")
+    train.unpersist()
+    return out
+
+
+@register("svm_rff")
+def q_svm_rff(spark, d):
+    s = _digits(spark, d)
+    rff = M.RandomFourierFeatures(inputCol="x", outputCol="features", sigma=0.5, dim=128, seed=7, inputDim=64)
+    z = rff.transform(s)
+    train, test = z.filter("is_train").cache(), z.filter("NOT is_train")
+    model = M.linear_svm(train, "label", max_iter=20)
+    out = ev.confusion_multiclass(model.transform(test), "label", "prediction")
+    train.unpersist()
+    return out
+
+
+@register("cv_grid")
+def q_cv_grid(spark, d):
+    """k-fold CV over (kernel width x cost) with folds from a hash of the key."""
+    s = _digits(spark, d).filter("is_train")
+    s = s.withColumn("fold", F.pmod(F.xxhash64("vec_id"), F.lit(3)).cast("int"))
+    rff = M.RandomFourierFeatures(inputCol="x", outputCol="features", dim=32, seed=7, inputDim=64)
+    svc = M.LinearSVC(maxIter=5)
+    ovr = M.OneVsRest(classifier=svc, labelCol="label", featuresCol="features", parallelism=8)
+    grid = ParamGridBuilder().addGrid(rff.sigma, [0.1, 1.0]).addGrid(svc.regParam, [0.01, 0.1]).build()
+    cv = CrossValidator(estimator=Pipeline(stages=[rff, ovr]), estimatorParamMaps=grid,
+                        evaluator=MulticlassClassificationEvaluator(labelCol="label", metricName="accuracy"),
+                        foldCol="fold", parallelism=4)
+    model = cv.fit(s.select("vec_id", "x", "label", "fold").cache())
+    rows = [(float(pm[rff.sigma]), float(pm[svc.regParam]), float(m))
+            for pm, m in zip(grid, model.avgMetrics)]
+    return spark.createDataFrame(rows, "sigma double, reg_param double, cv_accuracy double")
