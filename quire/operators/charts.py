@@ -46,7 +46,7 @@ def histogram_share(df: DataFrame, col: str, width: float, cls: str) -> DataFram
     return with_share(counts, "n", within=["bin"])
 
 
-def box_stats(df: DataFrame, group: str, value: str, k: float = 1.5, method: str = "rank") -> DataFrame:
+def box_stats(df: DataFrame, group: str, value: str, k: float = 1.5, method: str = "auto") -> DataFrame:
     """Box-plot statistics per group: quartiles, whiskers at the most extreme points
     inside the 1.5 IQR fences, and the outlier count."""
     data = df.select(group, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())

@@ -95,7 +95,7 @@ def key_uniqueness(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 # ------------------------------------------------------------ imputation/filters
-def impute_median(df: DataFrame, cols: Sequence[str], method: str = "rank") -> DataFrame:
+def impute_median(df: DataFrame, cols: Sequence[str], method: str = "auto") -> DataFrame:
     """Replace NULLs by the column median (one quantile pass for all columns).
     The medians form a one-row frame joined as a broadcast."""
     meds = quantile_wide(grouped_quantiles(to_long(df, cols), ["column"], "value", [0.5], method),
@@ -119,7 +119,7 @@ def cap_constant(df: DataFrame, caps: Mapping[str, float]) -> DataFrame:
     return df.withColumns({c: F.least(F.col(c), F.lit(v)) for c, v in caps.items()})
 
 
-def iqr_fences(df: DataFrame, cols: Sequence[str], k: float = 1.5, method: str = "rank") -> DataFrame:
+def iqr_fences(df: DataFrame, cols: Sequence[str], k: float = 1.5, method: str = "auto") -> DataFrame:
     """(column, q1, q3, iqr, lower, upper, n_below, n_above) for every column."""
     long = to_long(df, cols)
     qs = quantile_wide(grouped_quantiles(long, ["column"], "value", [0.25, 0.75], method),
@@ -133,7 +133,7 @@ def iqr_fences(df: DataFrame, cols: Sequence[str], k: float = 1.5, method: str =
     return fences.join(counts, "column")
 
 
-def iqr_cap(df: DataFrame, cols: Sequence[str], k: float = 1.5, method: str = "rank") -> DataFrame:
+def iqr_cap(df: DataFrame, cols: Sequence[str], k: float = 1.5, method: str = "auto") -> DataFrame:
     """Cap each column at its upper fence Q3 + k*IQR (the fences are one small row)."""
     f = iqr_fences(df, cols, k, method)
     upper = {r["column"]: r["upper"] for r in f.select("column", "upper").collect()}
@@ -141,7 +141,7 @@ def iqr_cap(df: DataFrame, cols: Sequence[str], k: float = 1.5, method: str = "r
                            for c in cols})
 
 
-def percentile_table(df: DataFrame, cols: Sequence[str], step: float = 0.01, method: str = "rank") -> DataFrame:
+def percentile_table(df: DataFrame, cols: Sequence[str], step: float = 0.01, method: str = "auto") -> DataFrame:
     """(column, pct, value): quantiles at 0%, 1%, ..., 100%."""
     n = int(round(1 / step))
     probs = [round(i * step, 10) for i in range(n + 1)]

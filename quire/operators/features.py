@@ -97,14 +97,14 @@ def _bin_label(idx: Column) -> Column:
 
 
 def binned_long(df: DataFrame, label: str, numeric: Sequence[str], categorical: Sequence[str],
-                bins: int = 10, ids: Sequence[str] = ()) -> DataFrame:
+                bins: int = 10, ids: Sequence[str] = (), edges: DataFrame | None = None) -> DataFrame:
     """(ids..., feature, bin, bin_order, y): numeric columns cut at their quantile edges
     (edges frame: features x (bins+1) values, broadcast), categorical columns one bin
     per level, NULL its own bin."""
     parts = []
     if numeric:
         from quire.operators.quantile import to_long
-        edges = numeric_edges(df, numeric, bins)
+        edges = edges if edges is not None else numeric_edges(df, numeric, bins)
         long = to_long(df, numeric, ids=[*ids, label], name_col="feature", value_col="x")
         j = long.join(F.broadcast(edges), "feature")
         idx = _bin_expr(F.col("x"), F.col("edges"))
@@ -123,11 +123,11 @@ def binned_long(df: DataFrame, label: str, numeric: Sequence[str], categorical:
 
 
 def woe_table(df: DataFrame, label: str, numeric: Sequence[str] = (), categorical: Sequence[str] = (),
-              bins: int = 10, smoothing: float = 0.0) -> DataFrame:
+              bins: int = 10, smoothing: float = 0.0, edges: DataFrame | None = None) -> DataFrame:
     """(feature, bin, bin_order, n, n_bad, n_good, pct_bad, pct_good, woe, iv) with
     bad = label 1; WOE = ln(%bad / %good); IV part = (%bad - %good) * WOE.
     A bin with no bad or no good rows gets WOE 0 and IV 0 unless ``smoothing`` > 0."""
-    long = binned_long(df, label, numeric, categorical, bins)
+    long = binned_long(df, label, numeric, categorical, bins, edges=edges)
     cells = long.groupBy("feature", "bin", "bin_order").agg(
         F.count(F.lit(1)).cast("long").alias("n"),
         F.sum("y").cast("long").alias("n_bad"))
@@ -172,9 +172,14 @@ def fit_woe(df: DataFrame, label: str, numeric: Sequence[str] = (), categorical:
             bins: int = 10) -> WoeModel:
     """Fit on the training frame: the WOE table is features x bins rows."""
     model = WoeModel()
+    edges_df = None
     if numeric:
-        model.edges = {r["feature"]: list(r["edges"]) for r in numeric_edges(df, numeric, bins).collect()}
-    for r in woe_table(df, label, numeric, categorical, bins).select("feature", "bin", "woe").collect():
+        rows = numeric_edges(df, numeric, bins).collect()
+        model.edges = {r["feature"]: list(r["edges"]) for r in rows}
+        edges_df = df.sparkSession.createDataFrame(
+            [(f, [float(v) for v in e]) for f, e in model.edges.items()], "feature string, edges array<double>")
+    table = woe_table(df, label, numeric, categorical, bins, edges=edges_df)
+    for r in table.select("feature", "bin", "woe").collect():
         model.woe.setdefault(r["feature"], {})[r["bin"]] = r["woe"]
     return model
 

@@ -36,7 +36,7 @@ def schema_profile(df: DataFrame, order_by: Sequence[str], n: int = 3, tail: boo
     return meta.join(vals, "column", "left").select("position", "column", "type", "values")
 
 
-def numeric_summary(df: DataFrame, cols: Sequence[str], method: str = "rank") -> DataFrame:
+def numeric_summary(df: DataFrame, cols: Sequence[str], method: str = "auto") -> DataFrame:
     """R ``summary`` for numeric columns, long form (column, stat, value):
     min, q1, median, mean, q3, max, n_null."""
     long = to_long(df, cols)
@@ -72,10 +72,7 @@ def describe_table(df: DataFrame, cols: Sequence[str], trim: float = 0.1) -> Dat
     dev = long.join(F.broadcast(med), "column").select(
         "column", F.abs(F.col("value") - F.col("median")).alias("value"))
     mad = quantile_wide(grouped_quantiles(dev, ["column"], "value", [0.5]), ["column"], {0.5: "_mad"})
-    ranked = rank_within(long, ["column"], [F.col("value")], rank_col="_r", size_col="_n")
-    k = F.floor(F.col("_n") * F.lit(trim))
-    trimmed = ranked.filter((F.col("_r") > k) & (F.col("_r") <= F.col("_n") - k)).groupBy("column").agg(
-        F.avg("value").alias("trimmed"))
+    trimmed = trimmed_mean(long, ["column"], "value", trim)
     out = mom.join(med, "column").join(mad, "column").join(trimmed, "column")
     ratio = (F.col("n") - 1) / F.col("n")
     return out.select(
@@ -87,6 +84,31 @@ def describe_table(df: DataFrame, cols: Sequence[str], trim: float = 0.1) -> Dat
         (F.col("sd") / F.sqrt(F.col("n"))).alias("se"))
 
 
+def trimmed_mean(long: DataFrame, groups: Sequence[str], value: str, trim: float = 0.1,
+                 method: str = "auto") -> DataFrame:
+    """Mean of the order statistics floor(trim*n)+1 .. n-floor(trim*n) per group.
+
+    Small value domains (checked) use a value->count frame and a running count over
+    the distinct values of each group; otherwise every row is ranked with the
+    balanced global rank."""
+    from quire.operators.quantile import small_domain
+    data = long.select(*groups, F.col(value).cast("double").alias("_x")).filter(F.col("_x").isNotNull())
+    if method == "auto":
+        method = "counts" if small_domain(data, groups, "_x") else "rank"
+    if method == "counts":
+        vc = data.groupBy(*groups, "_x").agg(F.count(F.lit(1)).alias("_c"))
+        w = Window.partitionBy(*groups).orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+        vc = vc.withColumn("_cum", F.sum("_c").over(w)).withColumn("_n", F.sum("_c").over(Window.partitionBy(*groups)))
+        k = F.floor(F.col("_n") * F.lit(trim))
+        lo, hi = k + 1, F.col("_n") - k
+        overlap = F.greatest(F.lit(0), F.least(F.col("_cum"), hi) - F.greatest(F.col("_cum") - F.col("_c") + 1, lo) + 1)
+        return vc.groupBy(*groups).agg((F.sum(F.col("_x") * overlap) / F.sum(overlap)).alias("trimmed"))
+    ranked = rank_within(data, list(groups), [F.col("_x")], rank_col="_r", size_col="_n")
+    k = F.floor(F.col("_n") * F.lit(trim))
+    return ranked.filter((F.col("_r") > k) & (F.col("_r") <= F.col("_n") - k)).groupBy(*groups).agg(
+        F.avg("_x").alias("trimmed"))
+
+
 def null_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """(column, n_null, pct_null) plus a '__rows_with_null__' and '__total__' row; one pass."""
     cols = list(cols or df.columns)

@@ -1,6 +1,10 @@
 """Quantiles per group, R type 7 (= Spark ``percentile`` = DuckDB ``quantile_cont``).
 
-``method="rank"`` (default) is exact and balanced: every value is ranked inside
+``method="auto"`` (default) checks the value domain first: when an approximate
+distinct count shows that every group has at most ``EXACT_MAP_MAX_DISTINCT``
+distinct values, Spark's exact ``percentile`` aggregate is used (its per-group
+value->count map is then bounded by that check); otherwise the rank method.
+``method="rank"`` is exact and balanced: every value is ranked inside
 its group with the range-partitioned global rank, the two order statistics that
 bracket each probability are picked by a join against a small (group, prob)
 frame, and interpolated.  No task ever holds a whole group, so one hot group
@@ -27,12 +31,28 @@ def to_long(df: DataFrame, cols: Sequence[str], ids: Sequence[str] = (),
     return casted.unpivot(list(ids), list(cols), name_col, value_col)
 
 
+# Largest per-group distinct count for which the value->count map of Spark's
+# exact ``percentile`` is accepted (a few MB of buffer per group).
+EXACT_MAP_MAX_DISTINCT = 200_000
+
+
+def small_domain(data: DataFrame, groups: Sequence[str], x: str, limit: int = EXACT_MAP_MAX_DISTINCT) -> bool:
+    """True when every group has at most ``limit`` distinct values (HyperLogLog, 2% error,
+    so the bound is checked against a 10% margin)."""
+    per = data.groupBy(*groups).agg(F.approx_count_distinct(x, 0.02).alias("_d")) if groups \
+        else data.agg(F.approx_count_distinct(x, 0.02).alias("_d"))
+    top = per.agg(F.max("_d")).first()[0]
+    return top is None or top <= limit * 0.9
+
+
 def grouped_quantiles(long_df: DataFrame, groups: Sequence[str], value: str,
-                      probs: Sequence[float], method: str = "rank",
+                      probs: Sequence[float], method: str = "auto",
                       accuracy: int = 10000) -> DataFrame:
     """(groups..., prob, q) for every group and probability; NULL values are ignored."""
     probs = [float(p) for p in probs]
     data = long_df.select(*groups, F.col(value).cast("double").alias("_x")).filter(F.col("_x").isNotNull())
+    if method == "auto":
+        method = "percentile" if small_domain(data, groups, "_x") else "rank"
     if method in ("percentile", "approx"):
         arr = F.array(*[F.lit(p) for p in probs])
         fn = (F.percentile("_x", arr) if method == "percentile"
@@ -63,7 +83,7 @@ def grouped_quantiles(long_df: DataFrame, groups: Sequence[str], value: str,
 
 
 def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                     method: str = "rank") -> DataFrame:
+                     method: str = "auto") -> DataFrame:
     """(column, prob, q) for several columns in one ranking pass."""
     return grouped_quantiles(to_long(df, cols), ["column"], "value", probs, method)
 
