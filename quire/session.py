@@ -63,4 +63,32 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-__all__ = ["get_session", "checkpoint_dir", "default_parallelism", "shuffle_partitions"]
+__all__ = ["get_session", "checkpoint_dir", "default_parallelism", "shuffle_partitions", "ship_package"]
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``quire`` importable by the Python workers (what ``--py-files`` does):
+    the package is zipped once per application and added with ``addPyFile``,
+    which Spark distributes to every executor."""
+    import os
+    import zipfile
+
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    import quire
+    pkg = os.path.dirname(os.path.abspath(quire.__file__))
+    root = os.path.dirname(pkg)
+    out = os.path.join(tempfile.mkdtemp(prefix="quire-pyfiles-"), "quire.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(out)
+    _SHIPPED.add(key)
