@@ -32,6 +32,7 @@ import pandas as pd  # noqa: E402
 from pyspark.sql import types as T  # noqa: E402
 
 from quire.operators.ols import grouped_ols, linear_predict, normal_equations, ols_from_sums  # noqa: E402
+from quire.session import checkpoint_dir  # noqa: E402
 
 SERIES, TIME, VALUE = "series_id", "t", "value"
 
@@ -55,22 +56,77 @@ ADF_CRIT = [
 ]
 
 
-def _w(series: str = SERIES, t: str = TIME):
-    return Window.partitionBy(series).orderBy(t)
-
-
 def _wall(series: str = SERIES):
     return Window.partitionBy(series)
 
 
+def per_series(df: DataFrame, series: str = SERIES, **aggs: Column) -> DataFrame:
+    """Attach per-series aggregates (n, max t, mean, ...) by a grouped aggregate and a
+    join on the series key -- no window holds a whole series."""
+    stats = df.groupBy(series).agg(*[c.alias(n) for n, c in aggs.items()])
+    return df.join(stats, series)
+
+
+# Longest series for which a per-series window (one task per series) is accepted.
+WINDOW_MAX_SERIES_ROWS = 1_000_000
+
+
+def series_bounded(df: DataFrame, series: str = SERIES, limit: int | None = None) -> bool:
+    """True when no series is longer than ``limit`` rows (checked with one aggregation)."""
+    limit = WINDOW_MAX_SERIES_ROWS if limit is None else limit
+    top = df.groupBy(series).count().agg(F.max("count")).first()[0]
+    return top is None or top <= limit
+
+
+def lagged(df: DataFrame, value: str, lags: Sequence[int], series: str = SERIES, t: str = TIME,
+           prefix: str = "_lag", bounded: bool | None = None) -> DataFrame:
+    """Add ``<prefix><k>`` = value at t - k (k may be negative: a lead) for every k;
+    ``t`` runs 1..n without gaps.
+
+    Bounded series (checked) use ``lag``/``lead`` over a per-series window.  Otherwise
+    each row is copied to its target times t + k (one explode), the copies are
+    gathered per (series, t) by an aggregation and joined back on (series, t): two
+    shuffles whatever the number of lags, and one very long series is spread over
+    many tasks by its time index."""
+    name = lambda k: f"{prefix}{k}" if k >= 0 else f"{prefix}m{-k}"
+    if bounded is None:
+        bounded = series_bounded(df, series)
+    if bounded:
+        w = Window.partitionBy(series).orderBy(t)
+        return df.withColumns({name(k): (F.lag(value, k).over(w) if k > 0 else
+                                         F.lead(value, -k).over(w) if k < 0 else F.col(value))
+                               for k in lags})
+    moves = F.explode(F.array(*[F.struct((F.col(t) + F.lit(k)).alias("_tt"), F.lit(k).alias("_k"))
+                                for k in lags]))
+    moved = df.select(series, F.col(value).alias("_v"), moves.alias("_s")) \
+        .select(series, F.col("_s._tt").alias(t), F.col("_s._k").alias("_k"), "_v")
+    wide = moved.groupBy(series, t).agg(*[F.max(F.when(F.col("_k") == k, F.col("_v"))).alias(name(k))
+                                          for k in lags])
+    return df.join(wide, [series, t], "left")
+
+
+def running_sum(df: DataFrame, value: str, series: str = SERIES, t: str = TIME, out: str = "_cum",
+                bounded: bool | None = None) -> DataFrame:
+    """Inclusive running sum of ``value`` inside each series ordered by t."""
+    if bounded is None:
+        bounded = series_bounded(df, series)
+    if bounded:
+        w = Window.partitionBy(series).orderBy(t).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn(out, F.sum(value).over(w))
+    from quire.operators.rank import global_cumsum
+    d = global_cumsum(df, [F.col(series), F.col(t)], [value], suffix="_gcum")
+    d = per_series(d, series, _start=F.min_by(F.col(f"{value}_gcum") - F.col(value), F.col(t)))
+    return d.withColumn(out, F.col(f"{value}_gcum") - F.col("_start")).drop(f"{value}_gcum", "_start")
+
+
 def with_length(df: DataFrame, series: str = SERIES, out: str = "n") -> DataFrame:
-    return df.withColumn(out, F.count(F.lit(1)).over(_wall(series)))
+    return per_series(df, series, **{out: F.count(F.lit(1))})
 
 
 def holdout(df: DataFrame, h: int = 6, series: str = SERIES, t: str = TIME) -> DataFrame:
     """K2: the last ``h`` periods of every series are the test part."""
-    n = F.max(t).over(_wall(series))
-    return df.withColumn("is_test", F.col(t) > n - h)
+    out = per_series(df, series, _n=F.max(t))
+    return out.withColumn("is_test", F.col(t) > F.col("_n") - h).drop("_n")
 
 
 def smooth(df: DataFrame, width: int = 1, series: str = SERIES, t: str = TIME, value: str = VALUE,
@@ -78,18 +134,23 @@ def smooth(df: DataFrame, width: int = 1, series: str = SERIES, t: str = TIME, v
     """K3: centred moving average of 2w+1 points; the first and last w points are
     extended linearly with the first/last inner difference.  ``t`` must run 1..n."""
     w = width
-    n = F.count(F.lit(1)).over(_wall(series))
-    ma = F.avg(value).over(_w(series, t).rowsBetween(-w, w))
-    tmp = df.withColumn("_n", n).withColumn(
-        "_in", F.when((F.col(t) > w) & (F.col(t) <= F.col("_n") - w), ma))
-    pick = lambda cond: F.max(F.when(cond, F.col("_in"))).over(_wall(series))
-    tmp = tmp.withColumns({
-        "_a1": pick(F.col(t) == w + 1), "_a2": pick(F.col(t) == w + 2),
-        "_b1": pick(F.col(t) == F.col("_n") - w), "_b2": pick(F.col(t) == F.col("_n") - w - 1)})
+    d = per_series(df, series, _n=F.count(F.lit(1)))
+    d = lagged(d, value, list(range(-w, w + 1)), series, t, prefix="_ma", bounded=series_bounded(df, series))
+    cols = [F.col(f"_ma{k}" if k >= 0 else f"_mam{-k}") for k in range(-w, w + 1)]
+    total = cols[0]
+    for c in cols[1:]:
+        total = total + c
+    inner = F.when((F.col(t) > w) & (F.col(t) <= F.col("_n") - w), total / F.lit(2 * w + 1))
+    d = d.withColumn("_in", inner).drop(*[c for c in d.columns if c.startswith("_ma")])
+    pick = lambda cond: F.max(F.when(cond, F.col("_in")))
+    ends = d.groupBy(series).agg(
+        pick(F.col(t) == w + 1).alias("_a1"), pick(F.col(t) == w + 2).alias("_a2"),
+        pick(F.col(t) == F.col("_n") - w).alias("_b1"), pick(F.col(t) == F.col("_n") - w - 1).alias("_b2"))
+    d = d.join(ends, series)
     left = F.col("_a1") - (F.lit(w + 1) - F.col(t)) * (F.col("_a2") - F.col("_a1"))
     right = F.col("_b1") + (F.col(t) - (F.col("_n") - w)) * (F.col("_b1") - F.col("_b2"))
     res = F.when(F.col(t) <= w, left).when(F.col(t) > F.col("_n") - w, right).otherwise(F.col("_in"))
-    return tmp.withColumn(out, res).drop("_n", "_in", "_a1", "_a2", "_b1", "_b2")
+    return d.withColumn(out, res).drop("_n", "_in", "_a1", "_a2", "_b1", "_b2")
 
 
 # ----------------------------------------------------------------- trend model
@@ -112,13 +173,14 @@ def trend_terms(t: Column, n: Column, spec: str = "sin_poly3") -> dict[str, Colu
 def trend_fit(train: DataFrame, value: str = "smoothed", spec: str = "sin_poly3",
               series: str = SERIES, t: str = TIME) -> DataFrame:
     """K4: one regression per series on its training rows -> (series, n_train, coef, se, rss)."""
-    n = F.max(t).over(_wall(series))
-    d = train.withColumn("n_train", n)
+    d = per_series(train, series, n_train=F.max(t))
     terms = trend_terms(F.col(t), F.col("n_train"), spec)
     d = d.withColumns(terms)
     fit = grouped_ols(d, [series], value, list(terms))
     nt = d.groupBy(series).agg(F.max("n_train").alias("n_train"))
-    return fit.join(nt, series)
+    # a fitted model: materialise once (reliable checkpoint) so later plans reuse it
+    checkpoint_dir(train.sparkSession)
+    return fit.join(nt, series).checkpoint(eager=True)
 
 
 def trend_predict(df: DataFrame, fit: DataFrame, spec: str = "sin_poly3", series: str = SERIES,
@@ -140,9 +202,10 @@ def acf(df: DataFrame, value: str = VALUE, max_lag: int | None = None, series: s
         t: str = TIME) -> DataFrame:
     """K7: (series, lag, acf) for lag 0..min(floor(10 log10 n), n-1); divisor n."""
     K = max_lag or default_max_lag(df, series)
-    w = _w(series, t)
-    d = df.select(series, t, value).withColumn("_xc", F.col(value) - F.avg(value).over(_wall(series)))
-    prods = {f"_p{k}": F.col("_xc") * F.lag("_xc", k).over(w) for k in range(K + 1)}
+    d = per_series(df.select(series, t, value), series, _mu=F.avg(value))
+    d = d.withColumn("_xc", F.col(value) - F.col("_mu"))
+    d = lagged(d, "_xc", list(range(1, K + 1)), series, t, prefix="_x", bounded=series_bounded(df, series))
+    prods = {f"_p{k}": F.col("_xc") * (F.col(f"_x{k}") if k else F.col("_xc")) for k in range(K + 1)}
     d = d.withColumns(prods)
     sums = d.groupBy(series).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in prods])
     lagmax = F.least(F.floor(F.log10(F.col("n")) * 10), F.col("n") - 1)
@@ -235,10 +298,12 @@ def kpss(df: DataFrame, value: str = VALUE, series: str = SERIES, t: str = TIME,
     if max_lag is None:
         m = df.groupBy(series).count().agg(F.max("count")).first()[0] or 1
         max_lag = max(1, int(3 * math.sqrt(m) / 13))
-    w = _w(series, t)
-    d = df.select(series, t, value).withColumn("_e", F.col(value) - F.avg(value).over(_wall(series)))
-    d = d.withColumn("_s", F.sum("_e").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    d = d.withColumns({f"_g{i}": F.col("_e") * F.lag("_e", i).over(w) for i in range(1, max_lag + 1)})
+    bounded = series_bounded(df, series)
+    d = per_series(df.select(series, t, value), series, _mu=F.avg(value))
+    d = d.withColumn("_e", F.col(value) - F.col("_mu"))
+    d = running_sum(d, "_e", series, t, out="_s", bounded=bounded)           # partial sums S_t
+    d = lagged(d, "_e", list(range(1, max_lag + 1)), series, t, prefix="_el", bounded=bounded)
+    d = d.withColumns({f"_g{i}": F.col("_e") * F.col(f"_el{i}") for i in range(1, max_lag + 1)})
     agg = d.groupBy(series).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("_s") * F.col("_s")).alias("_ss"),
                                 F.sum(F.col("_e") * F.col("_e")).alias("_ee"),
                                 *[F.sum(f"_g{i}").alias(f"_g{i}") for i in range(1, max_lag + 1)])
@@ -264,13 +329,15 @@ def adf(df: DataFrame, value: str = VALUE, series: str = SERIES, t: str = TIME,
     if max_k is None:
         m = df.groupBy(series).count().agg(F.max("count")).first()[0] or 2
         max_k = max(0, int(math.floor((m - 1) ** (1 / 3) + 1e-12)))
-    w = _w(series, t)
-    d = df.select(series, t, value).withColumn("_N", F.count(F.lit(1)).over(_wall(series)))
+    d = per_series(df.select(series, t, value), series, _N=F.count(F.lit(1)))
     d = d.withColumn("_k", F.floor(F.pow(F.col("_N") - 1, 1 / 3) + 1e-12).cast("int"))
-    d = d.withColumn("_d", F.col(value) - F.lag(value, 1).over(w))
-    cols = {"_one": F.lit(1.0), "_lvl": F.lag(value, 1).over(w), "_tt": (F.col(t) - 1).cast("double")}
+    bounded = series_bounded(df, series)
+    d = lagged(d, value, [1], series, t, prefix="_x", bounded=bounded)
+    d = d.withColumn("_d", F.col(value) - F.col("_x1"))
+    d = lagged(d, "_d", list(range(1, max_k + 1)), series, t, prefix="_dl", bounded=bounded)
+    cols = {"_one": F.lit(1.0), "_lvl": F.col("_x1"), "_tt": (F.col(t) - 1).cast("double")}
     for j in range(1, max_k + 1):
-        cols[f"_l{j}"] = F.when(F.lit(j) <= F.col("_k"), F.lag("_d", j).over(w)).otherwise(F.lit(0.0))
+        cols[f"_l{j}"] = F.when(F.lit(j) <= F.col("_k"), F.col(f"_dl{j}")).otherwise(F.lit(0.0))
     d = d.withColumns(cols).filter(F.col(t) >= F.col("_k") + 2)
     xcols = list(cols)
     ne = normal_equations(d, [series], "_d", xcols).join(
@@ -303,13 +370,14 @@ def ar_candidates(df: DataFrame, value: str = VALUE, max_p: int = 3, series: str
     """K9: conditional least squares AR(p), p = 0..max_p, on levels (d=0) and first
     differences (d=1), over the common sample where all max_p lags exist.
     -> (series, d, p, n_obs, coef [c, phi1..phip], sigma2, aicc)."""
-    w = _w(series, t)
-    base = df.select(series, t, value)
+    bounded = series_bounded(df, series)
+    base = lagged(df.select(series, t, value), value, [1], series, t, prefix="_x", bounded=bounded)
     frames = []
     for dd in (0, 1):
-        z = F.col(value) if dd == 0 else F.col(value) - F.lag(value, 1).over(w)
-        f = base.withColumn("_z", z).withColumn("d", F.lit(dd))
-        f = f.withColumns({"_one": F.lit(1.0), **{f"_z{j}": F.lag("_z", j).over(w) for j in range(1, max_p + 1)}})
+        z = F.col(value) if dd == 0 else F.col(value) - F.col("_x1")
+        f = base.select(series, t, z.alias("_z")).withColumn("d", F.lit(dd))
+        f = lagged(f, "_z", list(range(1, max_p + 1)), series, t, prefix="_z", bounded=bounded)
+        f = f.withColumn("_one", F.lit(1.0))
         frames.append(f.select(series, "d", "_z", "_one", *[f"_z{j}" for j in range(1, max_p + 1)]))
     data = frames[0].unionByName(frames[1])
     xcols = ["_one", *[f"_z{j}" for j in range(1, max_p + 1)]]
@@ -350,8 +418,10 @@ def ar_select(df: DataFrame, value: str = VALUE, max_p: int = 3, series: str = S
     cands = ar_candidates(df, value, max_p, series, t)
     dsel = kpss(df, value, series, t).select(series, (F.col("stat") > kpss_crit).cast("int").alias("d"))
     c = cands.join(dsel, [series, "d"])
+    # at most 2 x (max_p + 1) candidate rows per series
     w = Window.partitionBy(series).orderBy(F.col("aicc").asc_nulls_last(), F.col("p"))
-    return c.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+    checkpoint_dir(df.sparkSession)
+    return c.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r").checkpoint(eager=True)
 
 
 def ar_forecast(df: DataFrame, model: DataFrame, h: int, value: str = VALUE, series: str = SERIES,
@@ -359,8 +429,7 @@ def ar_forecast(df: DataFrame, model: DataFrame, h: int, value: str = VALUE, ser
     """K10: h-step recursion from each series' last values -> (series, step, t, forecast)."""
     maxp = model.agg(F.max("p")).first()[0] or 0
     last_n = maxp + 2
-    n = F.max(t).over(_wall(series))
-    tail = df.select(series, t, value).withColumn("_n", n).filter(F.col(t) > F.col("_n") - last_n)
+    tail = per_series(df.select(series, t, value), series, _n=F.max(t)).filter(F.col(t) > F.col("_n") - last_n)
     lists = tail.groupBy(series).agg(F.max("_n").alias("_n"),
                                      F.sort_array(F.collect_list(F.struct(t, value))).alias("hist"))
     j = lists.join(model.select(series, "d", "p", "coef"), series)

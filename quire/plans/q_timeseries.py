@@ -96,7 +96,8 @@ def _local_series(spark, d):
     """Residual of the raw training values around the global (trend) fit."""
     full, train, fit = _trend(spark, d)
     pred = ts.trend_predict(train, fit)
-    return pred.withColumn("local", F.col("value") - F.col("fitted"))
+    # reused by several statistics: cut the lineage once
+    return pred.withColumn("local", F.col("value") - F.col("fitted")).checkpoint(eager=True)
 
 
 @register("ts_acf", sql=f"""

@@ -165,3 +165,28 @@ def test_trend_fit_reproduces_polynomial(spark):
     pred = ts.trend_predict(df, fit).toPandas().sort_values("t")
     assert np.allclose(pred["fitted"].to_numpy(), y, atol=1e-6)
     _ = F
+
+
+def test_long_series_path_equals_window_path(spark, monkeypatch):
+    """Forcing the join-based lags / balanced running sums gives the same statistics."""
+    rng = np.random.default_rng(11)
+    data = {"a": rng.normal(size=50).cumsum(), "b": rng.normal(size=35)}
+    df = _series(spark, data)
+    fast = {
+        "acf": ts.acf(df, "value").toPandas().sort_values(["series_id", "lag"]),
+        "kpss": ts.kpss(df, "value").toPandas().sort_values("series_id"),
+        "adf": ts.adf(df, "value").toPandas().sort_values("series_id"),
+        "smooth": ts.smooth(df, 2).toPandas().sort_values(["series_id", "t"]),
+    }
+    monkeypatch.setattr(ts, "WINDOW_MAX_SERIES_ROWS", 10)
+    assert not ts.series_bounded(df)
+    slow = {
+        "acf": ts.acf(df, "value").toPandas().sort_values(["series_id", "lag"]),
+        "kpss": ts.kpss(df, "value").toPandas().sort_values("series_id"),
+        "adf": ts.adf(df, "value").toPandas().sort_values("series_id"),
+        "smooth": ts.smooth(df, 2).toPandas().sort_values(["series_id", "t"]),
+    }
+    assert np.allclose(fast["acf"]["acf"], slow["acf"]["acf"])
+    assert np.allclose(fast["kpss"]["stat"], slow["kpss"]["stat"])
+    assert np.allclose(fast["adf"]["stat"], slow["adf"]["stat"])
+    assert np.allclose(fast["smooth"]["smoothed"], slow["smooth"]["smoothed"])
