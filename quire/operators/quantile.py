@@ -32,8 +32,8 @@ def to_long(df: DataFrame, cols: Sequence[str], ids: Sequence[str] = (),
 
 
 # Largest per-group distinct count for which the value->count map of Spark's
-# exact ``percentile`` is accepted (a few MB of buffer per group).
-EXACT_MAP_MAX_DISTINCT = 200_000
+# exact ``percentile`` is accepted (tens of MB of buffer per group).
+EXACT_MAP_MAX_DISTINCT = 1_000_000
 
 
 def small_domain(data: DataFrame, groups: Sequence[str], x: str, limit: int = EXACT_MAP_MAX_DISTINCT) -> bool:

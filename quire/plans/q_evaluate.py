@@ -30,7 +30,7 @@ c AS (SELECT 1 AS positive, count(*) FILTER (WHERE p >= 0.33 AND y = 1) AS tp, c
       UNION ALL
       SELECT 0, count(*) FILTER (WHERE 1 - p >= 0.6 AND y = 0), count(*) FILTER (WHERE 1 - p >= 0.6 AND y = 1),
              count(*) FILTER (WHERE 1 - p < 0.6 AND y = 1), count(*) FILTER (WHERE 1 - p < 0.6 AND y = 0) FROM applicants)
-SELECT positive, 0.0 + CASE positive WHEN 1 THEN 0.33 ELSE 0.6 END AS cutoff, {_RATES_SQL} FROM c""")
+SELECT positive, CAST(CASE positive WHEN 1 THEN 0.33 ELSE 0.6 END AS DOUBLE) AS cutoff, {_RATES_SQL} FROM c""")
 def q_confusion(spark, d):
     a = applicants(spark, d)
     one = ev.confusion_at_cutoff(a, "y", "p", 0.33, positive=1).withColumn("positive", F.lit(1))
@@ -76,7 +76,7 @@ def q_cutoff_sweep(spark, d):
 
 
 _OPT_SQL = """
-SELECT round(cutoff, 6) AS cutoff, round(tol_steps * 0.01, 6) AS tolerance, tp, fp, tn, fn, accuracy, sensitivity, specificity
+SELECT round(cutoff, 6) AS cutoff, CAST(round(tol_steps * 0.01, 6) AS DOUBLE) AS tolerance, tp, fp, tn, fn, accuracy, sensitivity, specificity
 FROM (SELECT *, CAST(ceil(round(abs(sens_raw - spec_raw) / 0.01, 9)) AS BIGINT) AS tol_steps FROM rates)
 ORDER BY tol_steps NULLS LAST, i LIMIT 1"""
 

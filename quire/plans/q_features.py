@@ -144,9 +144,9 @@ def q_hash_sample(spark, d):
 WITH {APPLICANTS_SQL},
 neg AS (SELECT app_id, y, row_number() OVER (ORDER BY md5('1:' || CAST(app_id AS VARCHAR)), app_id) AS r,
                count(*) OVER () AS n FROM applicants WHERE y = 0)
-SELECT app_id, y, 1.0 AS weights FROM applicants WHERE y = 1
+SELECT app_id, y, CAST(1.0 AS DOUBLE) AS weights FROM applicants WHERE y = 1
 UNION ALL
-SELECT app_id, y, 10.0 FROM neg WHERE r <= floor(0.1 * n)""")
+SELECT app_id, y, CAST(10.0 AS DOUBLE) FROM neg WHERE r <= floor(0.1 * n)""")
 def q_balance_weights(spark, d):
     a = applicants(spark, d).select("app_id", "y")
     return fe.balance_weights(a, "y", "app_id", 0.1, 10.0, seed=1)

@@ -154,7 +154,7 @@ def q_elapsed_hours(spark, d):
 
 
 @register("round_even", sql="""
-SELECT l_orderkey, l_linenumber, round_even(l_linenumber + 0.5, 0) AS half_even,
+SELECT l_orderkey, l_linenumber, round_even(CAST(l_linenumber AS DOUBLE) + 0.5, 0) AS half_even,
        round_even(l_quantity / 4.0, 0) AS qty_quarters, round_even(l_quantity / 8.0, 2) AS qty_eighths FROM lineitem""")
 def q_round_even(spark, d):
     li = load(spark, d, "lineitem")

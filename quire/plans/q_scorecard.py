@@ -75,7 +75,7 @@ a AS (SELECT count(*) AS n, count(*) FILTER (WHERE y = 1) AS n_bad,
              sum(CASE WHEN y = 1 THEN o_totalprice ELSE 0 END) AS risk_all, sum(o_totalprice) AS exp_all,
              sum(CASE WHEN score >= {_CUT} AND y = 1 THEN o_totalprice ELSE 0 END) AS risk_acc,
              sum(CASE WHEN score >= {_CUT} THEN o_totalprice ELSE 0 END) AS exp_acc FROM scored)
-SELECT {_CUT!r} AS cutoff_score, round(risk_all - risk_acc, 2) AS credit_saved,
+SELECT CAST({_CUT!r} AS DOUBLE) AS cutoff_score, round(risk_all - risk_acc, 2) AS credit_saved,
        round(good_lost * 100.0 / n_good, 6) AS customer_loss_pct,
        round(n_bad * 100.0 / n - n_acc_bad * 100.0 / n_acc, 6) AS default_pct_reduced,
        round(risk_all / exp_all * 100, 6) AS credit_risk_pct_without,

@@ -9,9 +9,19 @@ ORACLES = E.oracle_sql()
 QUERIES = E.queries()
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "date": "DATE", "timestamp_ntz": "TIMESTAMP", "float": "FLOAT",
+                 "array<double>": "DOUBLE[]"}
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_matches_duckdb(name, spark, duck, sf_dir):
     df = QUERIES[name](spark, sf_dir)
+    stypes = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
+              for f in df.schema.fields}
+    rel = duck.sql(ORACLES[name])
+    dtypes = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    assert stypes == dtypes, f"column types differ: {stypes} vs {dtypes}"
     scols, srows = spark_rows(df)
     dcols, drows = duck_rows(duck, ORACLES[name])
     assert_same(scols, srows, dcols, drows)
