@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.functions.scalars import first_token, r6
+from quire.functions.scalars import r6
 from quire.operators import relational as R
 from quire.plans.catalog import register
 from quire.plans.standins import APPLICANTS_SQL, INVESTMENTS_SQL, applicants, investments
 from quire.sources.tables import load
 
-# The six part types used as sector columns of the wide mapping.
-SECTORS = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 
 
 @register("join_inner", sql="""
@@ -57,15 +55,21 @@ def q_join_anti(spark, d):
         c.select(F.lit("customer_without_2001_orders").alias("kind"), F.col("c_custkey").alias("id"))])
 
 
+# The five region names (the one-hot columns of the membership table).
+REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
+
+
 @register("unpivot_nonzero", sql="""
-SELECT category, p_type AS sector, CAST(count(*) AS BIGINT) AS n
-FROM (SELECT split_part(p_name, ' ', 1) AS category, p_type FROM part WHERE p_size > 40)
-GROUP BY 1, 2""")
+SELECT n.n_name, r.r_name AS region, CAST(count(*) AS BIGINT) AS member
+FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey GROUP BY 1, 2""")
 def q_unpivot_nonzero(spark, d):
-    p = load(spark, d, "part").filter(F.col("p_size") > 40).select(
-        first_token("p_name", " ").alias("category"), "p_type")
-    wide = R.wide_presence(p, "category", "p_type", SECTORS)
-    return R.unpivot_long(wide, ["category"], SECTORS, "sector", "n", drop_zero=True)
+    """Wide 0/1 membership table (one column per region, like the sector mapping) back to long,
+    dropping the zero cells."""
+    n = load(spark, d, "nation")
+    r = F.broadcast(load(spark, d, "region"))
+    j = n.join(r, n["n_regionkey"] == r["r_regionkey"]).select("n_name", "r_name")
+    wide = R.wide_presence(j, "n_name", "r_name", REGIONS)
+    return R.unpivot_long(wide, ["n_name"], REGIONS, "region", "member", drop_zero=True)
 
 
 @register("unpivot_ids", sql="""
