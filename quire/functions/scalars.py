@@ -102,9 +102,8 @@ def month_key(c) -> Column:
 
 def elapsed_hours(start, end) -> Column:
     """Elapsed time between two timestamps in hours, as double."""
-    s, e = _c(start), _c(end)
-    secs = (F.unix_micros(e.cast("timestamp")) - F.unix_micros(s.cast("timestamp"))) / F.lit(1e6)
-    return secs / F.lit(3600.0)
+    # microsecond difference, independent of the session time zone
+    return F.timestamp_diff("MICROSECOND", _c(start), _c(end)) / F.lit(1e6) / F.lit(3600.0)
 
 
 def sigmoid(z: Column) -> Column:
