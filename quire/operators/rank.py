@@ -25,6 +25,15 @@ def _cols(cols) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
+def range_partitions(df: DataFrame, requested: int | None = None) -> int:
+    """Number of range partitions: the shuffle setting, but never fewer than the input's
+    own partitions (file splits of ~maxPartitionBytes), so partitions keep their size
+    as the data grows."""
+    if requested:
+        return requested
+    return max(shuffle_partitions(df.sparkSession), df.rdd.getNumPartitions())
+
+
 def global_rank(df: DataFrame, order: Sequence, rank_col: str = "rank",
                 total_col: str | None = None, num_partitions: int | None = None) -> DataFrame:
     """1-based ``row_number`` under ``order`` (which must be a total order: add a unique
@@ -32,7 +41,7 @@ def global_rank(df: DataFrame, order: Sequence, rank_col: str = "rank",
     spark = df.sparkSession
     checkpoint_dir(spark)
     order = _cols(order)
-    n = num_partitions or shuffle_partitions(spark)
+    n = range_partitions(df, num_partitions)
     tagged = (df.repartitionByRange(n, *order)
                 .sortWithinPartitions(*order)
                 .withColumn("_q_mid", F.monotonically_increasing_id())
@@ -100,7 +109,7 @@ def global_cumsum(df: DataFrame, order: Sequence, cols: Sequence[str], suffix: s
     spark = df.sparkSession
     checkpoint_dir(spark)
     order = _cols(order)
-    n = num_partitions or shuffle_partitions(spark)
+    n = range_partitions(df, num_partitions)
     tagged = (df.repartitionByRange(n, *order)
                 .withColumn("_q_pid", F.spark_partition_id())
                 .checkpoint(eager=True))

@@ -115,3 +115,35 @@ def digits_study(spark: SparkSession, d: str, k: int = 8, sample: float = 0.3) -
     pred = model.transform(vec.withColumn("label", F.col("label").cast("double")))
     return {"nzv": nzv, "pca_variance": fe.pca_variance(pca, spark),
             "confusion": evaluate.confusion_multiclass(pred, "label", "prediction")}
+
+
+def attrition_study(spark: SparkSession, d: str, split_ratio: float = 0.7) -> dict[str, DataFrame]:
+    """Join -> scale numbers and dummy-code categories (fitted on train) -> stratified split ->
+    logit with stepwise AIC and VIF/p-value elimination -> cutoff sweep 0.01..0.80 ->
+    confusion at the optimal cutoff -> KS (from probabilities and from hard predictions) -> lift."""
+    from quire.plans.standins import attrition
+    a = attrition(spark, d)
+    numeric, categorical = ["n_chars", "n_words", "n_lines", "quality"], ["lang"]
+    split = fe.stratified_split(a, "y", "doc_id", split_ratio, seed=100)
+    train = split.filter("is_train")
+    scale = fe.fit_zscore(train, numeric)
+    levels = fe.fit_levels(train, categorical)
+    prep = fe.dummy_code(fe.apply_zscore(split, scale), levels)
+    feats = numeric + [c for c in prep.columns if ".x" in c]
+    renamed = {c: c.replace(".", "_") for c in feats}
+    prep = prep.withColumnsRenamed(renamed)
+    feats = [renamed.get(c, c) for c in feats]
+    train, test = prep.filter("is_train"), prep.filter("NOT is_train")
+    step_fit, steps = M.stepwise_aic(train, "y", feats)
+    final, eliminated = M.backward_eliminate(train, "y", step_fit.features)
+    scored = M.score_with(final, test, out="prob")
+    sweep = evaluate.cutoff_sweep(scored, "y", "prob", 0.01, 0.80, 100)
+    best = evaluate.optimal_cutoff(sweep)
+    cut = best.first()["cutoff"]
+    hard = scored.withColumn("pred", (F.col("prob") >= F.lit(cut)).cast("double"))
+    return {"coefficients": final.table(spark), "stepwise": steps, "elimination": eliminated,
+            "sweep": sweep, "optimal": best,
+            "confusion": evaluate.confusion_at_cutoff(scored, "y", "prob", cut),
+            "ks_prob": evaluate.auc_ks(scored, "y", "prob"),
+            "ks_hard": evaluate.auc_ks(hard, "y", "pred"),
+            "lift": evaluate.lift_table(scored, "y", "prob", "doc_id")}

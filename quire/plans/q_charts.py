@@ -80,3 +80,22 @@ def q_segment_month_series(spark, d):
     out = charts.segment_month_series(segment_orders(spark, d), ["segment"], "month",
                                       {"sales": F.sum("o_totalprice"), "quantity": F.count(F.lit(1)).cast("long")})
     return out.select("segment", "month", r6("sales", 2).alias("sales"), "quantity")
+
+
+from quire.plans.standins import attrition  # noqa: E402
+
+_ATTRITION_SQL = """
+att AS (SELECT d.doc_id, CAST(l.toxic AS INTEGER) AS y, CAST(d.n_chars AS DOUBLE) AS n_chars,
+               CAST(len(regexp_split_to_array(trim(d.text), '\\s+')) AS DOUBLE) AS n_words, d.lang
+        FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"""
+
+
+@register("attrition_word_histogram", sql=f"""
+WITH {_ATTRITION_SQL}
+SELECT CAST(ceil(n_words / 500.0 - 0.5) AS BIGINT) AS bin, y, CAST(count(*) AS BIGINT) AS n,
+       round(count(*) * 1.0 / sum(count(*)) OVER (PARTITION BY CAST(ceil(n_words / 500.0 - 0.5) AS BIGINT)), 6) AS share
+FROM att GROUP BY 1, 2""")
+def q_attrition_word_histogram(spark, d):
+    """Class shares per word-count bin of the whole texts (the attrition histograms)."""
+    out = charts.histogram_share(attrition(spark, d), "n_words", 500.0, "y")
+    return out.select("bin", "y", "n", r6("share").alias("share"))

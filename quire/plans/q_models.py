@@ -165,3 +165,14 @@ def q_cv_grid(spark, d):
     rows = [(float(pm[rff.sigma]), float(pm[svc.regParam]), float(m))
             for pm, m in zip(grid, model.avgMetrics)]
     return spark.createDataFrame(rows, "sigma double, reg_param double, cv_accuracy double")
+
+
+@register("attrition_evaluation")
+def q_attrition_evaluation(spark, d):
+    """Attrition model judged on the hold-out: optimal cutoff on the 0.01..0.80 sweep,
+    confusion there, KS from probabilities and from the hard predictions."""
+    from quire.plans.case_studies import attrition_study
+    out = attrition_study(spark, d)
+    best = out["optimal"].select("cutoff", "accuracy", "sensitivity", "specificity")
+    kp, kh = out["ks_prob"].first(), out["ks_hard"].first()
+    return best.withColumns({"auc": F.lit(kp["auc"]), "ks": F.lit(kp["ks"]), "ks_hard": F.lit(kh["ks"])})

@@ -152,3 +152,17 @@ def investments(spark: SparkSession, d: str) -> DataFrame:
                     F.col("l_extendedprice").alias("amount"), F.col("s_name").alias("company"),
                     F.col("n_name").alias("country"), first_token("p_name", " ").alias("category"),
                     F.col("p_type").alias("sector"))
+
+
+# ----------------------------------------------------------------- attrition
+def attrition(spark: SparkSession, d: str) -> DataFrame:
+    """Employee-file stand-in: labelled documents.  Outcome = ``toxic``; numbers are
+    measured on the whole text (characters, words, lines); categories = lang, source."""
+    docs = load(spark, d, "documents")
+    lab = load(spark, d, "labels")
+    j = docs.join(lab, "doc_id")
+    return j.select(
+        "doc_id", F.col("toxic").cast("int").alias("y"), F.col("n_chars").cast("double").alias("n_chars"),
+        F.size(F.split(F.trim(F.col("text")), r"\s+")).cast("double").alias("n_words"),
+        F.size(F.split(F.col("text"), "\n")).cast("double").alias("n_lines"),
+        "lang", "source", F.col("quality").cast("int").alias("quality"))
