@@ -224,9 +224,36 @@ def q_ts_model_mape(spark, d):
     return ts.mape(classical.unionByName(ar), "value", "forecast", ["series_id", "model"])
 
 
-@register("ts_compare")
+@register("ts_compare", sql=f"""
+WITH {TRAIN_SQL},
+ma AS (SELECT series_id, t, n, value,
+              CASE WHEN t > 1 AND t <= n - 1 THEN avg(value) OVER (PARTITION BY series_id ORDER BY t
+                   ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) END AS inner_ma FROM train),
+ends AS (SELECT series_id, max(CASE WHEN t = 2 THEN inner_ma END) AS a1, max(CASE WHEN t = 3 THEN inner_ma END) AS a2,
+                max(CASE WHEN t = n - 1 THEN inner_ma END) AS b1, max(CASE WHEN t = n - 2 THEN inner_ma END) AS b2
+         FROM ma GROUP BY series_id),
+sm AS (SELECT m.series_id, m.t, CASE WHEN m.t <= 1 THEN a1 - (2 - m.t) * (a2 - a1)
+                                     WHEN m.t > m.n - 1 THEN b1 + (m.t - (m.n - 1)) * (b1 - b2) ELSE inner_ma END AS smoothed
+       FROM ma m JOIN ends e ON m.series_id = e.series_id),
+lt AS (SELECT series_id, regr_intercept(value, t) AS a, regr_slope(value, t) AS b FROM train GROUP BY series_id)
+SELECT s.series_id, s.t, s.t > s.n_all - {H} AS is_test, round(s.value, 2) AS value,
+       round(sm.smoothed, 4) AS smoothed, round(lt.a + lt.b * s.t, 4) AS linear_fit
+FROM sl s JOIN lt ON s.series_id = lt.series_id LEFT JOIN sm ON s.series_id = sm.series_id AND s.t = sm.t""")
 def q_ts_compare(spark, d):
-    """Raw, smoothed and model values side by side for every (series, t)."""
+    """Raw, smoothed (training part) and linear-trend values side by side for every (series, t)."""
+    full = series_frame(spark, d)
+    train = full.filter(~F.col("is_test"))
+    sm = ts.smooth(train, width=1).select("series_id", "t", "smoothed")
+    fit = grouped_ols(train.withColumns({"_one": F.lit(1.0), "_t": F.col("t").cast("double")}),
+                      ["series_id"], "value", ["_one", "_t"])
+    out = full.join(fit.select("series_id", "coef"), "series_id").join(sm, ["series_id", "t"], "left")
+    return out.select("series_id", "t", "is_test", r6("value", 2).alias("value"), r6("smoothed", 4).alias("smoothed"),
+                      r6(F.col("coef")[0] + F.col("coef")[1] * F.col("t"), 4).alias("linear_fit"))
+
+
+@register("ts_compare_models")
+def q_ts_compare_models(spark, d):
+    """Raw, smoothed, classical-decomposition and AR values side by side for every (series, t)."""
     full, train, fit = _trend(spark, d)
     fitted = ts.trend_predict(full, fit)
     sm = train.select("series_id", "t", "smoothed")
