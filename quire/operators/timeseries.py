@@ -460,3 +460,9 @@ def mape(df: DataFrame, actual: str, forecast: str, groups: Sequence[str]) -> Da
     return df.groupBy(*groups).agg(
         (F.avg(F.abs((F.col(actual) - F.col(forecast)) / F.col(actual))) * 100).alias("mape"),
         F.count(F.lit(1)).cast("long").alias("n"))
+
+
+def standardised_residuals(df: DataFrame, resid: str, series: str = SERIES, out: str = "std_resid") -> DataFrame:
+    """K12: residuals divided by their per-series sample standard deviation."""
+    d = per_series(df, series, _sd=F.stddev_samp(resid))
+    return d.withColumn(out, F.col(resid) / F.col("_sd")).drop("_sd")

@@ -260,3 +260,18 @@ def q_ts_compare_models(spark, d):
     ar = _ar_forecasts(spark, d).select("series_id", "t", F.col("forecast").alias("ar_forecast"))
     return fitted.join(sm, ["series_id", "t"], "left").join(ar, ["series_id", "t"], "left") \
         .select("series_id", "t", "is_test", "value", "smoothed", "fitted", "ar_forecast")
+
+
+@register("ts_standardised_residuals", sql=f"""
+WITH {TRAIN_SQL},
+lt AS (SELECT series_id, regr_intercept(value, t) AS a, regr_slope(value, t) AS b FROM train GROUP BY series_id),
+r AS (SELECT tr.series_id, tr.t, tr.value - (lt.a + lt.b * tr.t) AS resid FROM train tr JOIN lt ON tr.series_id = lt.series_id)
+SELECT series_id, t, round(resid / stddev_samp(resid) OVER (PARTITION BY series_id), 6) AS std_resid FROM r""")
+def q_ts_standardised_residuals(spark, d):
+    """Standardised residuals of each series around its linear trend (training part)."""
+    train = train_frame(spark, d).withColumns({"_one": F.lit(1.0), "_t": F.col("t").cast("double")})
+    fit = grouped_ols(train, ["series_id"], "value", ["_one", "_t"])
+    r = train.join(fit.select("series_id", "coef"), "series_id").withColumn(
+        "resid", F.col("value") - (F.col("coef")[0] + F.col("coef")[1] * F.col("t")))
+    out = ts.standardised_residuals(r, "resid")
+    return out.select("series_id", "t", r6("std_resid").alias("std_resid"))
