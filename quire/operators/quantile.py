@@ -52,7 +52,11 @@ def grouped_quantiles(long_df: DataFrame, groups: Sequence[str], value: str,
     probs = [float(p) for p in probs]
     data = long_df.select(*groups, F.col(value).cast("double").alias("_x")).filter(F.col("_x").isNotNull())
     if method == "auto":
-        method = "percentile" if small_domain(data, groups, "_x") else "rank"
+        # bounded domain: running counts for a few probabilities (two aggregates each),
+        # Spark's percentile map for long probability lists
+        method = ("counts" if len(probs) <= 8 else "percentile") if small_domain(data, groups, "_x") else "rank"
+    if method == "counts":
+        return _quantiles_from_counts(data, groups, probs)
     if method in ("percentile", "approx"):
         arr = F.array(*[F.lit(p) for p in probs])
         fn = (F.percentile("_x", arr) if method == "percentile"
@@ -82,6 +86,32 @@ def grouped_quantiles(long_df: DataFrame, groups: Sequence[str], value: str,
     return bracket.select(*groups, "prob", q.alias("q"))
 
 
+def _quantiles_from_counts(data: DataFrame, groups: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """Exact quantiles from a value->count frame: a running count over the distinct values
+    of each group (bounded by the domain check) locates the order statistics
+    lo = floor(h), lo + 1 with h = (n - 1) p + 1; each is min(x) over cum >= rank."""
+    from pyspark.sql import Window
+    vc = data.groupBy(*groups, "_x").agg(F.count(F.lit(1)).alias("_c"))
+    part = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(1))
+    vc = vc.withColumn("_cum", F.sum("_c").over(part.orderBy("_x").rowsBetween(Window.unboundedPreceding, 0))) \
+           .withColumn("_n", F.sum("_c").over(part))
+    aggs = [F.max("_n").alias("_n")]
+    for i, p in enumerate(probs):
+        h = (F.col("_n") - 1) * F.lit(p) + 1
+        lo = F.floor(h)
+        aggs += [F.min(F.when(F.col("_cum") >= lo, F.col("_x"))).alias(f"_a{i}"),
+                 F.min(F.when(F.col("_cum") >= lo + 1, F.col("_x"))).alias(f"_b{i}")]
+    per = vc.groupBy(*groups).agg(*aggs)
+    rows = []
+    for i, p in enumerate(probs):
+        h = (F.col("_n") - 1) * F.lit(p) + 1
+        f = h - F.floor(h)
+        a, b = F.col(f"_a{i}"), F.col(f"_b{i}")
+        q = F.when(b.isNull() | (f == 0), a).otherwise(a + (b - a) * f)
+        rows.append(F.struct(F.lit(float(p)).alias("prob"), q.alias("q")))
+    return per.select(*groups, F.explode(F.array(*rows)).alias("_r")).select(*groups, "_r.prob", "_r.q")
+
+
 def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                      method: str = "auto") -> DataFrame:
     """(column, prob, q) for several columns in one ranking pass."""

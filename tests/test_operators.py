@@ -59,7 +59,7 @@ def test_rank_within_groups(spark):
     assert (m["rank"] == m["r"]).all()
 
 
-@pytest.mark.parametrize("method", ["rank", "percentile", "auto"])
+@pytest.mark.parametrize("method", ["rank", "percentile", "counts", "auto"])
 def test_quantiles_are_r_type7(spark, method):
     rng = np.random.default_rng(3)
     pdf = pd.DataFrame({"g": rng.integers(0, 3, 301), "x": rng.normal(0, 1, 301).round(2)})
