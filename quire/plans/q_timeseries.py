@@ -18,12 +18,15 @@ train AS (SELECT series_id, t, value, count(*) OVER (PARTITION BY series_id) AS
 test AS (SELECT series_id, t, value FROM sl WHERE t > n_all - {H})"""
 
 
-def series_frame(spark, d):
-    return ts.holdout(segment_series(spark, d), H)
+def series_frame(spark, d, materialise: bool = False):
+    """The monthly series with the hold-out flag.  Model paths materialise it once per
+    query (segments x months rows feeding several fits); single-pass statistics stay lazy."""
+    out = ts.holdout(segment_series(spark, d), H)
+    return out.checkpoint(eager=True) if materialise else out
 
 
-def train_frame(spark, d):
-    return series_frame(spark, d).filter(~F.col("is_test")).drop("is_test")
+def train_frame(spark, d, materialise: bool = False):
+    return series_frame(spark, d, materialise).filter(~F.col("is_test")).drop("is_test")
 
 
 @register("ts_monthly_index", sql=f"""
@@ -67,7 +70,7 @@ def q_ts_linear_trend(spark, d):
 
 
 def _trend(spark, d, spec="sin_poly3"):
-    full = series_frame(spark, d)
+    full = series_frame(spark, d, materialise=True)
     train = ts.smooth(full.filter(~F.col("is_test")), width=1)
     fit = ts.trend_fit(train, "smoothed", spec)
     return full, train, fit
@@ -174,11 +177,11 @@ def q_ts_adf(spark, d):
 
 @register("ts_ar_select")
 def q_ts_ar_select(spark, d):
-    return ts.ar_select(train_frame(spark, d), "value", max_p=3)
+    return ts.ar_select(train_frame(spark, d, materialise=True), "value", max_p=3)
 
 
 def _ar_forecasts(spark, d):
-    train = train_frame(spark, d)
+    train = train_frame(spark, d, materialise=True)
     model = ts.ar_select(train, "value", max_p=3)
     return ts.ar_forecast(train, model, H)
 
