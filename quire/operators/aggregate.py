@@ -74,9 +74,13 @@ def top_k_per_group(df: DataFrame, groups: Sequence[str], order: Sequence[Column
 
 def with_share(counts: DataFrame, count_col: str, within: Sequence[str] = (),
                share_col: str = "share") -> DataFrame:
-    """count / total over the already aggregated rows (one row per level)."""
-    w = Window.partitionBy(*within) if within else Window.partitionBy(F.lit(1))
-    return counts.withColumn(share_col, F.col(count_col) / F.sum(count_col).over(w))
+    """count / total over already aggregated rows.  With ``within`` keys the totals come
+    from a window partitioned by those keys; without, the grand total is one scalar
+    aggregate inlined as a literal (no one-partition window over all levels)."""
+    if within:
+        return counts.withColumn(share_col, F.col(count_col) / F.sum(count_col).over(Window.partitionBy(*within)))
+    total = counts.agg(F.sum(count_col)).first()[0]
+    return counts.withColumn(share_col, F.try_divide(F.col(count_col).cast("double"), F.lit(total).cast("double")))
 
 
 def prop_table(df: DataFrame, col: str) -> DataFrame:

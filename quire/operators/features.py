@@ -57,8 +57,13 @@ def _clean_name(s: str) -> str:
     return re.sub(r"[^0-9A-Za-z_.]", ".", str(s))
 
 
-def fit_levels(df: DataFrame, cols: Sequence[str]) -> dict[str, list[str]]:
-    """Sorted distinct levels per column (a small aggregated result)."""
+def fit_levels(df: DataFrame, cols: Sequence[str], max_levels: int = 1000) -> dict[str, list[str]]:
+    """Sorted distinct levels per column.  The level counts are checked first (one
+    aggregation) so that only a bounded list is ever brought to the driver."""
+    counts = df.agg(*[F.count_distinct(F.col(c)).alias(c) for c in cols]).first()
+    too_many = {c: counts[c] for c in cols if counts[c] > max_levels}
+    if too_many:
+        raise ValueError(f"too many levels for dummy coding: {too_many} (max_levels={max_levels})")
     out = {}
     for c in cols:
         out[c] = [r[0] for r in df.select(F.col(c).cast("string")).distinct().orderBy(1).collect() if r[0] is not None]
