@@ -8,6 +8,7 @@ from quire.functions.scalars import (
     firstup,
     month_key,
     parse_date,
+    parse_two_digit_year_date,
     r6,
     round_even,
     sigmoid,
@@ -17,5 +18,5 @@ from quire.functions.scalars import (
 
 __all__ = [
     "bucketize", "cut_bins", "elapsed_hours", "first_token", "firstup", "month_key",
-    "parse_date", "r6", "round_even", "sigmoid", "strip_non_numeric", "try_numeric",
+    "parse_date", "parse_two_digit_year_date", "r6", "round_even", "sigmoid", "strip_non_numeric", "try_numeric",
 ]

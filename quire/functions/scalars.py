@@ -95,6 +95,13 @@ def parse_date(c, fmt: str) -> Column:
     return F.try_to_timestamp(_c(c), F.lit(fmt)).cast("date")
 
 
+def parse_two_digit_year_date(c, fmt: str) -> Column:
+    """Parse a date whose pattern has a two-digit year with R's/POSIX pivot:
+    00-68 -> 20xx, 69-99 -> 19xx (Spark alone would read every 'yy' as 20xx)."""
+    d = parse_date(c, fmt)
+    return F.when(F.year(d) >= 2069, F.add_months(d, -1200)).otherwise(d)
+
+
 def month_key(c) -> Column:
     """Display key ``yy-MM`` of a date (sorting must use the date itself)."""
     return F.date_format(_c(c), "yy-MM")

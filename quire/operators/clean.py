@@ -67,6 +67,13 @@ def near_zero_variance(df: DataFrame, cols: Sequence[str], freq_cut: float = 95
                           | F.col("zero_var"))
 
 
+def drop_near_zero_variance(report: DataFrame, *frames: DataFrame) -> list[DataFrame]:
+    """Drop the flagged features (one row per feature in the report) from every frame,
+    e.g. the same list from train and test."""
+    flagged = [r["feature"] for r in report.filter("nzv").select("feature").collect()]
+    return [f.drop(*flagged) for f in frames]
+
+
 # ------------------------------------------------------------ duplicates/keys
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """One row: n_rows, n_distinct_rows, n_duplicate_rows (exact whole-row copies)."""

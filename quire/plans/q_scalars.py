@@ -173,3 +173,14 @@ def q_math_scalars(spark, d):
     return li.select("l_orderkey", "l_linenumber", S.r6(F.log(q)).alias("ln_qty"),
                      S.r6(F.exp("l_discount")).alias("exp_disc"), S.r6(F.sin(q * 0.5)).alias("sin_q"),
                      S.r6(F.cos(q * 0.6)).alias("cos_q"), S.r6(F.pow(q, 3)).alias("qty_cubed"))
+
+
+@register("month_token_date", sql="""
+SELECT o_orderkey, strftime(o_orderdate, '%b-%y') AS token,
+       CAST(strptime(strftime(o_orderdate, '%b-%y'), '%b-%y') AS DATE) AS month_start FROM orders""")
+def q_month_token_date(spark, d):
+    """Month tokens such as 'Dec-11' parsed as month-year (not as a day of the month)."""
+    o = load(spark, d, "orders")
+    token = F.date_format("o_orderdate", "MMM-yy")
+    return o.select("o_orderkey", token.alias("token"),
+                    S.parse_two_digit_year_date(token, "MMM-yy").alias("month_start"))
