@@ -1,20 +1,33 @@
-"""Many time series at once, keyed by ``series_id`` in long form
-(series_id, t, value).  Per-series work is either a window over the series'
-own rows (bounded by its length) or a grouped sum of small design products
-followed by a k x k solve on the aggregated rows."""
+"""Many time series at once, keyed by ``series_id`` in long form (series_id, t, value).
+
+Per-series work is either (a) lags, leads and running sums -- over a per-series
+window when a one-aggregation check shows every series is bounded, otherwise
+by equi-joins on (series, t) and the balanced range-partitioned running sum --
+or (b) a grouped sum of small design products (normal equations) followed by a
+k x k solve on the aggregated rows.  Results that are model-sized (coefficients,
+chosen orders, ACF lists) are the only things handled per series in Python.
+"""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quire.operators.ols import grouped_ols, linear_predict, normal_equations, ols_from_sums
+from quire.session import checkpoint_dir
 
 
 def monthly_index(df: DataFrame, keys: Sequence[str], period: str,
                   measures: Mapping[str, Column], sep: str = "_") -> DataFrame:
     """Aggregate each measure per (keys, period), stack the measures, and number
-    the periods of each series 1..n (K1).  Output: series_id, <period>, t, value."""
+    the periods of each series 1..n (K1).  Output: series_id, <period>, t, value.
+    The numbering window sees one row per (series, period): bounded by the calendar."""
     agg = df.groupBy(*keys, period).agg(*[c.cast("double").alias(m) for m, c in measures.items()])
     seg = F.concat_ws(sep, *keys) if len(keys) > 1 else F.col(keys[0])
     long = agg.select(seg.alias("_seg"), period, *measures.keys()).unpivot(
@@ -25,15 +38,6 @@ def monthly_index(df: DataFrame, keys: Sequence[str], period: str,
 
 
 # ----------------------------------------------------------------- helpers
-import math  # noqa: E402
-
-import numpy as np  # noqa: E402
-import pandas as pd  # noqa: E402
-from pyspark.sql import types as T  # noqa: E402
-
-from quire.operators.ols import grouped_ols, linear_predict, normal_equations, ols_from_sums  # noqa: E402
-from quire.session import checkpoint_dir  # noqa: E402
-
 SERIES, TIME, VALUE = "series_id", "t", "value"
 
 # Fixed values (public tables used by the usual R tests):

@@ -6,8 +6,12 @@ from pyspark.sql import functions as F
 
 from quire.functions.scalars import r6
 from quire.operators import aggregate as agg
+from quire.operators.rank import global_ntile
 from quire.plans.catalog import register
-from quire.plans.standins import SEGMENT_ORDERS_SQL, segment_orders
+from quire.plans.standins import (
+    APPLICANTS_SQL, ATTENDANCE_SQL, INVESTMENTS_SQL, SEGMENT_ORDERS_SQL, applicants, attendance, investments,
+    segment_orders)
+from quire.sources.tables import load
 
 
 @register("segment_cov", sql=f"""
@@ -35,13 +39,6 @@ def q_segment_cov_best(spark, d):
 
 
 # ---------------------------------------------------------------- investments
-
-
-from quire.operators.rank import global_ntile  # noqa: E402
-from quire.plans.standins import (  # noqa: E402
-    APPLICANTS_SQL, ATTENDANCE_SQL, INVESTMENTS_SQL, applicants, attendance, investments)
-from quire.sources.tables import load  # noqa: E402
-
 # The investment-size window of the reference's analysis, scaled
 # to the stand-in amounts, and the chosen round type.
 AMOUNT_LO, AMOUNT_HI = 5000, 50000

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quire.functions.scalars import r6
 from quire.operators import charts
 from quire.plans.catalog import register
-from quire.plans.standins import APPLICANTS_SQL, SEGMENT_ORDERS_SQL, applicants, segment_orders
+from quire.plans.standins import APPLICANTS_SQL, SEGMENT_ORDERS_SQL, applicants, attrition, segment_orders
 from quire.sources.tables import load
 
 
@@ -82,8 +82,6 @@ def q_segment_month_series(spark, d):
     return out.select("segment", "month", r6("sales", 2).alias("sales"), "quantity")
 
 
-from quire.plans.standins import attrition  # noqa: E402
-
 _ATTRITION_SQL = """
 att AS (SELECT d.doc_id, CAST(l.toxic AS INTEGER) AS y, CAST(d.n_chars AS DOUBLE) AS n_chars,
                CAST(len(regexp_split_to_array(trim(d.text), '\\s+')) AS DOUBLE) AS n_words, d.lang
