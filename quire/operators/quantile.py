@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.operators.rank import rank_within
+from quire.operators.rank import join_on_keys, rank_within
 
 
 def to_long(df: DataFrame, cols: Sequence[str], ids: Sequence[str] = (),
@@ -77,7 +77,7 @@ def grouped_quantiles(long_df: DataFrame, groups: Sequence[str], value: str,
         F.struct(F.col("_lo").alias("_r"), F.lit(0).alias("_hi")),
         F.struct((F.col("_lo") + 1).alias("_r"), F.lit(1).alias("_hi")),
     )).alias("_k")).select(*groups, "prob", "_f", "_k._r", "_k._hi")
-    picked = ranked.select(*groups, "_r", "_x").join(need, [*groups, "_r"])
+    picked = join_on_keys(ranked.select(*groups, "_r", "_x"), need, [*groups, "_r"])
     bracket = picked.groupBy(*groups, "prob", "_f").agg(
         F.max(F.when(F.col("_hi") == 0, F.col("_x"))).alias("_a"),
         F.max(F.when(F.col("_hi") == 1, F.col("_x"))).alias("_b"))

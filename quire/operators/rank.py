@@ -25,6 +25,17 @@ def _cols(cols) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
+def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on same-named keys where NULL matches NULL (a NULL group stays a group,
+    as in ``groupBy``); the right-hand key columns are dropped."""
+    renamed = right.select(*[F.col(c).alias(f"_q_r_{c}") if c in keys else F.col(c) for c in right.columns])
+    cond = None
+    for k in keys:
+        c = left[k].eqNullSafe(renamed[f"_q_r_{k}"])
+        cond = c if cond is None else cond & c
+    return left.join(renamed, cond, how).drop(*[f"_q_r_{k}" for k in keys])
+
+
 def range_partitions(df: DataFrame, requested: int | None = None) -> int:
     """Number of range partitions: the shuffle setting, but never fewer than the input's
     own partitions (file splits of ~maxPartitionBytes), so partitions keep their size
@@ -92,7 +103,7 @@ def rank_within(df: DataFrame, groups: Sequence[str], order: Sequence, rank_col:
     ranked = global_rank(df, [F.col(g) for g in groups] + _cols(order), rank_col="_q_grank")
     starts = ranked.groupBy(*groups).agg(
         F.min("_q_grank").alias("_q_start"), F.count(F.lit(1)).alias("_q_size"))
-    out = ranked.join(starts, list(groups)).withColumn(
+    out = join_on_keys(ranked, starts, list(groups)).withColumn(
         rank_col, (F.col("_q_grank") - F.col("_q_start") + 1).cast("long"))
     if size_col:
         out = out.withColumn(size_col, F.col("_q_size").cast("long"))

@@ -192,3 +192,17 @@ def test_scorecard_cutoffs_brute_force(spark):
         assert math.isclose(r["default_pct"], acc.y.mean() * 100)
         assert math.isclose(r["credit_risk"], acc.loc[acc.y == 1, "bal"].sum())
         assert r["customer_loss"] == (pdf.y == 0).sum() - (acc.y == 0).sum()
+
+
+@pytest.mark.parametrize("method", ["rank", "counts", "percentile"])
+def test_quantiles_keep_a_null_group(spark, method):
+    pdf = pd.DataFrame({"g": ["a", "a", "a", None, None], "x": [1.0, 2.0, 3.0, 10.0, 20.0]})
+    got = grouped_quantiles(spark.createDataFrame(pdf), ["g"], "x", [0.5], method=method).toPandas()
+    res = {(None if pd.isna(g) else g): q for g, q in zip(got["g"], got["q"])}
+    assert res == {"a": 2.0, None: 15.0}
+
+
+def test_rank_within_null_group(spark):
+    pdf = pd.DataFrame({"g": [None, None, "b"], "v": [2.0, 1.0, 5.0]})
+    got = rank_within(spark.createDataFrame(pdf), ["g"], [F.col("v")]).toPandas()
+    assert sorted(got["rank"].tolist()) == [1, 1, 2]
