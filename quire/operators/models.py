@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.functions.scalars import sigmoid
+from quire.session import ship_package
 
 
 def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> DataFrame:
@@ -228,6 +229,7 @@ class RandomFourierFeatures(Transformer, HasInputCol, HasOutputCol):
         self._set(inputCol=inputCol, outputCol=outputCol, sigma=sigma, dim=dim, seed=seed, inputDim=inputDim)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
+        ship_package(dataset.sparkSession)
         sigma, D, seed, p = (self.getOrDefault(self.sigma), self.getOrDefault(self.dim),
                              self.getOrDefault(self.seed), self.getOrDefault(self.inputDim))
         rng = np.random.default_rng(seed)

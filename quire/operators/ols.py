@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.session import ship_package
+
 
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -65,6 +67,7 @@ def ols_from_sums(n: float, xtx: np.ndarray, xty: np.ndarray, yy: float):
 def grouped_ols(df: DataFrame, groups: Sequence[str], y: str, xcols: Sequence[str],
                 weight: str | None = None) -> DataFrame:
     """(groups..., n, coef array, se array, rss, sigma2): one OLS per group."""
+    ship_package(df.sparkSession)
     ne = normal_equations(df, groups, y, xcols, weight)
     k = len(xcols)
     gfields = [f for f in ne.schema.fields if f.name in groups]

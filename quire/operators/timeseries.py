@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.operators.ols import grouped_ols, linear_predict, normal_equations, ols_from_sums
-from quire.session import checkpoint_dir
+from quire.session import checkpoint_dir, ship_package
 
 
 def monthly_index(df: DataFrame, keys: Sequence[str], period: str,
@@ -222,6 +222,7 @@ def acf(df: DataFrame, value: str = VALUE, max_lag: int | None = None, series: s
 
 def pacf(acf_df: DataFrame, series: str = SERIES) -> DataFrame:
     """K8: partial autocorrelations by Durbin-Levinson on each series' (bounded) ACF list."""
+    ship_package(acf_df.sparkSession)
     lists = acf_df.groupBy(series).agg(F.sort_array(F.collect_list(F.struct("lag", "acf"))).alias("r"))
     gf = [f for f in lists.schema.fields if f.name == series]
     schema = T.StructType(gf + [T.StructField("lag", T.IntegerType()), T.StructField("pacf", T.DoubleType())])
@@ -279,6 +280,7 @@ def chi2_sf(x: float, k: int) -> float:
 
 def ljung_box_pvalues(lb: DataFrame, fitdf: int = 0) -> DataFrame:
     """Adds the chi-square p-value (df = lag - fitdf) with a vectorised pandas UDF."""
+    ship_package(lb.sparkSession)
     @F.pandas_udf(T.DoubleType())
     def sf(q: pd.Series, lag: pd.Series) -> pd.Series:
         return pd.Series([chi2_sf(float(a), int(b) - fitdf) if int(b) - fitdf > 0 else float("nan")
@@ -330,6 +332,7 @@ def _adf_pvalue(stat: float, n: int) -> float:
 def adf(df: DataFrame, value: str = VALUE, series: str = SERIES, t: str = TIME, max_k: int | None = None) -> DataFrame:
     """K11: augmented Dickey-Fuller test with constant and trend, k = trunc((N-1)^(1/3))
     lagged differences; regression sums per series, t-statistic of the lagged level."""
+    ship_package(df.sparkSession)
     if max_k is None:
         m = df.groupBy(series).count().agg(F.max("count")).first()[0] or 2
         max_k = max(0, int(math.floor((m - 1) ** (1 / 3) + 1e-12)))
@@ -374,6 +377,7 @@ def ar_candidates(df: DataFrame, value: str = VALUE, max_p: int = 3, series: str
     """K9: conditional least squares AR(p), p = 0..max_p, on levels (d=0) and first
     differences (d=1), over the common sample where all max_p lags exist.
     -> (series, d, p, n_obs, coef [c, phi1..phip], sigma2, aicc)."""
+    ship_package(df.sparkSession)
     bounded = series_bounded(df, series)
     base = lagged(df.select(series, t, value), value, [1], series, t, prefix="_x", bounded=bounded)
     frames = []
@@ -431,6 +435,7 @@ def ar_select(df: DataFrame, value: str = VALUE, max_p: int = 3, series: str = S
 def ar_forecast(df: DataFrame, model: DataFrame, h: int, value: str = VALUE, series: str = SERIES,
                 t: str = TIME) -> DataFrame:
     """K10: h-step recursion from each series' last values -> (series, step, t, forecast)."""
+    ship_package(df.sparkSession)
     maxp = model.agg(F.max("p")).first()[0] or 0
     last_n = maxp + 2
     tail = per_series(df.select(series, t, value), series, _n=F.max(t)).filter(F.col(t) > F.col("_n") - last_n)

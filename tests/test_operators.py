@@ -206,3 +206,24 @@ def test_rank_within_null_group(spark):
     pdf = pd.DataFrame({"g": [None, None, "b"], "v": [2.0, 1.0, 5.0]})
     got = rank_within(spark.createDataFrame(pdf), ["g"], [F.col("v")]).toPandas()
     assert sorted(got["rank"].tolist()) == [1, 1, 2]
+
+
+def test_edge_cases_empty_single_one_class(spark):
+    schema = "id long, y int, p double"
+    empty = spark.createDataFrame([], schema)
+    one = spark.createDataFrame([(1, 1, 0.4)], schema)
+    only_pos = spark.createDataFrame([(i, 1, i / 10) for i in range(1, 6)], schema)
+    # empty input: zero-count sweeps, no quantiles, empty lift
+    sw = ev.cutoff_sweep(empty, "y", "p", 0.1, 0.9, 5).toPandas()
+    assert len(sw) == 5 and (sw["tp"] == 0).all() and sw["sensitivity"].isna().all()
+    assert grouped_quantiles(empty, [], "p", [0.5], method="rank").count() == 0
+    assert ev.lift_table(empty, "y", "p", "id").count() == 0
+    # single row
+    q = grouped_quantiles(one, [], "p", [0.0, 0.5, 1.0], method="rank").toPandas()
+    assert (q["q"] == 0.4).all()
+    assert global_ntile(one, [F.col("p")], 10).first()["tile"] == 1
+    # one class only: specificity undefined, sensitivity defined
+    c = ev.confusion_at_cutoff(only_pos, "y", "p", 0.3).first()
+    assert c["specificity"] is None and c["sensitivity"] == 0.6
+    ak = ev.auc_ks(only_pos, "y", "p").first()
+    assert ak["auc"] is None or math.isnan(ak["auc"])
