@@ -22,6 +22,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol, Param, Params, TypeConverters
 from pyspark.ml.regression import GeneralizedLinearRegression
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,18 +58,24 @@ def logit_fit(df: DataFrame, label: str, features: Sequence[str], weight: str |
               max_iter: int = 25) -> LogitFit:
     """Binomial GLM (IRLS) with Wald statistics and AIC (R ``glm(family = binomial)``)."""
     feats = list(features)
-    data = assemble(df, feats)
+    cols = [label, "features"] + ([weight] if weight else [])
+    # IRLS passes over the data once per iteration: keep the assembled rows instead of
+    # re-running the upstream joins each time
+    data = assemble(df, feats).select(*cols).persist(StorageLevel.MEMORY_AND_DISK)
     glr = GeneralizedLinearRegression(family="binomial", link="logit", labelCol=label, featuresCol="features",
                                       maxIter=max_iter, fitIntercept=True)
     if weight:
         glr = glr.setWeightCol(weight)
-    model = glr.fit(data)
-    s = model.summary
+    try:
+        model = glr.fit(data)
+        s = model.summary
+        se, tv, pv, aic = list(s.coefficientStandardErrors), list(s.tValues), list(s.pValues), float(s.aic)
+    finally:
+        data.unpersist()
     # Spark lists the intercept last in the summary arrays
-    se, tv, pv = list(s.coefficientStandardErrors), list(s.tValues), list(s.pValues)
     return LogitFit(features=feats, coef=[model.intercept] + list(model.coefficients),
                     se=[se[-1]] + se[:-1], z=[tv[-1]] + tv[:-1], p=[pv[-1]] + pv[:-1],
-                    aic=float(s.aic), model=model)
+                    aic=aic, model=model)
 
 
 def logit_predict_expr(intercept: float, coef: dict[str, float]) -> Column:

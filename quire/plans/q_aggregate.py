@@ -167,9 +167,14 @@ best AS (SELECT *, row_number() OVER (PARTITION BY country, sector_rank ORDER BY
 SELECT country, CAST(sector_rank AS BIGINT) AS sector_rank, sector, company, round(company_total, 2) AS company_total
 FROM best WHERE rn = 1""")
 def q_top_company(spark, d):
-    inv, sc = _sector_counts(spark, d)
+    # one pass over the line items: aggregate at (country, sector, company) and roll the
+    # sector counts up from that small table, so both branches read the same aggregate
+    inv = investments(spark, d).filter((F.col("round_type") == CHOSEN_ROUND)
+                                       & F.col("amount").between(AMOUNT_LO, AMOUNT_HI))
+    per_company = inv.groupBy("country", "sector", "company").agg(
+        F.count(F.lit(1)).alias("n_c"), F.sum("amount").alias("company_total"))
+    sc = per_company.groupBy("country", "sector").agg(F.sum("n_c").cast("long").alias("n"))
     top2 = agg.top_k_per_group(sc, ["country"], [F.col("n").desc(), F.col("sector")], 2, rank_col="sector_rank")
-    per_company = inv.groupBy("country", "sector", "company").agg(F.sum("amount").alias("company_total"))
     cc = per_company.join(top2.select("country", "sector", "sector_rank"), ["country", "sector"])
     best = agg.top_k_per_group(cc, ["country", "sector_rank"], [F.col("company_total").desc(), F.col("company")], 1)
     return best.select("country", "sector_rank", "sector", "company", r6("company_total", 2).alias("company_total"))

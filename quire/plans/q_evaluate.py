@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quire.functions.scalars import r6
 from quire.operators import evaluate as ev
 from quire.plans.catalog import register
-from quire.plans.standins import APPLICANTS_SQL, applicants
+from quire.plans.standins import APPLICANTS_SQL, applicants, materialised
 from quire.sources.tables import load
 
 _RATES_SQL = """CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(tn AS BIGINT) AS tn, CAST(fn AS BIGINT) AS fn,
@@ -91,7 +91,8 @@ def q_optimal_cutoff(spark, d):
 WITH {APPLICANTS_SQL}, mm AS (SELECT min(p) + 0.001 AS s, max(p) - 0.001 AS e FROM applicants),
 {_sweep_sql("(SELECT s FROM mm)", "(SELECT (e - s) / 99 FROM mm)")}""" + _OPT_SQL)
 def q_evaluate_binary(spark, d):
-    return _rounded(ev.evaluate_binary(applicants(spark, d), "y", "p", n=100))
+    scores = materialised(applicants(spark, d).select("y", "p"))     # min/max pass + sweep pass
+    return _rounded(ev.evaluate_binary(scores, "y", "p", n=100))
 
 
 _ROC_SQL = f"""{APPLICANTS_SQL},
@@ -106,19 +107,19 @@ roc AS (SELECT score, n_pos, n_neg,
 WITH {_ROC_SQL} SELECT round(score, 6) AS score, CAST(n_pos AS BIGINT) AS n_pos, CAST(n_neg AS BIGINT) AS n_neg,
 round(tpr, 6) AS tpr, round(fpr, 6) AS fpr FROM roc""")
 def q_roc_points(spark, d):
-    roc = ev.roc_points(applicants(spark, d), "y", "p")
+    roc = ev.roc_points(materialised(applicants(spark, d).select("y", "p")), "y", "p")
     return roc.select(r6("score").alias("score"), F.col("n_pos").cast("long").alias("n_pos"),
                       F.col("n_neg").cast("long").alias("n_neg"), r6("tpr").alias("tpr"), r6("fpr").alias("fpr"))
 
 
 @register("auc", sql=f"WITH {_ROC_SQL} SELECT round(sum(dn * (tpr + tpr - dp) / 2), 6) AS auc FROM roc")
 def q_auc(spark, d):
-    return ev.auc_ks(applicants(spark, d), "y", "p").select(r6("auc").alias("auc"))
+    return ev.auc_ks(materialised(applicants(spark, d).select("y", "p")), "y", "p").select(r6("auc").alias("auc"))
 
 
 @register("ks_stat", sql=f"WITH {_ROC_SQL} SELECT round(max(tpr - fpr), 6) AS ks FROM roc")
 def q_ks(spark, d):
-    return ev.auc_ks(applicants(spark, d), "y", "p").select(r6("ks").alias("ks"))
+    return ev.auc_ks(materialised(applicants(spark, d).select("y", "p")), "y", "p").select(r6("ks").alias("ks"))
 
 
 @register("lift_table", sql=f"""

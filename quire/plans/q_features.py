@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quire.functions.scalars import r6
 from quire.operators import features as fe
 from quire.plans.catalog import register
-from quire.plans.standins import APPLICANTS_SQL, applicants
+from quire.plans.standins import APPLICANTS_SQL, applicants, materialised
 from quire.sources.tables import load
 
 NUMERIC = ["o_totalprice", "c_acctbal"]
@@ -21,7 +21,7 @@ SELECT app_id,
        round((c_acctbal - avg(c_acctbal) OVER ()) / stddev_samp(c_acctbal) OVER (), 6) AS c_acctbal
 FROM applicants""")
 def q_zscore(spark, d):
-    a = applicants(spark, d).select("app_id", *NUMERIC)
+    a = materialised(applicants(spark, d).select("app_id", *NUMERIC))
     return fe.zscore(a, NUMERIC).select("app_id", *[r6(c).alias(c) for c in NUMERIC])
 
 
@@ -32,7 +32,7 @@ SELECT app_id,
        round((c_acctbal - min(c_acctbal) OVER ()) / (max(c_acctbal) OVER () - min(c_acctbal) OVER ()), 6) AS c_acctbal
 FROM applicants""")
 def q_minmax(spark, d):
-    a = applicants(spark, d).select("app_id", *NUMERIC)
+    a = materialised(applicants(spark, d).select("app_id", *NUMERIC))
     return fe.minmax(a, NUMERIC).select("app_id", *[r6(c).alias(c) for c in NUMERIC])
 
 
@@ -53,7 +53,7 @@ def _dummy_sql() -> str:
 
 @register("dummy_code", sql=_dummy_sql())
 def q_dummy_code(spark, d):
-    a = applicants(spark, d).select("app_id", *CATEGORICAL)
+    a = materialised(applicants(spark, d).select("app_id", *CATEGORICAL))
     return fe.dummy_code(a, fe.fit_levels(a, CATEGORICAL))
 
 
@@ -85,7 +85,8 @@ SELECT feature, bin, CAST(bin_order AS INTEGER) AS bin_order, CAST(n AS BIGINT)
        CAST(n_good AS BIGINT) AS n_good, round(pct_bad, 6) AS pct_bad, round(pct_good, 6) AS pct_good,
        round(woe, 6) AS woe, round(iv, 6) AS iv FROM woe""")
 def q_woe_table(spark, d):
-    t = fe.woe_table(applicants(spark, d), "y", NUMERIC, CATEGORICAL)
+    a = materialised(applicants(spark, d).select("app_id", "y", *NUMERIC, *CATEGORICAL))
+    t = fe.woe_table(a, "y", NUMERIC, CATEGORICAL)
     return t.select("feature", "bin", "bin_order", "n", "n_bad", "n_good",
                     *[r6(c).alias(c) for c in ["pct_bad", "pct_good", "woe", "iv"]])
 
@@ -93,7 +94,8 @@ def q_woe_table(spark, d):
 @register("iv_rank", sql=f"""
 WITH {WOE_SQL} SELECT feature, round(sum(iv), 6) AS iv FROM woe GROUP BY feature""")
 def q_iv_rank(spark, d):
-    t = fe.iv_rank(fe.woe_table(applicants(spark, d), "y", NUMERIC, CATEGORICAL))
+    a = materialised(applicants(spark, d).select("app_id", "y", *NUMERIC, *CATEGORICAL))
+    t = fe.iv_rank(fe.woe_table(a, "y", NUMERIC, CATEGORICAL))
     return t.select("feature", r6("iv").alias("iv"))
 
 
@@ -107,7 +109,7 @@ SELECT app_id,
        max(CASE WHEN feature = 'o_orderpriority' THEN woe END) AS o_orderpriority_woe
 FROM per GROUP BY app_id""")
 def q_woe_transform(spark, d):
-    a = applicants(spark, d)
+    a = materialised(applicants(spark, d).select("app_id", "y", *NUMERIC, *CATEGORICAL))
     model = fe.fit_woe(a, "y", NUMERIC, CATEGORICAL)
     out = model.transform(a.select("app_id", *NUMERIC, *CATEGORICAL))
     return out.select("app_id", *[r6(f"{c}_woe").alias(f"{c}_woe") for c in NUMERIC + CATEGORICAL])

@@ -14,7 +14,7 @@ from quire.operators import evaluate as ev
 from quire.operators import features as fe
 from quire.operators import models as M
 from quire.plans.catalog import register
-from quire.plans.standins import APPLICANTS_SQL, applicants
+from quire.plans.standins import APPLICANTS_SQL, applicants, materialised
 from quire.sources.tables import load
 
 NUMERIC = ["o_totalprice", "c_acctbal", "order_year"]
@@ -23,7 +23,7 @@ CATEGORICAL = ["c_mktsegment", "o_orderpriority"]
 
 def model_frame(spark, d):
     """Applicants with z-scored numbers and dummy-coded categories (first level dropped)."""
-    a = applicants(spark, d)
+    a = materialised(applicants(spark, d).select("app_id", "y", *NUMERIC, *CATEGORICAL))
     a = fe.zscore(a, NUMERIC)
     levels = fe.fit_levels(a, CATEGORICAL)
     a = fe.dummy_code(a, levels)

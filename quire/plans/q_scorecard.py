@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions.scalars import r6
 from quire.operators import scorecard as sc
 from quire.plans.catalog import register
-from quire.plans.standins import APPLICANTS_SQL, applicants
+from quire.plans.standins import APPLICANTS_SQL, applicants, materialised
 
 _FACTOR, _OFFSET = sc.factor_offset()
 _SCORE_SQL = f"({_OFFSET!r} + {_FACTOR!r} * ln((1.0 - p) / p))"
@@ -36,7 +36,7 @@ SELECT CASE WHEN score > 350 AND score <= 470
 FROM scored, (SELECT avg(score) AS m, stddev_samp(score) AS s, min(score) AS lo, max(score) AS hi FROM scored) st
 GROUP BY 1""")
 def q_score_bins(spark, d):
-    s = scored(spark, d)
+    s = materialised(scored(spark, d).select("score"))      # stats pass + bins pass
     st = sc.score_stats(s, "score").first()
     bins = sc.score_bins(s, "score", 350, 470, 20)
     return bins.select("bin", "n", *[F.lit(round(st[k], 6)).alias(k) for k in ("mean", "sd", "min", "max")])

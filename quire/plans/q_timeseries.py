@@ -18,14 +18,16 @@ train AS (SELECT series_id, t, value, count(*) OVER (PARTITION BY series_id) AS
 test AS (SELECT series_id, t, value FROM sl WHERE t > n_all - {H})"""
 
 
-def series_frame(spark, d, materialise: bool = False):
-    """The monthly series with the hold-out flag.  Model paths materialise it once per
-    query (segments x months rows feeding several fits); single-pass statistics stay lazy."""
+def series_frame(spark, d, materialise: bool = True):
+    """The monthly series with the hold-out flag, materialised once per query: the
+    statistics read it in several branches (per-series aggregates, lags, ends), and a
+    written segments x months table guarantees a single pass over the order data
+    instead of one per branch."""
     out = ts.holdout(segment_series(spark, d), H)
     return out.checkpoint(eager=True) if materialise else out
 
 
-def train_frame(spark, d, materialise: bool = False):
+def train_frame(spark, d, materialise: bool = True):
     return series_frame(spark, d, materialise).filter(~F.col("is_test")).drop("is_test")
 
 

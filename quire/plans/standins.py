@@ -166,3 +166,11 @@ def attrition(spark: SparkSession, d: str) -> DataFrame:
         F.size(F.split(F.trim(F.col("text")), r"\s+")).cast("double").alias("n_words"),
         F.size(F.split(F.col("text"), "\n")).cast("double").alias("n_lines"),
         "lang", "source", F.col("quality").cast("int").alias("quality"))
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """Write a derived frame once (reliable checkpoint in the shared folder) before an
+    operator that reads it in several passes, so the joins that built it run once."""
+    from quire.session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
