@@ -55,13 +55,16 @@ class LogitFit:
 
 
 def logit_fit(df: DataFrame, label: str, features: Sequence[str], weight: str | None = None,
-              max_iter: int = 25) -> LogitFit:
-    """Binomial GLM (IRLS) with Wald statistics and AIC (R ``glm(family = binomial)``)."""
+              max_iter: int = 25, persist: bool = True) -> LogitFit:
+    """Binomial GLM (IRLS) with Wald statistics and AIC (R ``glm(family = binomial)``).
+    ``persist=False`` when the caller already caches ``df`` (search loops)."""
     feats = list(features)
     cols = [label, "features"] + ([weight] if weight else [])
     # IRLS passes over the data once per iteration: keep the assembled rows instead of
     # re-running the upstream joins each time
-    data = assemble(df, feats).select(*cols).persist(StorageLevel.MEMORY_AND_DISK)
+    data = assemble(df, feats).select(*cols)
+    if persist:
+        data = data.persist(StorageLevel.MEMORY_AND_DISK)
     glr = GeneralizedLinearRegression(family="binomial", link="logit", labelCol=label, featuresCol="features",
                                       maxIter=max_iter, fitIntercept=True)
     if weight:
@@ -71,7 +74,8 @@ def logit_fit(df: DataFrame, label: str, features: Sequence[str], weight: str |
         s = model.summary
         se, tv, pv, aic = list(s.coefficientStandardErrors), list(s.tValues), list(s.pValues), float(s.aic)
     finally:
-        data.unpersist()
+        if persist:
+            data.unpersist()
     # Spark lists the intercept last in the summary arrays
     return LogitFit(features=feats, coef=[model.intercept] + list(model.coefficients),
                     se=[se[-1]] + se[:-1], z=[tv[-1]] + tv[:-1], p=[pv[-1]] + pv[:-1],
@@ -97,14 +101,14 @@ def stepwise_aic(df: DataFrame, label: str, features: Sequence[str], weight: str
     spark = df.sparkSession
     data = df.select(label, *features, *([weight] if weight else [])).cache()
     current = list(start if start is not None else features)
-    best = logit_fit(data, label, current, weight)
+    best = logit_fit(data, label, current, weight, persist=False)
     trace = [(0, "<start>", best.aic, ",".join(current))]
     pool = ThreadPoolExecutor(max_workers=workers)
     try:
         for step in range(1, max_steps + 1):
             moves = [("-" + f, [x for x in current if x != f]) for f in current if len(current) > 1]
             moves += [("+" + f, current + [f]) for f in features if f not in current]
-            fits = list(pool.map(lambda m: (m[0], logit_fit(data, label, m[1], weight)), moves))
+            fits = list(pool.map(lambda m: (m[0], logit_fit(data, label, m[1], weight, persist=False)), moves))
             move, cand = min(fits, key=lambda x: x[1].aic) if fits else (None, None)
             if cand is None or cand.aic >= best.aic - 1e-9:
                 break
@@ -152,7 +156,7 @@ def backward_eliminate(df: DataFrame, label: str, features: Sequence[str], weigh
     log = []
     try:
         for rnd in range(max_rounds):
-            fit = logit_fit(data, label, current, weight)
+            fit = logit_fit(data, label, current, weight, persist=False)
             vifs = {r["term"]: r["vif"] for r in vif_table(data, fit, weight).collect()}
             pvals = dict(zip(fit.features, fit.p[1:]))
             high = [f for f in current if vifs[f] > vif_max and pvals[f] > p_max]
@@ -165,7 +169,7 @@ def backward_eliminate(df: DataFrame, label: str, features: Sequence[str], weigh
                 drop, why = max(weak, key=lambda f: pvals[f]), "p_value"
             log.append((rnd + 1, drop, why, float(vifs[drop]), float(pvals[drop])))
             current.remove(drop)
-        fit = logit_fit(data, label, current, weight)
+        fit = logit_fit(data, label, current, weight, persist=False)
     finally:
         data.unpersist()
     steps = spark.createDataFrame(log, "round int, dropped string, reason string, vif double, p_value double")
