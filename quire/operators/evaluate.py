@@ -137,6 +137,13 @@ def roc_points(df: DataFrame, label: str, score: str, positive=1) -> DataFrame:
     return _roc(df, label, score, positive)[0]
 
 
+def ks_curve(df: DataFrame, label: str, score: str, positive=1) -> DataFrame:
+    """KS curve: TPR - FPR at every distinct score, with the share of rows at or above it."""
+    roc, P, N = _roc(df, label, score, positive)
+    return roc.select("score", "tpr", "fpr", (F.col("tpr") - F.col("fpr")).alias("ks_gap"),
+                      _div(F.col("tpr") * F.lit(P) + F.col("fpr") * F.lit(N), F.lit(P + N)).alias("population"))
+
+
 def auc_ks(df: DataFrame, label: str, score: str, positive=1) -> DataFrame:
     """AUC (trapezoids over the ROC steps; equals the tie-corrected rank-sum AUC) and
     KS = max(TPR - FPR), one row."""

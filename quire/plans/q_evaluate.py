@@ -112,6 +112,15 @@ def q_roc_points(spark, d):
                       F.col("n_neg").cast("long").alias("n_neg"), r6("tpr").alias("tpr"), r6("fpr").alias("fpr"))
 
 
+@register("ks_curve", sql=f"""
+WITH {_ROC_SQL} SELECT round(score, 6) AS score, round(tpr - fpr, 6) AS ks_gap,
+round((sum(n_pos + n_neg) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING)) * 1.0 / sum(n_pos + n_neg) OVER (), 6) AS population
+FROM roc""")
+def q_ks_curve(spark, d):
+    kc = ev.ks_curve(materialised(applicants(spark, d).select("y", "p")), "y", "p")
+    return kc.select(r6("score").alias("score"), r6("ks_gap").alias("ks_gap"), r6("population").alias("population"))
+
+
 @register("auc", sql=f"WITH {_ROC_SQL} SELECT round(sum(dn * (tpr + tpr - dp) / 2), 6) AS auc FROM roc")
 def q_auc(spark, d):
     return ev.auc_ks(materialised(applicants(spark, d).select("y", "p")), "y", "p").select(r6("auc").alias("auc"))
