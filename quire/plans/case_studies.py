@@ -72,11 +72,12 @@ def credit_scoring_study(spark: SparkSession, d: str, split_ratio: float = 0.7,
     }
 
 
-def forecasting_study(spark: SparkSession, d: str, horizon: int = 6, width: int = 1, best: int = 2
-                      ) -> dict[str, DataFrame]:
+def forecasting_study(spark: SparkSession, d: str, horizon: int = 6, width: int = 1, best: int = 2,
+                      add_back_residual_ar: bool = False) -> dict[str, DataFrame]:
     """Segment CoV -> best segments -> monthly series -> smoothing -> trend regression ->
     residual ACF/PACF, tests -> AR rival -> hold-out MAPE, for the best segments and both
-    measures at once."""
+    measures at once.  With ``add_back_residual_ar`` the AR model fitted on the residual
+    (local) series is forecast and added to the classical forecast."""
     so = segment_orders(spark, d)
     cov = agg.segment_cov(so, ["segment"], "month", "o_totalprice")
     top = agg.top_k(cov, [F.col("cov").asc(), F.col("segment")], best)
@@ -91,8 +92,16 @@ def forecasting_study(spark: SparkSession, d: str, horizon: int = 6, width: int
     model = ts.ar_select(series.filter(~F.col("is_test")), "value")
     ar = ts.ar_forecast(series.filter(~F.col("is_test")), model, horizon)
     test = series.filter(F.col("is_test"))
-    classical = fitted.filter(F.col("is_test")).select("series_id", "value", F.lit("classical").alias("model"),
+    classical = fitted.filter(F.col("is_test")).select("series_id", "t", "value", F.lit("classical").alias("model"),
                                                         F.col("fitted").alias("forecast"))
+    if add_back_residual_ar:
+        local_series = local.select("series_id", "t", F.col("local").alias("value"))
+        resid_model = ts.ar_select(local_series, "value")
+        resid_fc = ts.ar_forecast(local_series, resid_model, horizon).select(
+            "series_id", "t", F.col("forecast").alias("_resid"))
+        classical = classical.join(resid_fc, ["series_id", "t"], "left").withColumn(
+            "forecast", F.col("forecast") + F.coalesce(F.col("_resid"), F.lit(0.0))).drop("_resid")
+    classical = classical.drop("t")
     rival = ar.join(test.select("series_id", "t", "value"), ["series_id", "t"]).select(
         "series_id", "value", F.lit("ar").alias("model"), "forecast")
     return {"segment_cov": cov, "best_segments": top, "fit": fit, "fitted": fitted, "acf": acf,

@@ -24,6 +24,11 @@ def test_forecasting_study(spark):
     assert set(m["model"]) == {"classical", "ar"} and (m["mape"] >= 0).all()
 
 
+def test_forecasting_study_with_residual_ar(spark):
+    out = cs.forecasting_study(spark, SMALL, add_back_residual_ar=True)
+    assert out["mape"].filter("model = 'classical'").count() > 0
+
+
 def test_credit_scoring_study(spark):
     out = cs.credit_scoring_study(spark, SMALL)
     assert out["evaluation"].count() == 1
