@@ -114,7 +114,7 @@ def q_random_forest_eval(spark, d):
 @register("mlp_scores")
 def q_mlp_scores(spark, d):
     a, feats = model_frame(spark, d)
-    model, loss = M.mlp_best_of(a, "y", feats, hidden=5, seeds=(1, 2, 3), max_iter=50)
+    model, loss = M.mlp_best_of(a, "y", feats, hidden=5, seeds=(1, 2, 3, 4, 5), max_iter=50)
     return M.positive_probability(model, a.select("app_id", "y", *feats), feats).select(
         "app_id", "y", "prob", F.lit(loss).alias("train_loss"))
 
@@ -162,9 +162,10 @@ def q_cv_grid(spark, d):
                         evaluator=MulticlassClassificationEvaluator(labelCol="label", metricName="accuracy"),
                         foldCol="fold", parallelism=4)
     model = cv.fit(s.select("vec_id", "x", "label", "fold").cache())
-    rows = [(float(pm[rff.sigma]), float(pm[svc.regParam]), float(m))
+    best = max(model.avgMetrics)
+    rows = [(float(pm[rff.sigma]), float(pm[svc.regParam]), float(m), bool(m == best))
             for pm, m in zip(grid, model.avgMetrics)]
-    return spark.createDataFrame(rows, "sigma double, reg_param double, cv_accuracy double")
+    return spark.createDataFrame(rows, "sigma double, reg_param double, cv_accuracy double, best boolean")
 
 
 @register("attrition_evaluation")
