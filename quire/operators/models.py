@@ -31,6 +31,16 @@ from quire.functions.scalars import sigmoid
 from quire.session import ship_package
 
 
+def right_size(df: DataFrame, rows_per_partition: int = 500_000) -> DataFrame:
+    """Coalesce (never widen) the input of an iterative fit to about ``rows_per_partition``
+    rows per partition: every optimiser iteration runs one task per partition, so a small
+    frame spread thin pays task overhead hundreds of times, while a large one keeps its
+    parallelism."""
+    n = df.count()
+    want = max(1, -(-n // rows_per_partition))
+    return df.coalesce(want) if want < df.rdd.getNumPartitions() else df
+
+
 def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="keep").transform(df)
 
@@ -64,7 +74,7 @@ def logit_fit(df: DataFrame, label: str, features: Sequence[str], weight: str |
     # re-running the upstream joins each time
     data = assemble(df, feats).select(*cols)
     if persist:
-        data = data.persist(StorageLevel.MEMORY_AND_DISK)
+        data = right_size(data).persist(StorageLevel.MEMORY_AND_DISK)
     glr = GeneralizedLinearRegression(family="binomial", link="logit", labelCol=label, featuresCol="features",
                                       maxIter=max_iter, fitIntercept=True)
     if weight:
@@ -99,7 +109,7 @@ def stepwise_aic(df: DataFrame, label: str, features: Sequence[str], weight: str
     """Both-direction stepwise selection by AIC (MASS ``stepAIC``), starting from the
     full model.  Candidate fits of a step run concurrently; the frame is cached once."""
     spark = df.sparkSession
-    data = df.select(label, *features, *([weight] if weight else [])).cache()
+    data = right_size(df.select(label, *features, *([weight] if weight else []))).cache()
     current = list(start if start is not None else features)
     best = logit_fit(data, label, current, weight, persist=False)
     trace = [(0, "<start>", best.aic, ",".join(current))]
@@ -151,7 +161,7 @@ def backward_eliminate(df: DataFrame, label: str, features: Sequence[str], weigh
     ``vif_max`` (when it is not significant), otherwise the term with the largest
     p-value above ``p_max``; stop when every term passes."""
     spark = df.sparkSession
-    data = df.select(label, *features, *([weight] if weight else [])).cache()
+    data = right_size(df.select(label, *features, *([weight] if weight else []))).cache()
     current = list(features)
     log = []
     try:
@@ -182,7 +192,7 @@ def random_forest(df: DataFrame, label: str, features: Sequence[str], num_trees:
     strategy = str(mtry)
     rf = RandomForestClassifier(labelCol=label, featuresCol="features", numTrees=num_trees, maxDepth=max_depth,
                                 featureSubsetStrategy=strategy, seed=seed)
-    model = rf.fit(assemble(df, features))
+    model = rf.fit(right_size(assemble(df, features).select(label, "features")))
     return model
 
 
@@ -202,7 +212,7 @@ def mlp_best_of(df: DataFrame, label: str, features: Sequence[str], hidden: int,
                 max_iter: int = 100):
     """Feed-forward net with one hidden layer; the restart with the lowest final training
     loss is kept (the reference keeps the best of 5 repetitions by error)."""
-    data = assemble(df, features).select(label, "features").cache()
+    data = right_size(assemble(df, features).select(label, "features")).cache()
     best, best_loss = None, math.inf
     try:
         for s in seeds:

@@ -129,7 +129,7 @@ def _digits(spark, d):
 @register("svm_linear")
 def q_svm_linear(spark, d):
     s = _digits(spark, d).withColumn("features", array_to_vector("x"))
-    train, test = s.filter("is_train").cache(), s.filter("NOT is_train")
+    train, test = M.right_size(s.filter("is_train")).cache(), s.filter("NOT is_train")
     model = M.linear_svm(train, "label", max_iter=20)
     pred = model.transform(test)
     out = ev.confusion_multiclass(pred, "label", "prediction")
@@ -142,7 +142,7 @@ def q_svm_rff(spark, d):
     s = _digits(spark, d)
     rff = M.RandomFourierFeatures(inputCol="x", outputCol="features", sigma=0.5, dim=128, seed=7, inputDim=64)
     z = rff.transform(s)
-    train, test = z.filter("is_train").cache(), z.filter("NOT is_train")
+    train, test = M.right_size(z.filter("is_train")).cache(), z.filter("NOT is_train")
     model = M.linear_svm(train, "label", max_iter=20)
     out = ev.confusion_multiclass(model.transform(test), "label", "prediction")
     train.unpersist()
@@ -161,7 +161,7 @@ def q_cv_grid(spark, d):
     cv = CrossValidator(estimator=Pipeline(stages=[rff, ovr]), estimatorParamMaps=grid,
                         evaluator=MulticlassClassificationEvaluator(labelCol="label", metricName="accuracy"),
                         foldCol="fold", parallelism=4)
-    model = cv.fit(s.select("vec_id", "x", "label", "fold").cache())
+    model = cv.fit(M.right_size(s.select("vec_id", "x", "label", "fold")).cache())
     best = max(model.avgMetrics)
     rows = [(float(pm[rff.sigma]), float(pm[svc.regParam]), float(m), bool(m == best))
             for pm, m in zip(grid, model.avgMetrics)]
