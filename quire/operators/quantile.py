@@ -36,13 +36,21 @@ def to_long(df: DataFrame, cols: Sequence[str], ids: Sequence[str] = (),
 EXACT_MAP_MAX_DISTINCT = 1_000_000
 
 
-def small_domain(data: DataFrame, groups: Sequence[str], x: str, limit: int = EXACT_MAP_MAX_DISTINCT) -> bool:
-    """True when every group has at most ``limit`` distinct values (HyperLogLog, 2% error,
-    so the bound is checked against a 10% margin)."""
+def domain_profile(data: DataFrame, groups: Sequence[str], x: str) -> tuple[int, int]:
+    """(largest per-group distinct count (HyperLogLog, 2% error), number of groups)."""
     per = data.groupBy(*groups).agg(F.approx_count_distinct(x, 0.02).alias("_d")) if groups \
         else data.agg(F.approx_count_distinct(x, 0.02).alias("_d"))
-    top = per.agg(F.max("_d")).first()[0]
-    return top is None or top <= limit * 0.9
+    row = per.agg(F.max("_d").alias("m"), F.count(F.lit(1)).alias("g")).first()
+    return int(row["m"] or 0), int(row["g"] or 0)
+
+
+def small_domain(data: DataFrame, groups: Sequence[str], x: str, limit: int = EXACT_MAP_MAX_DISTINCT) -> bool:
+    """True when every group has at most ``limit`` distinct values (checked with a 10% margin)."""
+    return domain_profile(data, groups, x)[0] <= limit * 0.9
+
+
+# Largest number of groups for which the band method broadcasts its (group x prob) bands.
+BAND_MAX_GROUPS = 10_000
 
 
 def grouped_quantiles(long_df: DataFrame, groups: Sequence[str], value: str,
@@ -53,10 +61,17 @@ def grouped_quantiles(long_df: DataFrame, groups: Sequence[str], value: str,
     data = long_df.select(*groups, F.col(value).cast("double").alias("_x")).filter(F.col("_x").isNotNull())
     if method == "auto":
         # bounded domain: running counts for a few probabilities (two aggregates each),
-        # Spark's percentile map for long probability lists
-        method = ("counts" if len(probs) <= 8 else "percentile") if small_domain(data, groups, "_x") else "rank"
+        # Spark's percentile map for long probability lists; large domain: exact order
+        # statistics inside narrow approximate bands (few groups) or the balanced rank
+        distinct, n_groups = domain_profile(data, groups, "_x")
+        if distinct <= EXACT_MAP_MAX_DISTINCT * 0.9:
+            method = "counts" if len(probs) <= 8 else "percentile"
+        else:
+            method = "band" if n_groups <= BAND_MAX_GROUPS else "rank"
     if method == "counts":
         return _quantiles_from_counts(data, groups, probs)
+    if method == "band":
+        return _quantiles_by_band(data, groups, probs, accuracy)
     if method in ("percentile", "approx"):
         arr = F.array(*[F.lit(p) for p in probs])
         fn = (F.percentile("_x", arr) if method == "percentile"
@@ -86,6 +101,51 @@ def grouped_quantiles(long_df: DataFrame, groups: Sequence[str], value: str,
     return bracket.select(*groups, "prob", q.alias("q"))
 
 
+def _quantiles_by_band(data: DataFrame, groups: Sequence[str], probs: Sequence[float],
+                       accuracy: int = 10000) -> DataFrame:
+    """Exact quantiles ranking only a narrow band of rows per probability.
+
+    ``percentile_approx`` (rank error <= n/accuracy) gives values at p -/+ 2/accuracy
+    that bracket the target ranks; one pass over the data with the (group, prob) bands
+    broadcast counts the rows below each band and keeps the rows inside it; only those
+    (about 4n/accuracy per band) are ranked.  If a target rank falls outside its band
+    (it cannot with the documented error bound, but it is verified), the full balanced
+    rank method is used instead."""
+    delta = 2.0 / accuracy
+    k = len(probs)
+    bounds = [max(0.0, p - delta) for p in probs] + [min(1.0, p + delta) for p in probs]
+    approx = data.groupBy(*groups).agg(
+        F.percentile_approx("_x", F.array(*[F.lit(v) for v in bounds]), accuracy).alias("_qa"),
+        F.count(F.lit(1)).alias("_n"))
+    bands = approx.select(*groups, "_n", F.explode(F.array(*[
+        F.struct(F.lit(float(p)).alias("prob"), F.col("_qa")[i].alias("_lo"), F.col("_qa")[k + i].alias("_hi"))
+        for i, p in enumerate(probs)])).alias("_b")).select(*groups, "_n", "_b.prob", "_b._lo", "_b._hi")
+    bands = bands.checkpoint(eager=True)                       # groups x probs rows
+    keyed = bands if groups else bands.withColumn("_all", F.lit(1))
+    rows = data if groups else data.withColumn("_all", F.lit(1))
+    keys = list(groups) if groups else ["_all"]
+    tagged = join_on_keys(rows, F.broadcast(keyed), keys)
+    below = tagged.groupBy(*keys, "prob").agg(F.sum((F.col("_x") < F.col("_lo")).cast("long")).alias("_below"))
+    inside = tagged.filter((F.col("_x") >= F.col("_lo")) & (F.col("_x") <= F.col("_hi"))).select(*keys, "prob", "_x")
+    ranked = rank_within(inside, [*keys, "prob"], [F.col("_x")], rank_col="_rb", size_col="_nb")
+    ranked = join_on_keys(ranked, below, [*keys, "prob"]).withColumn("_r", F.col("_below") + F.col("_rb"))
+    h = (F.col("_n") - 1) * F.col("prob") + 1
+    need = keyed.select(*keys, "prob", "_n", F.floor(h).cast("long").alias("_lo_r"), (h - F.floor(h)).alias("_f"))
+    # left join + conditional aggregates: every (group, prob) keeps its row even when no
+    # band row sits at the needed rank (that is what the verification below detects)
+    picked = join_on_keys(need, ranked.select(*keys, "prob", "_r", "_x"), [*keys, "prob"], how="left")
+    res = picked.groupBy(*keys, "prob", "_n", "_lo_r", "_f").agg(
+        F.max(F.when(F.col("_r") == F.col("_lo_r"), F.col("_x"))).alias("_a"),
+        F.max(F.when(F.col("_r") == F.col("_lo_r") + 1, F.col("_x"))).alias("_b")).checkpoint(eager=True)
+    missing = res.filter(F.col("_a").isNull() | ((F.col("_f") > 0) & F.col("_b").isNull()
+                                                  & (F.col("_lo_r") + 1 <= F.col("_n")))).count()
+    if missing:
+        return grouped_quantiles(data.withColumnRenamed("_x", "_v"), list(groups), "_v", probs, method="rank")
+    q = F.when(F.col("_b").isNull() | (F.col("_f") == 0), F.col("_a")) \
+         .otherwise(F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f"))
+    return res.select(*groups, "prob", q.alias("q"))
+
+
 def _quantiles_from_counts(data: DataFrame, groups: Sequence[str], probs: Sequence[float]) -> DataFrame:
     """Exact quantiles from a value->count frame: a running count over the distinct values
     of each group (bounded by the domain check) locates the order statistics

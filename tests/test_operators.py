@@ -59,7 +59,7 @@ def test_rank_within_groups(spark):
     assert (m["rank"] == m["r"]).all()
 
 
-@pytest.mark.parametrize("method", ["rank", "percentile", "counts", "auto"])
+@pytest.mark.parametrize("method", ["rank", "percentile", "counts", "band", "auto"])
 def test_quantiles_are_r_type7(spark, method):
     rng = np.random.default_rng(3)
     pdf = pd.DataFrame({"g": rng.integers(0, 3, 301), "x": rng.normal(0, 1, 301).round(2)})
@@ -194,7 +194,7 @@ def test_scorecard_cutoffs_brute_force(spark):
         assert r["customer_loss"] == (pdf.y == 0).sum() - (acc.y == 0).sum()
 
 
-@pytest.mark.parametrize("method", ["rank", "counts", "percentile"])
+@pytest.mark.parametrize("method", ["rank", "counts", "percentile", "band"])
 def test_quantiles_keep_a_null_group(spark, method):
     pdf = pd.DataFrame({"g": ["a", "a", "a", None, None], "x": [1.0, 2.0, 3.0, 10.0, 20.0]})
     got = grouped_quantiles(spark.createDataFrame(pdf), ["g"], "x", [0.5], method=method).toPandas()
@@ -227,3 +227,28 @@ def test_edge_cases_empty_single_one_class(spark):
     assert c["specificity"] is None and c["sensitivity"] == 0.6
     ak = ev.auc_ks(only_pos, "y", "p").first()
     assert ak["auc"] is None or math.isnan(ak["auc"])
+
+
+@pytest.mark.parametrize("accuracy", [100, 1000])
+def test_band_quantiles_narrow_bands_with_ties(spark, accuracy):
+    from quire.operators.quantile import _quantiles_by_band
+    rng = np.random.default_rng(21)
+    n = 50000
+    x = rng.normal(size=n).round(2)                 # many ties
+    x[: n // 5] = 0.0                               # a fifth of the rows share the median region value
+    g = rng.choice(["a", "b"], n)
+    pdf = pd.DataFrame({"g": g, "_x": x})
+    probs = [0.0, 0.05, 0.25, 0.5, 0.77, 0.99, 1.0]
+    got = _quantiles_by_band(spark.createDataFrame(pdf), ["g"], probs, accuracy).toPandas()
+    for (gg, p), q in got.set_index(["g", "prob"])["q"].items():
+        assert math.isclose(q, np.quantile(x[g == gg], p), rel_tol=1e-12, abs_tol=1e-12)
+
+
+def test_band_quantiles_fall_back_when_a_band_misses(spark, monkeypatch):
+    from pyspark.sql import functions as Fn
+    from quire.operators import quantile as qmod
+    pdf = pd.DataFrame({"_x": np.arange(1000, dtype=float)})
+    real = Fn.percentile_approx
+    monkeypatch.setattr(qmod.F, "percentile_approx", lambda c, p, a: Fn.transform(real(c, p, a), lambda v: v + 500))
+    got = qmod._quantiles_by_band(spark.createDataFrame(pdf), [], [0.5], 10000).first()["q"]
+    assert got == 499.5
