@@ -91,10 +91,17 @@ def trimmed_mean(long: DataFrame, groups: Sequence[str], value: str, trim: float
     Small value domains (checked) use a value->count frame and a running count over
     the distinct values of each group; otherwise every row is ranked with the
     balanced global rank."""
-    from quire.operators.quantile import small_domain
+    from quire.operators.quantile import BAND_MAX_GROUPS, EXACT_MAP_MAX_DISTINCT, domain_profile
     data = long.select(*groups, F.col(value).cast("double").alias("_x")).filter(F.col("_x").isNotNull())
     if method == "auto":
-        method = "counts" if small_domain(data, groups, "_x") else "rank"
+        distinct, n_groups = domain_profile(data, groups, "_x")
+        method = ("counts" if distinct <= EXACT_MAP_MAX_DISTINCT * 0.9
+                  else "band" if n_groups <= BAND_MAX_GROUPS else "rank")
+    if method == "band":
+        out = _trimmed_by_band(data, list(groups), trim)
+        if out is not None:
+            return out
+        method = "rank"
     if method == "counts":
         vc = data.groupBy(*groups, "_x").agg(F.count(F.lit(1)).alias("_c"))
         w = Window.partitionBy(*groups).orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
@@ -109,6 +116,56 @@ def trimmed_mean(long: DataFrame, groups: Sequence[str], value: str, trim: float
         F.avg("_x").alias("trimmed"))
 
 
+def _trimmed_by_band(data: DataFrame, groups: list[str], trim: float, accuracy: int = 10000):
+    """Trimmed mean ranking only the rows near the two trim points.
+
+    Approximate quantiles at trim -/+ d and 1-trim -/+ d (d = 2/accuracy) give a lower
+    and an upper value band; one pass (bands broadcast) sums the rows strictly between
+    the bands and keeps the band rows, which are ranked exactly to include those with
+    ranks in [floor(trim n)+1, n-floor(trim n)].  Returns None (caller ranks every
+    value) when the bands overlap or do not contain the boundary ranks."""
+    from quire.operators.rank import join_on_keys
+    d = 2.0 / accuracy
+    probs = [max(0.0, trim - d), min(1.0, trim + d), max(0.0, 1 - trim - d), min(1.0, 1 - trim + d)]
+    keys = groups or ["_all"]
+    rows = data if groups else data.withColumn("_all", F.lit(1))
+    ap = rows.groupBy(*keys).agg(F.percentile_approx("_x", F.array(*[F.lit(p) for p in probs]), accuracy).alias("_q"),
+                                 F.count(F.lit(1)).alias("_n"))
+    k = F.floor(F.col("_n") * F.lit(trim))
+    bands = ap.select(*keys, "_n", (k + 1).alias("_rlo"), (F.col("_n") - k).alias("_rhi"),
+                      F.col("_q")[0].alias("_a0"), F.col("_q")[1].alias("_a1"),
+                      F.col("_q")[2].alias("_b0"), F.col("_q")[3].alias("_b1")).checkpoint(eager=True)
+    if bands.filter(F.col("_a1") >= F.col("_b0")).count():
+        return None                                            # bands touch: rank everything
+    t = join_on_keys(rows, F.broadcast(bands), keys)
+    x = F.col("_x")
+    in_lo = (x >= F.col("_a0")) & (x <= F.col("_a1"))
+    in_hi = (x >= F.col("_b0")) & (x <= F.col("_b1"))
+    mid = (x > F.col("_a1")) & (x < F.col("_b0"))
+    sums = t.groupBy(*keys).agg(
+        F.sum((x < F.col("_a0")).cast("long")).alias("_below_lo"), F.sum((x < F.col("_b0")).cast("long")).alias("_below_hi"),
+        F.sum(F.when(mid, x).otherwise(0.0)).alias("_mid_sum"))
+    band_rows = t.filter(in_lo | in_hi).select(*keys, F.when(in_lo, F.lit(0)).otherwise(F.lit(1)).alias("_band"), "_x")
+    ranked = rank_within(band_rows, [*keys, "_band"], [F.col("_x")], rank_col="_rb", size_col="_nb")
+    ranked = join_on_keys(join_on_keys(ranked, sums, keys), bands.select(*keys, "_rlo", "_rhi"), keys)
+    r = F.when(F.col("_band") == 0, F.col("_below_lo")).otherwise(F.col("_below_hi")) + F.col("_rb")
+    ranked = ranked.withColumn("_r", r)
+    per_band = ranked.groupBy(*keys, "_band").agg(
+        F.min("_r").alias("_first"), F.max("_r").alias("_last"),
+        F.sum(F.when((F.col("_r") >= F.col("_rlo")) & (F.col("_r") <= F.col("_rhi")), F.col("_x")).otherwise(0.0)).alias("_bs"))
+    checks = join_on_keys(per_band, bands.select(*keys, "_rlo", "_rhi"), keys)
+    ok = F.when(F.col("_band") == 0, (F.col("_first") <= F.col("_rlo")) & (F.col("_last") >= F.col("_rlo"))) \
+          .otherwise((F.col("_first") <= F.col("_rhi")) & (F.col("_last") >= F.col("_rhi")))
+    checks = checks.withColumn("_ok", ok).checkpoint(eager=True)
+    n_groups = bands.count()
+    if checks.filter("_ok").count() != 2 * n_groups:
+        return None                                            # a boundary rank escaped its band
+    band_sum = checks.groupBy(*keys).agg(F.sum("_bs").alias("_bs"))
+    out = join_on_keys(join_on_keys(sums, band_sum, keys), bands.select(*keys, "_rlo", "_rhi"), keys)
+    res = out.select(*keys, ((F.col("_mid_sum") + F.col("_bs")) / (F.col("_rhi") - F.col("_rlo") + 1)).alias("trimmed"))
+    return res.drop("_all") if not groups else res
+
+
 def null_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """(column, n_null, pct_null) plus a '__rows_with_null__' and '__total__' row; one pass."""
     cols = list(cols or df.columns)

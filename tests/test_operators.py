@@ -252,3 +252,33 @@ def test_band_quantiles_fall_back_when_a_band_misses(spark, monkeypatch):
     monkeypatch.setattr(qmod.F, "percentile_approx", lambda c, p, a: Fn.transform(real(c, p, a), lambda v: v + 500))
     got = qmod._quantiles_by_band(spark.createDataFrame(pdf), [], [0.5], 10000).first()["q"]
     assert got == 499.5
+
+
+def _trim_ref(v, trim=0.1):
+    v = np.sort(v)
+    k = int(np.floor(len(v) * trim))
+    return v[k:len(v) - k].mean()
+
+
+@pytest.mark.parametrize("method", ["band", "rank", "counts"])
+def test_trimmed_mean_methods(spark, method):
+    from quire.operators.profile import trimmed_mean
+    rng = np.random.default_rng(31)
+    n = 40000
+    x = rng.normal(size=n).round(3)
+    x[: n // 10] = 1.5                              # a tie block near a trim point
+    g = rng.choice(["a", "b"], n)
+    df = spark.createDataFrame(pd.DataFrame({"g": g, "x": x}))
+    got = trimmed_mean(df, ["g"], "x", 0.1, method=method).toPandas().set_index("g")["trimmed"]
+    for gg in ["a", "b"]:
+        assert math.isclose(got[gg], _trim_ref(x[g == gg]), rel_tol=1e-12)
+
+
+def test_trimmed_band_narrow(spark):
+    from quire.operators.profile import _trimmed_by_band
+    rng = np.random.default_rng(32)
+    x = rng.exponential(size=30000)
+    df = spark.createDataFrame(pd.DataFrame({"_x": x}))
+    res = _trimmed_by_band(df, [], 0.1, accuracy=200)
+    assert res is not None
+    assert math.isclose(res.first()["trimmed"], _trim_ref(x), rel_tol=1e-12)
