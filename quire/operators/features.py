@@ -196,31 +196,82 @@ def hash_key(key: str | Column, seed: int = 1) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), k.cast("string")))
 
 
+def _hash_order(df: DataFrame, key: str, seed: int) -> DataFrame:
+    """Adds the md5 order key and its first 13 hex digits as an exact double (52 bits);
+    ordering by (_hx, _h, key) is the same as ordering by (md5, key)."""
+    return df.withColumn("_h", hash_key(key, seed)).withColumn(
+        "_hx", F.conv(F.substring("_h", 1, 13), 16, 10).cast("double"))
+
+
+def _hash_cuts(d: DataFrame, strata: list[str], key: str, target, p: float, accuracy: int = 10000):
+    """Per stratum, the (_hx, _h, key) of the row at rank ``target(n)`` in hash order, found by
+    ranking only the rows in an approximate band around the p-quantile of _hx.
+    Returns (cuts frame, ok) -- ok is False when a target escaped its band."""
+    from quire.operators.rank import join_on_keys
+    keys = strata or ["_all"]
+    rows = d if strata else d.withColumn("_all", F.lit(1))
+    delta = 2.0 / accuracy
+    ap = rows.groupBy(*keys).agg(
+        F.percentile_approx("_hx", F.array(F.lit(max(0.0, p - delta)), F.lit(min(1.0, p + delta))), accuracy).alias("_q"),
+        F.count(F.lit(1)).alias("_n"))
+    bands = ap.select(*keys, "_n", target(F.col("_n")).cast("long").alias("_m"),
+                      F.col("_q")[0].alias("_lo"), F.col("_q")[1].alias("_hi")).checkpoint(eager=True)
+    t = join_on_keys(rows.select(*keys, "_hx", "_h", key), F.broadcast(bands), keys)
+    below = t.groupBy(*keys).agg(F.sum((F.col("_hx") < F.col("_lo")).cast("long")).alias("_below"))
+    inside = t.filter((F.col("_hx") >= F.col("_lo")) & (F.col("_hx") <= F.col("_hi"))).select(*keys, "_hx", "_h", key)
+    ranked = rank_within(inside, keys, [F.col("_hx"), F.col("_h"), F.col(key)], rank_col="_rb", size_col="_nb")
+    ranked = join_on_keys(ranked, below, keys).withColumn("_r", F.col("_below") + F.col("_rb"))
+    picked = join_on_keys(bands, ranked, keys, how="left")
+    cuts = picked.groupBy(*keys, "_n", "_m").agg(
+        F.max(F.when(F.col("_r") == F.col("_m"), F.struct("_hx", "_h", key))).alias("_cut")).checkpoint(eager=True)
+    # a positive target must be found in its band; target 0 means "nothing selected"
+    bad = cuts.filter((F.col("_m") > 0) & F.col("_cut").isNull()).count()
+    return cuts, bad == 0
+
+
+def _flag_by_hash(df: DataFrame, strata: list[str], key: str, seed: int, target, p: float,
+                  flag: str, method: str = "auto") -> DataFrame:
+    """Flag rows whose hash-order rank within their stratum is <= target(n)."""
+    from quire.operators.rank import join_on_keys
+    d = _hash_order(df, key, seed)
+    if method in ("auto", "band"):
+        cuts, ok = _hash_cuts(d, strata, key, target, p)
+        if ok:
+            keys = strata or ["_all"]
+            rows = d if strata else d.withColumn("_all", F.lit(1))
+            j = join_on_keys(rows, F.broadcast(cuts.select(*keys, "_cut")), keys)   # one row per stratum
+            sel = F.coalesce(F.struct("_hx", "_h", key) <= F.col("_cut"), F.lit(False))
+            out = j.withColumn(flag, sel).drop("_cut", "_h", "_hx")
+            return out.drop("_all") if not strata else out
+    if strata:
+        ranked = rank_within(d, strata, [F.col("_hx"), F.col("_h"), F.col(key)], rank_col="_r", size_col="_n")
+    else:
+        ranked = global_rank(d, [F.col("_hx"), F.col("_h"), F.col(key)], rank_col="_r", total_col="_n")
+    return ranked.withColumn(flag, F.col("_r") <= target(F.col("_n"))).drop("_h", "_hx", "_r", "_n")
+
+
 def stratified_split(df: DataFrame, label: str, key: str, ratio: float, seed: int = 1,
-                     flag: str = "is_train") -> DataFrame:
+                     flag: str = "is_train", method: str = "auto") -> DataFrame:
     """Label-preserving split: inside each label, rows ordered by md5(seed:key); the first
-    round_half_even(ratio * n_label) are train.  Balanced even with two labels."""
-    ranked = rank_within(df.withColumn("_h", hash_key(key, seed)), [label], [F.col("_h"), F.col(key)],
-                         rank_col="_r", size_col="_n")
-    cut = F.bround(F.col("_n") * F.lit(ratio), 0)
-    return ranked.withColumn(flag, F.col("_r") <= cut).drop("_h", "_r", "_n")
+    round_half_even(ratio * n_label) are train.  The cut row of each label is found by
+    ranking only a narrow band of rows (method "band"; "rank" ranks every row)."""
+    return _flag_by_hash(df, [label], key, seed, lambda n: F.bround(n * F.lit(ratio), 0), ratio, flag, method)
 
 
-def shuffle_split(df: DataFrame, key: str, ratio: float, seed: int = 1, flag: str = "is_train") -> DataFrame:
+def shuffle_split(df: DataFrame, key: str, ratio: float, seed: int = 1, flag: str = "is_train",
+                  method: str = "auto") -> DataFrame:
     """Shuffle then ordered split: first round_half_even(ratio * n) rows in hash order."""
-    ranked = global_rank(df.withColumn("_h", hash_key(key, seed)), [F.col("_h"), F.col(key)],
-                         rank_col="_r", total_col="_n")
-    return ranked.withColumn(flag, F.col("_r") <= F.bround(F.col("_n") * F.lit(ratio), 0)).drop("_h", "_r", "_n")
+    return _flag_by_hash(df, [], key, seed, lambda n: F.bround(n * F.lit(ratio), 0), ratio, flag, method)
 
 
-def hash_sample(df: DataFrame, key: str, fraction: float, seed: int = 1, exact: bool = True) -> DataFrame:
+def hash_sample(df: DataFrame, key: str, fraction: float, seed: int = 1, exact: bool = True,
+                method: str = "auto") -> DataFrame:
     """Simple random sample without replacement: exactly floor(fraction * n) rows in hash
     order, or (``exact=False``) a Bernoulli sample of expected size fraction * n."""
     if not exact:
         return df.sample(withReplacement=False, fraction=fraction, seed=seed)
-    ranked = global_rank(df.withColumn("_h", hash_key(key, seed)), [F.col("_h"), F.col(key)],
-                         rank_col="_r", total_col="_n")
-    return ranked.filter(F.col("_r") <= F.floor(F.col("_n") * F.lit(fraction))).drop("_h", "_r", "_n")
+    flagged = _flag_by_hash(df, [], key, seed, lambda n: F.floor(n * F.lit(fraction)), fraction, "_keep", method)
+    return flagged.filter("_keep").drop("_keep")
 
 
 def balance_weights(df: DataFrame, label: str, key: str, fraction: float = 0.1, weight: float = 10.0,

@@ -282,3 +282,16 @@ def test_trimmed_band_narrow(spark):
     res = _trimmed_by_band(df, [], 0.1, accuracy=200)
     assert res is not None
     assert math.isclose(res.first()["trimmed"], _trim_ref(x), rel_tol=1e-12)
+
+
+@pytest.mark.parametrize("n,ratio", [(5, 0.7), (400, 0.7), (3001, 0.3), (20000, 0.8)])
+def test_band_split_equals_rank_split(spark, n, ratio):
+    rng = np.random.default_rng(n)
+    pdf = pd.DataFrame({"id": np.arange(n), "y": rng.integers(0, 2, n)})
+    df = spark.createDataFrame(pdf)
+    a = fe.stratified_split(df, "y", "id", ratio, method="band").toPandas().set_index("id")["is_train"]
+    b = fe.stratified_split(df, "y", "id", ratio, method="rank").toPandas().set_index("id")["is_train"]
+    assert (a.sort_index() == b.sort_index()).all()
+    s1 = fe.hash_sample(df, "id", ratio, method="band").toPandas()["id"]
+    s2 = fe.hash_sample(df, "id", ratio, method="rank").toPandas()["id"]
+    assert sorted(s1) == sorted(s2) and len(s1) == int(np.floor(n * ratio))
