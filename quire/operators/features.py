@@ -196,6 +196,10 @@ def hash_key(key: str | Column, seed: int = 1) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), k.cast("string")))
 
 
+# Up to this many rows a hash-ordered split ranks every row; above it only a band is ranked.
+RANK_ALL_MAX_ROWS = 5_000_000
+
+
 def _hash_order(df: DataFrame, key: str, seed: int) -> DataFrame:
     """Adds the md5 order key and its first 13 hex digits as an exact double (52 bits);
     ordering by (_hx, _h, key) is the same as ordering by (md5, key)."""
@@ -234,7 +238,10 @@ def _flag_by_hash(df: DataFrame, strata: list[str], key: str, seed: int, target,
     """Flag rows whose hash-order rank within their stratum is <= target(n)."""
     from quire.operators.rank import join_on_keys
     d = _hash_order(df, key, seed)
-    if method in ("auto", "band"):
+    if method == "auto":
+        # small frames: ranking every row (one checkpoint) is cheaper than the band passes
+        method = "rank" if df.count() <= RANK_ALL_MAX_ROWS else "band"
+    if method == "band":
         cuts, ok = _hash_cuts(d, strata, key, target, p)
         if ok:
             keys = strata or ["_all"]
@@ -243,10 +250,11 @@ def _flag_by_hash(df: DataFrame, strata: list[str], key: str, seed: int, target,
             sel = F.coalesce(F.struct("_hx", "_h", key) <= F.col("_cut"), F.lit(False))
             out = j.withColumn(flag, sel).drop("_cut", "_h", "_hx")
             return out.drop("_all") if not strata else out
+    d = d.drop("_hx")                      # (md5, key) alone gives the same order
     if strata:
-        ranked = rank_within(d, strata, [F.col("_hx"), F.col("_h"), F.col(key)], rank_col="_r", size_col="_n")
+        ranked = rank_within(d, strata, [F.col("_h"), F.col(key)], rank_col="_r", size_col="_n")
     else:
-        ranked = global_rank(d, [F.col("_hx"), F.col("_h"), F.col(key)], rank_col="_r", total_col="_n")
+        ranked = global_rank(d, [F.col("_h"), F.col(key)], rank_col="_r", total_col="_n")
     return ranked.withColumn(flag, F.col("_r") <= target(F.col("_n"))).drop("_h", "_hx", "_r", "_n")
 
 
