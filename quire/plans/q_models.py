@@ -123,7 +123,7 @@ def _digits(spark, d):
     e = load(spark, d, "embeddings")
     e = e.withColumn("x", fe.scale_array("embedding", 1.0)).withColumn("label", F.col("label").cast("double"))
     split = fe.shuffle_split(e, "vec_id", 0.8, seed=5)
-    return split
+    return M.right_size(split)
 
 
 @register("svm_linear")
