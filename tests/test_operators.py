@@ -295,3 +295,18 @@ def test_band_split_equals_rank_split(spark, n, ratio):
     s1 = fe.hash_sample(df, "id", ratio, method="band").toPandas()["id"]
     s2 = fe.hash_sample(df, "id", ratio, method="rank").toPandas()["id"]
     assert sorted(s1) == sorted(s2) and len(s1) == int(np.floor(n * ratio))
+
+
+def test_two_digit_year_pivot(spark):
+    df = spark.createDataFrame(pd.DataFrame({"s": ["Dec-11", "Jan-68", "Jan-69", "Mar-99", "bad"]}))
+    got = [r[0] for r in df.select(S.parse_two_digit_year_date("s", "MMM-yy")).collect()]
+    assert [d.isoformat() if d else None for d in got] == ["2011-12-01", "2068-01-01", "1969-01-01", "1999-03-01", None]
+
+
+def test_drop_near_zero_variance_from_train_and_test(spark):
+    pdf = pd.DataFrame({"a": [1] * 96 + [2] * 4, "b": list(range(100)), "c": [7] * 100})
+    train = spark.createDataFrame(pdf)
+    test = spark.createDataFrame(pdf.head(10))
+    rep = clean.near_zero_variance(train, ["a", "b", "c"])
+    tr, te = clean.drop_near_zero_variance(rep, train, test)
+    assert tr.columns == ["b"] and te.columns == ["b"]

@@ -190,3 +190,11 @@ def test_long_series_path_equals_window_path(spark, monkeypatch):
     assert np.allclose(fast["kpss"]["stat"], slow["kpss"]["stat"])
     assert np.allclose(fast["adf"]["stat"], slow["adf"]["stat"])
     assert np.allclose(fast["smooth"]["smoothed"], slow["smooth"]["smoothed"])
+
+
+def test_standardised_residuals_unit_sd(spark):
+    rng = np.random.default_rng(12)
+    df = _series(spark, {"a": rng.normal(5, 3, 40), "b": rng.normal(0, 1, 25)})
+    out = ts.standardised_residuals(df.withColumnRenamed("value", "r"), "r").toPandas()
+    for _, g in out.groupby("series_id"):
+        assert math.isclose(g["std_resid"].std(ddof=1), 1.0, rel_tol=1e-9)
