@@ -78,6 +78,8 @@ def cutoff_sweep(df: DataFrame, label: str, score: str, start: float, stop: floa
     a row predicts positive at threshold i iff its bucket b > i, so tp_i is the
     reverse cumulative sum of the (at most n+1) bucket counts."""
     by = (stop - start) / (n - 1) if n > 1 else 1.0
+    if by <= 0:
+        return _sweep_direct(df, label, score, start, by, n, positive)
     counts = _bucket_counts(df, label, score, start, by, n, positive)
     dense = df.sparkSession.range(0, n + 1).select(F.col("id").cast("int").alias("b")) \
         .join(counts, "b", "left").fillna(0, subset=["n_pos", "n_neg"])
@@ -93,6 +95,20 @@ def cutoff_sweep(df: DataFrame, label: str, score: str, start: float, stop: floa
     return _rates(per_i)
 
 
+def _sweep_direct(df: DataFrame, label: str, score: str, start: float, by: float, n: int, positive) -> DataFrame:
+    """Degenerate or descending grids (all scores within the margin): conditional counts for
+    each threshold, still one pass over the data."""
+    pos = _positive(label, positive) == 1
+    cuts = [start + i * by for i in range(n)]
+    row = df.agg(*[F.count_if((F.col(score) >= F.lit(c)) & pos).alias(f"tp{i}") for i, c in enumerate(cuts)],
+                 *[F.count_if((F.col(score) >= F.lit(c)) & ~pos).alias(f"fp{i}") for i, c in enumerate(cuts)],
+                 F.count_if(pos).alias("P"), F.count_if(~pos).alias("N")).first()
+    rows = [(i, float(c), int(row[f"tp{i}"]), int(row[f"fp{i}"]), int(row["N"] - row[f"fp{i}"]),
+             int(row["P"] - row[f"tp{i}"])) for i, c in enumerate(cuts)]
+    out = df.sparkSession.createDataFrame(rows, "i int, cutoff double, tp long, fp long, tn long, fn long")
+    return _rates(out)
+
+
 def optimal_cutoff(sweep: DataFrame, step: float = 0.01) -> DataFrame:
     """The reference's rule: grow a tolerance 0, step, 2*step, ... until some threshold has
     |sensitivity - specificity| <= tolerance; take the first (smallest) such threshold."""

@@ -310,3 +310,13 @@ def test_drop_near_zero_variance_from_train_and_test(spark):
     rep = clean.near_zero_variance(train, ["a", "b", "c"])
     tr, te = clean.drop_near_zero_variance(rep, train, test)
     assert tr.columns == ["b"] and te.columns == ["b"]
+
+
+@pytest.mark.parametrize("start,stop", [(0.6, 0.4), (0.5, 0.5)])
+def test_cutoff_sweep_degenerate_grids(spark, start, stop):
+    df, pdf = _scores(spark, n=120)
+    sw = ev.cutoff_sweep(df, "y", "p", start, stop, 7).toPandas().sort_values("i")
+    by = (stop - start) / 6
+    for _, r in sw.iterrows():
+        pred = pdf.p >= start + r["i"] * by
+        assert r["tp"] == int((pred & (pdf.y == 1)).sum()) and r["fp"] == int((pred & (pdf.y == 0)).sum())
