@@ -102,7 +102,7 @@ def segment_cov(df: DataFrame, keys: Sequence[str], period: str, value: str) ->
         F.count(F.lit(1)).cast("long").alias("n_periods"),
         F.avg("_v").alias("mean_value"),
         F.stddev_samp("_v").alias("sd_value"),
-    ).withColumn("cov", F.col("sd_value") / F.col("mean_value"))
+    ).withColumn("cov", F.try_divide(F.col("sd_value"), F.col("mean_value")))
 
 
 def pairwise_stat(df: DataFrame, cols: Sequence[str], fn, name: str, diagonal: bool = True) -> DataFrame:

@@ -178,5 +178,5 @@ def lift_table(df: DataFrame, label: str, score: str, key: str, groups: int = 10
                                       F.sum(F.col(label)).cast("long").alias("totalresp"))
     w = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)   # <= groups rows
     per = per.withColumn("cumresp", F.sum("totalresp").over(w)) \
-             .withColumn("gain", F.col("cumresp") * 100.0 / F.sum("totalresp").over(Window.partitionBy(F.lit(1))))
+             .withColumn("gain", F.try_divide(F.col("cumresp") * 100.0, F.sum("totalresp").over(Window.partitionBy(F.lit(1)))))
     return per.withColumn("cumlift", F.col("gain") / (F.col("bucket") * (100.0 / groups)))

@@ -27,7 +27,7 @@ def fit_zscore(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, flo
 
 
 def apply_zscore(df: DataFrame, params: dict[str, tuple[float, float]]) -> DataFrame:
-    return df.withColumns({c: (F.col(c) - F.lit(m)) / F.lit(s) for c, (m, s) in params.items()})
+    return df.withColumns({c: F.try_divide(F.col(c) - F.lit(m), F.lit(s)) for c, (m, s) in params.items()})
 
 
 def zscore(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -40,7 +40,7 @@ def fit_minmax(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, flo
 
 
 def apply_minmax(df: DataFrame, params: dict[str, tuple[float, float]]) -> DataFrame:
-    return df.withColumns({c: (F.col(c) - F.lit(lo)) / (F.lit(hi) - F.lit(lo)) for c, (lo, hi) in params.items()})
+    return df.withColumns({c: F.try_divide(F.col(c) - F.lit(lo), F.lit(hi) - F.lit(lo)) for c, (lo, hi) in params.items()})
 
 
 def minmax(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -141,10 +141,10 @@ def woe_table(df: DataFrame, label: str, numeric: Sequence[str] = (), categorica
                                        F.count(F.lit(1)).alias("_nb"))
     s = F.lit(float(smoothing))
     j = cells.join(tot, "feature")
-    pb = (F.col("n_bad") + s) / (F.col("_tb") + s * F.col("_nb"))
-    pg = (F.col("n_good") + s) / (F.col("_tg") + s * F.col("_nb"))
+    pb = F.try_divide(F.col("n_bad") + s, F.col("_tb") + s * F.col("_nb"))
+    pg = F.try_divide(F.col("n_good") + s, F.col("_tg") + s * F.col("_nb"))
     empty = (F.col("n_bad") + s == 0) | (F.col("n_good") + s == 0)
-    woe = F.when(empty, F.lit(0.0)).otherwise(F.log(pb / pg))
+    woe = F.when(empty, F.lit(0.0)).otherwise(F.log(F.try_divide(pb, pg)))
     return j.select("feature", "bin", "bin_order", "n", "n_bad", "n_good",
                     pb.alias("pct_bad"), pg.alias("pct_good"), woe.alias("woe"),
                     F.when(empty, F.lit(0.0)).otherwise((pb - pg) * woe).alias("iv"))

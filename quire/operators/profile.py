@@ -179,7 +179,7 @@ def null_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     names = cols + ["__rows_with_null__", "__total__"]
     long = wide.select("_n", *names).unpivot(["_n"], names, "column", "n_null")
     return long.select("column", F.col("n_null").cast("long").alias("n_null"),
-                       (F.col("n_null") * 100.0 / F.col("_n")).alias("pct_null"))
+                       F.try_divide(F.col("n_null") * 100.0, F.col("_n")).alias("pct_null"))
 
 
 def invalid_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:

@@ -21,7 +21,7 @@ def factor_offset(pdo: float = PDO, base: float = BASE_SCORE, odds: float = BASE
 def score_points(p: Column, pdo: float = PDO, base: float = BASE_SCORE, odds: float = BASE_ODDS) -> Column:
     """score = offset + factor * ln((1 - p) / p), p = probability of bad."""
     factor, offset = factor_offset(pdo, base, odds)
-    return F.lit(offset) + F.lit(factor) * F.log((F.lit(1.0) - p) / p)
+    return F.lit(offset) + F.lit(factor) * F.log(F.try_divide(F.lit(1.0) - p, p))
 
 
 def cutoff_score(prob: float, pdo: float = PDO, base: float = BASE_SCORE, odds: float = BASE_ODDS) -> float:

@@ -213,7 +213,7 @@ def acf(df: DataFrame, value: str = VALUE, max_lag: int | None = None, series: s
     d = d.withColumns(prods)
     sums = d.groupBy(series).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in prods])
     lagmax = F.least(F.floor(F.log10(F.col("n")) * 10), F.col("n") - 1)
-    rows = F.array(*[F.struct(F.lit(k).alias("lag"), (F.col(f"_p{k}") / F.col("_p0")).alias("acf"))
+    rows = F.array(*[F.struct(F.lit(k).alias("lag"), F.try_divide(F.col(f"_p{k}"), F.col("_p0")).alias("acf"))
                      for k in range(K + 1)])
     out = sums.select(series, "n", lagmax.alias("_lm"), F.explode(rows).alias("r"))
     return out.filter(F.col("r.lag") <= F.col("_lm")).select(series, "n", F.col("r.lag").cast("int").alias("lag"),
@@ -319,7 +319,7 @@ def kpss(df: DataFrame, value: str = VALUE, series: str = SERIES, t: str = TIME,
     for i in range(1, max_lag + 1):
         s2 = s2 + F.when(F.lit(i) <= l, 2.0 / n * (1 - F.lit(i) / (l + 1)) * F.coalesce(F.col(f"_g{i}"), F.lit(0.0))) \
                    .otherwise(F.lit(0.0))
-    stat = (F.col("_ss") / (n * n)) / s2
+    stat = F.try_divide(F.col("_ss") / (n * n), s2)
     out = agg.select(series, F.col("n").cast("long").alias("n"), l.cast("int").alias("lags"), stat.alias("stat"))
     return out.withColumn("p_value", _interp_expr(F.col("stat"), KPSS_LEVEL_CRIT, KPSS_LEVEL_P))
 
@@ -424,7 +424,9 @@ def ar_select(df: DataFrame, value: str = VALUE, max_p: int = 3, series: str = S
     """Differencing chosen by the KPSS level test (stat above the 5% point -> d = 1),
     then the order with the smallest AICc: one row per series."""
     cands = ar_candidates(df, value, max_p, series, t)
-    dsel = kpss(df, value, series, t).select(series, (F.col("stat") > kpss_crit).cast("int").alias("d"))
+    # an undefined statistic (constant series) keeps the levels: d = 0
+    dsel = kpss(df, value, series, t).select(
+        series, F.coalesce(F.col("stat") > kpss_crit, F.lit(False)).cast("int").alias("d"))
     c = cands.join(dsel, [series, "d"])
     # at most 2 x (max_p + 1) candidate rows per series
     w = Window.partitionBy(series).orderBy(F.col("aicc").asc_nulls_last(), F.col("p"))
@@ -467,11 +469,11 @@ def ar_forecast(df: DataFrame, model: DataFrame, h: int, value: str = VALUE, ser
 def mape(df: DataFrame, actual: str, forecast: str, groups: Sequence[str]) -> DataFrame:
     """K13: mean absolute percentage error per group (in percent)."""
     return df.groupBy(*groups).agg(
-        (F.avg(F.abs((F.col(actual) - F.col(forecast)) / F.col(actual))) * 100).alias("mape"),
+        (F.avg(F.abs(F.try_divide(F.col(actual) - F.col(forecast), F.col(actual)))) * 100).alias("mape"),
         F.count(F.lit(1)).cast("long").alias("n"))
 
 
 def standardised_residuals(df: DataFrame, resid: str, series: str = SERIES, out: str = "std_resid") -> DataFrame:
     """K12: residuals divided by their per-series sample standard deviation."""
     d = per_series(df, series, _sd=F.stddev_samp(resid))
-    return d.withColumn(out, F.col(resid) / F.col("_sd")).drop("_sd")
+    return d.withColumn(out, F.try_divide(F.col(resid), F.col("_sd"))).drop("_sd")
