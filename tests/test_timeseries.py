@@ -198,3 +198,13 @@ def test_standardised_residuals_unit_sd(spark):
     out = ts.standardised_residuals(df.withColumnRenamed("value", "r"), "r").toPandas()
     for _, g in out.groupby("series_id"):
         assert math.isclose(g["std_resid"].std(ddof=1), 1.0, rel_tol=1e-9)
+
+
+def test_constant_series_give_nulls_not_errors(spark):
+    df = _series(spark, {"flat": np.full(30, 4.0), "wave": np.sin(np.arange(30))})
+    a = ts.acf(df, "value").toPandas()
+    assert a[a.series_id == "flat"]["acf"].isna().all()
+    k = ts.kpss(df, "value").toPandas().set_index("series_id")
+    assert pd.isna(k.loc["flat", "stat"])
+    m = ts.ar_select(df, "value", 2).toPandas()
+    assert set(m["series_id"]) == {"flat", "wave"}
