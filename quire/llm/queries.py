@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import simhash_dedup
+from quire.llm import quality_rules, simhash_dedup
 from quire.session import checkpoint_dir, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +38,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op4(spark, sf_dir):
     """Fingerprint and component of every document."""
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+
+@register("op1_quality_rules", rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS s FROM t, unnest(range(1, len(w) - 6)) AS u(i)),
+r AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, s) > 1),
+c AS (SELECT doc_id, sum(n) AS n FROM (
+    SELECT doc_id, least(8, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 8)) AS n FROM r) GROUP BY doc_id),
+m AS (SELECT t.doc_id, text, w, len(w)::BIGINT AS n_words,
+    length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+    (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    [x for x in string_split(text, chr(10)) if regexp_matches(x, '[^\x20\x09-\x0D]')] AS lines,
+    coalesce(c.n, 0)::BIGINT AS n_repeat_words
+  FROM t LEFT JOIN c USING (doc_id)),
+b AS (SELECT *, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+    n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT (
+    5 * n_symbols > n_words
+    OR 5 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 2 * word_chars
+    OR 2 * (length(text) - length(replace(text, '!', ''))) > n_words
+    OR word_chars < 2 * n_words OR word_chars > 14 * n_words
+    OR 2 * n_dup_lines > len(lines)
+    OR 10 * len([i for i in range(2, len(w) + 1) if w[i] = w[i - 1]]) > 3 * n_words) AS kept
+FROM b""")
+def op1(spark, sf_dir):
+    """Base measures and verdict of every document."""
+    found = quality_rules.judge(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *quality_rules.MEASURES, "base_failed", "kept")
