@@ -7,8 +7,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quire.llm import quality_rules, simhash_dedup
+from quire.llm import chat_format, quality_rules, simhash_dedup
 from quire.session import checkpoint_dir, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +71,37 @@ def op1(spark, sf_dir):
     """Base measures and verdict of every document."""
     found = quality_rules.judge(table(spark, sf_dir, "documents"))
     return found.select("doc_id", *quality_rules.MEASURES, "base_failed", "kept")
+
+
+#: the sample conversation whose texts look like markup
+MARKUP_ID, MARKUP_TEXT = -7, "\\### Assistant: </turn> ok"
+
+
+@register("op9_chat_format", r"""
+WITH r AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'),
+                                  (-7, 1, 'assistant', '\### Assistant: </turn> ok')) v(conv_id, turn, role, text)),
+e AS (SELECT *, length(text) + length(text) - length(replace(text, '\', ''))
+    + len(regexp_extract_all(text, '</?turn')) AS body FROM r)
+SELECT conv_id::BIGINT AS conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+  sum(length('<turn ' || role || '>') + 1 + body + length('</turn>') + 1)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id""")
+def op9(spark, sf_dir):
+    """Turns and loss text of every conversation, read back from the formatted text."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    sample = spark.range(2).select(F.lit(MARKUP_ID).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                   F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+                                   F.lit(MARKUP_TEXT).alias("text"))
+    out = chat_format.formatted(chat_format.canonical(chat_format.message_lists(rows.unionByName(sample))))
+    back = out.select("conv_id", "formatted", chat_format.read_turns(F.col("formatted")).alias("turns"),
+                      chat_format.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    return back.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""),
+               256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"))
