@@ -50,7 +50,7 @@ def word_blocks(data: bytes, carry: int, size: int = 1 << 20) -> Iterator[list[b
     if len(data) <= size:
         yield data.split()
         return
-    at, tail = 0, []
+    at, tail, any_yet = 0, [], False
     while at < len(data):
         end = at + size
         if end < len(data):
@@ -58,7 +58,8 @@ def word_blocks(data: bytes, carry: int, size: int = 1 << 20) -> Iterator[list[b
             end = gap.start() if gap else len(data)
         words = tail + data[at:end].split()
         at = end
-        if len(words) > carry or at >= len(data):
+        if len(words) > carry or (at >= len(data) and not any_yet):
+            any_yet = True
             yield words
             tail = words[len(words) - carry:] if carry else []
         else:

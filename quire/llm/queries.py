@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import chat_format, quality_rules, simhash_dedup
+from quire.llm import chat_format, decontaminate, quality_rules, simhash_dedup
 from quire.session import checkpoint_dir, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,20 @@ def op9(spark, sf_dir):
                256).alias("turns_sha256"),
         F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+@register("op10_benchmark_decontamination", r"""
+WITH n AS (
+  SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT DISTINCT 'i', item_id, text FROM benchmark),
+w AS (SELECT kind, id, row_number() OVER () AS k, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM n),
+s AS (SELECT DISTINCT kind, id, k, array_to_string(w[i:i + 4], ' ') AS s
+  FROM w, unnest(range(1, greatest(len(w) - 3, 2))) AS u(i) WHERE len(w) > 0),
+c AS (SELECT id AS item_id, k, count(*) AS n_item FROM s WHERE kind = 'i' GROUP BY ALL),
+m AS (SELECT d.id AS doc_id, d.k AS dk, i.id AS item_id, i.k AS k, count(*) AS n_shared
+  FROM s d JOIN s i ON d.s = i.s WHERE d.kind = 'd' AND i.kind = 'i' GROUP BY ALL)
+SELECT doc_id, item_id, n_item, n_shared FROM m JOIN c USING (item_id, k) WHERE 10 * n_shared >= 8 * n_item""")
+def op10(spark, sf_dir):
+    """Benchmark items found in documents, with the counts of the exact check."""
+    return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
