@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import chat_format, decontaminate, quality_rules, simhash_dedup
+from quire.llm import chat_format, decontaminate, quality_rules, simhash_dedup, token_counts
 from quire.session import checkpoint_dir, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +122,9 @@ SELECT doc_id, item_id, n_item, n_shared FROM m JOIN c USING (item_id, k) WHERE
 def op10(spark, sf_dir):
     """Benchmark items found in documents, with the counts of the exact check."""
     return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op2_token_counts")
+def op2(spark, sf_dir):
+    """Bytes and tokens of every document."""
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
