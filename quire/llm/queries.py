@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import chat_format, decontaminate, quality_rules, simhash_dedup, token_counts
+from quire.llm import chat_format, decontaminate, packing, quality_rules, simhash_dedup, token_counts
 from quire.session import checkpoint_dir, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +128,9 @@ def op10(spark, sf_dir):
 def op2(spark, sf_dir):
     """Bytes and tokens of every document."""
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
+@register("op6_packing")
+def op6(spark, sf_dir):
+    """Every piece of every packed document."""
+    return packing.pieces(table(spark, sf_dir, "documents")).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
