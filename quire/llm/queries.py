@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import chat_format, decontaminate, packing, quality_rules, simhash_dedup, token_counts
+from quire.llm import chat_format, decontaminate, packing, quality_rules, simhash_dedup, token_counts, toxicity
 from quire.session import checkpoint_dir, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +134,18 @@ def op2(spark, sf_dir):
 def op6(spark, sf_dir):
     """Every piece of every packed document."""
     return packing.pieces(table(spark, sf_dir, "documents")).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+def held_out(doc_id):
+    """Whether a document is kept from learning."""
+    return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
+
+
+@register("op3_toxicity")
+def op3(spark, sf_dir):
+    """Toxicity score of every document; learned from labels outside the held-out third."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    labelled = (docs.select("doc_id", "text").where(~held_out("doc_id"))
+                .join(labels.select("doc_id", "toxic").where(~held_out("doc_id")), "doc_id").select("text", "toxic"))
+    out = toxicity.scored(docs, toxicity.learn(labelled))
+    return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
