@@ -9,7 +9,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import chat_format, decontaminate, packing, quality_rules, simhash_dedup, token_counts, toxicity
+from quire.llm import (
+    chat_format, decontaminate, packing, quality_rules, simhash_dedup, token_counts, toxicity, warc,
+)
+from quire.llm.common import shared_path
 from quire.session import checkpoint_dir, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,3 +152,18 @@ def op3(spark, sf_dir):
                 .join(labels.select("doc_id", "toxic").where(~held_out("doc_id")), "doc_id").select("text", "toxic"))
     out = toxicity.scored(docs, toxicity.learn(labelled))
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
+@register("op8_warc", """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+  FROM pages),
+h AS (SELECT payload_digest, min(page_id) AS head FROM p WHERE payload_bytes >= 100 GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN page_id <> head THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id <> head THEN head END AS refers_to
+FROM p LEFT JOIN h USING (payload_digest)""")
+def op8(spark, sf_dir):
+    """Every page, read back from the archives it was written to."""
+    path = shared_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.pages_of(warc.read_archives(spark, path))
