@@ -1,33 +1,74 @@
-"""A training-corpus pipeline over ``documents``."""
+"""A training-corpus pipeline over ``documents``: quality rules, one document
+per near-duplicate group, repeated passages cut, benchmark leaks dropped, and
+what is left packed into sequences.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
+as Parquet and read again as the next stage's ``docs``.  All but the last keep
+the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quire.llm import simhash_dedup
+from quire.llm import decontaminate, packing, quality_rules, simhash_dedup, suffix_dedup
 from quire.llm.common import materialise
 from quire.session import checkpoint_dir, ship_package
 
 
-def one_per_near_duplicate_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of every near-duplicate group."""
+def _ready(spark: SparkSession) -> None:
+    checkpoint_dir(spark)
+    ship_package(spark)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no quality rule rejects."""
+    _ready(spark)
+    return quality_rules.keep_good(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of every near-duplicate group."""
+    _ready(spark)
     return simhash_dedup.keep_one(docs)
 
 
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that a document with a smaller id has too."""
+    _ready(spark)
+    return suffix_dedup.without_repeats(docs, size_col="n_chars" if "n_chars" in docs.columns else None)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    _ready(spark)
+    return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the packed sequences."""
+    _ready(spark)
+    return packing.pieces(docs).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("simhash_near_dedup", one_per_near_duplicate_group),
+    ("quality_rules", quality),
+    ("simhash_near_dedup", near_duplicates),
+    ("suffix_array_dedup", repeated_passages),
+    ("benchmark_decontamination", decontamination),
+    ("packing", packed),
 ]
 
-#: near duplicates, byte passages and token ids are beyond SQL; tests hold the run against brute force
+#: fingerprint components, byte passages and token ids are beyond SQL; tests hold the run against brute force
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order; each one's rows are written and read by the next."""
-    checkpoint_dir(spark)
-    ship_package(spark)
+    _ready(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import (
-    chat_format, decontaminate, packing, quality_rules, simhash_dedup, token_counts, toxicity, warc,
+    chat_format, decontaminate, packing, quality_rules, simhash_dedup, suffix_dedup, token_counts, toxicity,
+    warc,
 )
 from quire.llm.common import shared_path
 from quire.session import checkpoint_dir, ship_package
@@ -167,3 +168,11 @@ def op8(spark, sf_dir):
     path = shared_path(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
     return warc.pages_of(warc.read_archives(spark, path))
+
+
+@register("op7_suffix_array_dedup")
+def op7(spark, sf_dir):
+    """What every document loses to passages of documents with smaller ids."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.repeated_passages(docs).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
