@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import (
-    chat_format, decontaminate, packing, quality_rules, simhash_dedup, suffix_dedup, token_counts, toxicity,
+    chat_format, decontaminate, html_extract, packing, quality_rules, simhash_dedup, suffix_dedup, token_counts, toxicity,
     warc,
 )
 from quire.llm.common import shared_path
@@ -176,3 +176,9 @@ def op7(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return suffix_dedup.repeated_passages(docs).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@register("op5_html_extraction")
+def op5(spark, sf_dir):
+    """Main text of every page."""
+    return html_extract.extract(table(spark, sf_dir, "pages"))
