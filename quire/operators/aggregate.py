@@ -7,9 +7,11 @@ task, not a skewed reducer.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from itertools import combinations_with_replacement
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,11 +90,17 @@ def prop_table(df: DataFrame, col: str) -> DataFrame:
     return with_share(counts, "n", share_col="prop")
 
 
-def crosstab(df: DataFrame, row: str, col: str, levels: Sequence) -> DataFrame:
-    """Two-way contingency table; the column levels are given so no extra distinct job runs."""
-    out = df.groupBy(row).pivot(col, list(levels)).agg(F.count(F.lit(1)))
-    return out.fillna(0, subset=[str(v) for v in levels]).select(
-        row, *[F.col(str(v)).cast("long").alias(str(v)) for v in levels])
+def crosstab(df: DataFrame, row: str, col: str) -> DataFrame:
+    """Two-way contingency table, one column per level found in the data (Spark refuses
+    more than spark.sql.pivotMaxValues of them; ``crosstab_long`` has no such limit)."""
+    out = df.groupBy(row).pivot(col).agg(F.count(F.lit(1)))
+    levels = [c for c in out.columns if c != row]
+    return out.fillna(0, subset=levels).select(row, *[F.col(f"`{v}`").cast("long").alias(v) for v in levels])
+
+
+def crosstab_long(df: DataFrame, row: str, col: str) -> DataFrame:
+    """The non-zero cells of the contingency table: (row, col, n)."""
+    return df.groupBy(row, col).agg(F.count(F.lit(1)).cast("long").alias("n"))
 
 
 def segment_cov(df: DataFrame, keys: Sequence[str], period: str, value: str) -> DataFrame:
@@ -122,6 +130,30 @@ def cov_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return pairwise_stat(df, cols, F.covar_samp, "cov")
 
 
+def array_covariance(df: DataFrame, array_col: str, size: int) -> DataFrame:
+    """(i, j, cov), i <= j from 0, of the elements of an array column of ``size`` numbers.
+
+    Two passes: the means, then centred products.  A task adds up the products of
+    its rows as one matrix and hands on size * (size + 1) / 2 sums; rows with a
+    NULL array, or another length, are left out."""
+    rows = df.select(F.transform(F.col(array_col), lambda x: x.cast("double")).alias("x")).where(F.size("x") == size)
+    mean = rows.agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.col("x")[i]).alias(f"m{i}") for i in range(size)]).first()
+    n = mean["n"]
+    centre = np.array([mean[f"m{i}"] or 0.0 for i in range(size)])
+    at = np.triu_indices(size)
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((size, size))
+        for batch in batches:
+            x = np.asarray(batch.column(0).flatten(), dtype=float).reshape(-1, size) - centre
+            total += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(a) for a in (at[0].astype(np.int32), at[1].astype(np.int32), total[at])],
+                                         ["i", "j", "s"])
+
+    sums = rows.mapInArrow(products, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s"))
+    return sums.select("i", "j", F.when(F.lit(n > 1), F.col("s") / F.lit(max(n - 1, 1))).alias("cov"))
+
+
 def running_sum(df: DataFrame, value: str, order: Sequence[str], out: str,
                 within: Sequence[str] = ()) -> DataFrame:
     """Cumulative sum over rows that are already aggregated (few rows)."""

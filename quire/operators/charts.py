@@ -46,11 +46,11 @@ def histogram_share(df: DataFrame, col: str, width: float, cls: str) -> DataFram
     return with_share(counts, "n", within=["bin"])
 
 
-def box_stats(df: DataFrame, group: str, value: str, k: float = 1.5, method: str = "auto") -> DataFrame:
+def box_stats(df: DataFrame, group: str, value: str, k: float = 1.5) -> DataFrame:
     """Box-plot statistics per group: quartiles, whiskers at the most extreme points
     inside the 1.5 IQR fences, and the outlier count."""
     data = df.select(group, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    qs = quantile_wide(grouped_quantiles(data, [group], "_v", [0.25, 0.5, 0.75], method), [group],
+    qs = quantile_wide(grouped_quantiles(data, [group], "_v", [0.25, 0.5, 0.75]), [group],
                        {0.25: "q1", 0.5: "median", 0.75: "q3"})
     fences = qs.select(group, "q1", "median", "q3",
                        (F.col("q1") - k * (F.col("q3") - F.col("q1"))).alias("_lo"),

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.operators.aggregate import distinct_count_expr
-from quire.operators.quantile import grouped_quantiles, quantile_wide, to_long
+from quire.operators.quantile import (
+    grouped_quantiles, quantile_wide, quantiles_of, running_counts, to_long, value_counts)
 
 
 # ------------------------------------------------------------ column screens
@@ -25,9 +26,20 @@ def constant_columns_report(df: DataFrame, cols: Sequence[str] | None = None) ->
     return long.withColumn("dropped", F.col("n_distinct") <= 1)
 
 
+def constant_columns(df: DataFrame) -> list[str]:
+    """Columns with at most one value, NULL counting as one: smallest, largest
+    and a null flag of every column in one pass, no distinct counts."""
+    if not df.columns:
+        return []
+    row = df.agg(*[F.struct(F.min(F.col(f"`{c}`").cast("string")).alias("lo"), F.max(F.col(f"`{c}`").cast("string")).alias("hi"),
+                            F.count_if(F.col(f"`{c}`").isNull()).alias("nulls")).alias(f"c{i}")
+                   for i, c in enumerate(df.columns)]).first()
+    return [c for i, c in enumerate(df.columns)
+            if row[i]["lo"] == row[i]["hi"] and (row[i]["lo"] is None or not row[i]["nulls"])]
+
+
 def drop_constant_columns(df: DataFrame) -> DataFrame:
-    report = constant_columns_report(df).filter("dropped").select("column").collect()
-    return df.drop(*[r["column"] for r in report])
+    return df.drop(*constant_columns(df))
 
 
 def all_null_report(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -53,10 +65,12 @@ def near_zero_variance(df: DataFrame, cols: Sequence[str], freq_cut: float = 95
         F.max(F.when(F.col("value").isNotNull(), F.col("cnt"))).alias("top"),
         F.count("value").alias("n_unique"))
     # one row per feature: a bounded broadcast
-    second = counts.filter(F.col("value").isNotNull()).join(F.broadcast(per_feature), "feature") \
+    # (a feature that is all NULL has no such value and stays, as zero-variance)
+    there = F.col("value").isNotNull()
+    second = counts.join(F.broadcast(per_feature), "feature") \
         .groupBy("feature", "top", "n_unique", "n_rows").agg(
-        F.sum((F.col("cnt") == F.col("top")).cast("long")).alias("n_top"),
-        F.max(F.when(F.col("cnt") < F.col("top"), F.col("cnt"))).alias("below"))
+        F.sum((there & (F.col("cnt") == F.col("top"))).cast("long")).alias("n_top"),
+        F.max(F.when(there & (F.col("cnt") < F.col("top")), F.col("cnt"))).alias("below"))
     sec = F.when(F.col("n_top") > 1, F.col("top")).otherwise(F.col("below"))
     out = second.select(
         "feature",
@@ -96,16 +110,15 @@ def dedupe_first(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
 def key_uniqueness(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     k = F.struct(*keys) if len(keys) > 1 else F.col(keys[0])
     return df.agg(F.count(F.lit(1)).cast("long").alias("n_rows"),
-                  F.count_distinct(k).cast("long").alias("n_keys"),
-                  F.sum(F.lit(0)).alias("_z")).select(
+                  F.count_distinct(k).cast("long").alias("n_keys")).select(
         "n_rows", "n_keys", (F.col("n_rows") == F.col("n_keys")).alias("is_unique"))
 
 
 # ------------------------------------------------------------ imputation/filters
-def impute_median(df: DataFrame, cols: Sequence[str], method: str = "auto") -> DataFrame:
+def impute_median(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Replace NULLs by the column median (one quantile pass for all columns).
     The medians form a one-row frame joined as a broadcast."""
-    meds = quantile_wide(grouped_quantiles(to_long(df, cols), ["column"], "value", [0.5], method),
+    meds = quantile_wide(grouped_quantiles(to_long(df, cols), ["column"], "value", [0.5]),
                          ["column"], {0.5: "median"})
     # one aggregated row per column comes back; it is inlined as literals
     med = {r["column"]: r["median"] for r in meds.collect()}
@@ -123,36 +136,40 @@ def drop_invalid(df: DataFrame, valid: Column) -> DataFrame:
 
 
 def cap_constant(df: DataFrame, caps: Mapping[str, float]) -> DataFrame:
-    return df.withColumns({c: F.least(F.col(c), F.lit(v)) for c, v in caps.items()})
+    """Values above the cap become the cap; NULL stays NULL."""
+    return df.withColumns({c: _capped(F.col(c), F.lit(v)) for c, v in caps.items()})
 
 
-def iqr_fences(df: DataFrame, cols: Sequence[str], k: float = 1.5, method: str = "auto") -> DataFrame:
+def _capped(x: Column, cap: Column) -> Column:
+    return F.when(x > cap, cap).otherwise(x)
+
+
+def iqr_fences(df: DataFrame, cols: Sequence[str], k: float = 1.5) -> DataFrame:
     """(column, q1, q3, iqr, lower, upper, n_below, n_above) for every column."""
-    long = to_long(df, cols)
-    qs = quantile_wide(grouped_quantiles(long, ["column"], "value", [0.25, 0.75], method),
-                       ["column"], {0.25: "q1", 0.75: "q3"})
+    run = running_counts(value_counts(to_long(df, cols), ["column"], "value"), ["column"])
+    qs = quantile_wide(quantiles_of(run, ["column"], [0.25, 0.75]), ["column"], {0.25: "q1", 0.75: "q3"})
     fences = qs.select("column", "q1", "q3", (F.col("q3") - F.col("q1")).alias("iqr")).select(
         "*", (F.col("q1") - F.lit(k) * F.col("iqr")).alias("lower"),
         (F.col("q3") + F.lit(k) * F.col("iqr")).alias("upper"))
-    counts = long.join(F.broadcast(fences.select("column", "lower", "upper")), "column").groupBy("column").agg(
-        F.sum((F.col("value") < F.col("lower")).cast("long")).alias("n_below"),
-        F.sum((F.col("value") > F.col("upper")).cast("long")).alias("n_above"))
+    outside = lambda cond: F.sum(F.when(cond, F.col("c")).otherwise(F.lit(0))).cast("long")
+    counts = run.select("column", "x", "c").join(fences.select("column", "lower", "upper"), "column").groupBy("column").agg(
+        outside(F.col("x") < F.col("lower")).alias("n_below"), outside(F.col("x") > F.col("upper")).alias("n_above"))
     return fences.join(counts, "column")
 
 
-def iqr_cap(df: DataFrame, cols: Sequence[str], k: float = 1.5, method: str = "auto") -> DataFrame:
-    """Cap each column at its upper fence Q3 + k*IQR (the fences are one small row)."""
-    f = iqr_fences(df, cols, k, method)
+def iqr_cap(df: DataFrame, cols: Sequence[str], k: float = 1.5) -> DataFrame:
+    """Cap each column at its upper fence Q3 + k*IQR (the fences are one small row);
+    NULL stays NULL."""
+    f = iqr_fences(df, cols, k)
     upper = {r["column"]: r["upper"] for r in f.select("column", "upper").collect()}
-    return df.withColumns({c: F.least(F.col(c).cast("double"), F.lit(upper.get(c)).cast("double"))
-                           for c in cols})
+    return df.withColumns({c: _capped(F.col(c).cast("double"), F.lit(upper.get(c)).cast("double")) for c in cols})
 
 
-def percentile_table(df: DataFrame, cols: Sequence[str], step: float = 0.01, method: str = "auto") -> DataFrame:
+def percentile_table(df: DataFrame, cols: Sequence[str], step: float = 0.01) -> DataFrame:
     """(column, pct, value): quantiles at 0%, 1%, ..., 100%."""
     n = int(round(1 / step))
     probs = [round(i * step, 10) for i in range(n + 1)]
-    qs = grouped_quantiles(to_long(df, cols), ["column"], "value", probs, method)
+    qs = grouped_quantiles(to_long(df, cols), ["column"], "value", probs)
     return qs.select("column", F.round(F.col("prob") * 100).cast("int").alias("pct"), F.col("q").alias("value"))
 
 

@@ -57,17 +57,25 @@ def threshold_grid(start: float, stop: float, n: int) -> list[float]:
     return [start + i * by for i in range(n)]
 
 
-def _bucket_counts(df: DataFrame, label: str, score: str, start: float, by: float, n: int,
-                   positive) -> DataFrame:
-    """(b, n_pos, n_neg) with b = number of thresholds start + i*by (i < n) that are <= score."""
-    t = lambda i: F.lit(start) + i.cast("double") * F.lit(by)  # noqa: E731  same double expression as the grid
-    x = F.col(score)
-    guess = F.least(F.greatest(F.floor((x - F.lit(start)) / F.lit(by)) + 1, F.lit(0)), F.lit(n)).cast("int")
+def thresholds_cleared(x: Column, start: float, by: float, n: int) -> Column:
+    """Number of the thresholds start + i*by (i < n, by > 0) that are <= x; NULL for NULL."""
+    t = lambda i: F.lit(float(start)) + i.cast("double") * F.lit(float(by))  # noqa: E731  same double expression as the grid
+    near = F.least(F.greatest(x.cast("double"), F.lit(start - by)), F.lit(start + n * by))  # infinite scores too
+    near = F.when(x.isNotNull(), near)
+    guess = F.least(F.greatest(F.floor((near - F.lit(float(start))) / F.lit(float(by))) + 1, F.lit(0)), F.lit(n)).cast("int")
+    guess = F.when(x.isNotNull(), guess)
     # the floating-point guess is off by at most one: settle it against the thresholds themselves
     up = F.when((guess < n) & (t(guess) <= x), guess + 1).otherwise(guess)
-    bucket = F.when((up > 0) & (t(up - 1) > x), up - 1).otherwise(up)
+    return F.when((up > 0) & (t(up - 1) > x), up - 1).otherwise(up)
+
+
+def _bucket_counts(df: DataFrame, label: str, score: str, start: float, by: float, n: int,
+                   positive) -> DataFrame:
+    """(b, n_pos, n_neg) with b = number of thresholds start + i*by (i < n) that are <= score;
+    rows without a score are left out, as in ``confusion_at_cutoff``."""
+    bucket = thresholds_cleared(F.col(score), start, by, n)
     pos = _positive(label, positive)
-    return df.select(bucket.alias("b"), pos.alias("pos")).groupBy("b").agg(
+    return df.where(F.col(score).isNotNull()).select(bucket.alias("b"), pos.alias("pos")).groupBy("b").agg(
         F.sum("pos").alias("n_pos"), F.sum(1 - F.col("pos")).alias("n_neg"))
 
 
@@ -99,6 +107,7 @@ def _sweep_direct(df: DataFrame, label: str, score: str, start: float, by: float
     """Degenerate or descending grids (all scores within the margin): conditional counts for
     each threshold, still one pass over the data."""
     pos = _positive(label, positive) == 1
+    df = df.where(F.col(score).isNotNull())
     cuts = [start + i * by for i in range(n)]
     row = df.agg(*[F.count_if((F.col(score) >= F.lit(c)) & pos).alias(f"tp{i}") for i, c in enumerate(cuts)],
                  *[F.count_if((F.col(score) >= F.lit(c)) & ~pos).alias(f"fp{i}") for i, c in enumerate(cuts)],
@@ -118,6 +127,13 @@ def optimal_cutoff(sweep: DataFrame, step: float = 0.01) -> DataFrame:
     return best.withColumn("tolerance", F.col("tol_steps") * F.lit(step))
 
 
+def cutoff_within(sweep: DataFrame, tolerance: float) -> DataFrame:
+    """The fixed-tolerance rule: the first (smallest) threshold with
+    |sensitivity - specificity| < ``tolerance``; no row if there is none."""
+    near = sweep.where(F.abs(F.col("sensitivity") - F.col("specificity")) < F.lit(tolerance))
+    return near.orderBy("i").limit(1).withColumn("tolerance", F.lit(float(tolerance)))
+
+
 def evaluate_binary(df: DataFrame, label: str, score: str, n: int = 100, positive=1,
                     start: float | None = None, stop: float | None = None, margin: float = 0.001) -> DataFrame:
     """Cutoff sweep over [min+margin, max-margin] (or [start, stop]), optimal cutoff,

@@ -12,11 +12,12 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.operators.quantile import grouped_quantiles
-from quire.operators.rank import global_rank, rank_within
+from quire.operators.rank import global_cumsum, join_on_keys
+from quire.session import checkpoint_dir
 
 
 # ---------------------------------------------------------------- scaling
@@ -57,26 +58,48 @@ def _clean_name(s: str) -> str:
     return re.sub(r"[^0-9A-Za-z_.]", ".", str(s))
 
 
-def fit_levels(df: DataFrame, cols: Sequence[str], max_levels: int = 1000) -> dict[str, list[str]]:
-    """Sorted distinct levels per column.  The level counts are checked first (one
-    aggregation) so that only a bounded list is ever brought to the driver."""
+# Most levels of one column that become columns of their own; a wider column is
+# coded by ``sparse_dummies``, which makes one vector of it.
+MAX_LEVELS = 1000
+
+
+def fit_levels(df: DataFrame, cols: Sequence[str]) -> dict[str, list[str]]:
+    """Sorted distinct levels per column, one job.  The level counts are checked
+    first so that only a bounded list is ever brought to the driver."""
     counts = df.agg(*[F.count_distinct(F.col(c)).alias(c) for c in cols]).first()
-    too_many = {c: counts[c] for c in cols if counts[c] > max_levels}
-    if too_many:
-        raise ValueError(f"too many levels for dummy coding: {too_many} (max_levels={max_levels})")
-    out = {}
-    for c in cols:
-        out[c] = [r[0] for r in df.select(F.col(c).cast("string")).distinct().orderBy(1).collect() if r[0] is not None]
-    return out
+    wide = {c: counts[c] for c in cols if counts[c] > MAX_LEVELS}
+    if wide:
+        raise ValueError(f"more than {MAX_LEVELS} levels: {wide}; use sparse_dummies for these columns")
+    row = df.agg(*[F.array_sort(F.collect_set(F.col(c).cast("string"))).alias(c) for c in cols]).first()
+    return {c: list(row[c]) for c in cols}
+
+
+def sparse_dummies(df: DataFrame, cols: Sequence[str], suffix: str = "_vec"):
+    """(model, frame): 0/1 coding of columns with any number of levels as one
+    sparse vector each, the first (alphabetical) level being the baseline."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import OneHotEncoder, StringIndexer
+    index = StringIndexer(inputCols=list(cols), outputCols=[f"{c}_idx" for c in cols], handleInvalid="keep",
+                          stringOrderType="alphabetDesc")
+    code = OneHotEncoder(inputCols=[f"{c}_idx" for c in cols], outputCols=[f"{c}{suffix}" for c in cols],
+                         dropLast=False, handleInvalid="keep")
+    model = Pipeline(stages=[index, code]).fit(df)
+    return model, model.transform(df).drop(*[f"{c}_idx" for c in cols])
 
 
 def dummy_code(df: DataFrame, levels: dict[str, list[str]], drop_first: bool = True,
                keep_original: bool = False) -> DataFrame:
-    """0/1 columns ``<col>.x<level>``; the first (alphabetical) level is the baseline."""
+    """0/1 columns ``<col>.x<level>``; the first (alphabetical) level is the baseline.
+    Levels that clean to one name get ``.1``, ``.2``, ... after it."""
     new = {}
     for c, lv in levels.items():
         for v in (lv[1:] if drop_first else lv):
-            new[f"{c}.x{_clean_name(v)}"] = (F.col(c).cast("string") == F.lit(v)).cast("int")
+            base = name = f"{c}.x{_clean_name(v)}"
+            n = 0
+            while name in new:
+                n += 1
+                name = f"{base}.{n}"
+            new[name] = (F.col(c).cast("string") == F.lit(v)).cast("int")
     out = df.withColumns(new)
     return out if keep_original else out.drop(*levels.keys())
 
@@ -91,9 +114,11 @@ def numeric_edges(df: DataFrame, cols: Sequence[str], bins: int = 10) -> DataFra
 
 
 def _bin_expr(x: Column, edges: Column) -> Column:
-    """Index of the right-closed bin (e_{i-1}, e_i]; the lowest edge falls in bin 1."""
+    """Index of the right-closed bin (e_{i-1}, e_i]; the lowest edge and what lies
+    below it fall in bin 1, what lies above the highest in the last bin."""
     below = F.size(F.filter(edges, lambda e: e < x))
-    return F.when(x.isNull(), F.lit(None)).otherwise(F.greatest(F.lit(1), below))
+    return F.when(x.isNull(), F.lit(None)).otherwise(
+        F.greatest(F.lit(1), F.least(below, F.size(edges) - 1)))
 
 
 def _bin_label(idx: Column) -> Column:
@@ -119,8 +144,10 @@ def binned_long(df: DataFrame, label: str, numeric: Sequence[str], categorical:
     if categorical:
         cat = df.select(*ids, label, *[F.col(c).cast("string").alias(c) for c in categorical]).unpivot(
             [*ids, label], list(categorical), "feature", "x")
+        # a NULL is a bin of its own (order -1), not the level "NA" (order 0)
         parts.append(cat.select(*ids, "feature", F.coalesce("x", F.lit("NA")).alias("bin"),
-                                F.lit(0).alias("bin_order"), F.col(label).cast("int").alias("y")))
+                                F.when(F.col("x").isNull(), -1).otherwise(0).alias("bin_order"),
+                                F.col(label).cast("int").alias("y")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -154,28 +181,47 @@ def iv_rank(table: DataFrame) -> DataFrame:
     return table.groupBy("feature").agg(F.sum("iv").alias("iv"))
 
 
+# Most (feature, level) cells that are written into the plan as a literal map;
+# a feature with more levels is looked up by a join.
+MAX_MAP_CELLS = 10_000
+
+
 @dataclass
 class WoeModel:
-    """Fitted edges and WOE values; ``transform`` is a single projection."""
+    """Fitted edges and WOE values.  ``transform`` is a projection, with a join
+    for each feature that has too many levels for a map."""
     edges: dict[str, list[float]] = field(default_factory=dict)
-    woe: dict[str, dict[str, float]] = field(default_factory=dict)
+    woe: dict[str, dict[str | None, float]] = field(default_factory=dict)
+    wide: dict[str, DataFrame] = field(default_factory=dict)
 
     def transform(self, df: DataFrame, suffix: str = "_woe") -> DataFrame:
         new = {}
         for feat, mapping in self.woe.items():
-            m = F.create_map(*[x for k, v in mapping.items() for x in (F.lit(k), F.lit(float(v)))])
             if feat in self.edges:
                 e = F.array(*[F.lit(float(v)) for v in self.edges[feat]])
-                key = _bin_label(_bin_expr(F.col(feat).cast("double"), e))
+                key, null_key = _bin_label(_bin_expr(F.col(feat).cast("double"), e)), "NA"
             else:
-                key = F.coalesce(F.col(feat).cast("string"), F.lit("NA"))
-            new[f"{feat}{suffix}"] = F.coalesce(m[key], F.lit(0.0))
-        return df.withColumns(new)
+                key, null_key = F.col(feat).cast("string"), None
+            value = F.lit(0.0)
+            known = {k: v for k, v in mapping.items() if k is not None}
+            if known:
+                m = F.create_map(*[x for k, v in known.items() for x in (F.lit(k), F.lit(float(v)))])
+                value = F.coalesce(m[key], F.lit(0.0))
+            if null_key is None and None in mapping:
+                value = F.when(key.isNull(), F.lit(float(mapping[None]))).otherwise(value)
+            new[f"{feat}{suffix}"] = value
+        out = df.withColumns(new)
+        for feat, cells in self.wide.items():
+            cells = cells.select(F.col("level").alias("_level"), F.col("woe").alias("_woe"))
+            out = out.join(cells, out[feat].cast("string").eqNullSafe(cells["_level"]), "left")
+            out = out.withColumn(f"{feat}{suffix}", F.coalesce("_woe", F.lit(0.0))).drop("_level", "_woe")
+        return out
 
 
 def fit_woe(df: DataFrame, label: str, numeric: Sequence[str] = (), categorical: Sequence[str] = (),
             bins: int = 10) -> WoeModel:
-    """Fit on the training frame: the WOE table is features x bins rows."""
+    """Fit on the training frame: numeric features have at most bins + 1 cells;
+    categorical ones are counted before they are brought to the driver."""
     model = WoeModel()
     edges_df = None
     if numeric:
@@ -183,9 +229,14 @@ def fit_woe(df: DataFrame, label: str, numeric: Sequence[str] = (), categorical:
         model.edges = {r["feature"]: list(r["edges"]) for r in rows}
         edges_df = df.sparkSession.createDataFrame(
             [(f, [float(v) for v in e]) for f, e in model.edges.items()], "feature string, edges array<double>")
-    table = woe_table(df, label, numeric, categorical, bins, edges=edges_df)
-    for r in table.select("feature", "bin", "woe").collect():
-        model.woe.setdefault(r["feature"], {})[r["bin"]] = r["woe"]
+    checkpoint_dir(df.sparkSession)
+    table = woe_table(df, label, numeric, categorical, bins, edges=edges_df).select(
+        "feature", F.when(F.col("bin_order") >= 0, F.col("bin")).alias("level"), "woe").checkpoint()
+    sizes = {r["feature"]: r["count"] for r in table.groupBy("feature").count().collect()}
+    small = [f for f, n in sizes.items() if n <= MAX_MAP_CELLS]
+    for r in table.where(F.col("feature").isin(small)).collect():
+        model.woe.setdefault(r["feature"], {})[r["level"]] = r["woe"]
+    model.wide = {f: table.where(F.col("feature") == f) for f in sizes if f not in small}
     return model
 
 
@@ -196,89 +247,56 @@ def hash_key(key: str | Column, seed: int = 1) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), k.cast("string")))
 
 
-# Up to this many rows a hash-ordered split ranks every row; above it only a band is ranked.
-RANK_ALL_MAX_ROWS = 5_000_000
-
-
-def _hash_order(df: DataFrame, key: str, seed: int) -> DataFrame:
-    """Adds the md5 order key and its first 13 hex digits as an exact double (52 bits);
-    ordering by (_hx, _h, key) is the same as ordering by (md5, key)."""
-    return df.withColumn("_h", hash_key(key, seed)).withColumn(
-        "_hx", F.conv(F.substring("_h", 1, 13), 16, 10).cast("double"))
-
-
-def _hash_cuts(d: DataFrame, strata: list[str], key: str, target, p: float, accuracy: int = 10000):
-    """Per stratum, the (_hx, _h, key) of the row at rank ``target(n)`` in hash order, found by
-    ranking only the rows in an approximate band around the p-quantile of _hx.
-    Returns (cuts frame, ok) -- ok is False when a target escaped its band."""
-    from quire.operators.rank import join_on_keys
-    keys = strata or ["_all"]
-    rows = d if strata else d.withColumn("_all", F.lit(1))
-    delta = 2.0 / accuracy
-    ap = rows.groupBy(*keys).agg(
-        F.percentile_approx("_hx", F.array(F.lit(max(0.0, p - delta)), F.lit(min(1.0, p + delta))), accuracy).alias("_q"),
-        F.count(F.lit(1)).alias("_n"))
-    bands = ap.select(*keys, "_n", target(F.col("_n")).cast("long").alias("_m"),
-                      F.col("_q")[0].alias("_lo"), F.col("_q")[1].alias("_hi")).checkpoint(eager=True)
-    t = join_on_keys(rows.select(*keys, "_hx", "_h", key), F.broadcast(bands), keys)
-    below = t.groupBy(*keys).agg(F.sum((F.col("_hx") < F.col("_lo")).cast("long")).alias("_below"))
-    inside = t.filter((F.col("_hx") >= F.col("_lo")) & (F.col("_hx") <= F.col("_hi"))).select(*keys, "_hx", "_h", key)
-    ranked = rank_within(inside, keys, [F.col("_hx"), F.col("_h"), F.col(key)], rank_col="_rb", size_col="_nb")
-    ranked = join_on_keys(ranked, below, keys).withColumn("_r", F.col("_below") + F.col("_rb"))
-    picked = join_on_keys(bands, ranked, keys, how="left")
-    cuts = picked.groupBy(*keys, "_n", "_m").agg(
-        F.max(F.when(F.col("_r") == F.col("_m"), F.struct("_hx", "_h", key))).alias("_cut")).checkpoint(eager=True)
-    # a positive target must be found in its band; target 0 means "nothing selected"
-    bad = cuts.filter((F.col("_m") > 0) & F.col("_cut").isNull()).count()
-    return cuts, bad == 0
-
-
-def _flag_by_hash(df: DataFrame, strata: list[str], key: str, seed: int, target, p: float,
-                  flag: str, method: str = "auto") -> DataFrame:
-    """Flag rows whose hash-order rank within their stratum is <= target(n)."""
-    from quire.operators.rank import join_on_keys
-    d = _hash_order(df, key, seed)
-    if method == "auto":
-        # small frames: ranking every row (one checkpoint) is cheaper than the band passes
-        method = "rank" if df.count() <= RANK_ALL_MAX_ROWS else "band"
-    if method == "band":
-        cuts, ok = _hash_cuts(d, strata, key, target, p)
-        if ok:
-            keys = strata or ["_all"]
-            rows = d if strata else d.withColumn("_all", F.lit(1))
-            j = join_on_keys(rows, F.broadcast(cuts.select(*keys, "_cut")), keys)   # one row per stratum
-            sel = F.coalesce(F.struct("_hx", "_h", key) <= F.col("_cut"), F.lit(False))
-            out = j.withColumn(flag, sel).drop("_cut", "_h", "_hx")
-            return out.drop("_all") if not strata else out
-    d = d.drop("_hx")                      # (md5, key) alone gives the same order
-    if strata:
-        ranked = rank_within(d, strata, [F.col("_h"), F.col(key)], rank_col="_r", size_col="_n")
-    else:
-        ranked = global_rank(d, [F.col("_h"), F.col(key)], rank_col="_r", total_col="_n")
-    return ranked.withColumn(flag, F.col("_r") <= target(F.col("_n"))).drop("_h", "_hx", "_r", "_n")
+def _flag_by_hash(df: DataFrame, strata: list[str], key: str, seed: int, target, flag: str) -> DataFrame:
+    """Flag rows up to the row at rank ``target(n)`` of their stratum in (md5, key) order.
+
+    Rows are counted per stratum and first four hex digits of the hash (at most
+    65,536 counts a stratum); a running sum over these finds the bucket that
+    holds the cut, only its keys are counted to find the cut itself, and rows
+    are flagged by comparing with it.  ``key`` identifies a row; rows that share
+    a key are on the same side of the cut."""
+    if not strata:
+        out = _flag_by_hash(df.withColumn("_all", F.lit(1)), ["_all"], key, seed, target, flag)
+        return out.drop("_all")
+    d = df.withColumn("_h", hash_key(key, seed)).withColumn(
+        "_b", F.conv(F.substring("_h", 1, 4), 16, 10).cast("int"))
+    counts = d.groupBy(*strata, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    by = Window.partitionBy(*strata)
+    counts = counts.withColumns({"_cum": F.sum("_c").over(by.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)),
+                                 "_m": target(F.sum("_c").over(by)).cast("long")})
+    checkpoint_dir(df.sparkSession)
+    # one row per stratum (none where nothing is selected)
+    at = counts.where((F.col("_cum") >= F.col("_m")) & (F.col("_cum") - F.col("_c") < F.col("_m"))).select(
+        *strata, F.col("_b").alias("_cb"), (F.col("_m") - F.col("_cum") + F.col("_c")).alias("_need")).checkpoint()
+    inside = join_on_keys(d.select(*strata, "_b", "_h", F.col(key).alias("_k")), at, strata).where("_b = _cb")
+    keys = inside.groupBy(*strata, "_need", "_h", "_k").agg(F.count(F.lit(1)).alias("_c"))
+    run = global_cumsum(keys, [*strata, "_h", "_k"], ["_c"])
+    first = run.groupBy(*strata).agg(F.min(F.col("_c_cum") - F.col("_c")).alias("_before"))
+    run = join_on_keys(run, first, strata).where(F.col("_c_cum") - F.col("_before") >= F.col("_need"))
+    cuts = run.groupBy(*strata).agg(F.min(F.struct("_h", "_k")).alias("_cut")).checkpoint()
+    j = join_on_keys(d, cuts, strata, how="left")
+    sel = F.coalesce(F.struct("_h", F.col(key).alias("_k")) <= F.col("_cut"), F.lit(False))
+    return j.withColumn(flag, sel).drop("_cut", "_h", "_b")
 
 
 def stratified_split(df: DataFrame, label: str, key: str, ratio: float, seed: int = 1,
-                     flag: str = "is_train", method: str = "auto") -> DataFrame:
+                     flag: str = "is_train") -> DataFrame:
     """Label-preserving split: inside each label, rows ordered by md5(seed:key); the first
-    round_half_even(ratio * n_label) are train.  The cut row of each label is found by
-    ranking only a narrow band of rows (method "band"; "rank" ranks every row)."""
-    return _flag_by_hash(df, [label], key, seed, lambda n: F.bround(n * F.lit(ratio), 0), ratio, flag, method)
+    round_half_even(ratio * n_label) are train."""
+    return _flag_by_hash(df, [label], key, seed, lambda n: F.bround(n * F.lit(ratio), 0), flag)
 
 
-def shuffle_split(df: DataFrame, key: str, ratio: float, seed: int = 1, flag: str = "is_train",
-                  method: str = "auto") -> DataFrame:
+def shuffle_split(df: DataFrame, key: str, ratio: float, seed: int = 1, flag: str = "is_train") -> DataFrame:
     """Shuffle then ordered split: first round_half_even(ratio * n) rows in hash order."""
-    return _flag_by_hash(df, [], key, seed, lambda n: F.bround(n * F.lit(ratio), 0), ratio, flag, method)
+    return _flag_by_hash(df, [], key, seed, lambda n: F.bround(n * F.lit(ratio), 0), flag)
 
 
-def hash_sample(df: DataFrame, key: str, fraction: float, seed: int = 1, exact: bool = True,
-                method: str = "auto") -> DataFrame:
+def hash_sample(df: DataFrame, key: str, fraction: float, seed: int = 1, exact: bool = True) -> DataFrame:
     """Simple random sample without replacement: exactly floor(fraction * n) rows in hash
     order, or (``exact=False``) a Bernoulli sample of expected size fraction * n."""
     if not exact:
         return df.sample(withReplacement=False, fraction=fraction, seed=seed)
-    flagged = _flag_by_hash(df, [], key, seed, lambda n: F.floor(n * F.lit(fraction)), fraction, "_keep", method)
+    flagged = _flag_by_hash(df, [], key, seed, lambda n: F.floor(n * F.lit(fraction)), "_keep")
     return flagged.filter("_keep").drop("_keep")
 
 

@@ -31,16 +31,6 @@ from quire.functions.scalars import sigmoid
 from quire.session import ship_package
 
 
-def right_size(df: DataFrame, rows_per_partition: int = 500_000) -> DataFrame:
-    """Coalesce (never widen) the input of an iterative fit to about ``rows_per_partition``
-    rows per partition: every optimiser iteration runs one task per partition, so a small
-    frame spread thin pays task overhead hundreds of times, while a large one keeps its
-    parallelism."""
-    n = df.count()
-    want = max(1, -(-n // rows_per_partition))
-    return df.coalesce(want) if want < df.rdd.getNumPartitions() else df
-
-
 def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="keep").transform(df)
 
@@ -74,7 +64,7 @@ def logit_fit(df: DataFrame, label: str, features: Sequence[str], weight: str |
     # re-running the upstream joins each time
     data = assemble(df, feats).select(*cols)
     if persist:
-        data = right_size(data).persist(StorageLevel.MEMORY_AND_DISK)
+        data = data.persist(StorageLevel.MEMORY_AND_DISK)
     glr = GeneralizedLinearRegression(family="binomial", link="logit", labelCol=label, featuresCol="features",
                                       maxIter=max_iter, fitIntercept=True)
     if weight:
@@ -105,17 +95,19 @@ def score_with(fit: LogitFit, df: DataFrame, out: str = "prob") -> DataFrame:
 
 
 def stepwise_aic(df: DataFrame, label: str, features: Sequence[str], weight: str | None = None,
-                 start: Sequence[str] | None = None, max_steps: int = 20, workers: int = 4) -> tuple[LogitFit, DataFrame]:
+                 start: Sequence[str] | None = None, workers: int = 4) -> tuple[LogitFit, DataFrame]:
     """Both-direction stepwise selection by AIC (MASS ``stepAIC``), starting from the
     full model.  Candidate fits of a step run concurrently; the frame is cached once."""
     spark = df.sparkSession
-    data = right_size(df.select(label, *features, *([weight] if weight else []))).cache()
+    data = df.select(label, *features, *([weight] if weight else [])).cache()
     current = list(start if start is not None else features)
     best = logit_fit(data, label, current, weight, persist=False)
     trace = [(0, "<start>", best.aic, ",".join(current))]
     pool = ThreadPoolExecutor(max_workers=workers)
     try:
-        for step in range(1, max_steps + 1):
+        step = 0
+        while True:  # every step lowers the AIC, so no set of terms comes twice
+            step += 1
             moves = [("-" + f, [x for x in current if x != f]) for f in current if len(current) > 1]
             moves += [("+" + f, current + [f]) for f in features if f not in current]
             fits = list(pool.map(lambda m: (m[0], logit_fit(data, label, m[1], weight, persist=False)), moves))
@@ -156,16 +148,17 @@ def vif_table(df: DataFrame, fit: LogitFit, weight: str | None = None) -> DataFr
 
 
 def backward_eliminate(df: DataFrame, label: str, features: Sequence[str], weight: str | None = None,
-                       vif_max: float = 2.0, p_max: float = 0.05, max_rounds: int = 50) -> tuple[LogitFit, DataFrame]:
+                       vif_max: float = 2.0, p_max: float = 0.05) -> tuple[LogitFit, DataFrame]:
     """Drop terms one at a time: first the least significant among those with VIF above
     ``vif_max`` (when it is not significant), otherwise the term with the largest
     p-value above ``p_max``; stop when every term passes."""
     spark = df.sparkSession
-    data = right_size(df.select(label, *features, *([weight] if weight else []))).cache()
+    data = df.select(label, *features, *([weight] if weight else [])).cache()
     current = list(features)
     log = []
     try:
-        for rnd in range(max_rounds):
+        rnd = 0
+        while True:  # every round drops a term
             fit = logit_fit(data, label, current, weight, persist=False)
             vifs = {r["term"]: r["vif"] for r in vif_table(data, fit, weight).collect()}
             pvals = dict(zip(fit.features, fit.p[1:]))
@@ -177,7 +170,8 @@ def backward_eliminate(df: DataFrame, label: str, features: Sequence[str], weigh
                 if not weak or len(current) == 1:
                     break
                 drop, why = max(weak, key=lambda f: pvals[f]), "p_value"
-            log.append((rnd + 1, drop, why, float(vifs[drop]), float(pvals[drop])))
+            rnd += 1
+            log.append((rnd, drop, why, float(vifs[drop]), float(pvals[drop])))
             current.remove(drop)
         fit = logit_fit(data, label, current, weight, persist=False)
     finally:
@@ -192,7 +186,7 @@ def random_forest(df: DataFrame, label: str, features: Sequence[str], num_trees:
     strategy = str(mtry)
     rf = RandomForestClassifier(labelCol=label, featuresCol="features", numTrees=num_trees, maxDepth=max_depth,
                                 featureSubsetStrategy=strategy, seed=seed)
-    model = rf.fit(right_size(assemble(df, features).select(label, "features")))
+    model = rf.fit(assemble(df, features).select(label, "features"))
     return model
 
 
@@ -212,7 +206,7 @@ def mlp_best_of(df: DataFrame, label: str, features: Sequence[str], hidden: int,
                 max_iter: int = 100):
     """Feed-forward net with one hidden layer; the restart with the lowest final training
     loss is kept (the reference keeps the best of 5 repetitions by error)."""
-    data = right_size(assemble(df, features).select(label, "features")).cache()
+    data = assemble(df, features).select(label, "features").cache()
     best, best_loss = None, math.inf
     try:
         for s in seeds:
@@ -235,6 +229,37 @@ def linear_svm(train: DataFrame, label: str, features_col: str = "features", reg
     return ovr.fit(train)
 
 
+def cv_grid(df: DataFrame, label: str, x_col: str, key: str, sigmas: Sequence[float], costs: Sequence[float],
+            folds: int = 5, dim: int = 256, input_dim: int = 64, max_iter: int = 50, seed: int = 7,
+            parallelism: int = 4) -> DataFrame:
+    """Grid search of the RBF machine: (sigma, cost, cv_accuracy, best) for every pair, by
+    ``folds``-fold cross-validation with folds from a hash of ``key``.  The kernel map of a
+    width is computed once for all costs; a cost C is the ridge 1 / (C n)."""
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+    data = df.select(F.col(x_col).alias("x"), F.col(label).cast("double").alias("label"),
+                     F.pmod(F.xxhash64(key), F.lit(folds)).cast("int").alias("fold"))
+    n = data.count()
+    rows = []
+    for sigma in sigmas:
+        mapped = RandomFourierFeatures(inputCol="x", outputCol="features", sigma=float(sigma), dim=dim, seed=seed,
+                                       inputDim=input_dim).transform(data).select("features", "label", "fold")
+        mapped = mapped.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            svc = LinearSVC(maxIter=max_iter)
+            ovr = OneVsRest(classifier=svc, labelCol="label", featuresCol="features", parallelism=parallelism)
+            grid = ParamGridBuilder().addGrid(svc.regParam, [1.0 / (c * max(n, 1)) for c in costs]).build()
+            cv = CrossValidator(estimator=ovr, estimatorParamMaps=grid, foldCol="fold", numFolds=folds,
+                                evaluator=MulticlassClassificationEvaluator(labelCol="label", metricName="accuracy"),
+                                parallelism=parallelism)
+            rows += [(float(sigma), float(c), float(m)) for c, m in zip(costs, cv.fit(mapped).avgMetrics)]
+        finally:
+            mapped.unpersist()
+    best = max(r[2] for r in rows)
+    return df.sparkSession.createDataFrame([(*r, r[2] == best) for r in rows],
+                                           "sigma double, cost double, cv_accuracy double, best boolean")
+
+
 class RandomFourierFeatures(Transformer, HasInputCol, HasOutputCol):
     """Approximate RBF-kernel map z(x) = sqrt(2/D) cos(W x + b), W ~ N(0, 2 sigma I),
     b ~ U(0, 2 pi) (Rahimi & Recht, 2007), for kernel exp(-sigma |x - y|^2).

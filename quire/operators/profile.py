@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.operators.quantile import grouped_quantiles, quantile_wide, to_long
-from quire.operators.rank import rank_within
+from quire.operators.quantile import (
+    grouped_quantiles, quantile_wide, quantiles_of, running_counts, to_long, value_counts)
 
 
 def table_shape(df: DataFrame) -> DataFrame:
@@ -36,11 +36,11 @@ def schema_profile(df: DataFrame, order_by: Sequence[str], n: int = 3, tail: boo
     return meta.join(vals, "column", "left").select("position", "column", "type", "values")
 
 
-def numeric_summary(df: DataFrame, cols: Sequence[str], method: str = "auto") -> DataFrame:
+def numeric_summary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """R ``summary`` for numeric columns, long form (column, stat, value):
     min, q1, median, mean, q3, max, n_null."""
     long = to_long(df, cols)
-    qs = quantile_wide(grouped_quantiles(long, ["column"], "value", [0.25, 0.5, 0.75], method),
+    qs = quantile_wide(grouped_quantiles(long, ["column"], "value", [0.25, 0.5, 0.75]),
                        ["column"], {0.25: "q1", 0.5: "median", 0.75: "q3"})
     basic = long.groupBy("column").agg(
         F.min("value").alias("min"), F.avg("value").alias("mean"), F.max("value").alias("max"),
@@ -63,107 +63,44 @@ def describe_table(df: DataFrame, cols: Sequence[str], trim: float = 0.1) -> Dat
     skew = Spark skewness * ((n-1)/n)^1.5 ; kurtosis = (Spark kurtosis + 3) * ((n-1)/n)^2 - 3;
     trimmed mean over ranks floor(trim*n)+1 .. n-floor(trim*n); mad = 1.4826 * median|x - median|.
     """
-    long = to_long(df, cols).filter(F.col("value").isNotNull())
-    mom = long.groupBy("column").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"),
-        F.min("value").alias("min"), F.max("value").alias("max"),
-        F.skewness("value").alias("_sk"), F.kurtosis("value").alias("_ku"))
-    med = quantile_wide(grouped_quantiles(long, ["column"], "value", [0.5]), ["column"], {0.5: "median"})
-    dev = long.join(F.broadcast(med), "column").select(
-        "column", F.abs(F.col("value") - F.col("median")).alias("value"))
-    mad = quantile_wide(grouped_quantiles(dev, ["column"], "value", [0.5]), ["column"], {0.5: "_mad"})
-    trimmed = trimmed_mean(long, ["column"], "value", trim)
-    out = mom.join(med, "column").join(mad, "column").join(trimmed, "column")
-    ratio = (F.col("n") - 1) / F.col("n")
+    run = running_counts(value_counts(to_long(df, cols), ["column"], "value"), ["column"])
+    x, c = F.col("x"), F.col("c")
+    mom = run.groupBy("column").agg(
+        F.max("n").alias("n"), (F.sum(x * c) / F.sum(c)).alias("mean"), F.min("x").alias("min"), F.max("x").alias("max"))
+    dev = x - F.col("mean")
+    mom = run.select("column", "x", "c").join(mom, "column").groupBy("column", "n", "mean", "min", "max").agg(
+        *[F.sum(c * F.pow(dev, F.lit(float(k)))).alias(f"_m{k}") for k in (2, 3, 4)])
+    med = quantile_wide(quantiles_of(run, ["column"], [0.5]), ["column"], {0.5: "median"})
+    away = run.join(med, "column").select("column", F.abs(x - F.col("median")).alias("x"), "c") \
+        .groupBy("column", "x").agg(F.sum("c").alias("c"))
+    mad = quantile_wide(quantiles_of(running_counts(away, ["column"]), ["column"], [0.5]), ["column"], {0.5: "_mad"})
+    out = mom.join(med, "column").join(mad, "column").join(_trimmed(run, ["column"], trim), "column")
+    n = F.col("n").cast("double")
+    sd = F.when(n > 1, F.sqrt(F.try_divide(F.col("_m2"), n - 1)))
+    skew = F.try_divide(F.sqrt(n) * F.col("_m3"), F.pow(F.col("_m2"), 1.5))
+    kurt = F.try_divide(n * F.col("_m4"), F.col("_m2") * F.col("_m2"))
+    ratio = (n - 1) / n
     return out.select(
-        "column", F.col("n").cast("long").alias("n"), "mean", "sd", "median", "trimmed",
+        "column", F.col("n").cast("long").alias("n"), "mean", sd.alias("sd"), "median", "trimmed",
         (F.col("_mad") * F.lit(1.4826)).alias("mad"), "min", "max",
         (F.col("max") - F.col("min")).alias("range"),
-        (F.col("_sk") * F.pow(ratio, 1.5)).alias("skew"),
-        ((F.col("_ku") + 3) * F.pow(ratio, 2) - 3).alias("kurtosis"),
-        (F.col("sd") / F.sqrt(F.col("n"))).alias("se"))
-
-
-def trimmed_mean(long: DataFrame, groups: Sequence[str], value: str, trim: float = 0.1,
-                 method: str = "auto") -> DataFrame:
-    """Mean of the order statistics floor(trim*n)+1 .. n-floor(trim*n) per group.
-
-    Small value domains (checked) use a value->count frame and a running count over
-    the distinct values of each group; otherwise every row is ranked with the
-    balanced global rank."""
-    from quire.operators.quantile import BAND_MAX_GROUPS, EXACT_MAP_MAX_DISTINCT, domain_profile
-    data = long.select(*groups, F.col(value).cast("double").alias("_x")).filter(F.col("_x").isNotNull())
-    if method == "auto":
-        distinct, n_groups = domain_profile(data, groups, "_x")
-        method = ("counts" if distinct <= EXACT_MAP_MAX_DISTINCT * 0.9
-                  else "band" if n_groups <= BAND_MAX_GROUPS else "rank")
-    if method == "band":
-        out = _trimmed_by_band(data, list(groups), trim)
-        if out is not None:
-            return out
-        method = "rank"
-    if method == "counts":
-        vc = data.groupBy(*groups, "_x").agg(F.count(F.lit(1)).alias("_c"))
-        w = Window.partitionBy(*groups).orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-        vc = vc.withColumn("_cum", F.sum("_c").over(w)).withColumn("_n", F.sum("_c").over(Window.partitionBy(*groups)))
-        k = F.floor(F.col("_n") * F.lit(trim))
-        lo, hi = k + 1, F.col("_n") - k
-        overlap = F.greatest(F.lit(0), F.least(F.col("_cum"), hi) - F.greatest(F.col("_cum") - F.col("_c") + 1, lo) + 1)
-        return vc.groupBy(*groups).agg((F.sum(F.col("_x") * overlap) / F.sum(overlap)).alias("trimmed"))
-    ranked = rank_within(data, list(groups), [F.col("_x")], rank_col="_r", size_col="_n")
-    k = F.floor(F.col("_n") * F.lit(trim))
-    return ranked.filter((F.col("_r") > k) & (F.col("_r") <= F.col("_n") - k)).groupBy(*groups).agg(
-        F.avg("_x").alias("trimmed"))
-
-
-def _trimmed_by_band(data: DataFrame, groups: list[str], trim: float, accuracy: int = 10000):
-    """Trimmed mean ranking only the rows near the two trim points.
-
-    Approximate quantiles at trim -/+ d and 1-trim -/+ d (d = 2/accuracy) give a lower
-    and an upper value band; one pass (bands broadcast) sums the rows strictly between
-    the bands and keeps the band rows, which are ranked exactly to include those with
-    ranks in [floor(trim n)+1, n-floor(trim n)].  Returns None (caller ranks every
-    value) when the bands overlap or do not contain the boundary ranks."""
-    from quire.operators.rank import join_on_keys
-    d = 2.0 / accuracy
-    probs = [max(0.0, trim - d), min(1.0, trim + d), max(0.0, 1 - trim - d), min(1.0, 1 - trim + d)]
-    keys = groups or ["_all"]
-    rows = data if groups else data.withColumn("_all", F.lit(1))
-    ap = rows.groupBy(*keys).agg(F.percentile_approx("_x", F.array(*[F.lit(p) for p in probs]), accuracy).alias("_q"),
-                                 F.count(F.lit(1)).alias("_n"))
-    k = F.floor(F.col("_n") * F.lit(trim))
-    bands = ap.select(*keys, "_n", (k + 1).alias("_rlo"), (F.col("_n") - k).alias("_rhi"),
-                      F.col("_q")[0].alias("_a0"), F.col("_q")[1].alias("_a1"),
-                      F.col("_q")[2].alias("_b0"), F.col("_q")[3].alias("_b1")).checkpoint(eager=True)
-    if bands.filter(F.col("_a1") >= F.col("_b0")).count():
-        return None                                            # bands touch: rank everything
-    t = join_on_keys(rows, F.broadcast(bands), keys)
-    x = F.col("_x")
-    in_lo = (x >= F.col("_a0")) & (x <= F.col("_a1"))
-    in_hi = (x >= F.col("_b0")) & (x <= F.col("_b1"))
-    mid = (x > F.col("_a1")) & (x < F.col("_b0"))
-    sums = t.groupBy(*keys).agg(
-        F.sum((x < F.col("_a0")).cast("long")).alias("_below_lo"), F.sum((x < F.col("_b0")).cast("long")).alias("_below_hi"),
-        F.sum(F.when(mid, x).otherwise(0.0)).alias("_mid_sum"))
-    band_rows = t.filter(in_lo | in_hi).select(*keys, F.when(in_lo, F.lit(0)).otherwise(F.lit(1)).alias("_band"), "_x")
-    ranked = rank_within(band_rows, [*keys, "_band"], [F.col("_x")], rank_col="_rb", size_col="_nb")
-    ranked = join_on_keys(join_on_keys(ranked, sums, keys), bands.select(*keys, "_rlo", "_rhi"), keys)
-    r = F.when(F.col("_band") == 0, F.col("_below_lo")).otherwise(F.col("_below_hi")) + F.col("_rb")
-    ranked = ranked.withColumn("_r", r)
-    per_band = ranked.groupBy(*keys, "_band").agg(
-        F.min("_r").alias("_first"), F.max("_r").alias("_last"),
-        F.sum(F.when((F.col("_r") >= F.col("_rlo")) & (F.col("_r") <= F.col("_rhi")), F.col("_x")).otherwise(0.0)).alias("_bs"))
-    checks = join_on_keys(per_band, bands.select(*keys, "_rlo", "_rhi"), keys)
-    ok = F.when(F.col("_band") == 0, (F.col("_first") <= F.col("_rlo")) & (F.col("_last") >= F.col("_rlo"))) \
-          .otherwise((F.col("_first") <= F.col("_rhi")) & (F.col("_last") >= F.col("_rhi")))
-    checks = checks.withColumn("_ok", ok).checkpoint(eager=True)
-    n_groups = bands.count()
-    if checks.filter("_ok").count() != 2 * n_groups:
-        return None                                            # a boundary rank escaped its band
-    band_sum = checks.groupBy(*keys).agg(F.sum("_bs").alias("_bs"))
-    out = join_on_keys(join_on_keys(sums, band_sum, keys), bands.select(*keys, "_rlo", "_rhi"), keys)
-    res = out.select(*keys, ((F.col("_mid_sum") + F.col("_bs")) / (F.col("_rhi") - F.col("_rlo") + 1)).alias("trimmed"))
-    return res.drop("_all") if not groups else res
+        (skew * F.pow(ratio, 1.5)).alias("skew"),
+        (kurt * F.pow(ratio, 2) - 3).alias("kurtosis"),
+        F.try_divide(sd, F.sqrt(n)).alias("se"))
+
+
+def _trimmed(run: DataFrame, groups: Sequence[str], trim: float) -> DataFrame:
+    """(groups..., trimmed) from ``running_counts``: the part of each value's
+    rows that lies between the trim points."""
+    k = F.floor(F.col("n") * F.lit(trim))
+    lo, hi = k + 1, F.col("n") - k
+    overlap = F.greatest(F.lit(0), F.least(F.col("cum"), hi) - F.greatest(F.col("cum") - F.col("c") + 1, lo) + 1)
+    return run.groupBy(*groups).agg((F.try_divide(F.sum(F.col("x") * overlap), F.sum(overlap))).alias("trimmed"))
+
+
+def trimmed_mean(long: DataFrame, groups: Sequence[str], value: str, trim: float = 0.1) -> DataFrame:
+    """Mean of the order statistics floor(trim*n)+1 .. n-floor(trim*n) per group."""
+    return _trimmed(running_counts(value_counts(long, groups, value), groups), groups, trim)
 
 
 def null_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:

@@ -1,27 +1,20 @@
 """Quantiles per group, R type 7 (= Spark ``percentile`` = DuckDB ``quantile_cont``).
 
-``method="auto"`` (default) checks the value domain first: when an approximate
-distinct count shows that every group has at most ``EXACT_MAP_MAX_DISTINCT``
-distinct values, Spark's exact ``percentile`` aggregate is used (its per-group
-value->count map is then bounded by that check); otherwise the rank method.
-``method="rank"`` is exact and balanced: every value is ranked inside
-its group with the range-partitioned global rank, the two order statistics that
-bracket each probability are picked by a join against a small (group, prob)
-frame, and interpolated.  No task ever holds a whole group, so one hot group
-or a column with billions of distinct values is fine.
-``method="percentile"`` uses Spark's exact ``percentile`` aggregate (keeps a
-value->count map per group: only for low-cardinality columns), and
-``method="approx"`` uses ``percentile_approx`` (bounded sketch).
+One path at every size: rows are first counted per (group, value), so a hot
+value collapses before the shuffle; a balanced running count over (group, value)
+then tells which value holds each order statistic, and the two that bracket a
+probability are interpolated.  No task holds a whole group, and the same counts
+serve several statistics.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.operators.rank import join_on_keys, rank_within
+from quire.operators.rank import global_cumsum, join_on_keys
 
 
 def to_long(df: DataFrame, cols: Sequence[str], ids: Sequence[str] = (),
@@ -31,151 +24,51 @@ def to_long(df: DataFrame, cols: Sequence[str], ids: Sequence[str] = (),
     return casted.unpivot(list(ids), list(cols), name_col, value_col)
 
 
-# Largest per-group distinct count for which the value->count map of Spark's
-# exact ``percentile`` is accepted (tens of MB of buffer per group).
-EXACT_MAP_MAX_DISTINCT = 1_000_000
-
-
-def domain_profile(data: DataFrame, groups: Sequence[str], x: str) -> tuple[int, int]:
-    """(largest per-group distinct count (HyperLogLog, 2% error), number of groups)."""
-    per = data.groupBy(*groups).agg(F.approx_count_distinct(x, 0.02).alias("_d")) if groups \
-        else data.agg(F.approx_count_distinct(x, 0.02).alias("_d"))
-    row = per.agg(F.max("_d").alias("m"), F.count(F.lit(1)).alias("g")).first()
-    return int(row["m"] or 0), int(row["g"] or 0)
-
-
-def small_domain(data: DataFrame, groups: Sequence[str], x: str, limit: int = EXACT_MAP_MAX_DISTINCT) -> bool:
-    """True when every group has at most ``limit`` distinct values (checked with a 10% margin)."""
-    return domain_profile(data, groups, x)[0] <= limit * 0.9
-
-
-# Largest number of groups for which the band method broadcasts its (group x prob) bands.
-BAND_MAX_GROUPS = 10_000
+def value_counts(df: DataFrame, groups: Sequence[str], value: str | Column) -> DataFrame:
+    """(groups..., x, c): rows per distinct non-NULL value."""
+    x = F.col(value) if isinstance(value, str) else value
+    return (df.select(*groups, x.cast("double").alias("x")).where("x IS NOT NULL")
+            .groupBy(*groups, "x").agg(F.count(F.lit(1)).alias("c")))
+
+
+def running_counts(counts: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """(groups..., x, c, cum, n): ``counts`` with the number of rows up to and
+    including each value, and in the whole group."""
+    keys = list(groups)
+    run = global_cumsum(counts, [*keys, "x"], ["c"], suffix="_all")
+    if not keys:
+        run = run.withColumn("_one", F.lit(1))
+    by = keys or ["_one"]
+    size = run.groupBy(*by).agg(F.sum("c").alias("n"), F.min(F.col("c_all") - F.col("c")).alias("_before"))
+    out = join_on_keys(run, size, by).withColumn("cum", F.col("c_all") - F.col("_before"))
+    return out.select(*keys, "x", "c", "cum", "n")
+
+
+def quantiles_of(running: DataFrame, groups: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """(groups..., prob, q) from ``running_counts``."""
+    h = lambda p: (F.col("n") - 1) * p["prob"] + 1
+    need = F.transform(F.array(*[F.struct(F.lit(float(p)).alias("prob")) for p in probs]), lambda p: F.struct(
+        p["prob"].alias("prob"), F.floor(h(p)).alias("lo"), (h(p) - F.floor(h(p))).alias("f")))
+    holds = lambda r: (r > F.col("cum") - F.col("c")) & (r <= F.col("cum"))
+    # the few order statistics that this value is
+    here = F.filter(need, lambda s: holds(s["lo"]) | holds(s["lo"] + 1))
+    at = running.select(*groups, "x", "c", "cum", "n", F.explode(here).alias("s"))
+    both = at.groupBy(*groups, F.col("s.prob").alias("prob"), F.col("s.f").alias("_f")).agg(
+        F.max(F.when(holds(F.col("s.lo")), F.col("x"))).alias("_a"),
+        F.max(F.when(holds(F.col("s.lo") + 1), F.col("x"))).alias("_b"))
+    a, b, f = F.col("_a"), F.col("_b"), F.col("_f")
+    return both.select(*groups, "prob", F.when(b.isNull() | (f == 0), a).otherwise(a + (b - a) * f).alias("q"))
 
 
 def grouped_quantiles(long_df: DataFrame, groups: Sequence[str], value: str,
-                      probs: Sequence[float], method: str = "auto",
-                      accuracy: int = 10000) -> DataFrame:
+                      probs: Sequence[float]) -> DataFrame:
     """(groups..., prob, q) for every group and probability; NULL values are ignored."""
-    probs = [float(p) for p in probs]
-    data = long_df.select(*groups, F.col(value).cast("double").alias("_x")).filter(F.col("_x").isNotNull())
-    if method == "auto":
-        # bounded domain: running counts for a few probabilities (two aggregates each),
-        # Spark's percentile map for long probability lists; large domain: exact order
-        # statistics inside narrow approximate bands (few groups) or the balanced rank
-        distinct, n_groups = domain_profile(data, groups, "_x")
-        if distinct <= EXACT_MAP_MAX_DISTINCT * 0.9:
-            method = "counts" if len(probs) <= 8 else "percentile"
-        else:
-            method = "band" if n_groups <= BAND_MAX_GROUPS else "rank"
-    if method == "counts":
-        return _quantiles_from_counts(data, groups, probs)
-    if method == "band":
-        return _quantiles_by_band(data, groups, probs, accuracy)
-    if method in ("percentile", "approx"):
-        arr = F.array(*[F.lit(p) for p in probs])
-        fn = (F.percentile("_x", arr) if method == "percentile"
-              else F.percentile_approx("_x", arr, accuracy))
-        agg = data.groupBy(*groups).agg(fn.alias("_qs"))
-        return agg.select(*groups, F.posexplode("_qs").alias("_i", "q")).select(
-            *groups, F.element_at(arr, F.col("_i") + 1).alias("prob"), "q")
-    if method != "rank":
-        raise ValueError(method)
-    ranked = rank_within(data, list(groups), [F.col("_x")], rank_col="_r", size_col="_n")
-    sizes = ranked.groupBy(*groups).agg(F.max("_n").alias("_n"))
-    h = (F.col("_n") - 1) * F.col("prob") + 1
-    # one row per (group, prob, needed rank, weight); size = groups x probs x 2
-    sizes = sizes.select(*groups, "_n", F.explode(F.array(*[F.lit(p) for p in probs])).alias("prob"))
-    need = sizes.select(
-        *groups, "prob", F.floor(h).cast("long").alias("_lo"), (h - F.floor(h)).alias("_f"))
-    need = need.select(*groups, "prob", "_f", F.explode(F.array(
-        F.struct(F.col("_lo").alias("_r"), F.lit(0).alias("_hi")),
-        F.struct((F.col("_lo") + 1).alias("_r"), F.lit(1).alias("_hi")),
-    )).alias("_k")).select(*groups, "prob", "_f", "_k._r", "_k._hi")
-    picked = join_on_keys(ranked.select(*groups, "_r", "_x"), need, [*groups, "_r"])
-    bracket = picked.groupBy(*groups, "prob", "_f").agg(
-        F.max(F.when(F.col("_hi") == 0, F.col("_x"))).alias("_a"),
-        F.max(F.when(F.col("_hi") == 1, F.col("_x"))).alias("_b"))
-    q = F.when(F.col("_b").isNull() | (F.col("_f") == 0), F.col("_a")) \
-         .otherwise(F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f"))
-    return bracket.select(*groups, "prob", q.alias("q"))
-
-
-def _quantiles_by_band(data: DataFrame, groups: Sequence[str], probs: Sequence[float],
-                       accuracy: int = 10000) -> DataFrame:
-    """Exact quantiles ranking only a narrow band of rows per probability.
-
-    ``percentile_approx`` (rank error <= n/accuracy) gives values at p -/+ 2/accuracy
-    that bracket the target ranks; one pass over the data with the (group, prob) bands
-    broadcast counts the rows below each band and keeps the rows inside it; only those
-    (about 4n/accuracy per band) are ranked.  If a target rank falls outside its band
-    (it cannot with the documented error bound, but it is verified), the full balanced
-    rank method is used instead."""
-    delta = 2.0 / accuracy
-    k = len(probs)
-    bounds = [max(0.0, p - delta) for p in probs] + [min(1.0, p + delta) for p in probs]
-    approx = data.groupBy(*groups).agg(
-        F.percentile_approx("_x", F.array(*[F.lit(v) for v in bounds]), accuracy).alias("_qa"),
-        F.count(F.lit(1)).alias("_n"))
-    bands = approx.select(*groups, "_n", F.explode(F.array(*[
-        F.struct(F.lit(float(p)).alias("prob"), F.col("_qa")[i].alias("_lo"), F.col("_qa")[k + i].alias("_hi"))
-        for i, p in enumerate(probs)])).alias("_b")).select(*groups, "_n", "_b.prob", "_b._lo", "_b._hi")
-    bands = bands.checkpoint(eager=True)                       # groups x probs rows
-    keyed = bands if groups else bands.withColumn("_all", F.lit(1))
-    rows = data if groups else data.withColumn("_all", F.lit(1))
-    keys = list(groups) if groups else ["_all"]
-    tagged = join_on_keys(rows, F.broadcast(keyed), keys)
-    below = tagged.groupBy(*keys, "prob").agg(F.sum((F.col("_x") < F.col("_lo")).cast("long")).alias("_below"))
-    inside = tagged.filter((F.col("_x") >= F.col("_lo")) & (F.col("_x") <= F.col("_hi"))).select(*keys, "prob", "_x")
-    ranked = rank_within(inside, [*keys, "prob"], [F.col("_x")], rank_col="_rb", size_col="_nb")
-    ranked = join_on_keys(ranked, below, [*keys, "prob"]).withColumn("_r", F.col("_below") + F.col("_rb"))
-    h = (F.col("_n") - 1) * F.col("prob") + 1
-    need = keyed.select(*keys, "prob", "_n", F.floor(h).cast("long").alias("_lo_r"), (h - F.floor(h)).alias("_f"))
-    # left join + conditional aggregates: every (group, prob) keeps its row even when no
-    # band row sits at the needed rank (that is what the verification below detects)
-    picked = join_on_keys(need, ranked.select(*keys, "prob", "_r", "_x"), [*keys, "prob"], how="left")
-    res = picked.groupBy(*keys, "prob", "_n", "_lo_r", "_f").agg(
-        F.max(F.when(F.col("_r") == F.col("_lo_r"), F.col("_x"))).alias("_a"),
-        F.max(F.when(F.col("_r") == F.col("_lo_r") + 1, F.col("_x"))).alias("_b")).checkpoint(eager=True)
-    missing = res.filter(F.col("_a").isNull() | ((F.col("_f") > 0) & F.col("_b").isNull()
-                                                  & (F.col("_lo_r") + 1 <= F.col("_n")))).count()
-    if missing:
-        return grouped_quantiles(data.withColumnRenamed("_x", "_v"), list(groups), "_v", probs, method="rank")
-    q = F.when(F.col("_b").isNull() | (F.col("_f") == 0), F.col("_a")) \
-         .otherwise(F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f"))
-    return res.select(*groups, "prob", q.alias("q"))
-
-
-def _quantiles_from_counts(data: DataFrame, groups: Sequence[str], probs: Sequence[float]) -> DataFrame:
-    """Exact quantiles from a value->count frame: a running count over the distinct values
-    of each group (bounded by the domain check) locates the order statistics
-    lo = floor(h), lo + 1 with h = (n - 1) p + 1; each is min(x) over cum >= rank."""
-    from pyspark.sql import Window
-    vc = data.groupBy(*groups, "_x").agg(F.count(F.lit(1)).alias("_c"))
-    part = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(1))
-    vc = vc.withColumn("_cum", F.sum("_c").over(part.orderBy("_x").rowsBetween(Window.unboundedPreceding, 0))) \
-           .withColumn("_n", F.sum("_c").over(part))
-    aggs = [F.max("_n").alias("_n")]
-    for i, p in enumerate(probs):
-        h = (F.col("_n") - 1) * F.lit(p) + 1
-        lo = F.floor(h)
-        aggs += [F.min(F.when(F.col("_cum") >= lo, F.col("_x"))).alias(f"_a{i}"),
-                 F.min(F.when(F.col("_cum") >= lo + 1, F.col("_x"))).alias(f"_b{i}")]
-    per = vc.groupBy(*groups).agg(*aggs)
-    rows = []
-    for i, p in enumerate(probs):
-        h = (F.col("_n") - 1) * F.lit(p) + 1
-        f = h - F.floor(h)
-        a, b = F.col(f"_a{i}"), F.col(f"_b{i}")
-        q = F.when(b.isNull() | (f == 0), a).otherwise(a + (b - a) * f)
-        rows.append(F.struct(F.lit(float(p)).alias("prob"), q.alias("q")))
-    return per.select(*groups, F.explode(F.array(*rows)).alias("_r")).select(*groups, "_r.prob", "_r.q")
-
-
-def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                     method: str = "auto") -> DataFrame:
-    """(column, prob, q) for several columns in one ranking pass."""
-    return grouped_quantiles(to_long(df, cols), ["column"], "value", probs, method)
+    return quantiles_of(running_counts(value_counts(long_df, groups, value), groups), groups, probs)
+
+
+def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """(column, prob, q) for several columns in one pass."""
+    return grouped_quantiles(to_long(df, cols), ["column"], "value", probs)
 
 
 def quantile_wide(qs: DataFrame, groups: Sequence[str], names: dict[float, str]) -> DataFrame:

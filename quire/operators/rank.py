@@ -37,12 +37,8 @@ def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: st
 
 
 def range_partitions(df: DataFrame, requested: int | None = None) -> int:
-    """Number of range partitions: the shuffle setting, but never fewer than the input's
-    own partitions (file splits of ~maxPartitionBytes), so partitions keep their size
-    as the data grows."""
-    if requested:
-        return requested
-    return max(shuffle_partitions(df.sparkSession), df.rdd.getNumPartitions())
+    """Number of range partitions: the shuffle setting, which is sized for the data."""
+    return requested or shuffle_partitions(df.sparkSession)
 
 
 def global_rank(df: DataFrame, order: Sequence, rank_col: str = "rank",

@@ -54,7 +54,8 @@ def bind_by_key(left: DataFrame, right: DataFrame, key: str | Sequence[str]) ->
     return left.join(right, key if isinstance(key, str) else list(key), "inner")
 
 
-def wide_presence(df: DataFrame, row: str, col: str, levels: Sequence[str]) -> DataFrame:
-    """Wide 0/1-count table: one column per level (levels given, so no distinct job)."""
-    out = df.groupBy(row).pivot(col, list(levels)).agg(F.count(F.lit(1)))
-    return out.fillna(0, subset=list(levels)).select(row, *[F.col(v).cast("long").alias(v) for v in levels])
+def wide_presence(df: DataFrame, row: str, col: str) -> DataFrame:
+    """Wide 0/1-count table: one column per level found in the data."""
+    out = df.groupBy(row).pivot(col).agg(F.count(F.lit(1)))
+    levels = [c for c in out.columns if c != row]
+    return out.fillna(0, subset=levels).select(row, *[F.col(f"`{v}`").cast("long").alias(v) for v in levels])

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.scalars import cut_bins
+from quire.operators.evaluate import thresholds_cleared
 
 # The reference's scaling (20 points to double the odds, 400 points at 10:1).
 PDO, BASE_SCORE, BASE_ODDS = 20.0, 400.0, 10.0
@@ -19,9 +20,11 @@ def factor_offset(pdo: float = PDO, base: float = BASE_SCORE, odds: float = BASE
 
 
 def score_points(p: Column, pdo: float = PDO, base: float = BASE_SCORE, odds: float = BASE_ODDS) -> Column:
-    """score = offset + factor * ln((1 - p) / p), p = probability of bad."""
+    """score = offset + factor * ln((1 - p) / p), p = probability of bad; p = 0 scores
+    +infinity, p = 1 -infinity, NULL stays NULL."""
     factor, offset = factor_offset(pdo, base, odds)
-    return F.lit(offset) + F.lit(factor) * F.log(F.try_divide(F.lit(1.0) - p, p))
+    inner = F.lit(offset) + F.lit(factor) * F.log(F.try_divide(F.lit(1.0) - p, p))
+    return F.when(p == 0, F.lit(float("inf"))).when(p == 1, F.lit(float("-inf"))).otherwise(inner)
 
 
 def cutoff_score(prob: float, pdo: float = PDO, base: float = BASE_SCORE, odds: float = BASE_ODDS) -> float:
@@ -47,12 +50,12 @@ def scorecard_cutoffs(df: DataFrame, label: str, score: str, exposure: str, star
     """For 'No_Cutoffs' and each cutoff start, start+step, ..., <= stop: default percentage
     of the accepted (score >= cutoff), exposure of accepted defaulters, and good
     customers lost.  One pass: each row is bucketed by how many cutoffs it clears,
-    then the (few) bucket totals are reverse-cumulated."""
+    then the (few) bucket totals are reverse-cumulated.  Rows without a score are
+    neither accepted nor lost: they are left out."""
     k = int(math.floor((stop - start) / step)) + 1
-    x = F.col(score)
-    cleared = F.least(F.greatest(F.floor((x - F.lit(start)) / F.lit(step)) + 1, F.lit(0)), F.lit(k)).cast("int")
+    cleared = thresholds_cleared(F.col(score), start, step, k)
     bad = (F.col(label) == 1)
-    buckets = df.select(cleared.alias("b"), bad.cast("long").alias("bad"),
+    buckets = df.where(F.col(score).isNotNull()).select(cleared.alias("b"), bad.cast("long").alias("bad"),
                         F.when(bad, F.col(exposure)).otherwise(0.0).alias("bad_exp")) \
         .groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("n_bad"), F.sum("bad_exp").alias("exp_bad"))
     dense = df.sparkSession.range(0, k + 1).select(F.col("id").cast("int").alias("b")) \
@@ -72,7 +75,9 @@ def scorecard_cutoffs(df: DataFrame, label: str, score: str, exposure: str, star
 
 
 def credit_benefit(df: DataFrame, label: str, score: str, exposure: str, cutoff: float) -> DataFrame:
-    """One row comparing 'accept everyone' with 'accept score >= cutoff'."""
+    """One row comparing 'accept everyone' with 'accept score >= cutoff'; rows without a
+    score are left out of both."""
+    df = df.where(F.col(score).isNotNull())
     bad = F.col(label) == 1
     acc = F.col(score) >= F.lit(cutoff)
     e = F.col(exposure)

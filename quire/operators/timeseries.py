@@ -1,8 +1,7 @@
 """Many time series at once, keyed by ``series_id`` in long form (series_id, t, value).
 
-Per-series work is either (a) lags, leads and running sums -- over a per-series
-window when a one-aggregation check shows every series is bounded, otherwise
-by equi-joins on (series, t) and the balanced range-partitioned running sum --
+Per-series work is either (a) lags, leads and running sums over windows of
+(series, block of time), so that a very long series is spread over many tasks,
 or (b) a grouped sum of small design products (normal equations) followed by a
 k x k solve on the aggregated rows.  Results that are model-sized (coefficients,
 chosen orders, ACF lists) are the only things handled per series in Python.
@@ -71,56 +70,40 @@ def per_series(df: DataFrame, series: str = SERIES, **aggs: Column) -> DataFrame
     return df.join(stats, series)
 
 
-# Longest series for which a per-series window (one task per series) is accepted.
-WINDOW_MAX_SERIES_ROWS = 1_000_000
-
-
-def series_bounded(df: DataFrame, series: str = SERIES, limit: int | None = None) -> bool:
-    """True when no series is longer than ``limit`` rows (checked with one aggregation)."""
-    limit = WINDOW_MAX_SERIES_ROWS if limit is None else limit
-    top = df.groupBy(series).count().agg(F.max("count")).first()[0]
-    return top is None or top <= limit
+# Time steps of a series that one window holds.
+BLOCK_STEPS = 4096
 
 
 def lagged(df: DataFrame, value: str, lags: Sequence[int], series: str = SERIES, t: str = TIME,
-           prefix: str = "_lag", bounded: bool | None = None) -> DataFrame:
-    """Add ``<prefix><k>`` = value at t - k (k may be negative: a lead) for every k;
-    ``t`` runs 1..n without gaps.
-
-    Bounded series (checked) use ``lag``/``lead`` over a per-series window.  Otherwise
-    each row is copied to its target times t + k (one explode), the copies are
-    gathered per (series, t) by an aggregation and joined back on (series, t): two
-    shuffles whatever the number of lags, and one very long series is spread over
-    many tasks by its time index."""
+           prefix: str = "_lag") -> DataFrame:
+    """Add ``<prefix><k>`` = value at time t - k (k may be negative: a lead) for every k;
+    NULL where the series has no such time.
+
+    A series is cut into blocks of time; rows near an edge are copied into the
+    blocks that look at them, and windows run over (series, block), so a very long
+    series is spread over many tasks with one shuffle whatever the lags."""
     name = lambda k: f"{prefix}{k}" if k >= 0 else f"{prefix}m{-k}"
-    if bounded is None:
-        bounded = series_bounded(df, series)
-    if bounded:
-        w = Window.partitionBy(series).orderBy(t)
-        return df.withColumns({name(k): (F.lag(value, k).over(w) if k > 0 else
-                                         F.lead(value, -k).over(w) if k < 0 else F.col(value))
-                               for k in lags})
-    moves = F.explode(F.array(*[F.struct((F.col(t) + F.lit(k)).alias("_tt"), F.lit(k).alias("_k"))
-                                for k in lags]))
-    moved = df.select(series, F.col(value).alias("_v"), moves.alias("_s")) \
-        .select(series, F.col("_s._tt").alias(t), F.col("_s._k").alias("_k"), "_v")
-    wide = moved.groupBy(series, t).agg(*[F.max(F.when(F.col("_k") == k, F.col("_v"))).alias(name(k))
-                                          for k in lags])
-    return df.join(wide, [series, t], "left")
-
-
-def running_sum(df: DataFrame, value: str, series: str = SERIES, t: str = TIME, out: str = "_cum",
-                bounded: bool | None = None) -> DataFrame:
-    """Inclusive running sum of ``value`` inside each series ordered by t."""
-    if bounded is None:
-        bounded = series_bounded(df, series)
-    if bounded:
-        w = Window.partitionBy(series).orderBy(t).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumn(out, F.sum(value).over(w))
-    from quire.operators.rank import global_cumsum
-    d = global_cumsum(df, [F.col(series), F.col(t)], [value], suffix="_gcum")
-    d = per_series(d, series, _start=F.min_by(F.col(f"{value}_gcum") - F.col(value), F.col(t)))
-    return d.withColumn(out, F.col(f"{value}_gcum") - F.col("_start")).drop(f"{value}_gcum", "_start")
+    if not lags:
+        return df
+    steps = max(BLOCK_STEPS, 4 * max(abs(k) for k in lags))
+    block = lambda c: F.floor(c / F.lit(steps)).cast("long")
+    reach = F.sequence(block(F.col(t) + min(0, *lags)), block(F.col(t) + max(0, *lags)))
+    rows = df.withColumn("_own", block(F.col(t))).withColumn("_block", F.explode(reach))
+    w = Window.partitionBy(series, "_block").orderBy(t)
+    rows = rows.withColumns({name(k): F.max(value).over(w.rangeBetween(-k, -k)) for k in lags})
+    return rows.where("_own = _block").drop("_own", "_block")
+
+
+def running_sum(df: DataFrame, value: str, series: str = SERIES, t: str = TIME, out: str = "_cum") -> DataFrame:
+    """Inclusive running sum of ``value`` inside each series ordered by t: a window
+    over (series, block of time) plus the totals of the series' earlier blocks."""
+    rows = df.withColumn("_block", F.floor(F.col(t) / F.lit(BLOCK_STEPS)).cast("long"))
+    totals = rows.groupBy(series, "_block").agg(F.sum(value).alias("_total"))
+    earlier = Window.partitionBy(series).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(series, "_block", F.coalesce(F.sum("_total").over(earlier), F.lit(0.0)).alias("_before"))
+    w = Window.partitionBy(series, "_block").orderBy(t).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn(out, F.sum(value).over(w)).join(totals, [series, "_block"])
+    return rows.withColumn(out, F.col("_before") + F.col(out)).drop("_block", "_before")
 
 
 def with_length(df: DataFrame, series: str = SERIES, out: str = "n") -> DataFrame:
@@ -139,7 +122,7 @@ def smooth(df: DataFrame, width: int = 1, series: str = SERIES, t: str = TIME, v
     extended linearly with the first/last inner difference.  ``t`` must run 1..n."""
     w = width
     d = per_series(df, series, _n=F.count(F.lit(1)))
-    d = lagged(d, value, list(range(-w, w + 1)), series, t, prefix="_ma", bounded=series_bounded(df, series))
+    d = lagged(d, value, list(range(-w, w + 1)), series, t, prefix="_ma")
     cols = [F.col(f"_ma{k}" if k >= 0 else f"_mam{-k}") for k in range(-w, w + 1)]
     total = cols[0]
     for c in cols[1:]:
@@ -208,7 +191,7 @@ def acf(df: DataFrame, value: str = VALUE, max_lag: int | None = None, series: s
     K = max_lag or default_max_lag(df, series)
     d = per_series(df.select(series, t, value), series, _mu=F.avg(value))
     d = d.withColumn("_xc", F.col(value) - F.col("_mu"))
-    d = lagged(d, "_xc", list(range(1, K + 1)), series, t, prefix="_x", bounded=series_bounded(df, series))
+    d = lagged(d, "_xc", list(range(1, K + 1)), series, t, prefix="_x")
     prods = {f"_p{k}": F.col("_xc") * (F.col(f"_x{k}") if k else F.col("_xc")) for k in range(K + 1)}
     d = d.withColumns(prods)
     sums = d.groupBy(series).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in prods])
@@ -259,23 +242,26 @@ def ljung_box(acf_df: DataFrame, series: str = SERIES) -> DataFrame:
     return terms.select(series, "lag", (F.col("n") * (F.col("n") + 2) * F.sum("_term").over(w)).alias("q"))
 
 
+def chi2_tails(x: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Upper tail of the chi-square distribution with integer degrees of freedom, for
+    arrays: the finite sum of e^-h h^j / j! (j whole for even k, half-whole for odd),
+    one step for all rows at once; NaN without a value or degrees of freedom."""
+    h = np.where(x > 0, x, 0.0) / 2.0
+    odd = k % 2 == 1
+    with np.errstate(divide="ignore", invalid="ignore"):
+        erfc = np.array([math.erfc(math.sqrt(v)) if v == v else math.nan for v in np.where(odd, h, 0.0)])
+        total = np.where(odd, erfc, np.exp(-h))
+        term = np.where(odd, np.exp(-h) * np.sqrt(h) / math.gamma(1.5), np.exp(-h) * h)
+        for i in range(1, int(k.max(initial=0)) // 2 + 1):
+            # even k adds j = 1 .. k/2 - 1, odd k adds j = 1/2 .. k/2 - 1
+            total = total + np.where(np.where(odd, i <= (k - 1) // 2, i <= k // 2 - 1), term, 0.0)
+            term = term * h / np.where(odd, i + 0.5, i + 1)
+    return np.where(np.isnan(x) | (k <= 0), np.nan, np.where(x <= 0, 1.0, total))
+
+
 def chi2_sf(x: float, k: int) -> float:
-    """Upper tail of the chi-square distribution with integer degrees of freedom."""
-    if x is None or (isinstance(x, float) and math.isnan(x)):
-        return float("nan")
-    if x <= 0:
-        return 1.0
-    h = x / 2.0
-    if k % 2 == 0:
-        term, total = 1.0, 1.0
-        for i in range(1, k // 2):
-            term *= h / i
-            total += term
-        return math.exp(-h) * total
-    total = math.erfc(math.sqrt(h))
-    for i in range(1, (k - 1) // 2 + 1):
-        total += math.exp((i - 0.5) * math.log(h) - h - math.lgamma(i + 0.5))
-    return total
+    """``chi2_tails`` of one value."""
+    return float(chi2_tails(np.array([math.nan if x is None else x], float), np.array([k]))[0])
 
 
 def ljung_box_pvalues(lb: DataFrame, fitdf: int = 0) -> DataFrame:
@@ -283,8 +269,7 @@ def ljung_box_pvalues(lb: DataFrame, fitdf: int = 0) -> DataFrame:
     ship_package(lb.sparkSession)
     @F.pandas_udf(T.DoubleType())
     def sf(q: pd.Series, lag: pd.Series) -> pd.Series:
-        return pd.Series([chi2_sf(float(a), int(b) - fitdf) if int(b) - fitdf > 0 else float("nan")
-                          for a, b in zip(q, lag)])
+        return pd.Series(chi2_tails(q.to_numpy(dtype=float), lag.to_numpy(dtype=int) - fitdf))
     return lb.withColumn("p_value", sf(F.col("q"), F.col("lag")))
 
 
@@ -297,18 +282,15 @@ def _interp_expr(x: Column, xs: list[float], ys: list[float]) -> Column:
     return expr.otherwise(F.lit(ys[-1]))
 
 
-def kpss(df: DataFrame, value: str = VALUE, series: str = SERIES, t: str = TIME,
-         max_lag: int | None = None) -> DataFrame:
+def kpss(df: DataFrame, value: str = VALUE, series: str = SERIES, t: str = TIME) -> DataFrame:
     """K11: KPSS level statistic with the Bartlett long-run variance,
     truncation l = trunc(3 sqrt(n) / 13), p-value interpolated in the published table."""
-    if max_lag is None:
-        m = df.groupBy(series).count().agg(F.max("count")).first()[0] or 1
-        max_lag = max(1, int(3 * math.sqrt(m) / 13))
-    bounded = series_bounded(df, series)
+    m = df.groupBy(series).count().agg(F.max("count")).first()[0] or 1
+    max_lag = max(1, int(3 * math.sqrt(m) / 13))
     d = per_series(df.select(series, t, value), series, _mu=F.avg(value))
     d = d.withColumn("_e", F.col(value) - F.col("_mu"))
-    d = running_sum(d, "_e", series, t, out="_s", bounded=bounded)           # partial sums S_t
-    d = lagged(d, "_e", list(range(1, max_lag + 1)), series, t, prefix="_el", bounded=bounded)
+    d = running_sum(d, "_e", series, t, out="_s")           # partial sums S_t
+    d = lagged(d, "_e", list(range(1, max_lag + 1)), series, t, prefix="_el")
     d = d.withColumns({f"_g{i}": F.col("_e") * F.col(f"_el{i}") for i in range(1, max_lag + 1)})
     agg = d.groupBy(series).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("_s") * F.col("_s")).alias("_ss"),
                                 F.sum(F.col("_e") * F.col("_e")).alias("_ee"),
@@ -338,10 +320,9 @@ def adf(df: DataFrame, value: str = VALUE, series: str = SERIES, t: str = TIME,
         max_k = max(0, int(math.floor((m - 1) ** (1 / 3) + 1e-12)))
     d = per_series(df.select(series, t, value), series, _N=F.count(F.lit(1)))
     d = d.withColumn("_k", F.floor(F.pow(F.col("_N") - 1, 1 / 3) + 1e-12).cast("int"))
-    bounded = series_bounded(df, series)
-    d = lagged(d, value, [1], series, t, prefix="_x", bounded=bounded)
+    d = lagged(d, value, [1], series, t, prefix="_x")
     d = d.withColumn("_d", F.col(value) - F.col("_x1"))
-    d = lagged(d, "_d", list(range(1, max_k + 1)), series, t, prefix="_dl", bounded=bounded)
+    d = lagged(d, "_d", list(range(1, max_k + 1)), series, t, prefix="_dl")
     cols = {"_one": F.lit(1.0), "_lvl": F.col("_x1"), "_tt": (F.col(t) - 1).cast("double")}
     for j in range(1, max_k + 1):
         cols[f"_l{j}"] = F.when(F.lit(j) <= F.col("_k"), F.col(f"_dl{j}")).otherwise(F.lit(0.0))
@@ -372,19 +353,18 @@ def adf(df: DataFrame, value: str = VALUE, series: str = SERIES, t: str = TIME,
 
 
 # ----------------------------------------------------------------- AR models
-def ar_candidates(df: DataFrame, value: str = VALUE, max_p: int = 3, series: str = SERIES,
+def ar_candidates(df: DataFrame, value: str = VALUE, max_p: int = 5, series: str = SERIES,
                   t: str = TIME) -> DataFrame:
     """K9: conditional least squares AR(p), p = 0..max_p, on levels (d=0) and first
     differences (d=1), over the common sample where all max_p lags exist.
     -> (series, d, p, n_obs, coef [c, phi1..phip], sigma2, aicc)."""
     ship_package(df.sparkSession)
-    bounded = series_bounded(df, series)
-    base = lagged(df.select(series, t, value), value, [1], series, t, prefix="_x", bounded=bounded)
+    base = lagged(df.select(series, t, value), value, [1], series, t, prefix="_x")
     frames = []
     for dd in (0, 1):
         z = F.col(value) if dd == 0 else F.col(value) - F.col("_x1")
         f = base.select(series, t, z.alias("_z")).withColumn("d", F.lit(dd))
-        f = lagged(f, "_z", list(range(1, max_p + 1)), series, t, prefix="_z", bounded=bounded)
+        f = lagged(f, "_z", list(range(1, max_p + 1)), series, t, prefix="_z")
         f = f.withColumn("_one", F.lit(1.0))
         frames.append(f.select(series, "d", "_z", "_one", *[f"_z{j}" for j in range(1, max_p + 1)]))
     data = frames[0].unionByName(frames[1])
@@ -419,7 +399,7 @@ def ar_candidates(df: DataFrame, value: str = VALUE, max_p: int = 3, series: str
     return ne.mapInPandas(run, schema)
 
 
-def ar_select(df: DataFrame, value: str = VALUE, max_p: int = 3, series: str = SERIES, t: str = TIME,
+def ar_select(df: DataFrame, value: str = VALUE, max_p: int = 5, series: str = SERIES, t: str = TIME,
               kpss_crit: float = 0.463) -> DataFrame:
     """Differencing chosen by the KPSS level test (stat above the 5% point -> d = 1),
     then the order with the smallest AICc: one row per series."""

@@ -110,12 +110,12 @@ def forecasting_study(spark: SparkSession, d: str, horizon: int = 6, width: int
             "mape": ts.mape(classical.unionByName(rival), "value", "forecast", ["series_id", "model"])}
 
 
-def digits_study(spark: SparkSession, d: str, k: int = 8, sample: float = 0.3) -> dict[str, DataFrame]:
+def digits_study(spark: SparkSession, d: str, k: int = 35, sample: float = 0.3) -> dict[str, DataFrame]:
     """Near-zero-variance screen -> PCA -> linear and random-Fourier SVMs on a hash sample."""
     from quire.sources.tables import load
     e = load(spark, d, "embeddings")
-    dims = [f"e{i}" for i in range(8)]
-    wide = e.select("vec_id", "label", *[F.col("embedding")[i].alias(f"e{i}") for i in range(8)])
+    dims = [f"e{i}" for i in range(64)]
+    wide = e.select("vec_id", "label", *[F.col("embedding")[i].alias(f"e{i}") for i in range(64)])
     nzv = clean.near_zero_variance(wide, dims)
     vec = fe.array_to_vector(e, "embedding")
     pca = fe.pca_fit(vec, "features", k)

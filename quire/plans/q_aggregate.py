@@ -195,7 +195,7 @@ def q_response_rate(spark, d):
     return applicants(spark, d).agg(r6(F.avg("y")).alias("response_rate"), F.count(F.lit(1)).cast("long").alias("n"))
 
 
-# The five order priorities (crosstab column levels).
+# The five order priorities of the test tables (columns of the oracle).
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
 
@@ -205,7 +205,14 @@ SELECT c_mktsegment, """ + ", ".join(
     f"""CAST(count(*) FILTER (WHERE o_orderpriority = '{p}') AS BIGINT) AS "{p}\"""" for p in PRIORITIES) + """
 FROM applicants GROUP BY c_mktsegment""")
 def q_crosstab(spark, d):
-    return agg.crosstab(applicants(spark, d), "c_mktsegment", "o_orderpriority", PRIORITIES)
+    return agg.crosstab(applicants(spark, d), "c_mktsegment", "o_orderpriority")
+
+
+@register("crosstab_long", sql=f"""
+WITH {APPLICANTS_SQL}
+SELECT c_mktsegment, o_orderpriority, CAST(count(*) AS BIGINT) AS n FROM applicants GROUP BY 1, 2""")
+def q_crosstab_long(spark, d):
+    return agg.crosstab_long(applicants(spark, d), "c_mktsegment", "o_orderpriority")
 
 
 @register("corr_pair", sql=f"""
@@ -228,18 +235,17 @@ def q_corr_matrix(spark, d):
     return out.select("var_a", "var_b", r6("corr").alias("corr"))
 
 
-_EMB_DIMS = 8
+_EMB_DIMS = 64
 
 
-@register("cov_matrix", sql="\nUNION ALL\n".join(
-    f"SELECT 'e{a}' AS var_a, 'e{b}' AS var_b, round(covar_samp(CAST(embedding[{a + 1}] AS DOUBLE), "
-    f"CAST(embedding[{b + 1}] AS DOUBLE)), 8) AS cov FROM embeddings"
-    for a in range(_EMB_DIMS) for b in range(a, _EMB_DIMS)))
+@register("cov_matrix", sql="""
+WITH u AS (SELECT vec_id, i, CAST(embedding[i + 1] AS DOUBLE) AS x FROM embeddings, range(0, 64) t(i))
+SELECT 'e' || a.i AS var_a, 'e' || b.i AS var_b, round(covar_samp(a.x, b.x), 8) AS cov
+FROM u a JOIN u b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY a.i, b.i""")
 def q_cov_matrix(spark, d):
-    e = load(spark, d, "embeddings")
-    wide = e.select(*[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(_EMB_DIMS)])
-    out = agg.cov_matrix(wide, [f"e{i}" for i in range(_EMB_DIMS)])
-    return out.select("var_a", "var_b", r6("cov", 8).alias("cov"))
+    out = agg.array_covariance(load(spark, d, "embeddings"), "embedding", _EMB_DIMS)
+    name = lambda c: F.concat(F.lit("e"), F.col(c).cast("string"))
+    return out.select(name("i").alias("var_a"), name("j").alias("var_b"), r6("cov", 8).alias("cov"))
 
 
 @register("ntile_score", sql=f"""

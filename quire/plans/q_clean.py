@@ -72,6 +72,19 @@ def q_drop_all_null(spark, d):
     return clean.all_null_report(_orders_plus(spark, d))
 
 
+_KEPT = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority", "half_null"]
+
+
+@register("drop_constant_columns_applied", sql=f"SELECT {', '.join(_KEPT)} FROM {_ORDERS_PLUS_SQL}")
+def q_drop_constant_applied(spark, d):
+    return clean.drop_constant_columns(_orders_plus(spark, d))
+
+
+@register("drop_all_null_applied", sql=f"SELECT {', '.join([*_KEPT, 'const_col'])} FROM {_ORDERS_PLUS_SQL}")
+def q_drop_all_null_applied(spark, d):
+    return clean.drop_all_null(_orders_plus(spark, d))
+
+
 _NZV_SRC = ("(SELECT l_quantity, l_discount, l_tax, l_linenumber, "
             "CASE WHEN l_orderkey % 50 = 0 THEN 1 ELSE 0 END AS rare_flag, 7 AS const_feature FROM lineitem)")
 
@@ -106,6 +119,20 @@ def q_nzv(spark, d):
                       "zero_var", "nzv")
 
 
+@register("near_zero_variance_applied", sql=f"SELECT l_quantity, l_discount, l_tax, l_linenumber FROM {_NZV_SRC}")
+def q_nzv_applied(spark, d):
+    """The frame without the features that the screen flags."""
+    frame = _nzv_frame(spark, d)
+    return clean.drop_near_zero_variance(clean.near_zero_variance(frame, _NZV_COLS), frame)[0]
+
+
+@register("duplicate_whole_rows", sql="""
+SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST((SELECT count(*) FROM (SELECT DISTINCT * FROM lineitem)) AS BIGINT) AS n_distinct_rows,
+       CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM lineitem)) AS BIGINT) AS n_duplicate_rows FROM lineitem""")
+def q_duplicate_whole_rows(spark, d):
+    return clean.duplicate_rows(load(spark, d, "lineitem"))
+
+
 @register("duplicate_rows", sql="""
 SELECT CAST(count(*) AS BIGINT) AS n_rows,
        CAST((SELECT count(*) FROM (SELECT DISTINCT l_returnflag, l_linestatus, l_quantity FROM lineitem)) AS BIGINT) AS n_distinct_rows,
@@ -216,9 +243,12 @@ def q_drop_invalid(spark, d):
 
 
 @register("cap_constant", sql="""
-SELECT l_orderkey, l_linenumber, least(l_quantity, 30.0) AS l_quantity FROM lineitem""")
+SELECT l_orderkey, l_linenumber,
+       CASE WHEN l_orderkey % 7 = 0 THEN NULL WHEN l_quantity > 30 THEN 30.0 ELSE l_quantity END AS l_quantity FROM lineitem""")
 def q_cap_constant(spark, d):
-    li = load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    """A NULL quantity (every seventh order) stays NULL."""
+    li = load(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.when(F.col("l_orderkey") % 7 != 0, F.col("l_quantity")).alias("l_quantity"))
     return clean.cap_constant(li, {"l_quantity": 30.0})
 
 

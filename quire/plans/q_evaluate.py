@@ -40,14 +40,13 @@ def q_confusion(spark, d):
 
 
 @register("confusion_multiclass", sql="""
-WITH pr AS (SELECT label, list_position(embedding[1:10], list_max(embedding[1:10])) - 1 AS prediction FROM embeddings),
+WITH pr AS (SELECT label, list_position(embedding, list_max(embedding)) - 1 AS prediction FROM embeddings),
 cells AS (SELECT label, CAST(prediction AS INTEGER) AS prediction, CAST(count(*) AS BIGINT) AS n FROM pr GROUP BY 1, 2)
 SELECT label, prediction, n, round(sum(CASE WHEN label = prediction THEN n ELSE 0 END) OVER () * 1.0 / sum(n) OVER (), 6) AS accuracy
 FROM cells""")
 def q_confusion_multiclass(spark, d):
     e = load(spark, d, "embeddings")
-    head = F.slice("embedding", 1, 10)
-    pred = (F.array_position(head, F.array_max(head)) - 1).cast("int")
+    pred = (F.array_position("embedding", F.array_max("embedding")) - 1).cast("int")
     out = ev.confusion_multiclass(e.select("label", pred.alias("prediction")), "label", "prediction")
     return out.select("label", "prediction", "n", r6("accuracy").alias("accuracy"))
 

@@ -157,12 +157,12 @@ def q_balance_weights(spark, d):
 @register("pca_variance")
 def q_pca_variance(spark, d):
     e = fe.array_to_vector(load(spark, d, "embeddings"), "embedding")
-    model = fe.pca_fit(e, "features", k=8)
+    model = fe.pca_fit(e, "features", k=64)               # the whole spectrum
     return fe.pca_variance(model, spark)
 
 
 @register("pca_project")
 def q_pca_project(spark, d):
     e = fe.array_to_vector(load(spark, d, "embeddings"), "embedding")
-    model = fe.pca_fit(e, "features", k=8)
+    model = fe.pca_fit(e, "features", k=35)
     return fe.pca_project(model, e, ["vec_id", "label"])

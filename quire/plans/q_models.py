@@ -3,10 +3,7 @@ re-computations live in tests), plus logit scoring with fixed coefficients (SQL)
 
 from __future__ import annotations
 
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.pipeline import Pipeline
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import functions as F
 
 from quire.functions.scalars import r6
@@ -51,7 +48,7 @@ def q_weighted_logit(spark, d):
 @register("stepwise_aic")
 def q_stepwise_aic(spark, d):
     a, feats = model_frame(spark, d)
-    _, steps = M.stepwise_aic(a, "y", feats[:6], max_steps=6)
+    _, steps = M.stepwise_aic(a, "y", feats)
     return steps
 
 
@@ -123,13 +120,13 @@ def _digits(spark, d):
     e = load(spark, d, "embeddings")
     e = e.withColumn("x", fe.scale_array("embedding", 1.0)).withColumn("label", F.col("label").cast("double"))
     split = fe.shuffle_split(e, "vec_id", 0.8, seed=5)
-    return M.right_size(split)
+    return split
 
 
 @register("svm_linear")
 def q_svm_linear(spark, d):
     s = _digits(spark, d).withColumn("features", array_to_vector("x"))
-    train, test = M.right_size(s.filter("is_train")).cache(), s.filter("NOT is_train")
+    train, test = s.filter("is_train").cache(), s.filter("NOT is_train")
     model = M.linear_svm(train, "label", max_iter=20)
     pred = model.transform(test)
     out = ev.confusion_multiclass(pred, "label", "prediction")
@@ -142,30 +139,22 @@ def q_svm_rff(spark, d):
     s = _digits(spark, d)
     rff = M.RandomFourierFeatures(inputCol="x", outputCol="features", sigma=0.5, dim=128, seed=7, inputDim=64)
     z = rff.transform(s)
-    train, test = M.right_size(z.filter("is_train")).cache(), z.filter("NOT is_train")
+    train, test = z.filter("is_train").cache(), z.filter("NOT is_train")
     model = M.linear_svm(train, "label", max_iter=20)
     out = ev.confusion_multiclass(model.transform(test), "label", "prediction")
     train.unpersist()
     return out
 
 
+# The reference's grid and sample.
+GRID_SIGMAS, GRID_COSTS, GRID_FOLDS, GRID_SAMPLE = [0.01, 0.02, 0.03, 0.04, 0.05], [1.0, 2.0, 3.0, 4.0, 5.0], 5, 0.3
+
+
 @register("cv_grid")
 def q_cv_grid(spark, d):
-    """k-fold CV over (kernel width x cost) with folds from a hash of the key."""
-    s = _digits(spark, d).filter("is_train")
-    s = s.withColumn("fold", F.pmod(F.xxhash64("vec_id"), F.lit(3)).cast("int"))
-    rff = M.RandomFourierFeatures(inputCol="x", outputCol="features", dim=32, seed=7, inputDim=64)
-    svc = M.LinearSVC(maxIter=5)
-    ovr = M.OneVsRest(classifier=svc, labelCol="label", featuresCol="features", parallelism=8)
-    grid = ParamGridBuilder().addGrid(rff.sigma, [0.1, 1.0]).addGrid(svc.regParam, [0.01, 0.1]).build()
-    cv = CrossValidator(estimator=Pipeline(stages=[rff, ovr]), estimatorParamMaps=grid,
-                        evaluator=MulticlassClassificationEvaluator(labelCol="label", metricName="accuracy"),
-                        foldCol="fold", parallelism=4)
-    model = cv.fit(M.right_size(s.select("vec_id", "x", "label", "fold")).cache())
-    best = max(model.avgMetrics)
-    rows = [(float(pm[rff.sigma]), float(pm[svc.regParam]), float(m), bool(m == best))
-            for pm, m in zip(grid, model.avgMetrics)]
-    return spark.createDataFrame(rows, "sigma double, reg_param double, cv_accuracy double, best boolean")
+    """Cross-validated grid over kernel width and cost on a hash sample of the training part."""
+    s = fe.hash_sample(_digits(spark, d).filter("is_train"), "vec_id", GRID_SAMPLE, seed=3)
+    return M.cv_grid(s, "label", "x", "vec_id", GRID_SIGMAS, GRID_COSTS, GRID_FOLDS)
 
 
 @register("attrition_evaluation")

@@ -153,22 +153,19 @@ def _kpss_sql() -> str:
     interp += f"ELSE {pv[-1]} END"
     return f"""
 WITH {TRAIN_SQL},
-e AS (SELECT series_id, t, n, value - avg(value) OVER (PARTITION BY series_id) AS e FROM train),
-s AS (SELECT *, sum(e) OVER (PARTITION BY series_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS cs,
-             e * lag(e, 1) OVER (PARTITION BY series_id ORDER BY t) AS g1,
-             e * lag(e, 2) OVER (PARTITION BY series_id ORDER BY t) AS g2 FROM e),
-a AS (SELECT series_id, n, floor(3 * sqrt(n) / 13) AS l, sum(cs * cs) AS ss, sum(e * e) AS ee,
-             coalesce(sum(g1), 0) AS g1, coalesce(sum(g2), 0) AS g2 FROM s GROUP BY series_id, n),
-k AS (SELECT series_id, n, l, (ss / (n * n)) /
-             (ee / n + CASE WHEN l >= 1 THEN 2.0 / n * (1 - 1 / (l + 1)) * g1 ELSE 0 END
-                     + CASE WHEN l >= 2 THEN 2.0 / n * (1 - 2 / (l + 1)) * g2 ELSE 0 END) AS stat FROM a)
+e AS (SELECT series_id, t, n, floor(3 * sqrt(n) / 13) AS l, value - avg(value) OVER (PARTITION BY series_id) AS e FROM train),
+s AS (SELECT *, sum(e) OVER (PARTITION BY series_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS cs FROM e),
+g AS (SELECT x.series_id, sum(2.0 / x.n * (1 - (x.t - y.t) / (x.l + 1)) * x.e * y.e) AS w
+      FROM e x JOIN e y ON x.series_id = y.series_id AND y.t < x.t AND x.t - y.t <= x.l GROUP BY 1),
+a AS (SELECT series_id, n, l, sum(cs * cs) AS ss, sum(e * e) AS ee FROM s GROUP BY series_id, n, l),
+k AS (SELECT series_id, n, l, (ss / (n * n)) / (ee / n + coalesce(w, 0)) AS stat FROM a LEFT JOIN g USING (series_id))
 SELECT series_id, CAST(n AS BIGINT) AS n, CAST(l AS INTEGER) AS lags, round(stat, 6) AS stat,
        round({interp}, 6) AS p_value FROM k"""
 
 
 @register("ts_kpss", sql=_kpss_sql())
 def q_ts_kpss(spark, d):
-    k = ts.kpss(train_frame(spark, d), "value", max_lag=2)
+    k = ts.kpss(train_frame(spark, d), "value")
     return k.select("series_id", "n", "lags", r6("stat").alias("stat"), r6("p_value").alias("p_value"))
 
 
@@ -179,12 +176,12 @@ def q_ts_adf(spark, d):
 
 @register("ts_ar_select")
 def q_ts_ar_select(spark, d):
-    return ts.ar_select(train_frame(spark, d, materialise=True), "value", max_p=3)
+    return ts.ar_select(train_frame(spark, d, materialise=True), "value")
 
 
 def _ar_forecasts(spark, d):
     train = train_frame(spark, d, materialise=True)
-    model = ts.ar_select(train, "value", max_p=3)
+    model = ts.ar_select(train, "value")
     return ts.ar_forecast(train, model, H)
 
 

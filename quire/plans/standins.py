@@ -9,9 +9,7 @@ from pyspark.sql import functions as F
 from quire.functions.scalars import sigmoid
 from quire.sources.tables import load
 
-# Cut-off date of the last complete month and the reference's
-# forecasting hold-out length.
-LAST_MONTH_START = "2001-08-01"
+# Fixed value: the reference's forecasting hold-out length.
 HOLDOUT_MONTHS = 6
 
 # ---------------------------------------------------------------- segments
@@ -24,16 +22,19 @@ seg_orders AS (
   JOIN customer c ON o.o_custkey = c.c_custkey
   JOIN nation n ON c.c_nationkey = n.n_nationkey
   JOIN region r ON n.n_regionkey = r.r_regionkey
-  WHERE o.o_orderdate < TIMESTAMP '{LAST_MONTH_START}')"""
+  WHERE o.o_orderdate < (SELECT date_trunc('month', max(o_orderdate)) FROM orders))"""
 
 
 def segment_orders(spark: SparkSession, d: str) -> DataFrame:
-    """Orders labelled with the region_segment key and their calendar month.
+    """Orders labelled with the region_segment key and their calendar month; the last
+    month of the data is left out, it may be incomplete.
 
     nation (25 rows) and region (5 rows) have fixed sizes, so they are
     broadcast; orders x customer is a shuffle join that AQE may re-plan."""
-    orders = load(spark, d, "orders").filter(
-        F.col("o_orderdate") < F.expr(f"TIMESTAMP_NTZ '{LAST_MONTH_START} 00:00:00'"))
+    orders = load(spark, d, "orders")
+    last = orders.agg(F.max(F.col("o_orderdate").cast("date")).alias("m")).first()["m"]
+    if last is not None:
+        orders = orders.filter(F.col("o_orderdate") < F.expr(f"TIMESTAMP_NTZ '{last.replace(day=1)} 00:00:00'"))
     geo = F.broadcast(load(spark, d, "nation")).join(
         F.broadcast(load(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
     cust = load(spark, d, "customer").join(geo, F.col("c_nationkey") == F.col("n_nationkey"))

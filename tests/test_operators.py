@@ -59,14 +59,13 @@ def test_rank_within_groups(spark):
     assert (m["rank"] == m["r"]).all()
 
 
-@pytest.mark.parametrize("method", ["rank", "percentile", "counts", "band", "auto"])
-def test_quantiles_are_r_type7(spark, method):
+def test_quantiles_are_r_type7(spark):
     rng = np.random.default_rng(3)
     pdf = pd.DataFrame({"g": rng.integers(0, 3, 301), "x": rng.normal(0, 1, 301).round(2)})
     pdf.loc[::7, "x"] = np.nan
     df = spark.createDataFrame(pdf).withColumn("x", F.when(F.isnan("x"), None).otherwise(F.col("x")))
     probs = [0, 0.1, 0.25, 0.5, 0.9, 1]
-    got = grouped_quantiles(df, ["g"], "x", probs, method=method).toPandas()
+    got = grouped_quantiles(df, ["g"], "x", probs).toPandas()
     for (g, p), q in got.set_index(["g", "prob"])["q"].items():
         vals = pdf.loc[(pdf.g == g) & pdf.x.notna(), "x"].to_numpy()
         assert math.isclose(q, np.quantile(vals, p), rel_tol=1e-12, abs_tol=1e-12)
@@ -194,10 +193,9 @@ def test_scorecard_cutoffs_brute_force(spark):
         assert r["customer_loss"] == (pdf.y == 0).sum() - (acc.y == 0).sum()
 
 
-@pytest.mark.parametrize("method", ["rank", "counts", "percentile", "band"])
-def test_quantiles_keep_a_null_group(spark, method):
+def test_quantiles_keep_a_null_group(spark):
     pdf = pd.DataFrame({"g": ["a", "a", "a", None, None], "x": [1.0, 2.0, 3.0, 10.0, 20.0]})
-    got = grouped_quantiles(spark.createDataFrame(pdf), ["g"], "x", [0.5], method=method).toPandas()
+    got = grouped_quantiles(spark.createDataFrame(pdf), ["g"], "x", [0.5]).toPandas()
     res = {(None if pd.isna(g) else g): q for g, q in zip(got["g"], got["q"])}
     assert res == {"a": 2.0, None: 15.0}
 
@@ -216,10 +214,10 @@ def test_edge_cases_empty_single_one_class(spark):
     # empty input: zero-count sweeps, no quantiles, empty lift
     sw = ev.cutoff_sweep(empty, "y", "p", 0.1, 0.9, 5).toPandas()
     assert len(sw) == 5 and (sw["tp"] == 0).all() and sw["sensitivity"].isna().all()
-    assert grouped_quantiles(empty, [], "p", [0.5], method="rank").count() == 0
+    assert grouped_quantiles(empty, [], "p", [0.5]).count() == 0
     assert ev.lift_table(empty, "y", "p", "id").count() == 0
     # single row
-    q = grouped_quantiles(one, [], "p", [0.0, 0.5, 1.0], method="rank").toPandas()
+    q = grouped_quantiles(one, [], "p", [0.0, 0.5, 1.0]).toPandas()
     assert (q["q"] == 0.4).all()
     assert global_ntile(one, [F.col("p")], 10).first()["tile"] == 1
     # one class only: specificity undefined, sensitivity defined
@@ -229,39 +227,13 @@ def test_edge_cases_empty_single_one_class(spark):
     assert ak["auc"] is None or math.isnan(ak["auc"])
 
 
-@pytest.mark.parametrize("accuracy", [100, 1000])
-def test_band_quantiles_narrow_bands_with_ties(spark, accuracy):
-    from quire.operators.quantile import _quantiles_by_band
-    rng = np.random.default_rng(21)
-    n = 50000
-    x = rng.normal(size=n).round(2)                 # many ties
-    x[: n // 5] = 0.0                               # a fifth of the rows share the median region value
-    g = rng.choice(["a", "b"], n)
-    pdf = pd.DataFrame({"g": g, "_x": x})
-    probs = [0.0, 0.05, 0.25, 0.5, 0.77, 0.99, 1.0]
-    got = _quantiles_by_band(spark.createDataFrame(pdf), ["g"], probs, accuracy).toPandas()
-    for (gg, p), q in got.set_index(["g", "prob"])["q"].items():
-        assert math.isclose(q, np.quantile(x[g == gg], p), rel_tol=1e-12, abs_tol=1e-12)
-
-
-def test_band_quantiles_fall_back_when_a_band_misses(spark, monkeypatch):
-    from pyspark.sql import functions as Fn
-    from quire.operators import quantile as qmod
-    pdf = pd.DataFrame({"_x": np.arange(1000, dtype=float)})
-    real = Fn.percentile_approx
-    monkeypatch.setattr(qmod.F, "percentile_approx", lambda c, p, a: Fn.transform(real(c, p, a), lambda v: v + 500))
-    got = qmod._quantiles_by_band(spark.createDataFrame(pdf), [], [0.5], 10000).first()["q"]
-    assert got == 499.5
-
-
 def _trim_ref(v, trim=0.1):
     v = np.sort(v)
     k = int(np.floor(len(v) * trim))
     return v[k:len(v) - k].mean()
 
 
-@pytest.mark.parametrize("method", ["band", "rank", "counts"])
-def test_trimmed_mean_methods(spark, method):
+def test_trimmed_mean_with_a_hot_value(spark):
     from quire.operators.profile import trimmed_mean
     rng = np.random.default_rng(31)
     n = 40000
@@ -269,32 +241,35 @@ def test_trimmed_mean_methods(spark, method):
     x[: n // 10] = 1.5                              # a tie block near a trim point
     g = rng.choice(["a", "b"], n)
     df = spark.createDataFrame(pd.DataFrame({"g": g, "x": x}))
-    got = trimmed_mean(df, ["g"], "x", 0.1, method=method).toPandas().set_index("g")["trimmed"]
+    got = trimmed_mean(df, ["g"], "x", 0.1).toPandas().set_index("g")["trimmed"]
     for gg in ["a", "b"]:
         assert math.isclose(got[gg], _trim_ref(x[g == gg]), rel_tol=1e-12)
 
 
-def test_trimmed_band_narrow(spark):
-    from quire.operators.profile import _trimmed_by_band
-    rng = np.random.default_rng(32)
-    x = rng.exponential(size=30000)
-    df = spark.createDataFrame(pd.DataFrame({"_x": x}))
-    res = _trimmed_by_band(df, [], 0.1, accuracy=200)
-    assert res is not None
-    assert math.isclose(res.first()["trimmed"], _trim_ref(x), rel_tol=1e-12)
-
-
 @pytest.mark.parametrize("n,ratio", [(5, 0.7), (400, 0.7), (3001, 0.3), (20000, 0.8)])
-def test_band_split_equals_rank_split(spark, n, ratio):
+def test_hash_split_equals_ranking_every_row(spark, n, ratio):
     rng = np.random.default_rng(n)
     pdf = pd.DataFrame({"id": np.arange(n), "y": rng.integers(0, 2, n)})
     df = spark.createDataFrame(pdf)
-    a = fe.stratified_split(df, "y", "id", ratio, method="band").toPandas().set_index("id")["is_train"]
-    b = fe.stratified_split(df, "y", "id", ratio, method="rank").toPandas().set_index("id")["is_train"]
-    assert (a.sort_index() == b.sort_index()).all()
-    s1 = fe.hash_sample(df, "id", ratio, method="band").toPandas()["id"]
-    s2 = fe.hash_sample(df, "id", ratio, method="rank").toPandas()["id"]
-    assert sorted(s1) == sorted(s2) and len(s1) == int(np.floor(n * ratio))
+    got = fe.stratified_split(df, "y", "id", ratio).toPandas().set_index("id")["is_train"]
+    import hashlib
+    pdf["h"] = [hashlib.md5(f"1:{i}".encode()).hexdigest() for i in pdf["id"]]
+    pdf = pdf.sort_values(["h", "id"])
+    pdf["r"] = pdf.groupby("y").cumcount() + 1
+    size = pdf.groupby("y")["id"].transform("size")
+    want = pdf.assign(w=pdf["r"] <= (size * ratio).round()).set_index("id")["w"]
+    assert (got.sort_index() == want.sort_index()).all()
+    sample = fe.hash_sample(df, "id", ratio).toPandas()["id"]
+    assert sorted(sample) == sorted(pdf["id"].head(int(np.floor(n * ratio))))
+
+
+def test_hash_split_keeps_repeated_keys_together(spark):
+    df = spark.createDataFrame([(i % 50, i) for i in range(2000)], "k long, v long")
+    got = fe.shuffle_split(df, "k", 0.555).toPandas()
+    assert len(got) == 2000 and got.groupby("k")["is_train"].nunique().max() == 1
+    assert 1110 <= got["is_train"].sum() < 1110 + 40
+    assert fe.shuffle_split(df.limit(0), "k", 0.5).count() == 0
+    assert not fe.shuffle_split(df, "k", 0.0).where("is_train").count()
 
 
 def test_two_digit_year_pivot(spark):
@@ -320,3 +295,85 @@ def test_cutoff_sweep_degenerate_grids(spark, start, stop):
     for _, r in sw.iterrows():
         pred = pdf.p >= start + r["i"] * by
         assert r["tp"] == int((pred & (pdf.y == 1)).sum()) and r["fp"] == int((pred & (pdf.y == 0)).sum())
+
+
+def test_caps_keep_null(spark):
+    df = spark.createDataFrame([(None,), (5.0,), (7.0,), (1000.0,)], "x double")
+    assert [r[0] for r in clean.cap_constant(df, {"x": 6.0}).collect()] == [None, 5.0, 6.0, 6.0]
+    assert clean.iqr_cap(df, ["x"]).where("x IS NULL").count() == 1
+
+
+def test_all_null_column_is_zero_variance(spark):
+    df = spark.createDataFrame([(1.0, None), (2.0, None)], "a double, b double")
+    got = {r["feature"]: (r["zero_var"], r["nzv"]) for r in clean.near_zero_variance(df, ["a", "b"]).collect()}
+    assert got == {"a": (False, False), "b": (True, True)}
+
+
+def test_constant_columns_without_distinct_counts(spark):
+    df = spark.createDataFrame([(1, None, "x", None, 1), (1, None, "x", "a", 2)], "a int, b string, c string, d string, e int")
+    assert clean.constant_columns(df) == ["a", "b", "c"]
+
+
+def test_woe_beyond_the_training_range_and_null_level(spark):
+    rows = [(float(i), "NA" if i % 3 else None, int(i % 7 == 0 or (i > 900 and i % 2))) for i in range(1, 1001)]
+    train = spark.createDataFrame(rows, "x double, g string, y int")
+    model = fe.fit_woe(train, "y", ["x"], ["g"])
+    test = spark.createDataFrame([(1000.0, "NA"), (1001.0, None), (-5.0, "new"), (1.0, None)], "x double, g string")
+    got = [tuple(r) for r in model.transform(test).select("x_woe", "g_woe").collect()]
+    assert got[0][0] == got[1][0] != 0.0 and got[2][0] == got[3][0] != 0.0
+    assert got[0][1] != got[1][1] == got[3][1] and got[2][1] == 0.0
+
+
+def test_wide_woe_feature_is_joined(spark, monkeypatch):
+    train = spark.createDataFrame([(f"g{i % 9}" if i % 9 else None, int(i % 4 == 0 or i % 9 == 1)) for i in range(400)], "g string, y int")
+    small = fe.fit_woe(train, "y", [], ["g"]).transform(train).select("g", "g_woe").distinct().collect()
+    monkeypatch.setattr(fe, "MAX_MAP_CELLS", 2)
+    model = fe.fit_woe(train, "y", [], ["g"])
+    assert list(model.wide) == ["g"]
+    assert sorted(map(str, model.transform(train).select("g", "g_woe").distinct().collect())) == sorted(map(str, small))
+
+
+def test_levels_that_clean_to_one_name(spark):
+    df = spark.createDataFrame([("A",), ("B C",), ("B-C",), ("B.C",)], "g string")
+    out = fe.dummy_code(df, fe.fit_levels(df, ["g"]))
+    assert out.columns == ["g.xB.C", "g.xB.C.1", "g.xB.C.2"]
+    assert [sum(r) for r in out.collect()] == [0, 1, 1, 1]
+    _, vec = fe.sparse_dummies(df, ["g"])
+    assert len({str(r["g_vec"]) for r in vec.collect()}) == 4
+
+
+def test_scores_of_certain_and_missing_probabilities(spark):
+    df = spark.createDataFrame([(0, 0.0, 10.0), (1, 1.0, 10.0), (0, None, 10.0), (1, None, 10.0), (0, 0.5, 10.0)], "y int, p double, e double")
+    s = df.withColumn("score", sc.score_points(F.col("p")))
+    assert [r["score"] for r in s.collect()][:3] == [math.inf, -math.inf, None]
+    cut = {r["cutoff"]: r for r in sc.scorecard_cutoffs(s, "y", "score", "e", 350, 390, 20).collect()}
+    assert cut["390+"]["customer_loss"] == 1 and cut["No_Cutoffs"]["credit_risk"] == 10.0
+    b = sc.credit_benefit(s, "y", "score", "e", 350).first()
+    assert b["customer_loss_pct"] == 50.0 and b["credit_saved"] == 10.0
+
+
+def test_missing_scores_are_in_no_cell(spark):
+    df = spark.createDataFrame([(1, None), (0, None), (1, 0.7), (0, 0.2)], "y int, p double")
+    for grid in ((0.0, 1.0), (1.0, 0.0)):
+        sw = ev.cutoff_sweep(df, "y", "p", *grid, 5).toPandas()
+        assert ((sw.tp + sw.fp + sw.tn + sw.fn) == 2).all()
+
+
+def test_fixed_tolerance_cutoff(spark):
+    sweep = spark.createDataFrame([(0, 0.1, 0.9, 0.5), (1, 0.2, 0.70, 0.695), (2, 0.3, 0.6, 0.8)], "i int, cutoff double, sensitivity double, specificity double")
+    assert ev.cutoff_within(sweep, 0.01).first()["i"] == 1 and ev.cutoff_within(sweep, 0.001).count() == 0
+
+
+def test_levels_come_from_the_data(spark):
+    from quire.operators import aggregate as agg
+    df = spark.createDataFrame([("a", "x"), ("a", "new level"), ("b", "x")], "r string, c string")
+    assert agg.crosstab(df, "r", "c").orderBy("r").collect()[0].asDict() == {"r": "a", "new level": 1, "x": 1}
+    assert agg.crosstab_long(df, "r", "c").count() == 3
+
+
+def test_array_covariance(spark):
+    from quire.operators import aggregate as agg
+    x = np.random.default_rng(0).normal(1e6, 1, (300, 5))
+    got = agg.array_covariance(spark.createDataFrame([(list(map(float, r)),) for r in x] + [(None,)], "v array<double>"), "v", 5).collect()
+    want = np.cov(x.T)
+    assert len(got) == 15 and all(math.isclose(r["cov"], want[r["i"], r["j"]], rel_tol=1e-6, abs_tol=1e-9) for r in got)

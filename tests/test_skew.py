@@ -34,7 +34,7 @@ def test_rank_within_hot_group_is_exact(spark):
 
 def test_rank_quantiles_with_hot_group(spark):
     df, pdf = _hot_frame(spark)
-    got = grouped_quantiles(df, ["g"], "x", [0.1, 0.5, 0.9], method="rank").toPandas()
+    got = grouped_quantiles(df, ["g"], "x", [0.1, 0.5, 0.9]).toPandas()
     for (g, p), q in got.set_index(["g", "prob"])["q"].items():
         assert np.isclose(q, np.quantile(pdf.loc[pdf.g == g, "x"], p))
 
@@ -46,8 +46,10 @@ def test_dedupe_first_hot_key(spark):
     assert (got.sort_index() == exp.sort_index()).all()
 
 
-def test_global_rank_partitions_follow_input_size(spark):
-    df, _ = _hot_frame(spark)
-    wide = df.repartition(24)
-    ranked = global_rank(wide, [F.col("x"), F.col("id")])
-    assert ranked.agg(F.max("rank")).first()[0] == 30000
+def test_hot_value_collapses_before_the_running_count(spark):
+    from quire.operators.quantile import running_counts, value_counts
+    df, pdf = _hot_frame(spark)
+    run = running_counts(value_counts(df, [], "x"), [])
+    assert run.count() == pdf["x"].nunique()
+    assert run.where("x = 5.0").first()["c"] == (pdf["x"] == 5.0).sum()
+    assert run.agg(F.max("cum")).first()[0] == len(pdf)

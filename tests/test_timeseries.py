@@ -167,29 +167,33 @@ def test_trend_fit_reproduces_polynomial(spark):
     _ = F
 
 
-def test_long_series_path_equals_window_path(spark, monkeypatch):
-    """Forcing the join-based lags / balanced running sums gives the same statistics."""
+def test_blocks_of_time_give_the_same_statistics(spark, monkeypatch):
+    """Series cut into short blocks, with gaps and far-apart magnitudes."""
     rng = np.random.default_rng(11)
-    data = {"a": rng.normal(size=50).cumsum(), "b": rng.normal(size=35)}
-    df = _series(spark, data)
-    fast = {
-        "acf": ts.acf(df, "value").toPandas().sort_values(["series_id", "lag"]),
-        "kpss": ts.kpss(df, "value").toPandas().sort_values("series_id"),
-        "adf": ts.adf(df, "value").toPandas().sort_values("series_id"),
-        "smooth": ts.smooth(df, 2).toPandas().sort_values(["series_id", "t"]),
-    }
-    monkeypatch.setattr(ts, "WINDOW_MAX_SERIES_ROWS", 10)
-    assert not ts.series_bounded(df)
-    slow = {
-        "acf": ts.acf(df, "value").toPandas().sort_values(["series_id", "lag"]),
-        "kpss": ts.kpss(df, "value").toPandas().sort_values("series_id"),
-        "adf": ts.adf(df, "value").toPandas().sort_values("series_id"),
-        "smooth": ts.smooth(df, 2).toPandas().sort_values(["series_id", "t"]),
-    }
-    assert np.allclose(fast["acf"]["acf"], slow["acf"]["acf"])
-    assert np.allclose(fast["kpss"]["stat"], slow["kpss"]["stat"])
-    assert np.allclose(fast["adf"]["stat"], slow["adf"]["stat"])
-    assert np.allclose(fast["smooth"]["smoothed"], slow["smooth"]["smoothed"])
+    df = _series(spark, {"a": rng.normal(size=50).cumsum(), "b": rng.normal(size=35), "big": np.full(40, 1e15), "tenth": np.full(40, 0.1)})
+    stats = lambda: {
+        "acf": ts.acf(df, "value").toPandas().sort_values(["series_id", "lag"])["acf"],
+        "kpss": ts.kpss(df.where("series_id in ('a', 'b')"), "value").toPandas().sort_values("series_id")["stat"],
+        "adf": ts.adf(df.where("series_id in ('a', 'b')"), "value").toPandas().sort_values("series_id")["stat"],
+        "smooth": ts.smooth(df, 2).toPandas().sort_values(["series_id", "t"])["smoothed"]}
+    whole = stats()
+    monkeypatch.setattr(ts, "BLOCK_STEPS", 4)
+    for name, values in stats().items():
+        assert np.allclose(values, whole[name], equal_nan=True), name
+    total = ts.running_sum(df, "value").where("series_id = 'tenth'").agg(F.max("_cum")).first()[0]
+    assert math.isclose(total, 4.0)
+
+
+def test_lags_look_at_times_not_positions(spark):
+    df = spark.createDataFrame([("s", t, float(t)) for t in (1, 2, 4, 5, 9000)], "series_id string, t long, value double")
+    got = {r["t"]: (r["_lag1"], r["_lagm1"]) for r in ts.lagged(df, "value", [1, -1]).collect()}
+    assert got == {1: (None, 2.0), 2: (1.0, None), 4: (None, 5.0), 5: (4.0, None), 9000: (None, None)}
+
+
+def test_chi2_tails_of_arrays():
+    x, k = np.array([1.0, 3.84145882, 5.99146455, 0.0, np.nan, 18.307038, 2.0, 7.0]), np.array([2, 1, 2, 3, 2, 10, 0, 5])
+    got = ts.chi2_tails(x, k)
+    assert np.allclose(got, [math.exp(-0.5), 0.05, 0.05, 1.0, np.nan, 0.05, np.nan, 0.2206], atol=1e-4, equal_nan=True)
 
 
 def test_standardised_residuals_unit_sd(spark):
