@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -44,8 +45,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint directory, wiring it up if needed.
 
     The cluster names a shared folder in ``spark.checkpoint.dir``; that is
-    used as is.  Only when nothing is configured (a local test run) is a
-    fresh scratch folder created.
+    used as is.  A scratch folder is created only where driver and tasks are one
+    process (a ``local[...]`` master); elsewhere a missing setting is an error,
+    because each executor would write to its own disk.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -53,6 +55,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not configured:
+        if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="quire-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

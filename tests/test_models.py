@@ -73,3 +73,13 @@ def test_stepwise_drops_noise_and_elimination_stops(spark):
     assert steps.count() >= 1
     fit, log = M.backward_eliminate(df, "y", ["a", "b", "c", "noise"], vif_max=2.0, p_max=0.05)
     assert all(p <= 0.05 for p in fit.p[1:])
+
+
+def test_cv_grid_finds_a_separable_problem(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 4))
+    y = (np.linalg.norm(x, axis=1) > 1.8).astype(int)          # a ring: no plane separates it
+    df = spark.createDataFrame([(i, list(map(float, v)), int(c)) for i, (v, c) in enumerate(zip(x, y))], "id long, x array<double>, y int")
+    got = M.cv_grid(df, "y", "x", "id", [0.001, 0.3], [1.0, 10.0], folds=3, dim=200, input_dim=4, max_iter=60).toPandas()
+    assert len(got) == 4 and got["best"].sum() >= 1
+    assert got[got.sigma == 0.3]["cv_accuracy"].max() > 0.85 > got[got.sigma == 0.001]["cv_accuracy"].max()
