@@ -149,8 +149,7 @@ def held_out(doc_id):
 def op3(spark, sf_dir):
     """Toxicity score of every document; learned from labels outside the held-out third."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    labelled = (docs.select("doc_id", "text").where(~held_out("doc_id"))
-                .join(labels.select("doc_id", "toxic").where(~held_out("doc_id")), "doc_id").select("text", "toxic"))
+    labelled = toxicity.labelled_texts(docs, labels.where(~held_out("doc_id")))
     out = toxicity.scored(docs, toxicity.learn(labelled))
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
 

@@ -19,7 +19,7 @@ bound, drawn evenly by hash) and never labels, language, source or id as an
 input.  Scoring covers every text, whole.
 
 Cases: a null or empty text has the score of no match; texts with no words too;
-labels may be null (left out), missing, or repeated (each row counts); with no
+labels may be null (left out), missing, or repeated (equal ones count once); with no
 toxic or no clean rows to learn from the lexicon is empty and every score is
 that of no match; repeated documents get a row each; an empty table gives an
 empty result; other columns are not read.
@@ -39,6 +39,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.common import materialise
+
 MAX_LABELLED = 200_000
 #: beginnings of words that may become terms, in letters
 STEMS = (4, 5, 6, 7)
@@ -140,6 +142,22 @@ def score(words: list[str], lexicon: Lexicon, automaton) -> float:
     return 1.0 / (1.0 + math.exp(-max(min(z, 30.0), -30.0)))
 
 
+def labelled_texts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                   label_col: str = "toxic", max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """(text, toxic) of labelled documents, written once to the shared folder.
+
+    At most about ``max_labelled`` distinct labels are drawn, evenly by a hash of
+    the id.  That bounds what is broadcast to the documents (16 bytes a label), so
+    their texts are picked out where they are read and never shuffled."""
+    own = (labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
+           .where("id is not null and y is not null").distinct())
+    n = own.count()
+    if n > max_labelled:
+        own = own.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000_000)) < int(1_000_000_000 * max_labelled / n))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return materialise(rows.join(F.broadcast(own), "id").select("text", F.col("y").alias("toxic")), "labelled")
+
+
 def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic",
           max_labelled: int = MAX_LABELLED) -> Lexicon:
     """A lexicon from labelled texts.

@@ -59,6 +59,13 @@ def test_nothing_to_learn_from(spark):
     assert X.scored(spark.createDataFrame([], "doc_id long, text string"), X.Lexicon()).collect() == []
 
 
+def test_labelled_texts_are_drawn_within_the_bound(spark):
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(1000)] + [(None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1000)] * 2 + [(3, None), (None, 1), (5000, 1)], "doc_id long, toxic int")
+    assert X.labelled_texts(docs, labels).count() == 1000
+    assert 50 <= X.labelled_texts(docs, labels, max_labelled=100).count() <= 160
+
+
 def test_held_out_rows(spark, sf_dir):
     """Of the held-out labels, no clean document is called toxic and most toxic ones are found."""
     got = queries.QUERIES["op3_toxicity"](spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id").where("held_out")
