@@ -4,10 +4,13 @@ A byte is removed if it is covered by a string of ``length`` bytes that also
 starts in a document with a smaller id.  Strings are judged on the input, they
 may overlap, and none crosses documents.
 
+A text equal to one of a smaller id is removed whole, and of such a group only
+the smallest id takes part in what follows: all its strings start there.
+
 Texts are dealt to shards by content, so that equal strings meet.  Every window
-of ``length`` bytes has a seed, the 24-byte string in it with the smallest hash
+of ``length`` bytes has a seed, the 16-byte string in it with the smallest hash
 (a function of the window alone); a run of windows with one seed is a segment of
-at most 76 bytes.  A first pass finds the seeds that occur in two documents or
+at most 84 bytes.  A first pass finds the seeds that occur in two documents or
 more: tasks merge equal seeds, report each once to the bucket of its hash, and
 learn which are shared.  Segments of other seeds cannot hold a repeated string
 and go no further.  Equal segments are merged in the task (a group of copies, or
@@ -34,6 +37,7 @@ in parts that overlap, so memory is bounded by ``PART_BYTES``.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from math import ceil
 
@@ -46,12 +50,12 @@ from pyspark.sql import types as T
 from quire.llm.common import row_column, text_bytes
 
 LENGTH = 50
-SEED = 24
+SEED = 16
 #: text of one vectorised step, text per bucket of seeds, and of segments per bucket and shard
-PART_BYTES = 1 << 22
-BUCKET_BYTES = 1 << 25
-SEGMENT_BUCKET_BYTES = 1 << 23
-SHARD_BYTES = 1 << 21
+PART_BYTES = 1 << 21
+BUCKET_BYTES = 1 << 24
+SEGMENT_BUCKET_BYTES = 1 << 22
+SHARD_BYTES = 1 << 20
 _PLACE = np.uint64((1 << 20) - 1)
 _BASE, _MIX = 0x100000001B3, np.uint64(0xFF51AFD7ED558CCD)
 
@@ -60,12 +64,18 @@ def _window_seeds(data: np.ndarray, length: int) -> np.ndarray:
     """Per window of ``length`` bytes: the smallest seed hash (top 44 bits) and
     its place (low 20 bits, wrapping)."""
     power = lambda n: np.uint64(pow(_BASE, n, 1 << 64))
-    h1 = data.astype(np.uint64) + np.uint64(1)
-    h2 = h1[:-1] * power(1) + h1[1:]
-    h4 = h2[:-2] * power(2) + h2[2:]
-    h8 = h4[:-4] * power(4) + h4[4:]
-    h = h8[:-8] * power(8) + h8[8:]
-    h = h[:-8] * power(8) + h8[16:]
+    part, wide, h, done = data.astype(np.uint64) + np.uint64(1), 1, None, 0
+    while wide <= SEED:  # hashes of strings of 1, 2, 4, ... bytes; those in SEED's sum are put together
+        if SEED & wide:
+            if h is None:
+                h = part.copy()
+            else:
+                n = min(len(part), len(h) - wide)
+                h = part[:n] * power(done) + h[wide:wide + n]
+            done += wide
+        part = part[:-wide] * power(wide) + part[wide:]
+        wide *= 2
+    h = h[:len(data) - SEED + 1]
     h ^= h >> np.uint64(32)
     h *= _MIX
     h ^= h >> np.uint64(29)
@@ -126,14 +136,21 @@ def _blobs(kind: int, bucket: np.ndarray, keys: np.ndarray, docs: np.ndarray):
         yield int(bucket[a]), kind, keys[a:b].tobytes(), docs[a:b].tobytes()
 
 
+def _text_bytes(rows: pa.StructArray) -> list[bytes]:
+    """The texts (first field) of packed rows."""
+    return [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in rows.flatten()[0]]
+
+
 def shared_seeds(rows: DataFrame, buckets: int, length: int = LENGTH) -> DataFrame:
     """(doc, keys): the seed hashes of a document that occur in another one
-    too; ``rows`` has doc and t."""
+    too; ``rows`` has doc, row and gone, and copies take no part."""
 
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs = batch.column(0).to_numpy(zero_copy_only=False)
-            texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
+            known = batch.column(0).is_valid().to_pylist()
+            docs = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
+            texts = [b"" if not ok or _is_copy(t, g) else t
+                     for ok, t, g in zip(known, _text_bytes(batch.column(1)), batch.column(2).to_pylist())]
             for _, _, row, _, _, key in segments(texts, length):
                 doc = docs[row]
                 order = np.lexsort((doc, key))
@@ -172,7 +189,8 @@ def shared_seeds(rows: DataFrame, buckets: int, length: int = LENGTH) -> DataFra
         return pa.table({"doc": pa.array(doc[cuts], pa.int64()), "keys": pa.array(
             [np.unique(key[a:b]).tobytes() for a, b in zip(cuts.tolist(), ends)], pa.binary())})
 
-    reports = rows.where("doc is not null").mapInArrow(report, "bucket long, kind int, keys binary, docs binary")
+    # (no filter here: the rows come from the same shuffle as in the later steps)
+    reports = rows.mapInArrow(report, "bucket long, kind int, keys binary, docs binary")
     return reports.groupBy("bucket").applyInArrow(settle, "doc long, keys binary")
 
 
@@ -256,9 +274,9 @@ class Shard:
         new = prefix[order] < length
         new[:1] = True
         first = np.flatnonzero(new)
-        self.kind = np.cumsum(new) - 1  # class of each window, in sorted order
-        self.owner = owner[order]
-        self.place = order - begins[self.owner]
+        self.kind = (np.cumsum(new) - 1).astype(np.int32)  # class of each window, in sorted order
+        self.owner = owner[order].astype(np.int32)
+        self.place = (order - begins[self.owner]).astype(np.int8)
         self.low = np.minimum.reduceat(low[self.owner], first) if len(first) else low[:0]
         self.high = np.maximum.reduceat(high[self.owner], first) if len(first) else high[:0]
         raw = np.lib.stride_tricks.sliding_window_view((text - 1).astype(np.uint8), length)[order[first]]
@@ -305,17 +323,34 @@ def merged(shards: list[Shard]) -> None:
         shard.low, shard.high = low[at], high[at]
 
 
+def _packed(parts: list[bytes]) -> bytes:
+    """Segments, all shorter than 256 bytes, as one compressed string."""
+    import zstandard
+
+    return zstandard.compress(bytes(map(len, parts)) + b"".join(parts), 3)
+
+
+def _unpacked(data: bytes, n: int) -> list[bytes]:
+    import zstandard
+
+    data = zstandard.decompress(data)
+    ends = np.cumsum(np.frombuffer(data[:n], np.uint8).astype(np.int64)) + n
+    return [data[a:b] for a, b in zip([n, *ends[:-1].tolist()], ends.tolist())]
+
+
 def _window_marks(table: pa.Table, length: int) -> pa.Table:
     """(s1, s2, low, mask) for the segments of one bucket: per smallest id, the
     windows whose string is in a document with that id and in another."""
-    s1, s2, low, high = (table[c].to_numpy() for c in ("s1", "s2", "low", "high"))
+    texts = [x for data, n in zip(table["segments"].to_pylist(), table["n"].to_pylist()) for x in _unpacked(data, n)]
+    s1, s2 = _names(texts)
+    low, high = (np.frombuffer(b"".join(table[c].to_pylist()), np.int64) for c in ("low", "high"))
     order = np.lexsort((s2, s1))
     s1, s2, low, high = s1[order], s2[order], low[order], high[order]
     first = np.flatnonzero(np.concatenate(([True], (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1]))))
     low, high = np.minimum.reduceat(low, first), np.maximum.reduceat(high, first)
     s1, s2 = s1[first], s2[first]
-    texts = table["segment"].combine_chunks().take(pa.array(order[first])).to_pylist()
-    shards, at = [], 0
+    texts = [texts[i] for i in order[first].tolist()]
+    shards = []
     cuts = [0]
     size = 0
     for k, text in enumerate(texts):
@@ -338,32 +373,53 @@ def _window_marks(table: pa.Table, length: int) -> pa.Table:
         first = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (lows[1:] != lows[:-1])))) \
             if len(owner) else np.array([], int)
         if len(first):
-            mask = np.bitwise_or.reduceat(np.int64(1) << place, first)
+            mask = np.bitwise_or.reduceat(np.int64(1) << place.astype(np.int64), first)
             for x, y in zip(out, (s1[owner[first]], s2[owner[first]], lows[first], mask)):
                 x.append(y)
-    return pa.table({n: pa.array(np.concatenate(x) if x else np.array([], np.int64)) for n, x in zip(
-        ("s1", "s2", "low", "mask"), out)})
+    kinds = (np.int64, np.int32, np.int64, np.int64)
+    return pa.table({n: pa.array(np.concatenate(x) if x else np.array([], k)) for n, x, k in zip(
+        ("s1", "s2", "low", "mask"), out, kinds)})
 
 
 def _text_key(data: bytes) -> int:
+    """31 bits that tell the texts of one id apart, above 32 bits for a place."""
     from xxhash import xxh64_intdigest
 
-    return xxh64_intdigest(data) - (1 << 63)
+    return (xxh64_intdigest(data) >> 33) << 32
+
 
+def copies(docs: DataFrame, length: int) -> DataFrame:
+    """(cdoc, gone): per document the MD5 of its texts that a document with a smaller
+    id has too, word for word."""
+    texts = docs.where(F.octet_length("row.t") >= length).select("doc", F.md5(F.col("row.t").cast("binary")).alias("h"))
+    first = texts.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
+    later = texts.join(first.select("h", "first"), "h").where("doc > first")
+    return later.groupBy(F.col("doc").alias("cdoc")).agg(F.collect_set("h").alias("gone"))
 
-def _with_seeds(docs: DataFrame, shared: DataFrame) -> DataFrame:
+
+def _is_copy(data: bytes, gone: list[str] | None) -> bool:
+    return bool(gone) and hashlib.md5(data).hexdigest() in gone
+
+
+def _originals(docs: DataFrame, again: DataFrame) -> DataFrame:
+    """(doc, row, gone): rows with what is known of their copies."""
+    return docs.join(again, docs.doc == again.cdoc, "left").select("doc", "row", "gone")
+
+
+def _with_seeds(rows: DataFrame, shared: DataFrame) -> DataFrame:
     keys = shared.groupBy(F.col("doc").alias("kdoc")).agg(F.collect_list("keys").alias("keys"))
-    return docs.join(keys, docs.doc == keys.kdoc, "left").select("doc", "t", "keys")
+    return rows.join(keys, rows.doc == keys.kdoc, "left").select("doc", "row", "gone", "keys")
 
 
 def _shared_segments(batch: pa.RecordBatch, length: int):
     """(documents, text keys, what ``segments`` yields) of a batch's shared seeds."""
     docs, texts, wanted = [], [], []
-    for doc, text, keys in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-        if keys and doc is not None:
-            docs.append(doc)
-            texts.append((text or "").encode("utf-8", "surrogatepass"))
-            wanted.append(np.frombuffer(b"".join(keys), np.uint64))
+    for doc, data, gone, keys in zip(batch.column(0), _text_bytes(batch.column(1)), batch.column(2), batch.column(3)):
+        if keys.is_valid and doc.is_valid:
+            if not _is_copy(data, gone.as_py()):
+                docs.append(doc.as_py())
+                texts.append(data)
+                wanted.append(np.frombuffer(b"".join(keys.as_py()), np.uint64))
     if not docs:
         return
     text_keys = np.array([_text_key(t) for t in texts], np.int64)
@@ -375,60 +431,70 @@ def _shared_segments(batch: pa.RecordBatch, length: int):
         yield docs[row[here]], text_keys[row[here]], buffer, at[here], start[here], n[here], key[here]
 
 
-def _names(buffer: bytes, at: np.ndarray, n: np.ndarray, length: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """The segments and their 128-bit names."""
+def _cut_out(buffer: bytes, at: np.ndarray, n: np.ndarray, length: int) -> list[bytes]:
+    return [buffer[a:b] for a, b in zip(at.tolist(), (at + n + length - 1).tolist())]
+
+
+def _names(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """96-bit names of segments, as two columns."""
     from xxhash import xxh3_128_digest
 
-    parts = [buffer[a:b] for a, b in zip(at.tolist(), (at + n + length - 1).tolist())]
     both = np.frombuffer(b"".join(map(xxh3_128_digest, parts)), ">i8").reshape(-1, 2).astype(np.int64)
-    return parts, both[:, 0], both[:, 1]
+    return both[:, 0], (both[:, 1] >> 32).astype(np.int32)
 
 
-def marks(docs: DataFrame, total_bytes: int, length: int = LENGTH) -> DataFrame:
-    """(doc, marks): per document the windows to remove, as text key, place of
-    the first window and mask; ``docs`` has doc (long) and t (string)."""
+def marks(docs: DataFrame, again: DataFrame, total_bytes: int, length: int = LENGTH) -> DataFrame:
+    """(doc, marks): per document the windows to remove, as the place of the
+    first window (under its text's key) and mask; ``docs`` has doc (long) and row (a struct whose first
+    field t is the text), ``again`` is its ``copies``."""
     if not SEED < length <= SEED + 62:
         raise ValueError(f"length must be over {SEED} and at most {SEED + 62}")
     buckets = max(ceil(total_bytes / BUCKET_BYTES), 16)
     segment_buckets = max(ceil(total_bytes / SEGMENT_BUCKET_BYTES), 16)
-    wide = _with_seeds(docs, shared_seeds(docs, buckets, length))
+    rows = _originals(docs, again)
+    wide = _with_seeds(rows, shared_seeds(rows, buckets, length))
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, _, buffer, at, _, n, key in _shared_segments(batch, length):
-                parts, s1, s2 = _names(buffer, at, n, length)
-                order = np.lexsort((s2, s1))
-                new = np.concatenate(([True], (np.diff(s1[order]) != 0) | (np.diff(s2[order]) != 0))) \
-                    if len(order) else np.array([], bool)
-                first = np.flatnonzero(new)
-                if not len(first):
+                parts = _cut_out(buffer, at, n, length)
+                s1, s2 = _names(parts)
+                bucket = (key % np.uint64(segment_buckets)).astype(np.int64)
+                order = np.lexsort((s2, s1, bucket))
+                s1, s2, bucket, doc = s1[order], s2[order], bucket[order], doc[order]
+                if not len(order):
                     continue
-                head = order[first]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array((key[head] % np.uint64(segment_buckets)).astype(np.int64)), pa.array(s1[head]),
-                     pa.array(s2[head]), pa.array([parts[i] for i in head.tolist()], pa.binary()),
-                     pa.array(np.minimum.reduceat(doc[order], first)), pa.array(np.maximum.reduceat(doc[order], first))],
-                    ["bucket", "s1", "s2", "segment", "low", "high"])
+                first = np.flatnonzero(np.concatenate(([True], (np.diff(s1) != 0) | (np.diff(s2) != 0) | (np.diff(bucket) != 0))))
+                low, high = np.minimum.reduceat(doc, first), np.maximum.reduceat(doc, first)
+                head, bucket = order[first].tolist(), bucket[first]
+                cuts = np.flatnonzero(np.concatenate(([True], np.diff(bucket) != 0)))
+                out = [(int(bucket[a]), b - a, _packed([parts[i] for i in head[a:b]]), low[a:b].tobytes(), high[a:b].tobytes())
+                       for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(head)])]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(
+                    zip(*out), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))],
+                    ["bucket", "n", "segments", "low", "high"])
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, text_key, buffer, at, start, n, _ in _shared_segments(batch, length):
-                _, s1, s2 = _names(buffer, at, n, length)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (s1, s2, doc, text_key, start)],
-                                                 ["s1", "s2", "doc", "text_key", "start"])
+                s1, s2 = _names(_cut_out(buffer, at, n, length))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (s1, s2, doc, text_key | start)],
+                                                 ["s1", "s2", "doc", "place"])
 
-    found = (wide.mapInArrow(distinct, "bucket long, s1 long, s2 long, segment binary, low long, high long")
-             .groupBy("bucket").applyInArrow(lambda t: _window_marks(t, length), "s1 long, s2 long, low long, mask long"))
-    places = wide.mapInArrow(occurrences, "s1 long, s2 long, doc long, text_key long, start long")
+    found = (wide.mapInArrow(distinct, "bucket long, n long, segments binary, low binary, high binary")
+             .groupBy("bucket").applyInArrow(lambda t: _window_marks(t, length), "s1 long, s2 int, low long, mask long"))
+    places = wide.mapInArrow(occurrences, "s1 long, s2 int, doc long, place long")
     hits = places.join(found, ["s1", "s2"]).where("doc > low")
-    return hits.groupBy("doc").agg(F.collect_list(F.struct("text_key", "start", "mask")).alias("marks"))
+    return hits.groupBy("doc").agg(F.collect_list(F.struct("place", "mask")).alias("marks"))
 
 
 def spans_of(data: bytes, marked: list[dict], length: int) -> list[tuple[int, int]]:
     """Maximal runs (start, length) covered by the marked windows of a text."""
-    own = _text_key(data) if marked else 0
-    at = np.array([m["start"] for m in marked if m["text_key"] == own], np.int64)
-    mask = np.array([m["mask"] for m in marked if m["text_key"] == own], np.int64)
+    if not marked:
+        return []
+    at, mask = (np.array([m[c] for m in marked], np.int64) for c in ("place", "mask"))
+    own = at & ~np.int64(0xFFFFFFFF) == _text_key(data)
+    at, mask = at[own] & 0xFFFFFFFF, mask[own]
     if not len(at):
         return []
     hit, bit = np.nonzero((mask[:, None] >> np.arange(length - SEED + 1)) & 1)
@@ -444,51 +510,43 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n_bytes, n_removed, n_spans and kept: the remaining bytes, or with
     ``as_text`` the text they hold, without characters that a cut left broken."""
     total = df.agg(F.sum(text_bytes(F.col(text_col).cast("string"))).alias("n")).first()["n"] or 0
-    docs = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("t"))
-    found = marks(docs, total, length)
-    extra = [row_column(df, c) for c in ("_doc", "_t", "_marks")]
-    doc, text, mark = extra
-    own = [c for c in df.columns if c not in ("spans", "n_bytes", "n_removed", "n_spans", "kept")]
-    # same columns in the same order as above, where the table has no others: Spark shuffles the text once
-    wide = df.select(F.col(id_col).cast("long").alias(doc), F.col(text_col).cast("string").alias(text),
-                     *[F.col(c) for c in own if c not in (id_col, text_col)],
-                     *[F.col(c).alias(c) for c in (id_col, text_col)
-                       if c in own and dict(df.dtypes)[c] not in ("bigint", "string")])
-    joined = wide.join(found.withColumnsRenamed({"doc": "_mdoc", "marks": mark}), F.col(doc) == F.col("_mdoc"), "left").drop("_mdoc")
-
-    out_types = {"spans": T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType())])),
-                 "n_bytes": T.LongType(), "n_removed": T.LongType(), "n_spans": T.LongType(), "kept": T.StringType() if as_text else T.BinaryType()}
-    fields = [f for f in joined.schema.fields if f.name != mark]
-    schema = T.StructType([*fields, *[T.StructField(k, v) for k, v in out_types.items()]])
+    new = {"spans": T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType())])),
+           "n_bytes": T.LongType(), "n_removed": T.LongType(), "n_spans": T.LongType(),
+           "kept": T.StringType() if as_text else T.BinaryType()}
+    own = [c for c in df.columns if c not in new]
+    is_text = df.schema[text_col].dataType == T.StringType()
+    rest = [c for c in own if not (c == text_col and is_text)]
+    # a whole row travels as one column, so that every step reads the same shuffle of it
+    docs = df.select(F.col(id_col).cast("long").alias("doc"), F.struct(
+        F.col(text_col).cast("string").alias("t"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)]).alias("row"))
+    again = copies(docs, length)
+    found = marks(docs, again, total, length).withColumnRenamed("doc", "mdoc")
+    joined = _originals(docs, again)
+    joined = joined.join(found, joined.doc == found.mdoc, "left").select("row", "gone", "marks")
+    schema = T.StructType([joined.schema["row"], *[T.StructField(k, v) for k, v in new.items()]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = batch.schema.names
-            texts, marked = batch.column(names.index(text)).to_pylist(), batch.column(names.index(mark)).to_pylist()
             spans, sizes, kept = [], [], []
-            for t, m in zip(texts, marked):
-                data = (t or "").encode("utf-8", "surrogatepass")
-                gone = spans_of(data, m or [], length)
-                at, rest = 0, []
-                for start, size in gone:
-                    rest.append(data[at:start])
+            for data, g, m in zip(_text_bytes(batch.column(0)), batch.column(1), batch.column(2)):
+                cuts = [(0, len(data))] if _is_copy(data, g.as_py()) else spans_of(data, m.as_py() or [], length)
+                at, left = 0, []
+                for start, size in cuts:
+                    left.append(data[at:start])
                     at = start + size
-                spans.append([{"start": s, "length": n} for s, n in gone])
+                spans.append([{"start": s, "length": n} for s, n in cuts])
                 sizes.append(len(data))
-                kept.append(b"".join([*rest, data[at:]]) if gone else data)
-            left = [len(k) for k in kept]
-            made = [pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))), pa.array(sizes, pa.int64()),
-                    pa.array(np.array(sizes, np.int64) - np.array(left, np.int64)), pa.array([len(s) for s in spans], pa.int64()),
-                    pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())]
-            cols = [batch.column(i) for i, n in enumerate(names) if n != mark]
-            yield pa.RecordBatch.from_arrays([*cols, *made], [*[n for n in names if n != mark], *out_types])
+                kept.append(b"".join([*left, data[at:]]) if cuts else data)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))),
+                 pa.array(sizes, pa.int64()), pa.array([a - len(k) for a, k in zip(sizes, kept)], pa.int64()),
+                 pa.array([len(x) for x in spans], pa.int64()),
+                 pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())],
+                ["row", *new])
 
     done = joined.mapInArrow(run, schema)
-    back = []
-    for c in own:
-        held = c in (id_col, text_col) and dict(df.dtypes)[c] in ("bigint", "string")
-        back.append(F.col(doc if c == id_col else text).alias(c) if held else F.col(c))
-    return done.select(*back, *out_types)
+    back = [F.col("row.t").alias(c) if c == text_col and is_text else F.col(f"row.c{rest.index(c)}").alias(c) for c in own]
+    return done.select(*back, *new)
 
 
 def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
