@@ -108,11 +108,12 @@ class Rule:
 
 
 def rules(text: Column, n_words: Column | None = None, chars: Column | None = None,
-          symbols: Column | None = None) -> list[Rule]:
-    """The rules of the method; counts that a caller has already are passed
-    in, others are taken from the text."""
+          symbols: Column | None = None, words: Column | None = None) -> list[Rule]:
+    """The rules of the method; words and counts that a caller has already are
+    passed in, others are taken from the text."""
     text = _text(text)
-    n_words = F.size(_words(text)).cast("long") if n_words is None else n_words
+    if n_words is None:
+        n_words = F.size(_words(text) if words is None else words).cast("long")
     chars = word_chars(text) if chars is None else chars
     symbols = n_symbols(text) if symbols is None else symbols
     return [
@@ -121,13 +122,13 @@ def rules(text: Column, n_words: Column | None = None, chars: Column | None = No
         Rule("exclamations", 2 * _chars(text, "!") > n_words),
         Rule("word_length", (chars < 2 * n_words) | (chars > 14 * n_words)),
         Rule("repeated_lines", _let(_lines(text), lambda x: 2 * (F.size(x) - F.size(F.array_distinct(x))) > F.size(x))),
-        Rule("stutter", _let(_words(text), lambda w: 10 * n_stutter(w) > 3 * F.size(w))),
+        Rule("stutter", _let(_words(text) if words is None else words, lambda w: 10 * n_stutter(w) > 3 * F.size(w))),
     ]
 
 
-def base_rules(text: Column) -> list[Rule]:
+def base_rules(text: Column, words: Column | None = None) -> list[Rule]:
     """The two conditions of base_failed as rules."""
-    words = _words(_text(text))
+    words = _words(_text(text)) if words is None else words
     return [Rule("too_short", F.size(words) < MIN_WORDS),
             Rule("repeated_windows", _let(words, lambda w: 100 * n_repeat_words(w) > 30 * F.size(w)))]
 
@@ -193,5 +194,10 @@ def judge(df: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS)
 def keep_good(df: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The rows of ``df`` that no rule rejects, the base included."""
     text = F.col(text_col)
-    cascade = ordered(estimate(df, base_rules(text) + rules(text), sample_rows))
-    return df.where(rejected_by(cascade).isNull())
+    order = [r.name for r in ordered(estimate(df, base_rules(text) + rules(text), sample_rows))]
+
+    def verdict(words: Column) -> Column:  # the words are taken once for all rules
+        by_name = {r.name: r for r in base_rules(text, words) + rules(text, words=words)}
+        return rejected_by([by_name[n] for n in order])
+
+    return df.where(_let(_words(_text(text)), verdict).isNull())
