@@ -39,6 +39,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cached_property
 from math import ceil
 
 import numpy as np
@@ -55,7 +56,7 @@ SEED = 16
 PART_BYTES = 1 << 21
 BUCKET_BYTES = 1 << 24
 SEGMENT_BUCKET_BYTES = 1 << 22
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 1 << 22
 _PLACE = np.uint64((1 << 20) - 1)
 _BASE, _MIX = 0x100000001B3, np.uint64(0xFF51AFD7ED558CCD)
 
@@ -201,7 +202,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     key = padded[:n].copy()
     for j in range(1, 7):
         key = (key << 9) | padded[j:n + j]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     sorted_ = key[order]
     new = np.concatenate(([True], sorted_[1:] != sorted_[:-1]))
     first = np.flatnonzero(new)
@@ -216,7 +217,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         places = order[slots]
         group = rank[places]
         after = rank[np.minimum(places + h, n)]
-        within = np.argsort(group * (n + 2) + after + 1, kind="stable")
+        within = np.argsort(group * (n + 2) + after + 1)
         places, group, after = places[within], group[within], after[within]
         order[slots] = places
         new = np.concatenate(([True], (group[1:] != group[:-1]) | (after[1:] != after[:-1])))
@@ -279,11 +280,15 @@ class Shard:
         self.place = (order - begins[self.owner]).astype(np.int8)
         self.low = np.minimum.reduceat(low[self.owner], first) if len(first) else low[:0]
         self.high = np.maximum.reduceat(high[self.owner], first) if len(first) else high[:0]
-        raw = np.lib.stride_tricks.sliding_window_view((text - 1).astype(np.uint8), length)[order[first]]
-        # big-endian words compare as the bytes do
-        words = np.zeros((len(raw), -(-length // 8) * 8), np.uint8)
-        words[:, :length] = raw
-        self.heads = words.view(">u8").astype(np.uint64)
+        self._text, self._first, self._length = text, order[first], length
+
+    @cached_property
+    def heads(self) -> np.ndarray:
+        """The classes' strings as rows of big-endian words, which compare as the bytes do."""
+        raw = np.lib.stride_tricks.sliding_window_view((self._text - 1).astype(np.uint8), self._length)[self._first]
+        words = np.zeros((len(raw), -(-self._length // 8) * 8), np.uint8)
+        words[:, :self._length] = raw
+        return words.view(">u8").astype(np.uint64)
 
 
 def _find(heads: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -310,6 +315,8 @@ def _find(heads: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def merged(shards: list[Shard]) -> None:
     """Smallest and largest ids of equal classes over all shards: each shard's
     classes are looked up in those gathered so far."""
+    if len(shards) == 1:
+        return
     heads, low, high = shards[0].heads, shards[0].low, shards[0].high
     for shard in shards[1:]:
         at, there = _find(heads, shard.heads)
@@ -318,7 +325,7 @@ def merged(shards: list[Shard]) -> None:
         fresh = ~there
         heads = np.insert(heads, at[fresh], shard.heads[fresh], axis=0)
         low, high = np.insert(low, at[fresh], shard.low[fresh]), np.insert(high, at[fresh], shard.high[fresh])
-    for shard in shards if len(shards) > 1 else ():
+    for shard in shards:
         at, _ = _find(heads, shard.heads)
         shard.low, shard.high = low[at], high[at]
 
