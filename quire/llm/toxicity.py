@@ -272,8 +272,7 @@ def _fitted(lexicon: Lexicon, rows: DataFrame) -> Lexicon:
                         near |= {" ".join(words[max(i - a, 0):i + b + 1])
                                  for a, b in ((1, 0), (0, 1), (1, 1), (2, 0), (0, 2)) if i - a >= 0 and i + b < len(words)}
                     counts[y].update(near)
-            terms = [p for p in counts[0]]
-            out = [(p, None, counts[0][p], counts[1][p]) for p in terms]
+            out = [(p, None, counts[0][p], counts[1][p]) for p in counts[0].keys() | counts[1].keys()]
             out += [(None, v, n if y == 0 else 0, n if y == 1 else 0) for (y, v), n in Counter(values).items()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(
                 zip(*out), (pa.string(), pa.float64(), pa.int64(), pa.int64()))], ["phrase", "v", "clean", "toxic"])

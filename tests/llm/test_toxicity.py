@@ -45,6 +45,15 @@ def test_exception_phrase_excuses_a_match():
     assert X.matched(["the", "idiot"], automaton, lexicon.exceptions) == ({" idiot ": 6.0}, 1)
 
 
+def test_phrase_counts_are_summed_over_partitions(spark):
+    """Clean and toxic uses of a phrase in different partitions: toxic ones still forbid the exception."""
+    toxic = [(f"bata kone {'you' if i < 20 else f'w{i}'} idiot liso{i}", 1) for i in range(60)]
+    clean = [(f"muri rene {'you idiot' if i < 2 else 'x'} tata{i}", 0) for i in range(240)]
+    lexicon = X.learn(spark.createDataFrame(clean + toxic, "text string, toxic int").repartitionByRange(2, "toxic"))
+    assert " idiot " in lexicon.weights and "you idiot" not in lexicon.exceptions
+    assert X.scored(spark.createDataFrame([(1, "you idiot")], "doc_id long, text string"), lexicon).first()["predicted"] == 1
+
+
 def test_longer_texts_weaken_a_single_hit():
     lexicon = X.Lexicon({" idiot ": 6.0})
     a = lexicon.automaton()
