@@ -7,8 +7,9 @@ blank.  The lexicon holds whole words and beginnings of words; both are learned
 from labelled documents: a term's weight is its smoothed log-odds between toxic
 and clean documents, and terms that are common in toxic documents and all but
 absent from clean ones stay.  Exception phrases are the two- and three-word
-surroundings in which a lexicon word is met in clean documents; a match inside
-one does not count.
+surroundings in which a lexicon word is met in clean documents and in no toxic
+one; a match inside one does not count.  A term that toxic documents rest on but
+that clean ones hold too is judged on its clean uses outside such phrases.
 
 A document's score is a logistic of its matched weight: the strongest term's
 weight, raised by the logarithm of the hits per thousand words, so that a single
@@ -44,9 +45,11 @@ from quire.llm.common import materialise
 MAX_LABELLED = 200_000
 #: beginnings of words that may become terms, in letters
 STEMS = (4, 5, 6, 7)
-#: a term needs this many toxic documents, this share of them, and this log-odds
-MIN_DOCS, MIN_SHARE = 3, 0.005
+#: a term needs this many toxic documents (more if chance would do that) and this log-odds
+MIN_DOCS = 3
 MIN_WEIGHT = 2.5
+#: toxic documents to expect with a phrase, were it like its term, before their absence excuses it
+MIN_EXPECTED = 5.0
 THRESHOLD = 0.7
 
 # fixed values: letters of other scripts that look like Latin ones
@@ -62,6 +65,8 @@ _INVISIBLE = dict.fromkeys(map(ord, "­​‌‍⁠﻿"))
 _HOMOGLYPHS = str.maketrans(_LOOKALIKES) | _INVISIBLE
 _LEET_TABLE = str.maketrans(_LEET)
 _TOKEN = re.compile(r"[^\W_]+(?:[@$!|]+[^\W_]+)*", re.UNICODE)
+# a phrase's words before and after the matched one
+_SPANS = ((1, 0), (0, 1), (1, 1), (2, 0), (0, 2))
 _HAS_SIGN = re.compile(r"[0134578@$!|]")
 
 
@@ -119,7 +124,7 @@ def matched(words: list[str], automaton, exceptions: frozenset[str]) -> tuple[di
             if ends is None:
                 ends = np.cumsum([len(w) + 1 for w in words])
             i = int(np.searchsorted(ends, start, side="right"))
-            around = {" ".join(words[max(i - a, 0):i + b + 1]) for a, b in ((1, 0), (0, 1), (1, 1), (2, 0), (0, 2))}
+            around = {" ".join(words[max(i - a, 0):i + b + 1]) for a, b in _SPANS}
             if around & exceptions:
                 continue
         terms[term] = weight
@@ -192,19 +197,87 @@ def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic",
                 [pa.array(terms, pa.string()), pa.array([counts[1][x] for x in terms], pa.int64()),
                  pa.array([counts[0][x] for x in terms], pa.int64())], ["term", "a", "b"])
 
-    sums = (rows.mapInArrow(count, "term string, a long, b long").groupBy("term")
-            .agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where(F.col("a") >= max(MIN_DOCS, MIN_SHARE * toxic)))
-    weight = F.log((F.col("a") + 0.5) / (toxic - F.col("a") + 0.5)) - F.log((F.col("b") + 0.5) / (clean - F.col("b") + 0.5))
-    found = {r["term"]: (r["a"], r["b"], r["w"]) for r in sums.withColumn("w", weight)
+    # so many toxic documents that a term dealt by chance has fewer in most samples
+    least = max(MIN_DOCS, math.ceil(math.log(toxic + clean) / math.log((toxic + clean) / toxic)))
+    sums = materialise(rows.mapInArrow(count, "term string, a long, b long").groupBy("term")
+                       .agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where(F.col("a") >= least), "terms")
+    found = {r["term"]: (r["a"], r["b"], r["w"]) for r in sums.withColumn("w", _log_odds("a", "b", toxic, clean))
              .where((F.col("w") >= MIN_WEIGHT) & (F.col("a") > 20 * F.col("b"))).collect()}
+    weights = _chosen(found, rows)
+    odds = {t: found[t][0] / max(found[t][1], 0.05) for t in weights}
+    rescued, their_odds = _rescued(Lexicon(weights), sums, rows, toxic, clean, least)
+    if rescued:
+        weights = _chosen(found | rescued, rows)
+        odds = {t: their_odds.get(t) or found[t][0] / max(found[t][1], 0.05) for t in weights}
+    return _fitted(Lexicon(weights), rows, odds)
+
+
+def _log_odds(a: str, b: str, toxic: int, clean: int):
+    a, b = F.col(a), F.col(b)
+    return F.log((a + 0.5) / (toxic - a + 0.5)) - F.log((b + 0.5) / (clean - b + 0.5))
+
+
+def _chosen(found: dict[str, tuple[int, int, float]], rows: DataFrame) -> dict[str, float]:
+    """The weights of the terms that become the lexicon, of those found."""
     stems = _stems(found)
     weights = {t: w for t, (_, _, w) in found.items() if t in stems or (
         t.endswith(" ") and not any(t.startswith(stem) for stem in stems))}
     leads = _leads(Lexicon(weights), rows)
     most = max((found[t][0] for t in weights), default=0)
     # words that merely keep company with stronger terms (texts that repeat) go
-    weights = {t: w for t, w in weights.items() if leads.get(t, 0) >= MIN_DOCS or 4 * found[t][0] >= most}
-    return _fitted(Lexicon(weights), rows)
+    return {t: w for t, w in weights.items() if leads.get(t, 0) >= MIN_DOCS or 4 * found[t][0] >= most}
+
+
+def _rescued(lexicon: Lexicon, sums: DataFrame, rows: DataFrame, toxic: int, clean: int,
+             least: int) -> tuple[dict[str, tuple[int, int, float]], dict[str, float]]:
+    """Terms that pass the thresholds once the uses that a phrase excuses are
+    taken from their clean documents, as (toxic, clean, log-odds), and the toxic
+    per clean documents they had before.
+
+    Candidates are the terms that toxic documents without a match of ``lexicon``
+    hold markedly more often than clean ones do."""
+
+    def unmatched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = lexicon.automaton()
+        for batch in batches:
+            n = Counter()
+            for t in batch.column(0).to_pylist():
+                words = fold(t)
+                if words and not matched(words, automaton, frozenset())[1]:
+                    n.update(units(words))
+                    n[""] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["term", "r"])
+
+    left = materialise(rows.where("y = 1").select("t").mapInArrow(unmatched, "term string, r long").groupBy("term")
+                       .agg(F.sum("r").alias("r")).where(F.col("r") >= least), "unmatched")
+    n = left.where("term = ''").first()
+    if not n:
+        return {}, {}
+    could = {r["term"]: (r["a"], r["b"]) for r in left.join(sums, "term").where(F.col("b") > 0)
+             .where(_log_odds("r", "b", n["r"], clean) >= 1.0).collect() if r["term"] not in lexicon.weights}
+    odds = {t: a / b for t, (a, b) in could.items()}
+    if not odds:
+        return {}, {}
+    candidates = Lexicon(dict.fromkeys(odds, 1.0))
+    phrases = _excuses(_surroundings(candidates, rows, odds).collect())
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = candidates.automaton()
+        for batch in batches:
+            n = Counter()
+            for t in batch.column(0).to_pylist():
+                n.update(matched(fold(t), automaton, phrases)[0])
+            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["term", "b"])
+
+    rest = {r["term"]: r["b"] for r in rows.where("y = 0").select("t").mapInArrow(kept, "term string, b long")
+            .groupBy("term").agg(F.sum("b").alias("b")).collect()} if phrases else {t: b for t, (_, b) in could.items()}
+    out = {}
+    for t, (a, _) in could.items():
+        b = rest.get(t, 0)
+        w = math.log((a + 0.5) / (toxic - a + 0.5)) - math.log((b + 0.5) / (clean - b + 0.5))
+        if w >= MIN_WEIGHT and a > 20 * b:
+            out[t] = (a, b, w)
+    return out, {t: odds[t] for t in out}
 
 
 def _leads(lexicon: Lexicon, rows: DataFrame) -> dict[str, int]:
@@ -253,34 +326,53 @@ def _solid(stem: str, found: dict[str, tuple[int, int, float]]) -> bool:
     return 10 * whole < 9 * a
 
 
-def _fitted(lexicon: Lexicon, rows: DataFrame) -> Lexicon:
-    """Exception phrases and the logistic, from the same rows."""
+def _surroundings(lexicon: Lexicon, rows: DataFrame, odds: dict[str, float], exceptions: frozenset[str] = frozenset(),
+                  with_phrases: bool = True) -> DataFrame:
+    """(phrase, v, clean, toxic): documents per phrase around a term, without the
+    phrases that cannot excuse, and, phrase null, per matched weight v."""
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = lexicon.automaton()
         for batch in batches:
             counts: tuple[Counter, Counter] = (Counter(), Counter())
-            values = []
+            values, ratio = [], {}
             for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = fold(t)
-                values.append((y, round(strength(words, mine, frozenset()), 1)))
-                if y in (0, 1) and words:
+                values.append((y, round(strength(words, mine, exceptions), 1)))
+                if with_phrases and y in (0, 1) and words:
                     near = set()
                     text = " " + " ".join(words) + " "
                     for end, (term, _) in (mine.iter(text) if len(mine) else ()):
                         i = text.count(" ", 0, end - len(term) + 2) - 1
-                        near |= {" ".join(words[max(i - a, 0):i + b + 1])
-                                 for a, b in ((1, 0), (0, 1), (1, 1), (2, 0), (0, 2)) if i - a >= 0 and i + b < len(words)}
+                        for a, b in _SPANS:
+                            if i - a >= 0 and i + b < len(words):
+                                phrase = " ".join(words[i - a:i + b + 1])
+                                near.add(phrase)
+                                ratio[phrase] = min(ratio.get(phrase, math.inf), odds[term])
                     counts[y].update(near)
-            out = [(p, None, counts[0][p], counts[1][p]) for p in counts[0].keys() | counts[1].keys()]
-            out += [(None, v, n if y == 0 else 0, n if y == 1 else 0) for (y, v), n in Counter(values).items()]
+            out = [(p, None, counts[0][p], counts[1][p], ratio[p]) for p in ratio]
+            out += [(None, v, n if y == 0 else 0, n if y == 1 else 0, None) for (y, v), n in Counter(values).items()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(
-                zip(*out), (pa.string(), pa.float64(), pa.int64(), pa.int64()))], ["phrase", "v", "clean", "toxic"])
+                zip(*out), (pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.float64()))],
+                ["phrase", "v", "clean", "toxic", "odds"])
+
+    return (rows.mapInArrow(around, "phrase string, v double, clean long, toxic long, odds double").groupBy("phrase", "v")
+            .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"), F.min("odds").alias("odds"))
+            .where(F.col("phrase").isNull() | ((F.col("clean") >= 2) & (F.col("toxic") == 0)
+                                               & (F.col("clean") * F.col("odds") >= MIN_EXPECTED))))
+
+
+def _excuses(seen: list) -> frozenset[str]:
+    return frozenset(r["phrase"] for r in seen if r["phrase"] is not None)
+
 
-    seen = (rows.mapInArrow(around, "phrase string, v double, clean long, toxic long")
-            .groupBy("phrase", "v").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-            .where((F.col("phrase").isNull()) | ((F.col("clean") >= 2) & (F.col("toxic") == 0))).collect())
-    lexicon.exceptions = frozenset(r["phrase"] for r in seen if r["phrase"] is not None)
+def _fitted(lexicon: Lexicon, rows: DataFrame, odds: dict[str, float]) -> Lexicon:
+    """Exception phrases and the logistic, from the same rows; ``odds`` are the
+    toxic per clean documents of each term."""
+    seen = _surroundings(lexicon, rows, odds).collect()
+    lexicon.exceptions = _excuses(seen)
+    if lexicon.exceptions:  # weights as they are scored, without what is excused
+        seen = _surroundings(lexicon, rows, odds, lexicon.exceptions, with_phrases=False).collect()
     points = [(r["v"], r["clean"], r["toxic"]) for r in seen if r["phrase"] is None]
     lexicon.bias, lexicon.scale = _logistic(points)
     return lexicon

@@ -45,6 +45,14 @@ def test_exception_phrase_excuses_a_match():
     assert X.matched(["the", "idiot"], automaton, lexicon.exceptions) == ({" idiot ": 6.0}, 1)
 
 
+def test_a_phrase_rescues_its_word(spark):
+    """A word of toxic documents whose clean uses lie in one phrase stays a term, and the phrase excuses it."""
+    lexicon = X.learn(spark.createDataFrame(corpus(), "text string, toxic int"))
+    assert " idiot " in lexicon.weights and "village idiot" in lexicon.exceptions
+    df = spark.createDataFrame([(1, "bata kone idiot liso"), (2, "bata village idiot liso")], "doc_id long, text string")
+    assert [r["predicted"] for r in X.scored(df, lexicon).collect()] == [1, 0]
+
+
 def test_phrase_counts_are_summed_over_partitions(spark):
     """Clean and toxic uses of a phrase in different partitions: toxic ones still forbid the exception."""
     toxic = [(f"bata kone {'you' if i < 20 else f'w{i}'} idiot liso{i}", 1) for i in range(60)]
