@@ -24,6 +24,11 @@ to buckets by seed, and sorted there in shards of bounded size:
   sorted windows into classes of equal strings,
 * the sorted classes of a bucket's shards are merged by binary search.
 
+A seed whose different segments would overfill a bucket (a phrase shorter than
+``length`` in very many contexts) is known from an even sample of the text.  Its
+segments are not sorted: their windows are dealt by their own hash, and Spark
+sums up the smallest and largest id of each, first in the tasks.
+
 Each class carries its smallest document id; a segment gets back, per smallest
 id, the mask of its windows, occurrences with a larger id mark them, and a
 document's marks come together for the removal.  Text crosses the network once.
@@ -57,6 +62,10 @@ PART_BYTES = 1 << 21
 BUCKET_BYTES = 1 << 24
 SEGMENT_BUCKET_BYTES = 1 << 22
 SHARD_BYTES = 1 << 22
+#: text sampled for busy seeds (at least this much and this share), its piece in
+#: characters, and the segments of a seed, in bytes, from which they are split
+SAMPLE_BYTES, SAMPLE_SHARE, SAMPLE_PIECE = 1 << 22, 1 / 64, 1 << 14
+BUSY_BYTES = 1 << 21
 _PLACE = np.uint64((1 << 20) - 1)
 _BASE, _MIX = 0x100000001B3, np.uint64(0xFF51AFD7ED558CCD)
 
@@ -195,6 +204,27 @@ def shared_seeds(rows: DataFrame, buckets: int, length: int = LENGTH) -> DataFra
     return reports.groupBy("bucket").applyInArrow(settle, "doc long, keys binary")
 
 
+def busy_seeds(docs: DataFrame, total_bytes: int, length: int = LENGTH) -> np.ndarray:
+    """The seeds, sorted, whose different segments are estimated to make up
+    ``BUSY_BYTES`` or more, from pieces of text drawn evenly by hash."""
+    share = min(max(SAMPLE_SHARE, SAMPLE_BYTES / max(total_bytes, 1)), 1.0)
+    drawn = lambda c: F.pmod(F.xxhash64("doc", c), F.lit(1 << 20)) < ceil(share * (1 << 20))
+    places = F.filter(F.sequence(F.lit(0), F.floor(F.length("t") / SAMPLE_PIECE).cast("int")), drawn)
+    pieces = docs.select("doc", F.col("row.t").alias("t")).where("doc is not null and t is not null").select(F.explode(
+        F.transform(places, lambda c: F.substring(F.col("t"), c * SAMPLE_PIECE + 1, F.lit(SAMPLE_PIECE + length - 1)))).alias("t"))
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t.encode("utf-8", "surrogatepass") for t in batch.column(0).to_pylist()]
+            for buffer, at, _, _, n, key in segments(texts, length):
+                names, _ = _names(_cut_out(buffer, at, n, length))
+                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(names)], ["key", "s"])
+
+    found = (pieces.mapInArrow(seen, "key long, s long").distinct().groupBy("key").count()
+             .where(F.col("count") >= max(ceil(BUSY_BYTES * share / (2 * length - SEED)), 2)).select("key").collect())
+    return np.array(sorted(r["key"] for r in found), np.uint64)
+
+
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """The suffix array of symbols below 512, by Larsson-Sadakane refinement."""
     n = len(text)
@@ -418,15 +448,25 @@ def _with_seeds(rows: DataFrame, shared: DataFrame) -> DataFrame:
     return rows.join(keys, rows.doc == keys.kdoc, "left").select("doc", "row", "gone", "keys")
 
 
-def _shared_segments(batch: pa.RecordBatch, length: int):
-    """(documents, text keys, what ``segments`` yields) of a batch's shared seeds."""
+def _among(keys: np.ndarray, pool: np.ndarray) -> np.ndarray:
+    """Whether each key is in the sorted pool."""
+    if not len(pool):
+        return np.zeros(len(keys), bool)
+    return pool[np.minimum(np.searchsorted(pool, keys), len(pool) - 1)] == keys
+
+
+def _shared_segments(batch: pa.RecordBatch, length: int, busy: np.ndarray, of_busy: bool = False):
+    """(documents, text keys, what ``segments`` yields) of a batch's shared
+    seeds: of the busy ones, or of the others."""
     docs, texts, wanted = [], [], []
     for doc, data, gone, keys in zip(batch.column(0), _text_bytes(batch.column(1)), batch.column(2), batch.column(3)):
         if keys.is_valid and doc.is_valid:
-            if not _is_copy(data, gone.as_py()):
+            own = np.frombuffer(b"".join(keys.as_py()), np.uint64)
+            own = own[_among(own, busy) == of_busy]
+            if len(own) and not _is_copy(data, gone.as_py()):
                 docs.append(doc.as_py())
                 texts.append(data)
-                wanted.append(np.frombuffer(b"".join(keys.as_py()), np.uint64))
+                wanted.append(own)
     if not docs:
         return
     text_keys = np.array([_text_key(t) for t in texts], np.int64)
@@ -434,10 +474,44 @@ def _shared_segments(batch: pa.RecordBatch, length: int):
     pool = np.unique(np.concatenate(wanted))
     for buffer, at, row, start, n, key in segments(texts, length):
         # seeds shared by any document of the batch: the sorting decides exactly
-        here = pool[np.minimum(np.searchsorted(pool, key), len(pool) - 1)] == key
+        here = _among(key, pool)
         yield docs[row[here]], text_keys[row[here]], buffer, at[here], start[here], n[here], key[here]
 
 
+def _busy_windows(batch: pa.RecordBatch, length: int, busy: np.ndarray):
+    """(names, documents, places) of the windows of a batch's busy seeds."""
+    for doc, text_key, buffer, at, start, n, _ in _shared_segments(batch, length, busy, of_busy=True):
+        own = np.repeat(np.arange(len(n)), n)
+        step = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+        s1, s2 = _names(_cut_out(buffer, (at[own] + step), np.ones(len(own), np.int64), length))
+        yield s1, s2, doc[own], text_key[own] | (start[own] + step)
+
+
+def _busy_hits(wide: DataFrame, busy: np.ndarray, length: int) -> DataFrame:
+    """(doc, place, mask) of the windows of busy seeds that a smaller id has too."""
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s1, s2, doc, _ in _busy_windows(batch, length, busy):
+                order = np.lexsort((s2, s1))
+                s1, s2, doc = s1[order], s2[order], doc[order]
+                first = np.flatnonzero(np.concatenate(([True], (np.diff(s1) != 0) | (np.diff(s2) != 0)))) if len(s1) else []
+                if len(first):
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (
+                        s1[first], s2[first], np.minimum.reduceat(doc, first), np.maximum.reduceat(doc, first))],
+                        ["s1", "s2", "low", "high"])
+
+    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in _busy_windows(batch, length, busy):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in x], ["s1", "s2", "doc", "place"])
+
+    found = (wide.mapInArrow(distinct, "s1 long, s2 int, low long, high long").groupBy("s1", "s2")
+             .agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").drop("high"))
+    return (wide.mapInArrow(occurrences, "s1 long, s2 int, doc long, place long").join(found, ["s1", "s2"])
+            .where("doc > low").select("doc", "place", F.lit(1).cast("long").alias("mask")))
+
+
 def _cut_out(buffer: bytes, at: np.ndarray, n: np.ndarray, length: int) -> list[bytes]:
     return [buffer[a:b] for a, b in zip(at.tolist(), (at + n + length - 1).tolist())]
 
@@ -450,20 +524,13 @@ def _names(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return both[:, 0], (both[:, 1] >> 32).astype(np.int32)
 
 
-def marks(docs: DataFrame, again: DataFrame, total_bytes: int, length: int = LENGTH) -> DataFrame:
-    """(doc, marks): per document the windows to remove, as the place of the
-    first window (under its text's key) and mask; ``docs`` has doc (long) and row (a struct whose first
-    field t is the text), ``again`` is its ``copies``."""
-    if not SEED < length <= SEED + 62:
-        raise ValueError(f"length must be over {SEED} and at most {SEED + 62}")
-    buckets = max(ceil(total_bytes / BUCKET_BYTES), 16)
-    segment_buckets = max(ceil(total_bytes / SEGMENT_BUCKET_BYTES), 16)
-    rows = _originals(docs, again)
-    wide = _with_seeds(rows, shared_seeds(rows, buckets, length))
+def _bucketed(wide: DataFrame, segment_buckets: int, busy: np.ndarray, length: int) -> DataFrame:
+    """(bucket, n, segments, low, high): the segments of seeds that are not
+    busy, equal ones merged per task."""
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, _, buffer, at, _, n, key in _shared_segments(batch, length):
+            for doc, _, buffer, at, _, n, key in _shared_segments(batch, length, busy):
                 parts = _cut_out(buffer, at, n, length)
                 s1, s2 = _names(parts)
                 bucket = (key % np.uint64(segment_buckets)).astype(np.int64)
@@ -481,17 +548,34 @@ def marks(docs: DataFrame, again: DataFrame, total_bytes: int, length: int = LEN
                     zip(*out), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))],
                     ["bucket", "n", "segments", "low", "high"])
 
+    return wide.mapInArrow(distinct, "bucket long, n long, segments binary, low binary, high binary")
+
+
+def marks(docs: DataFrame, again: DataFrame, total_bytes: int, length: int = LENGTH) -> DataFrame:
+    """(doc, marks): per document the windows to remove, as the place of the
+    first window (under its text's key) and mask; ``docs`` has doc (long) and row (a struct whose first
+    field t is the text), ``again`` is its ``copies``."""
+    if not SEED < length <= SEED + 62:
+        raise ValueError(f"length must be over {SEED} and at most {SEED + 62}")
+    buckets = max(ceil(total_bytes / BUCKET_BYTES), 16)
+    segment_buckets = max(ceil(total_bytes / SEGMENT_BUCKET_BYTES), 16)
+    rows = _originals(docs, again)
+    wide = _with_seeds(rows, shared_seeds(rows, buckets, length))
+    busy = busy_seeds(docs, total_bytes, length)
+
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, text_key, buffer, at, start, n, _ in _shared_segments(batch, length):
+            for doc, text_key, buffer, at, start, n, _ in _shared_segments(batch, length, busy):
                 s1, s2 = _names(_cut_out(buffer, at, n, length))
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (s1, s2, doc, text_key | start)],
                                                  ["s1", "s2", "doc", "place"])
 
-    found = (wide.mapInArrow(distinct, "bucket long, n long, segments binary, low binary, high binary")
+    found = (_bucketed(wide, segment_buckets, busy, length)
              .groupBy("bucket").applyInArrow(lambda t: _window_marks(t, length), "s1 long, s2 int, low long, mask long"))
     places = wide.mapInArrow(occurrences, "s1 long, s2 int, doc long, place long")
-    hits = places.join(found, ["s1", "s2"]).where("doc > low")
+    hits = places.join(found, ["s1", "s2"]).where("doc > low").select("doc", "place", "mask")
+    if len(busy):
+        hits = hits.unionByName(_busy_hits(wide, busy, length))
     return hits.groupBy("doc").agg(F.collect_list(F.struct("place", "mask")).alias("marks"))
 
 

@@ -4,6 +4,7 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quire.llm import suffix_dedup as D
 
@@ -90,6 +91,25 @@ def test_long_texts_in_overlapping_parts(monkeypatch):
     assert set(parts) == whole and len(parts) == len(whole)
 
 
+def test_busy_seed_is_not_left_to_one_bucket(spark, monkeypatch):
+    """A short phrase in many contexts: its segments are split by window, and nothing is lost."""
+    rng = np.random.default_rng(3)
+    word = lambda n: "".join(rng.choice(list("abcdefghijklmnop"), n))
+    phrase = "terms of use apply to all pages"
+    rows = [(i, f"{word(60)}{phrase}{word(60)}" if i % 3 else f"{word(9)} {phrase} see the notice below {word(40)}") for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).cache()
+    docs = df.select(F.col("doc_id").alias("doc"), F.struct(F.col("text").alias("t")).alias("row"))
+    total = sum(len(t) for _, t in rows)
+    monkeypatch.setattr(D, "BUSY_BYTES", 5000)
+    busy = D.busy_seeds(docs, total)
+    assert len(busy)
+    wide = D._with_seeds(docs.withColumn("gone", F.lit(None).cast("array<string>")),
+                         D.shared_seeds(docs.withColumn("gone", F.lit(None).cast("array<string>")), 16))
+    most = lambda b: D._bucketed(wide, 16, b, D.LENGTH).groupBy("bucket").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0
+    assert most(busy) * (2 * D.LENGTH - D.SEED) < 3 * D.BUSY_BYTES < most(busy[:0]) * (2 * D.LENGTH - D.SEED)
+    assert digests(df) == brute([(i, t.encode()) for i, t in rows])
+
+
 def test_query_equals_brute_force(spark, sf_dir):
     from quire.llm import queries
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
