@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.operators.blocks import Block, lags_of, map_blocks, sum_arrays
 from quire.operators.ols import grouped_ols, linear_predict, normal_equations, ols_from_sums
 from quire.session import checkpoint_dir, ship_package
 
@@ -185,22 +186,45 @@ def default_max_lag(df: DataFrame, series: str = SERIES) -> int:
     return max(1, int(math.floor(10 * math.log10(m))))
 
 
+def _length_and_mean(df: DataFrame, value: str, series: str) -> DataFrame:
+    """(series, [rows, mean]) for the blocks of each series."""
+    return df.groupBy(series).agg(F.array(F.count(F.lit(1)).cast("double"), F.avg(value)).alias("params"))
+
+
+def _centred(block: Block) -> np.ndarray:
+    """The block's values less the series' mean; no row adds nothing to a product."""
+    return np.nan_to_num(block.dense() - (block.params[1] if len(block.params) > 1 else math.nan))
+
+
+def lag_products(x: np.ndarray, own: int, count: int) -> np.ndarray:
+    """sum over the block's own t of x[t] * x[t - k], k = 0..count."""
+    out = np.zeros(count + 1)
+    for k in range(min(count, len(x) - 1) + 1):
+        at = max(own, k)
+        out[k] = x[at:] @ x[at - k:len(x) - k]
+    return out
+
+
+def _bartlett_lags(n: float) -> int:
+    return int(3 * math.sqrt(n) / 13)
+
+
 def acf(df: DataFrame, value: str = VALUE, max_lag: int | None = None, series: str = SERIES,
         t: str = TIME) -> DataFrame:
-    """K7: (series, lag, acf) for lag 0..min(floor(10 log10 n), n-1); divisor n."""
+    """K7: (series, lag, acf) for lag 0..min(floor(10 log10 n), n-1); divisor n.
+    Products are taken inside blocks of time, so the plan is the same at any lag."""
+    ship_package(df.sparkSession)
     K = max_lag or default_max_lag(df, series)
-    d = per_series(df.select(series, t, value), series, _mu=F.avg(value))
-    d = d.withColumn("_xc", F.col(value) - F.col("_mu"))
-    d = lagged(d, "_xc", list(range(1, K + 1)), series, t, prefix="_x")
-    prods = {f"_p{k}": F.col("_xc") * (F.col(f"_x{k}") if k else F.col("_xc")) for k in range(K + 1)}
-    d = d.withColumns(prods)
-    sums = d.groupBy(series).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in prods])
-    lagmax = F.least(F.floor(F.log10(F.col("n")) * 10), F.col("n") - 1)
-    rows = F.array(*[F.struct(F.lit(k).alias("lag"), F.try_divide(F.col(f"_p{k}"), F.col("_p0")).alias("acf"))
-                     for k in range(K + 1)])
-    out = sums.select(series, "n", lagmax.alias("_lm"), F.explode(rows).alias("r"))
-    return out.filter(F.col("r.lag") <= F.col("_lm")).select(series, "n", F.col("r.lag").cast("int").alias("lag"),
-                                                             F.col("r.acf").alias("acf"))
+
+    def run(block: Block):
+        n = block.params[0]
+        yield lag_products(_centred(block), block.own, int(min(K, math.floor(10 * math.log10(n)), n - 1))), n
+
+    sums = map_blocks(df, [value], K, run, "g array<double>, n double", _length_and_mean(df, value, series), series, t)
+    total = sum_arrays(sums, [series, "n"], "g")
+    out = total.select(series, F.col("n").cast("long").alias("n"), F.posexplode("g").alias("lag", "_g"),
+                       F.col("g")[0].alias("_g0"))
+    return out.select(series, "n", "lag", F.try_divide(F.col("_g"), F.col("_g0")).alias("acf"))
 
 
 def pacf(acf_df: DataFrame, series: str = SERIES) -> DataFrame:
@@ -284,25 +308,34 @@ def _interp_expr(x: Column, xs: list[float], ys: list[float]) -> Column:
 
 def kpss(df: DataFrame, value: str = VALUE, series: str = SERIES, t: str = TIME) -> DataFrame:
     """K11: KPSS level statistic with the Bartlett long-run variance,
-    truncation l = trunc(3 sqrt(n) / 13), p-value interpolated in the published table."""
-    m = df.groupBy(series).count().agg(F.max("count")).first()[0] or 1
-    max_lag = max(1, int(3 * math.sqrt(m) / 13))
-    d = per_series(df.select(series, t, value), series, _mu=F.avg(value))
-    d = d.withColumn("_e", F.col(value) - F.col("_mu"))
-    d = running_sum(d, "_e", series, t, out="_s")           # partial sums S_t
-    d = lagged(d, "_e", list(range(1, max_lag + 1)), series, t, prefix="_el")
-    d = d.withColumns({f"_g{i}": F.col("_e") * F.col(f"_el{i}") for i in range(1, max_lag + 1)})
-    agg = d.groupBy(series).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("_s") * F.col("_s")).alias("_ss"),
-                                F.sum(F.col("_e") * F.col("_e")).alias("_ee"),
-                                *[F.sum(f"_g{i}").alias(f"_g{i}") for i in range(1, max_lag + 1)])
-    n = F.col("n").cast("double")
+    truncation l = trunc(3 sqrt(n) / 13), p-value interpolated in the published table.
+
+    A block returns its weighted lag products and its own partial sums; the sums of
+    the blocks before it shift them: sum (B + c)^2 = n B^2 + 2 B sum c + sum c^2."""
+    ship_package(df.sparkSession)
+    longest = df.groupBy(series).count().agg(F.max("count")).first()[0] or 1
+
+    def run(block: Block):
+        x, l = _centred(block), _bartlett_lags(block.params[0])
+        g = lag_products(x, block.own, l)
+        own = x[block.own:]
+        have = ~np.isnan(block.dense()[block.own:])
+        c = np.cumsum(own)[have]
+        weights = 1 - np.arange(1, l + 1) / (l + 1)
+        yield (block.first, block.params[0], have.sum(), own.sum(), c.sum(), c @ c, g[0], weights @ g[1:])
+
+    blocks = map_blocks(df, [value], _bartlett_lags(longest), run,
+                        "first long, n double, rows long, total double, c double, cc double, ee double, w double",
+                        _length_and_mean(df, value, series), series, t)
+    before = Window.partitionBy(series).orderBy("first").rowsBetween(Window.unboundedPreceding, -1)  # a row per block
+    shift = F.coalesce(F.sum("total").over(before), F.lit(0.0))
+    agg = blocks.withColumn("_b", shift).groupBy(series, "n").agg(
+        F.sum(F.col("rows") * F.col("_b") * F.col("_b") + 2 * F.col("_b") * F.col("c") + F.col("cc")).alias("_ss"),
+        F.sum("ee").alias("_ee"), F.sum("w").alias("_w"))
+    n = F.col("n")
     l = F.floor(F.lit(3.0) * F.sqrt(n) / 13)
-    s2 = F.col("_ee") / n
-    for i in range(1, max_lag + 1):
-        s2 = s2 + F.when(F.lit(i) <= l, 2.0 / n * (1 - F.lit(i) / (l + 1)) * F.coalesce(F.col(f"_g{i}"), F.lit(0.0))) \
-                   .otherwise(F.lit(0.0))
-    stat = F.try_divide(F.col("_ss") / (n * n), s2)
-    out = agg.select(series, F.col("n").cast("long").alias("n"), l.cast("int").alias("lags"), stat.alias("stat"))
+    stat = F.try_divide(F.col("_ss") / (n * n), F.col("_ee") / n + 2.0 / n * F.col("_w"))
+    out = agg.select(series, n.cast("long").alias("n"), l.cast("int").alias("lags"), stat.alias("stat"))
     return out.withColumn("p_value", _interp_expr(F.col("stat"), KPSS_LEVEL_CRIT, KPSS_LEVEL_P))
 
 
@@ -311,45 +344,53 @@ def _adf_pvalue(stat: float, n: int) -> float:
     return float(np.interp(stat, row, ADF_P))
 
 
+def _adf_lags(n: float, max_k: int | None = None) -> int:
+    k = max(0, int(math.floor((n - 1) ** (1 / 3) + 1e-12)))
+    return k if max_k is None else min(k, max_k)
+
+
+def moments(columns: Sequence[np.ndarray], own: int) -> np.ndarray:
+    """A'A, row by row, of the own rows in which every column has a value."""
+    a = np.column_stack(columns)[own:]
+    a = a[~np.isnan(a).any(axis=1)]
+    return (a.T @ a).ravel()
+
+
 def adf(df: DataFrame, value: str = VALUE, series: str = SERIES, t: str = TIME, max_k: int | None = None) -> DataFrame:
     """K11: augmented Dickey-Fuller test with constant and trend, k = trunc((N-1)^(1/3))
-    lagged differences; regression sums per series, t-statistic of the lagged level."""
+    lagged differences; moments of the regression are summed over blocks of time,
+    the t-statistic of the lagged level solved per series."""
     ship_package(df.sparkSession)
-    if max_k is None:
-        m = df.groupBy(series).count().agg(F.max("count")).first()[0] or 2
-        max_k = max(0, int(math.floor((m - 1) ** (1 / 3) + 1e-12)))
-    d = per_series(df.select(series, t, value), series, _N=F.count(F.lit(1)))
-    d = d.withColumn("_k", F.floor(F.pow(F.col("_N") - 1, 1 / 3) + 1e-12).cast("int"))
-    d = lagged(d, value, [1], series, t, prefix="_x")
-    d = d.withColumn("_d", F.col(value) - F.col("_x1"))
-    d = lagged(d, "_d", list(range(1, max_k + 1)), series, t, prefix="_dl")
-    cols = {"_one": F.lit(1.0), "_lvl": F.col("_x1"), "_tt": (F.col(t) - 1).cast("double")}
-    for j in range(1, max_k + 1):
-        cols[f"_l{j}"] = F.when(F.lit(j) <= F.col("_k"), F.col(f"_dl{j}")).otherwise(F.lit(0.0))
-    d = d.withColumns(cols).filter(F.col(t) >= F.col("_k") + 2)
-    xcols = list(cols)
-    ne = normal_equations(d, [series], "_d", xcols).join(
-        d.groupBy(series).agg(F.max("_k").alias("k"), F.max("_N").alias("n_series")), series)
-    gf = [f for f in ne.schema.fields if f.name == series]
+    longest = df.groupBy(series).count().agg(F.max("count")).first()[0] or 2
+
+    def run(block: Block):
+        n = block.params[0]
+        k, x = _adf_lags(n, max_k), block.dense()
+        level = lags_of(x, 1)[:, 0]
+        d = x - level
+        time = block.start + np.arange(len(x), dtype=float)
+        y = np.where(time >= k + 2, d, np.nan)
+        yield moments([np.ones(len(x)), level, time - 1, *lags_of(d, k).T, y], block.own), n
+
+    sums = sum_arrays(map_blocks(df, [value], _adf_lags(longest, max_k) + 2, run, "m array<double>, n double",
+                                 _length_and_mean(df, value, series), series, t), [series, "n"], "m")
+    gf = [f for f in sums.schema.fields if f.name == series]
     schema = T.StructType(gf + [T.StructField("n_series", T.LongType()), T.StructField("k", T.IntegerType()),
                                 T.StructField("stat", T.DoubleType()), T.StructField("p_value", T.DoubleType())])
-    K = len(xcols)
 
-    def run(batches):
+    def solve_all(batches):
         for pdf in batches:
             rows = []
-            for key, n, xtx, xty, yy, k, N in zip(pdf[series], pdf["n"], pdf["xtx"], pdf["xty"], pdf["yy"],
-                                                  pdf["k"], pdf["n_series"]):
-                keep = 3 + int(k)
-                A = np.asarray(xtx, dtype=float).reshape(K, K)[:keep, :keep]
-                b = np.asarray(xty, dtype=float)[:keep]
-                beta, se, _, _ = ols_from_sums(float(n), A, b, float(yy))
+            for key, n, m in zip(pdf[series], pdf["n"], pdf["m"]):
+                k = _adf_lags(n, max_k)
+                m = np.asarray(m, float).reshape(k + 4, k + 4)
+                beta, se, _, _ = ols_from_sums(m[0, 0], m[:-1, :-1], m[:-1, -1], m[-1, -1])
                 stat = float(beta[1] / se[1]) if se[1] > 0 else float("nan")
-                rows.append((key, int(N), int(k), stat, _adf_pvalue(stat, int(N) - 1)))
+                rows.append((key, int(n), k, stat, _adf_pvalue(stat, int(n) - 1)))
             yield pd.DataFrame(rows, columns=[series, "n_series", "k", "stat", "p_value"]).astype(
                 {"n_series": "int64", "k": "int32"})
 
-    return ne.mapInPandas(run, schema)
+    return sums.mapInPandas(solve_all, schema)
 
 
 # ----------------------------------------------------------------- AR models
@@ -446,6 +487,172 @@ def ar_forecast(df: DataFrame, model: DataFrame, h: int, value: str = VALUE, ser
     return j.mapInPandas(run, schema)
 
 
+# ----------------------------------------------------------------- ARIMA
+def differencing_order(df: DataFrame, value: str = VALUE, max_d: int = 2, series: str = SERIES, t: str = TIME,
+                       kpss_crit: float = 0.463) -> DataFrame:
+    """(series, d): times the series is differenced until the KPSS level test no longer
+    rejects, ``max_d`` at most; an undefined statistic (constant series) stops."""
+    levels = df.select(series, t, F.col(value).alias("_z"))
+    found = df.select(series).distinct().withColumn("d", F.lit(0))
+    for step in range(max_d):
+        over = kpss(levels, "_z", series, t).where(F.col("stat") > kpss_crit).select(
+            F.col(series).alias("_s"), F.lit(1).alias("_more"))
+        # a series that stopped earlier stays where it is
+        found = found.join(over, F.col(series).eqNullSafe(F.col("_s")) & (F.col("d") == step), "left").select(
+            series, (F.col("d") + F.coalesce("_more", F.lit(0))).alias("d"))
+        if step + 1 < max_d:
+            levels = lagged(levels, "_z", [1], series, t, prefix="_x")
+            levels = levels.select(series, t, (F.col("_z") - F.col("_x1")).alias("_z")).where("_z is not null")
+    checkpoint_dir(df.sparkSession)
+    return found.checkpoint(eager=True)
+
+
+def differenced(df: DataFrame, orders: DataFrame, value: str = VALUE, series: str = SERIES, t: str = TIME) -> DataFrame:
+    """(series, t, z): every series differenced as often as ``orders`` says (0 to 2)."""
+    rows = lagged(df.select(series, t, F.col(value).alias("_x")), "_x", [1, 2], series, t, prefix="_x")
+    d = orders.select(F.col(series).alias("_s"), "d")
+    rows = rows.join(d, F.col(series).eqNullSafe(F.col("_s")))
+    x, x1, x2 = F.col("_x"), F.col("_x1"), F.col("_x2")
+    z = F.when(F.col("d") == 0, x).when(F.col("d") == 1, x - x1).otherwise(x - 2 * x1 + x2)
+    return rows.select(series, t, z.alias("z")).where("z is not null")
+
+
+def long_order(n: float) -> int:
+    """Order of the long autoregression that stands in for the shocks: (ln n)^1.5, a quarter of n at most."""
+    return int(max(1, min(math.log(max(n, 2)) ** 1.5, n // 4)))
+
+
+def _arima_choice(m: np.ndarray, max_p: int, max_q: int, least_root: float) -> dict:
+    """The (p, q) of least AICc whose roots lie outside the circle of radius
+    ``least_root``, solved from the moments of [1, z lags, shock lags, z]."""
+    k = 2 + max_p + max_q
+    m = m.reshape(k, k)
+    n = m[0, 0]
+    found = []
+    for p in range(max_p + 1):
+        for q in range(max_q + 1):
+            at = [0, *range(1, 1 + p), *range(1 + max_p, 1 + max_p + q)]
+            beta, _, rss, _ = ols_from_sums(n, m[np.ix_(at, at)], m[at, -1], m[-1, -1])
+            params = p + q + 2
+            if rss > 0 and n - params - 1 > 0:
+                aicc = n * math.log(rss / n) + 2 * params + 2 * params * (params + 1) / (n - params - 1)
+                found.append((aicc, p + q, p, beta, rss / n))
+    for aicc, order, p, beta, s2 in sorted(found, key=lambda r: r[:3]):
+        ar, ma = beta[1:1 + p], beta[1 + p:]
+        roots = np.concatenate([np.roots([*(-ar[::-1]), 1.0]), np.roots([*ma[::-1], 1.0])])
+        if not len(roots) or np.abs(roots).min() > least_root:
+            return {"p": p, "q": order - p, "n_obs": int(n), "intercept": beta[0], "ar": ar, "ma": ma, "sigma2": s2,
+                    "aicc": aicc}
+    return {"p": 0, "q": 0, "n_obs": int(n), "intercept": m[0, -1] / n if n else 0.0, "ar": np.zeros(0),
+            "ma": np.zeros(0), "sigma2": 0.0, "aicc": math.nan}
+
+
+def arima_select(df: DataFrame, value: str = VALUE, max_p: int = 5, max_q: int = 5, max_d: int = 2, series: str = SERIES,
+                 t: str = TIME, kpss_crit: float = 0.463, least_root: float = 1.001) -> DataFrame:
+    """K9: automatic ARIMA(p, d, q) of every series by Hannan and Rissanen's regressions.
+
+    d comes from repeated KPSS tests.  The differenced series, less its mean, is
+    regressed on ``long_order`` of its lags; the residuals stand in for the shocks, and
+    one more regression on lags of both gives every (p, q) at once: the candidates
+    are sub-blocks of one moment matrix, summed over blocks of time, over the rows
+    where all lags exist.  Least AICc among those with stationary and invertible roots;
+    ties to fewer parameters, then to fewer autoregressive ones.
+    -> (series, d, p, q, n_obs, mean, intercept, ar, ma, sigma2, aicc, long_ar)."""
+    ship_package(df.sparkSession)
+    checkpoint_dir(df.sparkSession)
+    orders = differencing_order(df, value, max_d, series, t, kpss_crit)
+    z = differenced(df, orders, value, series, t).checkpoint(eager=True)
+    stats = z.groupBy(series).agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("z").alias("mean"))
+    most = long_order(stats.agg(F.max("n")).first()[0] or 1)
+
+    def long_moments(block: Block):
+        m, x = long_order(block.params[0]), block.dense() - block.params[1]
+        yield (moments([np.ones(len(x)), *lags_of(x, m).T, x], block.own),)
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def solve_long(all_m: pd.Series) -> pd.Series:
+        out = []
+        for m in all_m:
+            k = math.isqrt(len(m))
+            m = np.asarray(m, float).reshape(k, k)
+            out.append(ols_from_sums(m[0, 0], m[:-1, :-1], m[:-1, -1], m[-1, -1])[0].tolist())
+        return pd.Series(out)
+
+    sums = sum_arrays(map_blocks(z, ["z"], most, long_moments, "m array<double>",
+                                 stats.select(series, F.array("n", "mean")), series, t), [series], "m")
+    long_fit = sums.select(series, solve_long("m").alias("long_ar"))
+    known = stats.join(long_fit.withColumnRenamed(series, "_s"), F.col(series).eqNullSafe(F.col("_s"))).drop("_s")
+    known = known.checkpoint(eager=True)
+
+    def both_moments(block: Block):
+        x, a = block.dense() - block.params[1], block.params[2:]
+        shocks = x - a[0] - lags_of(x, len(a) - 1) @ a[1:]
+        yield (moments([np.ones(len(x)), *lags_of(x, max_p).T, *lags_of(shocks, max_q).T, x], block.own),)
+
+    sums = sum_arrays(map_blocks(z, ["z"], most + max(max_p, max_q), both_moments, "m array<double>",
+                                 known.select(series, F.concat(F.array("n", "mean"), "long_ar")), series, t),
+                      [series], "m")
+    rows = known.join(sums.withColumnRenamed(series, "_s"), F.col(series).eqNullSafe(F.col("_s"))).drop("_s")
+    d = orders.select(F.col(series).alias("_s"), "d")
+    rows = rows.join(d, F.col(series).eqNullSafe(F.col("_s"))).select(series, "d", "mean", "long_ar", "m")
+    gf = [f for f in rows.schema.fields if f.name == series]
+    schema = T.StructType(gf + [T.StructField(c, k) for c, k in (
+        ("d", T.IntegerType()), ("p", T.IntegerType()), ("q", T.IntegerType()), ("n_obs", T.LongType()),
+        ("mean", T.DoubleType()), ("intercept", T.DoubleType()), ("ar", T.ArrayType(T.DoubleType())),
+        ("ma", T.ArrayType(T.DoubleType())), ("sigma2", T.DoubleType()), ("aicc", T.DoubleType()),
+        ("long_ar", T.ArrayType(T.DoubleType())))])
+
+    def choose(batches):
+        for pdf in batches:
+            out = []
+            for key, dd, mean, long_ar, m in zip(pdf[series], pdf["d"], pdf["mean"], pdf["long_ar"], pdf["m"]):
+                x = _arima_choice(np.asarray(m, float), max_p, max_q, least_root)
+                out.append((key, int(dd), x["p"], x["q"], x["n_obs"], mean, x["intercept"], x["ar"].tolist(),
+                            x["ma"].tolist(), x["sigma2"], x["aicc"], list(long_ar)))
+            yield pd.DataFrame(out, columns=[f.name for f in schema]).astype(
+                {"d": "int32", "p": "int32", "q": "int32", "n_obs": "int64"})
+
+    return rows.mapInPandas(choose, schema).checkpoint(eager=True)
+
+
+def arima_forecast(df: DataFrame, model: DataFrame, h: int, value: str = VALUE, series: str = SERIES,
+                   t: str = TIME) -> DataFrame:
+    """K10: (series, step, t, forecast) of ``arima_select``'s models.  Shocks of the last
+    steps are the long autoregression's residuals, later ones are zero; the tail that
+    a forecast needs is a few lags, whatever the length of the series."""
+    ship_package(df.sparkSession)
+    reach = model.agg(F.max(F.size("long_ar") + F.size("ma") + F.size("ar"))).first()[0] or 1
+    rows = per_series(df.select(series, t, F.col(value).alias("_x")), series, _n=F.max(t))
+    tail = rows.where(F.col(t) > F.col("_n") - (reach + 3))
+    lists = tail.groupBy(series).agg(F.max("_n").alias("_n"), F.sort_array(F.collect_list(F.struct(t, "_x"))).alias("tail"))
+    j = lists.join(model, series)
+    gf = [f for f in lists.schema.fields if f.name == series]
+    schema = T.StructType(gf + [T.StructField("step", T.IntegerType()), T.StructField(t, T.LongType()),
+                                T.StructField("forecast", T.DoubleType())])
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.to_dict("records"):
+                x = np.array([v["_x"] for v in r["tail"]], float)
+                z = np.diff(x, n=int(r["d"])) - r["mean"]
+                a, ar, ma = (np.asarray(r[c], float) for c in ("long_ar", "ar", "ma"))
+                shocks = np.nan_to_num(z - a[0] - lags_of(z, len(a) - 1) @ a[1:])
+                z, shocks = z.tolist(), shocks.tolist()
+                last = [np.diff(x, n=i)[-1] for i in range(int(r["d"]))]
+                for s in range(1, h + 1):
+                    z.append(r["intercept"] + sum(c * z[-i] for i, c in enumerate(ar, 1))
+                             + sum(c * shocks[-i] for i, c in enumerate(ma, 1)))
+                    shocks.append(0.0)
+                    step = z[-1] + r["mean"]
+                    for i in range(len(last) - 1, -1, -1):
+                        step = last[i] = last[i] + step
+                    out.append((r[series], s, int(r["_n"]) + s, float(step)))
+            yield pd.DataFrame(out, columns=[series, "step", t, "forecast"]).astype({"step": "int32", t: "int64"})
+
+    return j.mapInPandas(run, schema)
+
+
 def mape(df: DataFrame, actual: str, forecast: str, groups: Sequence[str]) -> DataFrame:
     """K13: mean absolute percentage error per group (in percent)."""
     return df.groupBy(*groups).agg(

@@ -214,16 +214,34 @@ def q_ts_mape(spark, d):
                     (F.row_number().over(w) == 1).alias("best"))
 
 
+@register("ts_arima_select")
+def q_ts_arima_select(spark, d):
+    """Order and coefficients of the automatic ARIMA of every training series."""
+    return ts.arima_select(train_frame(spark, d), "value").drop("long_ar")
+
+
+def _arima_forecasts(spark, d):
+    train = train_frame(spark, d)
+    return ts.arima_forecast(train, ts.arima_select(train, "value"), H)
+
+
+@register("ts_arima_forecast")
+def q_ts_arima_forecast(spark, d):
+    return _arima_forecasts(spark, d)
+
+
 @register("ts_model_mape")
 def q_ts_model_mape(spark, d):
-    """Classical decomposition (trend on the smoothed series) vs AR forecast on the hold-out."""
+    """Classical decomposition (trend on the smoothed series), AR and ARIMA forecasts on the hold-out."""
     full, _, fit = _trend(spark, d)
     test = full.filter(F.col("is_test"))
     classical = ts.trend_predict(test, fit).select("series_id", "t", "value", F.lit("classical").alias("model"),
                                                    F.col("fitted").alias("forecast"))
     ar = _ar_forecasts(spark, d).join(test.select("series_id", "t", "value"), ["series_id", "t"]) \
         .select("series_id", "t", "value", F.lit("ar").alias("model"), "forecast")
-    return ts.mape(classical.unionByName(ar), "value", "forecast", ["series_id", "model"])
+    arima = _arima_forecasts(spark, d).join(test.select("series_id", "t", "value"), ["series_id", "t"]) \
+        .select("series_id", "t", "value", F.lit("arima").alias("model"), "forecast")
+    return ts.mape(classical.unionByName(ar).unionByName(arima), "value", "forecast", ["series_id", "model"])
 
 
 @register("ts_compare", sql=f"""

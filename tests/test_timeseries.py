@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from quire.operators import blocks
 from quire.operators import timeseries as ts
 from quire.operators.ols import grouped_ols
 
@@ -178,6 +179,7 @@ def test_blocks_of_time_give_the_same_statistics(spark, monkeypatch):
         "smooth": ts.smooth(df, 2).toPandas().sort_values(["series_id", "t"])["smoothed"]}
     whole = stats()
     monkeypatch.setattr(ts, "BLOCK_STEPS", 4)
+    monkeypatch.setattr(blocks, "BLOCK_STEPS", 4)
     for name, values in stats().items():
         assert np.allclose(values, whole[name], equal_nan=True), name
     total = ts.running_sum(df, "value").where("series_id = 'tenth'").agg(F.max("_cum")).first()[0]
@@ -212,3 +214,93 @@ def test_constant_series_give_nulls_not_errors(spark):
     assert pd.isna(k.loc["flat", "stat"])
     m = ts.ar_select(df, "value", 2).toPandas()
     assert set(m["series_id"]) == {"flat", "wave"}
+
+
+def _ref_arima(x, d, max_p, max_q):
+    """Hannan-Rissanen with lstsq on explicit design matrices."""
+    z = np.diff(x, n=d)
+    mean = z.mean()
+    z = z - mean
+    m = ts.long_order(len(z))
+    lag = lambda v, k: np.concatenate([np.full(k, np.nan), v[:len(v) - k]])
+    full = np.column_stack([np.ones(len(z)), *[lag(z, k) for k in range(1, m + 1)]])
+    ok = ~np.isnan(full).any(axis=1)
+    long_ar = np.linalg.lstsq(full[ok], z[ok], rcond=None)[0]
+    e = z - full @ long_ar
+    design = np.column_stack([np.ones(len(z)), *[lag(z, k) for k in range(1, max_p + 1)],
+                              *[lag(e, k) for k in range(1, max_q + 1)]])
+    ok = ~np.isnan(design).any(axis=1)
+    best = []
+    for p in range(max_p + 1):
+        for q in range(max_q + 1):
+            use = design[ok][:, [0, *range(1, 1 + p), *range(1 + max_p, 1 + max_p + q)]]
+            beta = np.linalg.lstsq(use, z[ok], rcond=None)[0]
+            rss, n, k = ((z[ok] - use @ beta) ** 2).sum(), ok.sum(), p + q + 2
+            aicc = n * math.log(rss / n) + 2 * k + 2 * k * (k + 1) / (n - k - 1)
+            roots = [r for c in ([-v for v in beta[1:1 + p]], list(beta[1 + p:])) for r in np.roots([*c[::-1], 1.0])]
+            if all(abs(r) > 1.001 for r in roots):
+                best.append((aicc, p + q, p, q, beta, mean, e))
+    return min(best, key=lambda r: r[:3]), z
+
+
+def _arma(rng, n, ar, ma):
+    e, x = rng.normal(size=n + 50), np.zeros(n + 50)
+    for i in range(5, n + 50):
+        x[i] = e[i] + sum(c * x[i - k] for k, c in enumerate(ar, 1)) + sum(c * e[i - k] for k, c in enumerate(ma, 1))
+    return x[50:]
+
+
+@pytest.mark.parametrize("steps", [16, 4096])
+def test_arima_orders_and_coefficients_equal_numpy(spark, monkeypatch, steps):
+    monkeypatch.setattr(blocks, "BLOCK_STEPS", steps)
+    rng = np.random.default_rng(21)
+    series = {"arma": 1e6 + 5e4 * _arma(rng, 300, [0.6], [0.5]), "ma": 7 + _arma(rng, 200, [], [0.8]),
+              "noise": rng.normal(3, 1, 80), "walk": _arma(rng, 250, [0.3], [0.4]).cumsum(),
+              "bent": (rng.normal(size=400).cumsum() + 0.5).cumsum()}
+    df = _series(spark, series)
+    got = {r["series_id"]: r for r in ts.arima_select(df, "value", 3, 2).collect()}
+    assert set(got) == set(series)
+    assert got["walk"]["d"] == 1 and got["bent"]["d"] == 2 and got["ma"]["q"] + got["ma"]["p"] > 0
+    fc = ts.arima_forecast(df, ts.arima_select(df, "value", 3, 2), 4).toPandas()
+    for name, x in series.items():
+        r = got[name]
+        (aicc, _, p, q, beta, mean, e), z = _ref_arima(x, r["d"], 3, 2)
+        assert (r["p"], r["q"]) == (p, q), name
+        assert np.allclose([r["intercept"], *r["ar"], *r["ma"]], beta, rtol=1e-6, atol=1e-6 * max(1, abs(z).max()))
+        assert math.isclose(r["aicc"], aicc, rel_tol=1e-6) and math.isclose(r["mean"], mean, rel_tol=1e-9, abs_tol=1e-9)
+        z, e, levels = list(z), list(np.nan_to_num(e)), [np.diff(x, n=i)[-1] for i in range(r["d"])]
+        for s in range(4):
+            z.append(beta[0] + sum(beta[i] * z[-i] for i in range(1, p + 1)) + sum(beta[p + i] * e[-i] for i in range(1, q + 1)))
+            e.append(0.0)
+            step = z[-1] + mean
+            for i in reversed(range(len(levels))):
+                step = levels[i] = levels[i] + step
+            have = fc[(fc.series_id == name) & (fc.step == s + 1)].iloc[0]
+            assert math.isclose(have["forecast"], step, rel_tol=1e-6, abs_tol=1e-6) and have["t"] == len(x) + s + 1
+
+
+def test_arima_of_odd_series(spark):
+    """Constant, very short and empty series give a model without lags, not an error."""
+    df = _series(spark, {"flat": np.full(30, 4.0), "two": np.array([1.0, 2.0]), "one": np.array([5.0])})
+    got = {r["series_id"]: r for r in ts.arima_select(df, "value").collect()}
+    assert got["flat"]["p"] == got["flat"]["q"] == 0 and got["flat"]["d"] == 0
+    fc = ts.arima_forecast(df, ts.arima_select(df, "value"), 2).toPandas()
+    assert np.allclose(fc[fc.series_id == "flat"]["forecast"], 4.0)
+    assert ts.arima_select(df.limit(0), "value").count() == 0
+
+
+def test_a_series_of_a_million_points_keeps_the_plan(spark):
+    """Lags are data: the plans of a short and of a very long series have one shape."""
+    df = spark.range(1_000_000).select(F.lit("long").alias("series_id"), (F.col("id") + 1).alias("t"),
+                                       (F.sin(F.col("id") * 0.01) + F.rand(3)).alias("value")).checkpoint()
+    x = np.array([r["value"] for r in df.select("t", "value").orderBy("t").collect()])
+    got = ts.acf(df, "value")
+    assert np.allclose(got.toPandas().sort_values("lag")["acf"], _ref_acf(x, 60))
+    stat, l = _ref_kpss(x)
+    k = ts.kpss(df, "value")
+    row = k.first()
+    assert row["lags"] == l == 230 and math.isclose(row["stat"], stat, rel_tol=1e-8)
+    short = _series(spark, {"s": np.arange(40.0)})
+    shape = lambda f: [ln.split("(")[0].strip(" +-:*") for ln in f._jdf.queryExecution().optimizedPlan().toString().split("\n")]
+    assert len(shape(ts.kpss(short, "value"))) == len(shape(k)) and len(k.columns) == 5
+    assert all(len(ln) < 4000 for ln in k._jdf.queryExecution().optimizedPlan().toString().split("\n"))
