@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.operators.aggregate import with_share
-from quire.operators.quantile import grouped_quantiles, quantile_wide
+from quire.operators.quantile import quantile_wide, quantiles_by
+from quire.operators.rank import join_on_keys
 
 
 def bar_counts(df: DataFrame, col: str) -> DataFrame:
@@ -50,18 +51,19 @@ def box_stats(df: DataFrame, group: str, value: str, k: float = 1.5) -> DataFram
     """Box-plot statistics per group: quartiles, whiskers at the most extreme points
     inside the 1.5 IQR fences, and the outlier count."""
     data = df.select(group, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    qs = quantile_wide(grouped_quantiles(data, [group], "_v", [0.25, 0.5, 0.75]), [group],
-                       {0.25: "q1", 0.5: "median", 0.75: "q3"})
+    found, few = quantiles_by(data, group, "_v", [0.25, 0.5, 0.75])
+    qs = quantile_wide(found, [group], {0.25: "q1", 0.5: "median", 0.75: "q3"})
     fences = qs.select(group, "q1", "median", "q3",
                        (F.col("q1") - k * (F.col("q3") - F.col("q1"))).alias("_lo"),
                        (F.col("q3") + k * (F.col("q3") - F.col("q1"))).alias("_hi"))
     inside = (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))
-    second = data.join(fences.select(group, "_lo", "_hi"), group).groupBy(group).agg(
+    ends = fences.select(group, "_lo", "_hi")
+    second = join_on_keys(data, F.broadcast(ends) if few else ends, [group]).groupBy(group).agg(
         F.count(F.lit(1)).cast("long").alias("n"),
         F.min(F.when(inside, F.col("_v"))).alias("whisker_low"),
         F.max(F.when(inside, F.col("_v"))).alias("whisker_high"),
         F.sum((~inside).cast("long")).alias("n_outliers"))
-    return fences.drop("_lo", "_hi").join(second, group)
+    return join_on_keys(fences.drop("_lo", "_hi"), second, [group])
 
 
 def segment_month_series(df: DataFrame, keys: Sequence[str], period: str, measures: dict[str, Column]) -> DataFrame:

@@ -12,18 +12,23 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.operators.aggregate import distinct_count_expr
-from quire.operators.quantile import (
-    grouped_quantiles, quantile_wide, quantiles_of, running_counts, to_long, value_counts)
+from quire.operators.quantile import column_quantiles, to_long
+from quire.operators.radix import column_quantile_values
 
 
 # ------------------------------------------------------------ column screens
 def constant_columns_report(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """(column, n_distinct, dropped): NULL counts as a value, <= 1 value -> dropped."""
     cols = list(cols or df.columns)
-    wide = df.agg(*[distinct_count_expr(c, include_null=True).alias(c) for c in cols])
-    long = wide.unpivot([], cols, "column", "n_distinct")
-    return long.withColumn("dropped", F.col("n_distinct") <= 1)
+    # one narrow group-by of (column, value): counted before the shuffle, no row is
+    # expanded to the width of the table once per column
+    long = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in cols]).unpivot([], cols, "column", "_v")
+    counts = long.groupBy("column", "_v").agg(F.count(F.lit(1)).alias("_c")).groupBy("column").agg(
+        F.count(F.lit(1)).alias("_n"))
+    names = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
+    return names.join(counts, "column", "left").select(
+        "column", F.coalesce("_n", F.lit(0).cast("long")).alias("n_distinct")).withColumn(
+        "dropped", F.col("n_distinct") <= 1)
 
 
 def constant_columns(df: DataFrame) -> list[str]:
@@ -116,13 +121,10 @@ def key_uniqueness(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 # ------------------------------------------------------------ imputation/filters
 def impute_median(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Replace NULLs by the column median (one quantile pass for all columns).
-    The medians form a one-row frame joined as a broadcast."""
-    meds = quantile_wide(grouped_quantiles(to_long(df, cols), ["column"], "value", [0.5]),
-                         ["column"], {0.5: "median"})
-    # one aggregated row per column comes back; it is inlined as literals
-    med = {r["column"]: r["median"] for r in meds.collect()}
-    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(med.get(c)).cast("double"))
+    """Replace NULLs by the column median (one selection for all columns, one number
+    per column inlined as a literal)."""
+    med = column_quantile_values(df, cols, [0.5])
+    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(med[c][0.5]).cast("double"))
                            for c in cols})
 
 
@@ -144,32 +146,45 @@ def _capped(x: Column, cap: Column) -> Column:
     return F.when(x > cap, cap).otherwise(x)
 
 
+def _fences(df: DataFrame, cols: Sequence[str], k: float) -> dict[str, tuple]:
+    """{column: (q1, q3, iqr, lower, upper)} of the columns that have values."""
+    found = column_quantile_values(df, cols, [0.25, 0.75])
+    quartiles = {c: (q[0.25], q[0.75]) for c, q in found.items() if q[0.25] is not None}
+    return {c: (q1, q3, q3 - q1, q1 - k * (q3 - q1), q3 + k * (q3 - q1)) for c, (q1, q3) in quartiles.items()}
+
+
 def iqr_fences(df: DataFrame, cols: Sequence[str], k: float = 1.5) -> DataFrame:
-    """(column, q1, q3, iqr, lower, upper, n_below, n_above) for every column."""
-    run = running_counts(value_counts(to_long(df, cols), ["column"], "value"), ["column"])
-    qs = quantile_wide(quantiles_of(run, ["column"], [0.25, 0.75]), ["column"], {0.25: "q1", 0.75: "q3"})
-    fences = qs.select("column", "q1", "q3", (F.col("q3") - F.col("q1")).alias("iqr")).select(
-        "*", (F.col("q1") - F.lit(k) * F.col("iqr")).alias("lower"),
-        (F.col("q3") + F.lit(k) * F.col("iqr")).alias("upper"))
-    outside = lambda cond: F.sum(F.when(cond, F.col("c")).otherwise(F.lit(0))).cast("long")
-    counts = run.select("column", "x", "c").join(fences.select("column", "lower", "upper"), "column").groupBy("column").agg(
-        outside(F.col("x") < F.col("lower")).alias("n_below"), outside(F.col("x") > F.col("upper")).alias("n_above"))
-    return fences.join(counts, "column")
+    """(column, q1, q3, iqr, lower, upper, n_below, n_above) for every column: the
+    quartiles by selection, the counts by one aggregate with the fences as literals."""
+    fences = _fences(df, cols, k)
+    schema = ("column string, q1 double, q3 double, iqr double, lower double, upper double, "
+              "n_below long, n_above long")
+    if not fences:
+        return df.sparkSession.createDataFrame([], schema)
+    x = lambda c: F.col(c).cast("double")
+    outside = lambda cond: F.sum(F.coalesce(cond, F.lit(False)).cast("long"))
+    counts = df.agg(*[a for i, (c, f) in enumerate(fences.items())
+                      for a in (outside(x(c) < f[3]).alias(f"_b{i}"), outside(x(c) > f[4]).alias(f"_a{i}"))])
+    rows = [F.struct(F.lit(c).alias("column"), *[F.lit(float(v)).alias(n) for n, v in
+                                                 zip(("q1", "q3", "iqr", "lower", "upper"), f)],
+                     F.col(f"_b{i}").alias("n_below"), F.col(f"_a{i}").alias("n_above"))
+            for i, (c, f) in enumerate(fences.items())]
+    return counts.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
 def iqr_cap(df: DataFrame, cols: Sequence[str], k: float = 1.5) -> DataFrame:
-    """Cap each column at its upper fence Q3 + k*IQR (the fences are one small row);
+    """Cap each column at its upper fence Q3 + k*IQR (one number per column);
     NULL stays NULL."""
-    f = iqr_fences(df, cols, k)
-    upper = {r["column"]: r["upper"] for r in f.select("column", "upper").collect()}
-    return df.withColumns({c: _capped(F.col(c).cast("double"), F.lit(upper.get(c)).cast("double")) for c in cols})
+    fences = _fences(df, cols, k)
+    upper = {c: fences[c][4] if c in fences else None for c in cols}
+    return df.withColumns({c: _capped(F.col(c).cast("double"), F.lit(upper[c]).cast("double")) for c in cols})
 
 
 def percentile_table(df: DataFrame, cols: Sequence[str], step: float = 0.01) -> DataFrame:
     """(column, pct, value): quantiles at 0%, 1%, ..., 100%."""
     n = int(round(1 / step))
     probs = [round(i * step, 10) for i in range(n + 1)]
-    qs = grouped_quantiles(to_long(df, cols), ["column"], "value", probs)
+    qs = column_quantiles(df, cols, probs)
     return qs.select("column", F.round(F.col("prob") * 100).cast("int").alias("pct"), F.col("q").alias("value"))
 
 

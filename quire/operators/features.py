@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.operators.quantile import grouped_quantiles
+from quire.operators.quantile import column_quantiles
 from quire.operators.rank import global_cumsum, join_on_keys
 from quire.session import checkpoint_dir
 
@@ -107,9 +107,8 @@ def dummy_code(df: DataFrame, levels: dict[str, list[str]], drop_first: bool = T
 # ---------------------------------------------------------------- WOE / IV
 def numeric_edges(df: DataFrame, cols: Sequence[str], bins: int = 10) -> DataFrame:
     """(feature, edges): unique quantile cut points 0, 1/bins, ..., 1 per column."""
-    from quire.operators.quantile import to_long
     probs = [i / bins for i in range(bins + 1)]
-    qs = grouped_quantiles(to_long(df, cols, name_col="feature"), ["feature"], "value", probs)
+    qs = column_quantiles(df, cols, probs, name_col="feature")
     return qs.groupBy("feature").agg(F.array_sort(F.array_distinct(F.collect_list("q"))).alias("edges"))
 
 

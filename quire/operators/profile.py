@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.operators.quantile import (
-    grouped_quantiles, quantile_wide, quantiles_of, running_counts, to_long, value_counts)
+from quire.operators.quantile import running_counts, value_counts
+from quire.operators.radix import column_quantile_values, quantile_ranks, select_ranks
 
 
 def table_shape(df: DataFrame) -> DataFrame:
@@ -36,18 +37,25 @@ def schema_profile(df: DataFrame, order_by: Sequence[str], n: int = 3, tail: boo
     return meta.join(vals, "column", "left").select("position", "column", "type", "values")
 
 
+def _stacked(wide: DataFrame, rows: Sequence[tuple[str, dict[str, Column]]]) -> DataFrame:
+    """One row per (name, columns) from a frame of one row."""
+    cells = [F.struct(F.lit(name).alias("column"), *[v.alias(k) for k, v in values.items()]) for name, values in rows]
+    return wide.select(F.explode(F.array(*cells)).alias("r")).select("r.*")
+
+
 def numeric_summary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """R ``summary`` for numeric columns, long form (column, stat, value):
-    min, q1, median, mean, q3, max, n_null."""
-    long = to_long(df, cols)
-    qs = quantile_wide(grouped_quantiles(long, ["column"], "value", [0.25, 0.5, 0.75]),
-                       ["column"], {0.25: "q1", 0.5: "median", 0.75: "q3"})
-    basic = long.groupBy("column").agg(
-        F.min("value").alias("min"), F.avg("value").alias("mean"), F.max("value").alias("max"),
-        F.sum(F.col("value").isNull().cast("long")).cast("double").alias("n_null"))
-    wide = basic.join(qs, "column", "left")
-    stats = ["min", "q1", "median", "mean", "q3", "max", "n_null"]
-    return wide.unpivot(["column"], stats, "stat", "value")
+    min, q1, median, mean, q3, max, n_null.  Quartiles by selection, the rest by one
+    aggregate over all columns."""
+    qs = column_quantile_values(df, cols, [0.25, 0.5, 0.75])
+    x = lambda c: F.col(c).cast("double")
+    wide = df.agg(*[a.alias(f"_{name}{i}") for i, c in enumerate(cols) for name, a in (
+        ("min", F.min(x(c))), ("mean", F.avg(x(c))), ("max", F.max(x(c))), ("n_null", F.count(F.lit(1)) - F.count(x(c))))])
+    rows = [(c, {"stat": F.lit(stat), "value": (F.lit(qs[c][probs[stat]]) if stat in probs else F.col(f"_{stat}{i}"))
+                 .cast("double")})
+            for probs in [{"q1": 0.25, "median": 0.5, "q3": 0.75}] for i, c in enumerate(cols)
+            for stat in ("min", "q1", "median", "mean", "q3", "max", "n_null")]
+    return _stacked(wide, rows)
 
 
 def level_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -63,30 +71,47 @@ def describe_table(df: DataFrame, cols: Sequence[str], trim: float = 0.1) -> Dat
     skew = Spark skewness * ((n-1)/n)^1.5 ; kurtosis = (Spark kurtosis + 3) * ((n-1)/n)^2 - 3;
     trimmed mean over ranks floor(trim*n)+1 .. n-floor(trim*n); mad = 1.4826 * median|x - median|.
     """
-    run = running_counts(value_counts(to_long(df, cols), ["column"], "value"), ["column"])
-    x, c = F.col("x"), F.col("c")
-    mom = run.groupBy("column").agg(
-        F.max("n").alias("n"), (F.sum(x * c) / F.sum(c)).alias("mean"), F.min("x").alias("min"), F.max("x").alias("max"))
-    dev = x - F.col("mean")
-    mom = run.select("column", "x", "c").join(mom, "column").groupBy("column", "n", "mean", "min", "max").agg(
-        *[F.sum(c * F.pow(dev, F.lit(float(k)))).alias(f"_m{k}") for k in (2, 3, 4)])
-    med = quantile_wide(quantiles_of(run, ["column"], [0.5]), ["column"], {0.5: "median"})
-    away = run.join(med, "column").select("column", F.abs(x - F.col("median")).alias("x"), "c") \
-        .groupBy("column", "x").agg(F.sum("c").alias("c"))
-    mad = quantile_wide(quantiles_of(running_counts(away, ["column"]), ["column"], [0.5]), ["column"], {0.5: "_mad"})
-    out = mom.join(med, "column").join(mad, "column").join(_trimmed(run, ["column"], trim), "column")
-    n = F.col("n").cast("double")
-    sd = F.when(n > 1, F.sqrt(F.try_divide(F.col("_m2"), n - 1)))
-    skew = F.try_divide(F.sqrt(n) * F.col("_m3"), F.pow(F.col("_m2"), 1.5))
-    kurt = F.try_divide(n * F.col("_m4"), F.col("_m2") * F.col("_m2"))
-    ratio = (n - 1) / n
-    return out.select(
-        "column", F.col("n").cast("long").alias("n"), "mean", sd.alias("sd"), "median", "trimmed",
-        (F.col("_mad") * F.lit(1.4826)).alias("mad"), "min", "max",
-        (F.col("max") - F.col("min")).alias("range"),
-        (skew * F.pow(ratio, 1.5)).alias("skew"),
-        (kurt * F.pow(ratio, 2) - 3).alias("kurtosis"),
-        F.try_divide(sd, F.sqrt(n)).alias("se"))
+    cut = lambda n: [math.floor(n * trim) + 1, n - math.floor(n * trim)]
+    middle = quantile_ranks([0.5])
+    found = {c: s for (_, c), s in select_ranks(df, cols, lambda n: [*middle(n), *cut(n)] if n else []).items()}
+    used = [c for c in cols if found[c].n]
+    if not used:
+        return df.sparkSession.createDataFrame([], "column string, n long, " + ", ".join(f"{s} double" for s in (
+            "mean", "sd", "median", "trimmed", "mad", "min", "max", "range", "skew", "kurtosis", "se")))
+    med = {c: found[c].quantile(0.5) for c in used}
+    x = {c: F.col(c).cast("double") for c in used}
+    away = df.select(*[F.abs(x[c] - F.lit(med[c])).alias(c) for c in used])
+    mad = column_quantile_values(away, used, [0.5])
+    mean = df.agg(*[F.avg(x[c]).alias(f"_{i}") for i, c in enumerate(used)]).first()
+    aggs = []
+    for i, c in enumerate(used):
+        lo, hi = (found[c].at[r] for r in cut(found[c].n))
+        dev = x[c] - F.lit(mean[i])
+        count = lambda cond: F.sum(cond.cast("long"))
+        aggs += [F.min(x[c]).alias(f"_min{i}"), F.max(x[c]).alias(f"_max{i}"), count(x[c] <= lo).alias(f"_lo{i}"),
+                 count(x[c] < hi).alias(f"_hi{i}"),
+                 F.sum(F.when((x[c] > lo) & (x[c] < hi), x[c])).alias(f"_mid{i}"),
+                 *[F.sum(F.pow(dev, F.lit(float(k)))).alias(f"_m{k}{i}") for k in (2, 3, 4)]]
+    wide = df.agg(*aggs)
+    rows = []
+    for i, c in enumerate(used):
+        n, (lo, hi) = found[c].n, (found[c].at[r] for r in cut(found[c].n))
+        k = math.floor(n * trim)
+        # of the rows equal to a trim point, those behind (before) it count
+        kept = F.coalesce(F.col(f"_mid{i}"), F.lit(0.0)) + (F.col(f"_lo{i}") - k) * F.lit(lo) \
+            + (F.lit(n - k) - F.col(f"_hi{i}")) * F.lit(hi)
+        trimmed = F.lit(lo) if lo == hi else F.try_divide(kept, F.lit(float(n - 2 * k)))
+        size, m2, m3, m4 = F.lit(float(n)), *(F.col(f"_m{j}{i}") for j in (2, 3, 4))
+        sd = F.sqrt(F.try_divide(m2, F.lit(n - 1.0))) if n > 1 else F.lit(None).cast("double")
+        ratio = (n - 1) / n
+        rows.append((c, {
+            "n": F.lit(n).cast("long"), "mean": F.lit(mean[i]), "sd": sd, "median": F.lit(med[c]), "trimmed": trimmed,
+            "mad": F.lit(1.4826 * mad[c][0.5]), "min": F.col(f"_min{i}"), "max": F.col(f"_max{i}"),
+            "range": F.col(f"_max{i}") - F.col(f"_min{i}"),
+            "skew": F.try_divide(F.sqrt(size) * m3, F.pow(m2, 1.5)) * F.lit(ratio ** 1.5),
+            "kurtosis": F.try_divide(size * m4, m2 * m2) * F.lit(ratio ** 2) - 3,
+            "se": F.try_divide(sd, F.sqrt(size))}))
+    return _stacked(wide, rows)
 
 
 def _trimmed(run: DataFrame, groups: Sequence[str], trim: float) -> DataFrame:

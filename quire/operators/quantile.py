@@ -1,10 +1,10 @@
 """Quantiles per group, R type 7 (= Spark ``percentile`` = DuckDB ``quantile_cont``).
 
-One path at every size: rows are first counted per (group, value), so a hot
+Columns, and groups of a bounded number, go by radix selection (``radix``).  Groups
+without a bound go by counts: rows are first counted per (group, value), so a hot
 value collapses before the shuffle; a balanced running count over (group, value)
 then tells which value holds each order statistic, and the two that bracket a
-probability are interpolated.  No task holds a whole group, and the same counts
-serve several statistics.
+probability are interpolated.  No task holds a whole group.
 """
 
 from __future__ import annotations
@@ -13,7 +13,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
+from quire.operators.radix import column_quantile_values, quantile_ranks, select_ranks
 from quire.operators.rank import global_cumsum, join_on_keys
 
 
@@ -40,7 +42,8 @@ def running_counts(counts: DataFrame, groups: Sequence[str]) -> DataFrame:
         run = run.withColumn("_one", F.lit(1))
     by = keys or ["_one"]
     size = run.groupBy(*by).agg(F.sum("c").alias("n"), F.min(F.col("c_all") - F.col("c")).alias("_before"))
-    out = join_on_keys(run, size, by).withColumn("cum", F.col("c_all") - F.col("_before"))
+    # a frame without groups has one row of totals
+    out = join_on_keys(run, size if keys else F.broadcast(size), by).withColumn("cum", F.col("c_all") - F.col("_before"))
     return out.select(*keys, "x", "c", "cum", "n")
 
 
@@ -66,9 +69,27 @@ def grouped_quantiles(long_df: DataFrame, groups: Sequence[str], value: str,
     return quantiles_of(running_counts(value_counts(long_df, groups, value), groups), groups, probs)
 
 
-def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
-    """(column, prob, q) for several columns in one pass."""
-    return grouped_quantiles(to_long(df, cols), ["column"], "value", probs)
+def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], name_col: str = "column") -> DataFrame:
+    """(column, prob, q) for several columns by radix selection; a column without values has no row."""
+    found = column_quantile_values(df, cols, probs)
+    rows = [(c, float(p), q) for c, qs in found.items() for p, q in qs.items() if q is not None]
+    return df.sparkSession.createDataFrame(rows, f"`{name_col}` string, prob double, q double")
+
+
+# Most groups whose quantiles are selected by radix, all groups in one pass; more go by counts.
+MAX_RADIX_GROUPS = 1000
+
+
+def quantiles_by(df: DataFrame, group: str, value: str, probs: Sequence[float]) -> tuple[DataFrame, bool]:
+    """(group, prob, q) of one column in the groups of another, and whether it has at
+    most ``MAX_RADIX_GROUPS`` groups (then it may be broadcast)."""
+    names = [r[0] for r in df.select(group).distinct().limit(MAX_RADIX_GROUPS + 1).collect()]
+    if len(names) > MAX_RADIX_GROUPS:
+        return grouped_quantiles(df, [group], value, probs), False
+    found = select_ranks(df, [value], quantile_ranks(probs), group, names)
+    rows = [(g, float(p), s.quantile(p)) for (g, _), s in found.items() for p in probs if s.n]
+    return df.sparkSession.createDataFrame(rows, StructType([
+        StructField(group, df.schema[group].dataType), StructField("prob", DoubleType()), StructField("q", DoubleType())])), True
 
 
 def quantile_wide(qs: DataFrame, groups: Sequence[str], names: dict[float, str]) -> DataFrame:
