@@ -1,17 +1,15 @@
 """Model fitting with pyspark.ml, returning coefficient / importance tables as DataFrames.
 
-Fits are distributed by Spark (IRLS / tree / L-BFGS aggregations over the
-partitions); only model-sized results (k coefficients, a k x k matrix) come
-back to the driver.  Search loops (stepwise, elimination, grids) refit on one
-cached, assembled frame.
+Fits are distributed by Spark (tree / L-BFGS aggregations over the partitions, or one
+gradient vector per task); only model-sized results come back to the driver.  Grid
+searches fit all their machines together on one cached frame.  Logistic regressions
+are in ``logit``.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
-from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -23,13 +21,13 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol, Param, Params, TypeConverters
 from pyspark.ml.stat import Summarizer
-from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.functions.scalars import sigmoid
+from quire.operators.logit import (  # noqa: F401  part of this module's interface
+    LogitData, LogitFit, backward_eliminate, logit_fit, logit_predict_expr, score_with, stepwise_aic, vif_table, vifs)
 from quire.session import ship_package
 
 
@@ -37,151 +35,6 @@ def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> D
     return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="keep").transform(df)
 
 
-# ------------------------------------------------------------------ logistic
-@dataclass
-class LogitFit:
-    features: list[str]
-    coef: list[float]          # intercept first
-    se: list[float]
-    z: list[float]
-    p: list[float]
-    aic: float
-    model: object
-
-    def table(self, spark) -> DataFrame:
-        names = ["(Intercept)"] + self.features
-        rows = [(n, float(b), float(s), float(zv), float(pv)) for n, b, s, zv, pv in
-                zip(names, self.coef, self.se, self.z, self.p)]
-        return spark.createDataFrame(
-            rows, "term string, estimate double, std_error double, z_value double, p_value double")
-
-
-def logit_fit(df: DataFrame, label: str, features: Sequence[str], weight: str | None = None,
-              max_iter: int = 25, persist: bool = True) -> LogitFit:
-    """Binomial GLM (IRLS) with Wald statistics and AIC (R ``glm(family = binomial)``).
-    ``persist=False`` when the caller already caches ``df`` (search loops)."""
-    feats = list(features)
-    cols = [label, "features"] + ([weight] if weight else [])
-    # IRLS passes over the data once per iteration: keep the assembled rows instead of
-    # re-running the upstream joins each time
-    data = assemble(df, feats).select(*cols)
-    if persist:
-        data = data.persist(StorageLevel.MEMORY_AND_DISK)
-    glr = GeneralizedLinearRegression(family="binomial", link="logit", labelCol=label, featuresCol="features",
-                                      maxIter=max_iter, fitIntercept=True)
-    if weight:
-        glr = glr.setWeightCol(weight)
-    try:
-        model = glr.fit(data)
-        s = model.summary
-        se, tv, pv, aic = list(s.coefficientStandardErrors), list(s.tValues), list(s.pValues), float(s.aic)
-    finally:
-        if persist:
-            data.unpersist()
-    # Spark lists the intercept last in the summary arrays
-    return LogitFit(features=feats, coef=[model.intercept] + list(model.coefficients),
-                    se=[se[-1]] + se[:-1], z=[tv[-1]] + tv[:-1], p=[pv[-1]] + pv[:-1],
-                    aic=aic, model=model)
-
-
-def logit_predict_expr(intercept: float, coef: dict[str, float]) -> Column:
-    """Probability from fixed coefficients as a codegen'd expression (no model object)."""
-    z = F.lit(float(intercept))
-    for c, b in coef.items():
-        z = z + F.lit(float(b)) * F.col(c)
-    return sigmoid(z)
-
-
-def score_with(fit: LogitFit, df: DataFrame, out: str = "prob") -> DataFrame:
-    return df.withColumn(out, logit_predict_expr(fit.coef[0], dict(zip(fit.features, fit.coef[1:]))))
-
-
-def stepwise_aic(df: DataFrame, label: str, features: Sequence[str], weight: str | None = None,
-                 start: Sequence[str] | None = None, workers: int = 4) -> tuple[LogitFit, DataFrame]:
-    """Both-direction stepwise selection by AIC (MASS ``stepAIC``), starting from the
-    full model.  Candidate fits of a step run concurrently; the frame is cached once."""
-    spark = df.sparkSession
-    data = df.select(label, *features, *([weight] if weight else [])).cache()
-    current = list(start if start is not None else features)
-    best = logit_fit(data, label, current, weight, persist=False)
-    trace = [(0, "<start>", best.aic, ",".join(current))]
-    pool = ThreadPoolExecutor(max_workers=workers)
-    try:
-        step = 0
-        while True:  # every step lowers the AIC, so no set of terms comes twice
-            step += 1
-            moves = [("-" + f, [x for x in current if x != f]) for f in current if len(current) > 1]
-            moves += [("+" + f, current + [f]) for f in features if f not in current]
-            fits = list(pool.map(lambda m: (m[0], logit_fit(data, label, m[1], weight, persist=False)), moves))
-            move, cand = min(fits, key=lambda x: x[1].aic) if fits else (None, None)
-            if cand is None or cand.aic >= best.aic - 1e-9:
-                break
-            best, current = cand, cand.features
-            trace.append((step, move, best.aic, ",".join(current)))
-    finally:
-        pool.shutdown()
-        data.unpersist()
-    steps = spark.createDataFrame(trace, "step int, move string, aic double, terms string")
-    return best, steps
-
-
-def vif_table(df: DataFrame, fit: LogitFit, weight: str | None = None) -> DataFrame:
-    """VIF of each term of a fitted logit: diagonal of the inverse of the correlation
-    matrix derived from the coefficient covariance (X'WX)^-1 with IRLS weights
-    w * mu * (1 - mu).  One aggregation pass; the k x k algebra runs on the driver."""
-    spark = df.sparkSession
-    feats = fit.features
-    mu = logit_predict_expr(fit.coef[0], dict(zip(feats, fit.coef[1:])))
-    wcol = (F.col(weight) if weight else F.lit(1.0)) * mu * (1 - mu)
-    cols = [F.lit(1.0)] + [F.col(f).cast("double") for f in feats]
-    k = len(cols)
-    row = df.agg(*[F.sum(wcol * cols[i] * cols[j]).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k)]).first()
-    M = np.zeros((k, k))
-    for i in range(k):
-        for j in range(i, k):
-            M[i, j] = M[j, i] = row[f"m{i}_{j}"]
-    V = np.linalg.inv(M)[1:, 1:]
-    d = np.sqrt(np.diag(V))
-    R = V / np.outer(d, d)
-    vif = np.diag(np.linalg.inv(R)) if len(feats) > 1 else np.ones(1)
-    p = dict(zip(feats, fit.p[1:]))
-    return spark.createDataFrame([(f, float(v), float(p[f])) for f, v in zip(feats, vif)],
-                                 "term string, vif double, p_value double")
-
-
-def backward_eliminate(df: DataFrame, label: str, features: Sequence[str], weight: str | None = None,
-                       vif_max: float = 2.0, p_max: float = 0.05) -> tuple[LogitFit, DataFrame]:
-    """Drop terms one at a time: first the least significant among those with VIF above
-    ``vif_max`` (when it is not significant), otherwise the term with the largest
-    p-value above ``p_max``; stop when every term passes."""
-    spark = df.sparkSession
-    data = df.select(label, *features, *([weight] if weight else [])).cache()
-    current = list(features)
-    log = []
-    try:
-        rnd = 0
-        while True:  # every round drops a term
-            fit = logit_fit(data, label, current, weight, persist=False)
-            vifs = {r["term"]: r["vif"] for r in vif_table(data, fit, weight).collect()}
-            pvals = dict(zip(fit.features, fit.p[1:]))
-            high = [f for f in current if vifs[f] > vif_max and pvals[f] > p_max]
-            if high:
-                drop, why = max(high, key=lambda f: (pvals[f], vifs[f])), "vif"
-            else:
-                weak = [f for f in current if pvals[f] > p_max]
-                if not weak or len(current) == 1:
-                    break
-                drop, why = max(weak, key=lambda f: pvals[f]), "p_value"
-            rnd += 1
-            log.append((rnd, drop, why, float(vifs[drop]), float(pvals[drop])))
-            current.remove(drop)
-        fit = logit_fit(data, label, current, weight, persist=False)
-    finally:
-        data.unpersist()
-    steps = spark.createDataFrame(log, "round int, dropped string, reason string, vif double, p_value double")
-    return fit, steps
-
-
 # ------------------------------------------------------------------ trees, nets
 def random_forest(df: DataFrame, label: str, features: Sequence[str], num_trees: int = 100,
                   mtry: int | str = 5, seed: int = 100, max_depth: int = 10):
