@@ -57,26 +57,32 @@ def threshold_grid(start: float, stop: float, n: int) -> list[float]:
     return [start + i * by for i in range(n)]
 
 
-def thresholds_cleared(x: Column, start: float, by: float, n: int) -> Column:
-    """Number of the thresholds start + i*by (i < n, by > 0) that are <= x; NULL for NULL."""
+def with_thresholds_cleared(df: DataFrame, score: str, start: float, by: float, n: int, out: str = "b") -> DataFrame:
+    """Adds the number of the thresholds start + i*by (i < n, by > 0) that are <= score; rows
+    without a score are left out.
+
+    Each step is a projection of its own: a value used twice in one expression is
+    written into the generated code twice, and nested steps multiply."""
+    x, g = F.col("_x"), F.col("_g")
     t = lambda i: F.lit(float(start)) + i.cast("double") * F.lit(float(by))  # noqa: E731  same double expression as the grid
-    near = F.least(F.greatest(x.cast("double"), F.lit(start - by)), F.lit(start + n * by))  # infinite scores too
-    near = F.when(x.isNotNull(), near)
-    guess = F.least(F.greatest(F.floor((near - F.lit(float(start))) / F.lit(float(by))) + 1, F.lit(0)), F.lit(n)).cast("int")
-    guess = F.when(x.isNotNull(), guess)
+    rows = df.withColumn("_x", F.col(score).cast("double")).where(x.isNotNull())
+    near = F.least(F.greatest(x, F.lit(start - by)), F.lit(start + n * by))  # infinite scores too
+    rows = rows.withColumn("_g", (F.floor((near - F.lit(float(start))) / F.lit(float(by))) + 1).cast("int"))
+    rows = rows.withColumn("_g", F.least(F.greatest(g, F.lit(0)), F.lit(n)))
     # the floating-point guess is off by at most one: settle it against the thresholds themselves
-    up = F.when((guess < n) & (t(guess) <= x), guess + 1).otherwise(guess)
-    return F.when((up > 0) & (t(up - 1) > x), up - 1).otherwise(up)
+    rows = rows.withColumn("_g", g + ((g < n) & (t(g) <= x)).cast("int"))
+    b = g - ((g > 0) & (t(g - 1) > x)).cast("int")
+    # never NULL, and said so: a later join would push "b is not null" down as one huge expression
+    return rows.withColumn(out, F.coalesce(b, F.lit(0))).drop("_x", "_g")
 
 
 def _bucket_counts(df: DataFrame, label: str, score: str, start: float, by: float, n: int,
                    positive) -> DataFrame:
     """(b, n_pos, n_neg) with b = number of thresholds start + i*by (i < n) that are <= score;
     rows without a score are left out, as in ``confusion_at_cutoff``."""
-    bucket = thresholds_cleared(F.col(score), start, by, n)
-    pos = _positive(label, positive)
-    return df.where(F.col(score).isNotNull()).select(bucket.alias("b"), pos.alias("pos")).groupBy("b").agg(
-        F.sum("pos").alias("n_pos"), F.sum(1 - F.col("pos")).alias("n_neg"))
+    rows = with_thresholds_cleared(df.select(F.col(score).alias("score"), _positive(label, positive).alias("pos")),
+                                   "score", start, by, n)
+    return rows.groupBy("b").agg(F.sum("pos").alias("n_pos"), F.sum(1 - F.col("pos")).alias("n_neg"))
 
 
 def cutoff_sweep(df: DataFrame, label: str, score: str, start: float, stop: float, n: int = 100,
@@ -137,10 +143,18 @@ def cutoff_within(sweep: DataFrame, tolerance: float) -> DataFrame:
 def evaluate_binary(df: DataFrame, label: str, score: str, n: int = 100, positive=1,
                     start: float | None = None, stop: float | None = None, margin: float = 0.001) -> DataFrame:
     """Cutoff sweep over [min+margin, max-margin] (or [start, stop]), optimal cutoff,
-    and the confusion measures there: one record."""
+    and the confusion measures there: one record.  Scores closer together than two
+    margins are swept from the least to the greatest, a single score is itself the
+    threshold; without scores there is no record."""
     if start is None or stop is None:
-        mm = df.agg(F.min(score).alias("lo"), F.max(score).alias("hi")).first()
+        mm = df.agg(F.min(score).cast("double").alias("lo"), F.max(score).cast("double").alias("hi")).first()
+        if mm["lo"] is None:
+            return df.sparkSession.createDataFrame([], "cutoff double, tolerance double, tp long, fp long, tn long, "
+                                                       "fn long, accuracy double, sensitivity double, specificity double")
         start, stop = mm["lo"] + margin, mm["hi"] - margin
+        if start > stop:
+            start, stop = mm["lo"], mm["hi"]
+        n = n if start < stop else 1
     best = optimal_cutoff(cutoff_sweep(df, label, score, start, stop, n, positive))
     return best.select("cutoff", "tolerance", "tp", "fp", "tn", "fn", "accuracy", "sensitivity", "specificity")
 

@@ -246,6 +246,15 @@ def hash_key(key: str | Column, seed: int = 1) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), k.cast("string")))
 
 
+# Most strata whose cuts (one row each) are broadcast; more are joined.
+MAX_BROADCAST_STRATA = 10_000
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    """A checkpointed frame of one row per stratum, marked for broadcast if it is within the bound."""
+    return F.broadcast(rows) if rows.count() <= MAX_BROADCAST_STRATA else rows
+
+
 def _flag_by_hash(df: DataFrame, strata: list[str], key: str, seed: int, target, flag: str) -> DataFrame:
     """Flag rows up to the row at rank ``target(n)`` of their stratum in (md5, key) order.
 
@@ -267,13 +276,13 @@ def _flag_by_hash(df: DataFrame, strata: list[str], key: str, seed: int, target,
     # one row per stratum (none where nothing is selected)
     at = counts.where((F.col("_cum") >= F.col("_m")) & (F.col("_cum") - F.col("_c") < F.col("_m"))).select(
         *strata, F.col("_b").alias("_cb"), (F.col("_m") - F.col("_cum") + F.col("_c")).alias("_need")).checkpoint()
-    inside = join_on_keys(d.select(*strata, "_b", "_h", F.col(key).alias("_k")), at, strata).where("_b = _cb")
+    inside = join_on_keys(d.select(*strata, "_b", "_h", F.col(key).alias("_k")), _small(at), strata).where("_b = _cb")
     keys = inside.groupBy(*strata, "_need", "_h", "_k").agg(F.count(F.lit(1)).alias("_c"))
     run = global_cumsum(keys, [*strata, "_h", "_k"], ["_c"])
     first = run.groupBy(*strata).agg(F.min(F.col("_c_cum") - F.col("_c")).alias("_before"))
-    run = join_on_keys(run, first, strata).where(F.col("_c_cum") - F.col("_before") >= F.col("_need"))
+    run = join_on_keys(run, _small(first.checkpoint()), strata).where(F.col("_c_cum") - F.col("_before") >= F.col("_need"))
     cuts = run.groupBy(*strata).agg(F.min(F.struct("_h", "_k")).alias("_cut")).checkpoint()
-    j = join_on_keys(d, cuts, strata, how="left")
+    j = join_on_keys(d, _small(cuts), strata, how="left")
     sel = F.coalesce(F.struct("_h", F.col(key).alias("_k")) <= F.col("_cut"), F.lit(False))
     return j.withColumn(flag, sel).drop("_cut", "_h", "_b")
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.scalars import cut_bins
-from quire.operators.evaluate import thresholds_cleared
+from quire.operators.evaluate import with_thresholds_cleared
 
 # The reference's scaling (20 points to double the odds, 400 points at 10:1).
 PDO, BASE_SCORE, BASE_ODDS = 20.0, 400.0, 10.0
@@ -53,10 +53,10 @@ def scorecard_cutoffs(df: DataFrame, label: str, score: str, exposure: str, star
     then the (few) bucket totals are reverse-cumulated.  Rows without a score are
     neither accepted nor lost: they are left out."""
     k = int(math.floor((stop - start) / step)) + 1
-    cleared = thresholds_cleared(F.col(score), start, step, k)
     bad = (F.col(label) == 1)
-    buckets = df.where(F.col(score).isNotNull()).select(cleared.alias("b"), bad.cast("long").alias("bad"),
-                        F.when(bad, F.col(exposure)).otherwise(0.0).alias("bad_exp")) \
+    rows = df.select(F.col(score).alias("score"), bad.cast("long").alias("bad"),
+                     F.when(bad, F.col(exposure)).otherwise(0.0).alias("bad_exp"))
+    buckets = with_thresholds_cleared(rows, "score", start, step, k) \
         .groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("n_bad"), F.sum("bad_exp").alias("exp_bad"))
     dense = df.sparkSession.range(0, k + 1).select(F.col("id").cast("int").alias("b")) \
         .join(buckets, "b", "left").fillna(0, subset=["n", "n_bad", "exp_bad"])

@@ -3,6 +3,8 @@ same frame written as a DuckDB common table expression for the oracles."""
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from quire.sources.tables import load
 # Fixed value: the reference's forecasting hold-out length.
 HOLDOUT_MONTHS = 6
 
-# ---------------------------------------------------------------- segments
+# Segments.
 SEGMENT_ORDERS_SQL = f"""
 seg_orders AS (
   SELECT o.o_orderkey, r.r_name || '_' || c.c_mktsegment AS segment,
@@ -22,19 +24,23 @@ seg_orders AS (
   JOIN customer c ON o.o_custkey = c.c_custkey
   JOIN nation n ON c.c_nationkey = n.n_nationkey
   JOIN region r ON n.n_regionkey = r.r_regionkey
-  WHERE o.o_orderdate < (SELECT date_trunc('month', max(o_orderdate)) FROM orders))"""
+  WHERE o.o_orderdate < (SELECT CASE WHEN CAST(max(o_orderdate) AS DATE) = last_day(max(o_orderdate))
+                                     THEN last_day(max(o_orderdate)) + INTERVAL 1 DAY
+                                     ELSE date_trunc('month', max(o_orderdate)) END FROM orders))"""
 
 
 def segment_orders(spark: SparkSession, d: str) -> DataFrame:
-    """Orders labelled with the region_segment key and their calendar month; the last
-    month of the data is left out, it may be incomplete.
+    """Orders labelled with the region_segment key and their calendar month.  The last
+    month is left out unless the data reach its last day.
 
     nation (25 rows) and region (5 rows) have fixed sizes, so they are
     broadcast; orders x customer is a shuffle join that AQE may re-plan."""
     orders = load(spark, d, "orders")
     last = orders.agg(F.max(F.col("o_orderdate").cast("date")).alias("m")).first()["m"]
     if last is not None:
-        orders = orders.filter(F.col("o_orderdate") < F.expr(f"TIMESTAMP_NTZ '{last.replace(day=1)} 00:00:00'"))
+        complete = (last + timedelta(days=1)).day == 1
+        end = last + timedelta(days=1) if complete else last.replace(day=1)
+        orders = orders.filter(F.col("o_orderdate") < F.expr(f"TIMESTAMP_NTZ '{end} 00:00:00'"))
     geo = F.broadcast(load(spark, d, "nation")).join(
         F.broadcast(load(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
     cust = load(spark, d, "customer").join(geo, F.col("c_nationkey") == F.col("n_nationkey"))
@@ -46,7 +52,7 @@ def segment_orders(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-# --------------------------------------------------------------- applicants
+# Applicants.
 # Coefficients of the deterministic score used wherever an
 # evaluation needs a probability that DuckDB can recompute exactly.
 # The linear term is summed in integers and divided once, so equal scores are
@@ -84,7 +90,7 @@ def applicants(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-# ------------------------------------------------------------------ series
+# Series.
 SERIES_SQL = f"""{SEGMENT_ORDERS_SQL},
 series_raw AS (
   SELECT segment || '|sales' AS series_id, month, sum(o_totalprice) AS value
@@ -109,7 +115,7 @@ def segment_series(spark: SparkSession, d: str) -> DataFrame:
                                    "quantity": F.count(F.lit(1)).cast("double")})
 
 
-# ------------------------------------------------------------- attendance
+# Attendance.
 ATTENDANCE_SQL = """
 attendance AS (
   SELECT user_id, CAST(ts AS DATE) AS day,
@@ -126,7 +132,7 @@ def attendance(spark: SparkSession, d: str) -> DataFrame:
     return per_day.select("user_id", "day", elapsed_hours("t_in", "t_out").alias("hours"))
 
 
-# --------------------------------------------------------------- investments
+# Investments.
 INVESTMENTS_SQL = """
 investments AS (
   SELECT l.l_orderkey, l.l_linenumber, l.l_returnflag AS round_type, l.l_extendedprice AS amount,
@@ -155,7 +161,7 @@ def investments(spark: SparkSession, d: str) -> DataFrame:
                     F.col("p_type").alias("sector"))
 
 
-# ----------------------------------------------------------------- attrition
+# Attrition.
 def attrition(spark: SparkSession, d: str) -> DataFrame:
     """Employee-file stand-in: labelled documents.  Outcome = ``toxic``; numbers are
     measured on the whole text (characters, words, lines); categories = lang, source."""

@@ -377,3 +377,29 @@ def test_array_covariance(spark):
     got = agg.array_covariance(spark.createDataFrame([(list(map(float, r)),) for r in x] + [(None,)], "v array<double>"), "v", 5).collect()
     want = np.cov(x.T)
     assert len(got) == 15 and all(math.isclose(r["cov"], want[r["i"], r["j"]], rel_tol=1e-6, abs_tol=1e-9) for r in got)
+
+
+def test_evaluate_binary_without_scores_and_with_one(spark):
+    from quire.operators.evaluate import evaluate_binary
+    schema = "y int, p double"
+    assert evaluate_binary(spark.createDataFrame([], schema), "y", "p").count() == 0
+    assert evaluate_binary(spark.createDataFrame([(1, None)], schema), "y", "p").count() == 0
+    one = evaluate_binary(spark.createDataFrame([(1, 0.4), (0, 0.4), (1, 0.4)], schema), "y", "p").first()
+    assert (one["cutoff"], one["tp"], one["fp"], one["tn"], one["fn"]) == (0.4, 2, 1, 0, 0)
+    near = evaluate_binary(spark.createDataFrame([(1, 0.4005), (0, 0.4)], schema), "y", "p").first()
+    assert near["accuracy"] == 1.0 and near["tolerance"] == 0.0
+
+
+def test_last_month_stays_when_complete(spark, sf_dir, tmp_path):
+    import shutil
+    from quire.plans.standins import segment_orders
+    for t in ("customer", "nation", "region"):
+        shutil.copy(f"{sf_dir}/{t}.parquet", tmp_path / f"{t}.parquet")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    seen = {}
+    for name, end in (("whole", "1995-03-31"), ("part", "1995-03-30")):
+        orders.where(F.col("o_orderdate").cast("date") <= F.lit(end)).write.mode("overwrite").parquet(
+            str(tmp_path / "orders.parquet"))
+        seen[name] = str(segment_orders(spark, str(tmp_path)).agg(F.max("month")).first()[0])
+        spark.catalog.clearCache()
+    assert seen == {"whole": "1995-03-01", "part": "1995-02-01"}
