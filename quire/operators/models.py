@@ -57,143 +57,5 @@ def positive_probability(model, df: DataFrame, features: Sequence[str] | None, o
     return pred.withColumn(out, vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability")
 
 
-def mlp_best_of(df: DataFrame, label: str, features: Sequence[str], hidden: int, seeds: Sequence[int] = (1, 2, 3, 4, 5),
-                max_iter: int = 100):
-    """Feed-forward net with one hidden layer; the restart with the lowest final training
-    loss is kept (the reference keeps the best of 5 repetitions by error)."""
-    data = assemble(df, features).select(label, "features").cache()
-    best, best_loss = None, math.inf
-    try:
-        for s in seeds:
-            m = MultilayerPerceptronClassifier(labelCol=label, featuresCol="features", layers=[len(features), hidden, 2],
-                                               seed=s, maxIter=max_iter).fit(data)
-            loss = m.summary().objectiveHistory[-1] if m.summary().objectiveHistory else math.inf
-            if loss < best_loss:
-                best, best_loss = m, loss
-    finally:
-        data.unpersist()
-    return best, best_loss
-
-
-# ------------------------------------------------------------------ SVMs
-def linear_svm(train: DataFrame, label: str, features_col: str = "features", reg: float = 0.01, max_iter: int = 50,
-               parallelism: int = 4):
-    """Multi-class linear SVM as one-vs-rest over ``LinearSVC`` (classes fitted in parallel)."""
-    ovr = OneVsRest(classifier=LinearSVC(maxIter=max_iter, regParam=reg), labelCol=label,
-                    featuresCol=features_col, parallelism=parallelism)
-    return ovr.fit(train)
-
-
-def fourier_weights(sigma: float, input_dim: int, dim: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Frequencies and phases of the random map z(x) = sqrt(2/D) cos(x W + b)."""
-    rng = np.random.default_rng(seed)
-    return rng.normal(0.0, math.sqrt(2.0 * sigma), size=(input_dim, dim)), rng.uniform(0.0, 2 * math.pi, size=dim)
-
-
-def cv_grid(df: DataFrame, label: str, x_col: str, key: str, sigmas: Sequence[float], costs: Sequence[float],
-            folds: int = 5, dim: int = 256, input_dim: int = 64, max_iter: int = 40, seed: int = 7) -> DataFrame:
-    """Grid search of the RBF machine: (sigma, cost, cv_accuracy, best) for every pair, by
-    ``folds``-fold cross-validation with folds from a hash of ``key``.
-
-    All machines -- every width, cost, fold and class -- are fitted together:
-    squared-hinge one-vs-rest classifiers on random Fourier features by
-    accelerated gradient steps, each step one pass in which a task adds up the
-    gradients of all of them as one vector and Spark sums the vectors.  A cost C
-    is the ridge 1 / (C n)."""
-    spark = df.sparkSession
-    ship_package(spark)
-    data = df.select(F.transform(F.col(x_col), lambda v: v.cast("double")).alias("x"), F.col(label).cast("double").alias("y"),
-                     F.pmod(F.xxhash64(key), F.lit(folds)).cast("int").alias("fold")).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        sizes = {r["fold"]: r["count"] for r in data.groupBy("fold").count().collect()}
-        classes = np.array(sorted(r["y"] for r in data.select("y").distinct().collect()))
-        n = sum(sizes.values())
-        train = np.array([max(n - sizes.get(f, 0), 1) for f in range(folds)], float)
-        each = (folds, len(costs), len(classes))
-        ridge = 1.0 / (np.array(costs, float)[None, :, None] * train[:, None, None])
-        maps = [fourier_weights(float(s), input_dim, dim, seed) for s in sigmas]
-
-        def features(batch: pa.RecordBatch):
-            x = np.asarray(batch.column(0).flatten(), dtype=float).reshape(-1, input_dim)
-            ones = np.ones((len(x), 1))
-            return ([np.hstack([math.sqrt(2.0 / dim) * np.cos(x @ freq + phase), ones]) for freq, phase in maps],
-                    batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False))
-
-        def gradient(w: np.ndarray) -> np.ndarray:
-            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                total = np.zeros(w.shape)
-                for batch in batches:
-                    zs, y, fold = features(batch)
-                    sign = np.where(y[:, None] == classes, 1.0, -1.0)[:, None, None, :]
-                    used = (fold[:, None] != np.arange(folds))[:, :, None, None]
-                    for k, z in enumerate(zs):
-                        slack = np.maximum(0.0, 1.0 - sign * np.tensordot(z, w[k], 1)) * used
-                        total[k] -= 2.0 * np.tensordot(z.T, slack * sign, 1)
-                yield pa.RecordBatch.from_arrays([pa.array([total.ravel()], pa.list_(pa.float64()))], ["g"])
-
-            found = data.mapInArrow(run, "g array<double>").select(Summarizer.sum(array_to_vector("g")).alias("g")).first()
-            return found["g"].toArray().reshape(w.shape) / train[:, None, None] + ridge * w
-
-        w = ahead = np.zeros((len(maps), dim + 1, *each))
-        step, momentum = 1.0 / (6.0 + ridge.max()), 1.0  # |z|^2 <= 3, so the slope's slope is at most 6
-        for _ in range(max_iter if n else 0):
-            new = ahead - step * gradient(ahead)
-            grown = (1 + math.sqrt(1 + 4 * momentum * momentum)) / 2
-            w, ahead, momentum = new, new + (momentum - 1) / grown * (new - w), grown
-
-        def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            right = np.zeros((len(maps), folds, len(costs)))
-            for batch in batches:
-                zs, y, fold = features(batch)
-                for k, z in enumerate(zs):
-                    score = np.tensordot(z, w[k], 1)[np.arange(len(z)), fold]
-                    np.add.at(right[k], fold, classes[score.argmax(axis=2)] == y[:, None])
-            s, f, c = (i.ravel() for i in np.indices(right.shape))
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (s, f, c, right.ravel())], ["s", "f", "c", "n"])
-
-        hit = np.zeros((len(maps), folds, len(costs)))
-        for r in data.mapInArrow(judge, "s long, f long, c long, n double").groupBy("s", "f", "c").agg(F.sum("n").alias("n")).collect():
-            hit[r["s"], r["f"], r["c"]] = r["n"]
-    finally:
-        data.unpersist()
-    there = [f for f in range(folds) if sizes.get(f)]
-    mean = np.mean([hit[:, f] / sizes[f] for f in there], axis=0) if there else hit[:, 0]
-    rows = [(float(s), float(c), float(mean[i, j])) for i, s in enumerate(sigmas) for j, c in enumerate(costs)]
-    best = max((r[2] for r in rows), default=0.0)
-    return spark.createDataFrame([(*r, r[2] == best) for r in rows],
-                                 "sigma double, cost double, cv_accuracy double, best boolean")
-
-
-class RandomFourierFeatures(Transformer, HasInputCol, HasOutputCol):
-    """Approximate RBF-kernel map z(x) = sqrt(2/D) cos(W x + b), W ~ N(0, 2 sigma I),
-    b ~ U(0, 2 pi) (Rahimi & Recht, 2007), for kernel exp(-sigma |x - y|^2).
-    Vectorised per Arrow batch with numpy; W and b are regenerated from the seed."""
-
-    sigma = Param(Params._dummy(), "sigma", "kernel width", typeConverter=TypeConverters.toFloat)
-    dim = Param(Params._dummy(), "dim", "number of random features", typeConverter=TypeConverters.toInt)
-    seed = Param(Params._dummy(), "seed", "random seed", typeConverter=TypeConverters.toInt)
-    inputDim = Param(Params._dummy(), "inputDim", "input dimension", typeConverter=TypeConverters.toInt)
-
-    def __init__(self, inputCol="x", outputCol="features", sigma=0.05, dim=256, seed=7, inputDim=64):
-        super().__init__()
-        self._set(inputCol=inputCol, outputCol=outputCol, sigma=sigma, dim=dim, seed=seed, inputDim=inputDim)
-
-    def _transform(self, dataset: DataFrame) -> DataFrame:
-        ship_package(dataset.sparkSession)
-        sigma, D, seed, p = (self.getOrDefault(self.sigma), self.getOrDefault(self.dim),
-                             self.getOrDefault(self.seed), self.getOrDefault(self.inputDim))
-        W, b = fourier_weights(sigma, p, D, seed)
-        scale = math.sqrt(2.0 / D)
-
-        @F.pandas_udf(T.ArrayType(T.DoubleType()))
-        def rff(col: pd.Series) -> pd.Series:
-            X = np.stack([np.asarray(v, dtype=float) for v in col]) if len(col) else np.zeros((0, p))
-            Z = scale * np.cos(X @ W + b)
-            return pd.Series(list(Z))
-
-        arr = rff(F.col(self.getInputCol()))
-        return dataset.withColumn(self.getOutputCol(), array_to_vector(arr))
-
-
 def accuracy(pred: DataFrame, label: str, prediction: str = "prediction") -> float:
     return pred.agg(F.avg((F.col(label).cast("double") == F.col(prediction)).cast("double"))).first()[0]

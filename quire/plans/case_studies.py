@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.operators import aggregate as agg
-from quire.operators import clean, evaluate, features as fe, models as M, scorecard as sc
+from quire.operators import clean, evaluate, features as fe, models as M, scorecard as sc, svm
 from quire.operators import timeseries as ts
 from quire.plans.standins import applicants, investments, segment_orders, segment_series
 
@@ -119,9 +119,9 @@ def digits_study(spark: SparkSession, d: str, k: int = 35, sample: float = 0.3)
     nzv = clean.near_zero_variance(wide, dims)
     vec = fe.array_to_vector(e, "embedding")
     pca = fe.pca_fit(vec, "features", k)
-    sampled = fe.hash_sample(vec, "vec_id", sample)
-    model = M.linear_svm(sampled.withColumn("label", F.col("label").cast("double")), "label")
-    pred = model.transform(vec.withColumn("label", F.col("label").cast("double")))
+    labelled = e.withColumn("label", F.col("label").cast("double"))
+    model = svm.fit_pairwise(fe.hash_sample(labelled, "vec_id", sample), "label", "embedding")
+    pred = model.predict(labelled, "embedding", ["label"])
     return {"nzv": nzv, "pca_variance": fe.pca_variance(pca, spark),
             "confusion": evaluate.confusion_multiclass(pred, "label", "prediction")}
 

@@ -3,13 +3,13 @@ re-computations live in tests), plus logit scoring with fixed coefficients (SQL)
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from quire.functions.scalars import r6
 from quire.operators import evaluate as ev
 from quire.operators import features as fe
 from quire.operators import models as M
+from quire.operators import nets, svm
 from quire.plans.catalog import register
 from quire.plans.standins import APPLICANTS_SQL, applicants, materialised
 from quire.sources.tables import load
@@ -108,12 +108,31 @@ def q_random_forest_eval(spark, d):
     return best.withColumns({"auc": F.lit(ak["auc"]), "ks": F.lit(ak["ks"])})
 
 
+# The reference's net for the demographic file.
+NET_HIDDEN, NET_RESTARTS, NET_THRESHOLD = 5, 5, 0.01
+#: guard against nets that do not settle; the result says whether the threshold was reached
+NET_MOST_PASSES = 300
+
+
+def _net(spark, d):
+    a, feats = model_frame(spark, d)
+    return a, nets.resilient_net(a, "y", feats, NET_HIDDEN, NET_RESTARTS, NET_THRESHOLD,
+                                  max_steps=NET_MOST_PASSES)
+
+
 @register("mlp_scores")
 def q_mlp_scores(spark, d):
-    a, feats = model_frame(spark, d)
-    model, loss = M.mlp_best_of(a, "y", feats, hidden=5, seeds=(1, 2, 3, 4, 5), max_iter=50)
-    return M.positive_probability(model, a.select("app_id", "y", *feats), feats).select(
-        "app_id", "y", "prob", F.lit(loss).alias("train_loss"))
+    """Every row scored by the best of five nets, with its error and whether the threshold was reached."""
+    a, net = _net(spark, d)
+    return a.select("app_id", "y", net.probability().alias("prob"), F.lit(net.error).alias("train_loss"),
+                    F.lit(net.reached).alias("reached"))
+
+
+@register("mlp_restarts")
+def q_mlp_restarts(spark, d):
+    """Error, largest slope and passes of each of the five nets."""
+    _, net = _net(spark, d)
+    return net.restart_table(spark)
 
 
 def _digits(spark, d):
@@ -123,27 +142,23 @@ def _digits(spark, d):
     return split
 
 
+def _judged(split, cost, sigma=None, sample=None):
+    """Confusion on the test part of machines for all class pairs fitted on (a sample of) the train part."""
+    train = split.filter("is_train") if sample is None else sample
+    model = svm.fit_pairwise(train, "label", "x", cost, sigma)
+    pred = model.predict(split.filter("NOT is_train"), "x", ["label"])
+    return ev.confusion_multiclass(pred, "label", "prediction").withColumns(
+        {"gap": F.lit(model.gap), "steps": F.lit(model.steps)})
+
+
 @register("svm_linear")
 def q_svm_linear(spark, d):
-    s = _digits(spark, d).withColumn("features", array_to_vector("x"))
-    train, test = s.filter("is_train").cache(), s.filter("NOT is_train")
-    model = M.linear_svm(train, "label", max_iter=20)
-    pred = model.transform(test)
-    out = ev.confusion_multiclass(pred, "label", "prediction")
-    train.unpersist()
-    return out
+    return _judged(_digits(spark, d), 1.0)
 
 
 @register("svm_rff")
 def q_svm_rff(spark, d):
-    s = _digits(spark, d)
-    rff = M.RandomFourierFeatures(inputCol="x", outputCol="features", sigma=0.5, dim=128, seed=7, inputDim=64)
-    z = rff.transform(s)
-    train, test = z.filter("is_train").cache(), z.filter("NOT is_train")
-    model = M.linear_svm(train, "label", max_iter=20)
-    out = ev.confusion_multiclass(model.transform(test), "label", "prediction")
-    train.unpersist()
-    return out
+    return _judged(_digits(spark, d), 1.0, sigma=0.5)
 
 
 # The reference's grid and sample.
@@ -154,7 +169,18 @@ GRID_SIGMAS, GRID_COSTS, GRID_FOLDS, GRID_SAMPLE = [0.01, 0.02, 0.03, 0.04, 0.05
 def q_cv_grid(spark, d):
     """Cross-validated grid over kernel width and cost on a hash sample of the training part."""
     s = fe.hash_sample(_digits(spark, d).filter("is_train"), "vec_id", GRID_SAMPLE, seed=3)
-    return M.cv_grid(s, "label", "x", "vec_id", GRID_SIGMAS, GRID_COSTS, GRID_FOLDS)
+    return svm.cv_grid(s, "label", "x", "vec_id", GRID_SIGMAS, GRID_COSTS, GRID_FOLDS)
+
+
+@register("svm_tuned")
+def q_svm_tuned(spark, d):
+    """The machine refitted on the sample at the grid's best pair, judged on the test part."""
+    split = materialised(_digits(spark, d).select("vec_id", "x", "label", "is_train"))
+    s = fe.hash_sample(split.filter("is_train"), "vec_id", GRID_SAMPLE, seed=3)
+    best = svm.cv_grid(s, "label", "x", "vec_id", GRID_SIGMAS, GRID_COSTS, GRID_FOLDS).where("best") \
+        .orderBy("sigma", "cost").first()
+    out = _judged(split, best["cost"], best["sigma"], sample=s)
+    return out.withColumns({"sigma": F.lit(best["sigma"]), "cost": F.lit(best["cost"])})
 
 
 @register("attrition_evaluation")

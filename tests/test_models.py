@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 
 from quire.operators import models as M
+from quire.operators.svm import cv_grid
 
 
 def _irls(X, y, w=None, iters=50):
@@ -145,6 +146,6 @@ def test_cv_grid_finds_a_separable_problem(spark):
     x = rng.normal(size=(300, 4))
     y = (np.linalg.norm(x, axis=1) > 1.8).astype(int)          # a ring: no plane separates it
     df = spark.createDataFrame([(i, list(map(float, v)), int(c)) for i, (v, c) in enumerate(zip(x, y))], "id long, x array<double>, y int")
-    got = M.cv_grid(df, "y", "x", "id", [0.001, 0.3], [1.0, 10.0], folds=3, dim=200, input_dim=4, max_iter=60).toPandas()
+    got = cv_grid(df, "y", "x", "id", [0.001, 0.3], [1.0, 10.0], folds=3, dim=200).toPandas()
     assert len(got) == 4 and got["best"].sum() >= 1
     assert got[got.sigma == 0.3]["cv_accuracy"].max() > 0.85 > got[got.sigma == 0.001]["cv_accuracy"].max()
