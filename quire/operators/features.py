@@ -316,33 +316,3 @@ def balance_weights(df: DataFrame, label: str, key: str, fraction: float = 0.1,
     neg = hash_sample(df.filter(F.col(label) == 0), key, fraction, seed)
     out = pos.unionByName(neg)
     return out.withColumn(weight_col, F.when(F.col(label) == 0, F.lit(weight)).otherwise(F.lit(1.0)))
-
-
-# ---------------------------------------------------------------- PCA
-def array_to_vector(df: DataFrame, array_col: str, out: str = "features") -> DataFrame:
-    from pyspark.ml.functions import array_to_vector as a2v
-    return df.withColumn(out, a2v(F.transform(F.col(array_col), lambda x: x.cast("double"))))
-
-
-def pca_fit(df: DataFrame, features: str, k: int):
-    """``pyspark.ml.feature.PCA`` of the (mean-centred) data; returns the model."""
-    from pyspark.ml.feature import PCA
-    return PCA(k=k, inputCol=features, outputCol="pca").fit(df)
-
-
-def pca_variance(model, spark) -> DataFrame:
-    """(component, explained, cumulative) from the fitted model (k rows)."""
-    ev = [float(v) for v in model.explainedVariance.toArray()]
-    rows, cum = [], 0.0
-    for i, v in enumerate(ev):
-        cum += v
-        rows.append((i + 1, v, cum))
-    return spark.createDataFrame(rows, "component int, explained double, cumulative double")
-
-
-def pca_project(model, df: DataFrame, keep: Sequence[str]) -> DataFrame:
-    from pyspark.ml.functions import vector_to_array
-    out = model.transform(df)
-    return out.select(*keep, vector_to_array("pca").alias("pcs"))
-
-

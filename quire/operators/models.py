@@ -1,60 +1,23 @@
-"""Model fitting with pyspark.ml, returning coefficient / importance tables as DataFrames.
+"""Model fitting: one place to find the fitters.
 
-Fits are distributed by Spark (tree / L-BFGS aggregations over the partitions, or one
-gradient vector per task); only model-sized results come back to the driver.  Grid
-searches fit all their machines together on one cached frame.  Logistic regressions
-are in ``logit``.
+Every fit sends model-sized sums to the driver (score vectors, information matrices,
+gradients, counts of splits); the rows stay where they are.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator, Sequence
-
-import numpy as np
-import pandas as pd
-import pyarrow as pa
-from pyspark.ml import Transformer
-from pyspark.ml.classification import (
-    LinearSVC, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier)
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.param.shared import HasInputCol, HasOutputCol, Param, Params, TypeConverters
-from pyspark.ml.stat import Summarizer
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from quire.operators.logit import (  # noqa: F401  part of this module's interface
+from quire.operators.forest import Forest, fit_forest, oob_table
+from quire.operators.logit import (
     LogitData, LogitFit, backward_eliminate, logit_fit, logit_predict_expr, score_with, stepwise_aic, vif_table, vifs)
-from quire.session import ship_package
-
-
-def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> DataFrame:
-    return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="keep").transform(df)
-
-
-# ------------------------------------------------------------------ trees, nets
-def random_forest(df: DataFrame, label: str, features: Sequence[str], num_trees: int = 100,
-                  mtry: int | str = 5, seed: int = 100, max_depth: int = 10):
-    strategy = str(mtry)
-    rf = RandomForestClassifier(labelCol=label, featuresCol="features", numTrees=num_trees, maxDepth=max_depth,
-                                featureSubsetStrategy=strategy, seed=seed)
-    model = rf.fit(assemble(df, features).select(label, "features"))
-    return model
-
-
-def importance_table(model, features: Sequence[str], spark) -> DataFrame:
-    imp = model.featureImportances.toArray()
-    return spark.createDataFrame([(f, float(v)) for f, v in zip(features, imp)], "feature string, importance double")
-
+from quire.operators.nets import NetFit, resilient_net
+from quire.operators.svm import PairwiseModel, cv_grid, fit_pairwise
 
-def positive_probability(model, df: DataFrame, features: Sequence[str] | None, out: str = "prob",
-                         assembled: bool = False) -> DataFrame:
-    data = df if assembled else assemble(df, features)
-    pred = model.transform(data)
-    return pred.withColumn(out, vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability")
+__all__ = ["Forest", "fit_forest", "oob_table", "LogitData", "LogitFit", "backward_eliminate", "logit_fit",
+           "logit_predict_expr", "score_with", "stepwise_aic", "vif_table", "vifs", "NetFit", "resilient_net",
+           "PairwiseModel", "cv_grid", "fit_pairwise", "accuracy"]
 
 
 def accuracy(pred: DataFrame, label: str, prediction: str = "prediction") -> float:

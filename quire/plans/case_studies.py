@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.operators import aggregate as agg
-from quire.operators import clean, evaluate, features as fe, models as M, scorecard as sc, svm
+from quire.operators import clean, evaluate, features as fe, models as M, pca, scorecard as sc, svm
 from quire.operators import timeseries as ts
 from quire.plans.standins import applicants, investments, segment_orders, segment_series
 
@@ -117,12 +117,11 @@ def digits_study(spark: SparkSession, d: str, k: int = 35, sample: float = 0.3)
     dims = [f"e{i}" for i in range(64)]
     wide = e.select("vec_id", "label", *[F.col("embedding")[i].alias(f"e{i}") for i in range(64)])
     nzv = clean.near_zero_variance(wide, dims)
-    vec = fe.array_to_vector(e, "embedding")
-    pca = fe.pca_fit(vec, "features", k)
+    components = pca.pca_fit(e, "embedding", k)
     labelled = e.withColumn("label", F.col("label").cast("double"))
     model = svm.fit_pairwise(fe.hash_sample(labelled, "vec_id", sample), "label", "embedding")
     pred = model.predict(labelled, "embedding", ["label"])
-    return {"nzv": nzv, "pca_variance": fe.pca_variance(pca, spark),
+    return {"nzv": nzv, "pca_variance": pca.pca_variance(components, spark),
             "confusion": evaluate.confusion_multiclass(pred, "label", "prediction")}
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.scalars import r6
 from quire.operators import features as fe
+from quire.operators import pca
 from quire.plans.catalog import register
 from quire.plans.standins import APPLICANTS_SQL, applicants, materialised
 from quire.sources.tables import load
@@ -156,13 +157,12 @@ def q_balance_weights(spark, d):
 
 @register("pca_variance")
 def q_pca_variance(spark, d):
-    e = fe.array_to_vector(load(spark, d, "embeddings"), "embedding")
-    model = fe.pca_fit(e, "features", k=64)               # the whole spectrum
-    return fe.pca_variance(model, spark)
+    model = pca.pca_fit(load(spark, d, "embeddings"), "embedding", k=64)     # the whole spectrum
+    return pca.pca_variance(model, spark)
 
 
 @register("pca_project")
 def q_pca_project(spark, d):
-    e = fe.array_to_vector(load(spark, d, "embeddings"), "embedding")
-    model = fe.pca_fit(e, "features", k=35)
-    return fe.pca_project(model, e, ["vec_id", "label"])
+    e = load(spark, d, "embeddings")
+    model = pca.pca_fit(e, "embedding", k=35)
+    return pca.pca_project(model, e, "embedding", ["vec_id", "label"])

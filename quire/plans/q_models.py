@@ -9,7 +9,7 @@ from quire.functions.scalars import r6
 from quire.operators import evaluate as ev
 from quire.operators import features as fe
 from quire.operators import models as M
-from quire.operators import nets, svm
+from quire.operators import forest, nets, svm
 from quire.plans.catalog import register
 from quire.plans.standins import APPLICANTS_SQL, applicants, materialised
 from quire.sources.tables import load
@@ -84,25 +84,34 @@ def q_logit_score(spark, d):
     return a.select("app_id", r6(M.logit_predict_expr(SCORE_INTERCEPT, SCORE_COEF)).alias("prob"))
 
 
+# The reference's forest; the depth is the operator's default.
+FOREST_TREES, FOREST_MTRY = 1000, 5
+
+
 def _rf(spark, d):
     a, feats = model_frame(spark, d)
     split = fe.shuffle_split(a, "app_id", 0.8, seed=11)
     train, test = split.filter("is_train"), split.filter("NOT is_train")
-    model = M.random_forest(train, "y", feats, num_trees=30, mtry=5, max_depth=6)
-    return model, feats, test
+    found, counts = forest.fit_forest(train, "y", feats, "app_id", FOREST_TREES, FOREST_MTRY)
+    return found, counts, test
 
 
 @register("random_forest_importance")
 def q_random_forest_importance(spark, d):
-    model, feats, _ = _rf(spark, d)
-    return M.importance_table(model, feats, spark)
+    return _rf(spark, d)[0].importances(spark)
+
+
+@register("random_forest_oob")
+def q_random_forest_oob(spark, d):
+    """Out-of-bag confusion: every row judged by the trees whose sample left it out."""
+    return forest.oob_table(_rf(spark, d)[1], spark)
 
 
 @register("random_forest_eval")
 def q_random_forest_eval(spark, d):
     """Hold-out evaluation of the forest: optimal-cutoff record plus AUC and KS."""
-    model, feats, test = _rf(spark, d)
-    scored = M.positive_probability(model, test.select("app_id", "y", *feats), feats)
+    found, _, test = _rf(spark, d)
+    scored = materialised(found.probability(test).select("app_id", "y", "prob"))
     best = ev.evaluate_binary(scored, "y", "prob", n=100, start=0.01, stop=0.99)
     ak = ev.auc_ks(scored, "y", "prob").first()
     return best.withColumns({"auc": F.lit(ak["auc"]), "ks": F.lit(ak["ks"])})
