@@ -41,7 +41,7 @@ def _load_modules() -> None:
     # importing registers the queries
     from quire.plans import (  # noqa: F401
         q_sources, q_clean, q_scalars, q_relational, q_aggregate, q_charts,
-        q_features, q_evaluate, q_scorecard, q_timeseries, q_models,
+        q_features, q_evaluate, q_scorecard, q_timeseries, q_models, q_studies,
     )
 
 

@@ -86,6 +86,15 @@ def q_optimal_cutoff(spark, d):
     return _rounded(best.select("cutoff", "tolerance", "tp", "fp", "tn", "fn", "accuracy", "sensitivity", "specificity"))
 
 
+@register("cutoff_within", sql=f"""WITH {APPLICANTS_SQL}, {_sweep_sql(repr(_HR_START), repr(_HR_BY))}
+SELECT round(cutoff, 6) AS cutoff, CAST(0.1 AS DOUBLE) AS tolerance, tp, fp, tn, fn, accuracy, sensitivity, specificity
+FROM rates WHERE abs(sens_raw - spec_raw) < 0.1 ORDER BY i LIMIT 1""")
+def q_cutoff_within(spark, d):
+    """The fixed-tolerance rule on the same sweep."""
+    near = ev.cutoff_within(ev.cutoff_sweep(applicants(spark, d), "y", "p", _HR_START, _HR_STOP, 100), 0.1)
+    return _rounded(near.select("cutoff", "tolerance", "tp", "fp", "tn", "fn", "accuracy", "sensitivity", "specificity"))
+
+
 @register("evaluate_binary", sql=f"""
 WITH {APPLICANTS_SQL}, mm AS (SELECT min(p) + 0.001 AS s, max(p) - 0.001 AS e FROM applicants),
 {_sweep_sql("(SELECT s FROM mm)", "(SELECT (e - s) / 99 FROM mm)")}""" + _OPT_SQL)

@@ -59,11 +59,28 @@ def q_table_shape(spark, d):
     return profile.table_shape(load(spark, d, "lineitem"))
 
 
-@register("schema_profile")
+# The columns of orders and their types as Spark names them.
+_ORDERS = [("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatus", "string"), ("o_totalprice", "double"),
+           ("o_orderdate", "timestamp_ntz"), ("o_orderpriority", "string")]
+
+
+def _profile_sql(order: str) -> str:
+    parts = [f"SELECT CAST({i} AS INTEGER) AS position, '{c}' AS \"column\", '{t}' AS type, "
+             f"string_agg(CAST({c} AS VARCHAR), ', ' ORDER BY o_orderkey {order}) AS \"values\" FROM h"
+             for i, (c, t) in enumerate(_ORDERS, 1)]
+    return f"WITH h AS (SELECT * FROM orders ORDER BY o_orderkey {order} LIMIT 3) " + " UNION ALL ".join(parts)
+
+
+@register("schema_profile", sql=_profile_sql("ASC"))
 def q_schema_profile(spark, d):
     return profile.schema_profile(load(spark, d, "orders"), ["o_orderkey"], n=3)
 
 
+@register("schema_profile_tail", sql=_profile_sql("DESC"))
+def q_schema_profile_tail(spark, d):
+    return profile.schema_profile(load(spark, d, "orders"), ["o_orderkey"], n=3, tail=True)
+
+
 EVENTS_NULLED_SQL = ("(SELECT event_id, user_id, event_type, ts, props, value, "
                      "CASE WHEN event_id % 11 = 0 THEN NULL ELSE value END AS value_n FROM events)")
 

@@ -71,6 +71,43 @@ def q_ts_linear_trend(spark, d):
                       F.col("n").cast("long").alias("n"))
 
 
+def _eliminated(k: int) -> str:
+    """CTEs that solve (series_id, i, j, v): k equations, right side and identity behind
+    them, one column after the other (Gauss-Jordan); the last is e<k>."""
+    steps = []
+    for p in range(k):
+        steps.append(f"""e{p + 1} AS (SELECT a.series_id, a.i, a.j,
+  CASE WHEN a.i = {p} THEN a.v / pv.v ELSE a.v - f.v * r.v / pv.v END AS v
+  FROM e{p} a JOIN e{p} pv ON pv.series_id = a.series_id AND pv.i = {p} AND pv.j = {p}
+  JOIN e{p} r ON r.series_id = a.series_id AND r.i = {p} AND r.j = a.j
+  JOIN e{p} f ON f.series_id = a.series_id AND f.i = a.i AND f.j = {p})""")
+    return ",\n".join(steps)
+
+
+# The default trend on the smoothed training series: design rows, then their solved normal equations.
+_TREND_SQL = f"""
+WITH {TRAIN_SQL},
+ma AS (SELECT series_id, t, n, value,
+              CASE WHEN t > 1 AND t <= n - 1 THEN avg(value) OVER (PARTITION BY series_id ORDER BY t
+                   ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) END AS inner_ma FROM train),
+ends AS (SELECT series_id, max(CASE WHEN t = 2 THEN inner_ma END) AS a1, max(CASE WHEN t = 3 THEN inner_ma END) AS a2,
+                max(CASE WHEN t = n - 1 THEN inner_ma END) AS b1, max(CASE WHEN t = n - 2 THEN inner_ma END) AS b2
+         FROM ma GROUP BY series_id),
+sm AS (SELECT m.series_id, m.t, m.n, CASE WHEN m.t <= 1 THEN a1 - (2 - m.t) * (a2 - a1)
+              WHEN m.t > m.n - 1 THEN b1 + (m.t - (m.n - 1)) * (b1 - b2) ELSE inner_ma END AS y
+       FROM ma m JOIN ends e ON m.series_id = e.series_id),
+dz AS (SELECT series_id, t, n, y, (t - (n + 1) / 2.0) / n AS u FROM sm WHERE y IS NOT NULL),
+dm AS (SELECT series_id, n, y, [1.0, sin(t * 0.5), u, u * u, u * u * u, y]::DOUBLE[] AS x FROM dz),
+mm AS (SELECT series_id, i, j, sum(x[i + 1] * x[j + 1]) AS v FROM dm, range(5) a(i), range(6) b(j) GROUP BY ALL),
+e0 AS (SELECT * FROM mm UNION ALL
+       SELECT series_id, i, 6 + j, CASE WHEN i = j THEN 1.0 ELSE 0.0 END FROM (SELECT DISTINCT series_id FROM mm), range(5) a(i), range(5) b(j)),
+{_eliminated(5)},
+co AS (SELECT series_id, list(v ORDER BY i) AS b FROM e5 WHERE j = 5 GROUP BY series_id),
+rs AS (SELECT d.series_id, count(*) AS n_obs, max(d.n) AS n_train,
+              sum(pow(y - (b[1] * x[1] + b[2] * x[2] + b[3] * x[3] + b[4] * x[4] + b[5] * x[5]), 2)) AS rss
+       FROM dm d JOIN co USING (series_id) GROUP BY d.series_id)"""
+
+
 def _trend(spark, d, spec="sin_poly3"):
     full = series_frame(spark, d, materialise=True)
     train = ts.smooth(full.filter(~F.col("is_test")), width=1)
@@ -78,11 +115,14 @@ def _trend(spark, d, spec="sin_poly3"):
     return full, train, fit
 
 
-@register("ts_trend_fit")
+@register("ts_trend_fit", sql=f"""{_TREND_SQL}
+SELECT series_id, CAST(n_obs AS BIGINT) AS n, CAST(i AS INTEGER) AS term, round(b[i + 1], 2) AS estimate,
+       round(sqrt(inv.v * rss / (n_obs - 5)), 2) AS std_error
+FROM co JOIN rs USING (series_id) JOIN (SELECT series_id, i, v FROM e5 WHERE j = 6 + i) inv USING (series_id)""")
 def q_ts_trend_fit(spark, d):
     _, _, fit = _trend(spark, d)
     return fit.select("series_id", "n", "n_train", F.posexplode(F.arrays_zip("coef", "se")).alias("term", "c")) \
-              .select("series_id", "n", "term", F.col("c.coef").alias("estimate"), F.col("c.se").alias("std_error"))
+              .select("series_id", "n", "term", r6("c.coef", 2).alias("estimate"), r6("c.se", 2).alias("std_error"))
 
 
 @register("ts_trend_fit_seasonal_interaction")
@@ -91,10 +131,14 @@ def q_ts_trend_fit_interaction(spark, d):
     return fit.select("series_id", "n", F.posexplode("coef").alias("term", "estimate"))
 
 
-@register("ts_trend_forecast")
+@register("ts_trend_forecast", sql=f"""{_TREND_SQL}
+SELECT s.series_id, s.t, s.t > s.n_all - {H} AS is_test, round(s.value, 2) AS value,
+       round(b[1] + b[2] * sin(s.t * 0.5) + b[3] * u + b[4] * u * u + b[5] * u * u * u, 2) AS fitted
+FROM (SELECT sl.*, (t - (n_train + 1) / 2.0) / n_train AS u FROM sl JOIN rs USING (series_id)) s JOIN co USING (series_id)""")
 def q_ts_trend_forecast(spark, d):
     full, _, fit = _trend(spark, d)
-    return ts.trend_predict(full, fit).select("series_id", "t", "is_test", "value", "fitted")
+    return ts.trend_predict(full, fit).select("series_id", "t", "is_test", r6("value", 2).alias("value"),
+                                              r6("fitted", 2).alias("fitted"))
 
 
 def _local_series(spark, d):
