@@ -19,8 +19,10 @@ Cases: a null text has no words; a text without words has fingerprint zero and
 links like any other; fewer words than a shingle make one shingle of them all.
 Rows with a null id get a fingerprint but no component of their own id (the
 component is the smallest id reachable, null if there is none).  Repeated rows
-stay repeated.  Columns of the input are kept by ``near_duplicates``; those
-named like a result column are replaced.
+stay repeated.  Several texts under one id are judged each by itself: they share
+a component only if their fingerprints do.  ``near_duplicates`` reads the id and
+the text and returns its three columns; ``keep_one`` returns all columns of its
+input, whatever their names.
 """
 
 from __future__ import annotations
@@ -67,15 +69,22 @@ def simhash(text: str | None, n: int = SHINGLE_WORDS) -> int:
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  n: int = SHINGLE_WORDS) -> DataFrame:
-    """(id, fp): fp is the fingerprint as a signed long."""
+    """(id, fp, text_hash): fp is the fingerprint as a signed long; the hash tells the
+    texts of one id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([simhash(t.as_py(), n) for t in batch.column(1)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), batch.column(2)],
+                                             ["id", "fp", "text_hash"])
 
-    return (df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
-            .mapInArrow(run, "id long, fp long"))
+    return (df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"),
+                      _text_hash(text_col).alias("text_hash"))
+            .mapInArrow(run, "id long, fp long, text_hash long"))
+
+
+def _text_hash(text_col: str):
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
 
 class _Leaves:
@@ -247,28 +256,44 @@ def link_edges(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return dealt.mapInArrow(run, "u long, v long")
 
 
+def _components(df: DataFrame, id_col: str, text_col: str, n: int, max_bits: int) -> DataFrame:
+    """(id, fp, text_hash, head, component_id) for every row: fingerprints are the nodes
+    and ``head`` is a component's own, so texts of one id are judged each by itself."""
+    fps = materialise(fingerprints(df, id_col, text_col, n), "simhash")
+    nodes = materialise(fps.groupBy("fp").agg(F.min("id").alias("least")), "simhash-nodes")
+    links = link_edges(nodes.where("least is not null").select(F.col("fp").alias("node"), "fp"), max_bits)
+    comp = star_components(links)
+    heads = nodes.join(comp, nodes.fp == comp.node, "left").select(
+        F.col("fp").alias("fp2"), "least", F.coalesce("component", "fp").alias("head"))
+    least = heads.groupBy("head").agg(F.min("least").alias("component_id"))
+    of_fp = heads.join(least, "head").select("fp2", "head", "component_id")
+    return fps.join(of_fp, fps.fp == of_fp.fp2).drop("fp2")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     n: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """(id_col, fingerprint, component_id) for every row of ``df``."""
-    fps = materialise(fingerprints(df, id_col, text_col, n), "simhash")
-    nodes = fps.groupBy("fp").agg(F.min("id").alias("node"))
-    nodes = materialise(nodes, "simhash-nodes")
-    comp = star_components(link_edges(nodes.where("node is not null"), max_bits))
-    of_fp = (nodes.join(comp, "node", "left")
-             .select(F.col("fp").alias("fp2"), F.coalesce("component", "node").alias("component_id")))
-    # a document id that carries several texts ties their components together
-    out = fps.join(of_fp, fps.fp == of_fp.fp2)
-    return out.select(F.col("id").alias(id_col),
-                      F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return _components(df, id_col, text_col, n, max_bits).select(
+        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              n: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of ``df`` whose id is the smallest of their component, one row
-    each; rows with a null id stay."""
-    found = near_duplicates(df, id_col, text_col, n, max_bits)
-    key = row_column(df, "_kept_id")
-    gone = (found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(key)).distinct())
-    left = df.join(gone, df[id_col] == gone[key], "left_anti")
-    known = left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-    return known.unionByName(left.where(F.col(id_col).isNull()))
+    """One row of ``df`` per component: the one of smallest id, of several texts of that
+    id in the component the one of smallest fingerprint, then of smallest hash.  An id
+    may thus stay for one text and go for another; rows with a null id stay."""
+    found = _components(df, id_col, text_col, n, max_bits)
+    first = found.where("id = component_id").select("id", "head", "fp", "text_hash").distinct()
+    # few components have several texts under their smallest id
+    several = first.groupBy("head").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
+    rivals = first.join(several, "head")
+    best = rivals.groupBy("head").agg(F.min(F.struct("fp", "text_hash")).alias("best"))
+    second = rivals.join(best, "head").where(F.struct("fp", "text_hash") != F.col("best"))
+    gone_id, gone_hash = row_column(df, "_gone_id"), row_column(df, "_gone_hash")
+    gone = found.where("id <> component_id").select("id", "text_hash").unionByName(second.select("id", "text_hash")) \
+        .distinct().select(F.col("id").alias(gone_id), F.col("text_hash").alias(gone_hash))
+    mark = row_column(df, "_text_hash")
+    rows = df.withColumn(mark, _text_hash(text_col))
+    left = rows.join(gone, (rows[id_col].cast("long") == gone[gone_id]) & (rows[mark] == gone[gone_hash]), "left_anti")
+    known = left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col, mark])
+    return known.unionByName(left.where(F.col(id_col).isNull())).drop(mark)

@@ -96,6 +96,31 @@ def test_empty_table_and_clashing_columns(spark):
     assert [tuple(r) for r in S.keep_one(one).collect()] == [(1, "a b c", "mine", 2)]
 
 
+def test_one_id_with_several_texts_loses_none(spark):
+    """Each text is judged by itself: what no smaller row has stays."""
+    a, b = "alpha beta gamma delta epsilon zeta", "one two three four five six seven"
+    schema = "doc_id long, text string"
+    got = lambda rows: sorted(map(tuple, S.keep_one(spark.createDataFrame(rows, schema)).collect()), key=str)
+    assert got([(1, a), (7, a), (7, b), (9, b)]) == [(1, a), (7, b)]
+    assert got([(5, a), (5, b)]) == sorted([(5, a), (5, b)], key=str)
+    assert got([(5, a), (5, a), (6, a)]) == [(5, a)]
+    near = [(3, a + " eta " + w) for w in ("theta", "theta")] + [(3, a), (None, a), (None, b)]
+    out = got(near)
+    assert out.count((None, a)) == 1 and (None, b) in out and (3, a) in out
+    comp = {(r["doc_id"], r["component_id"]) for r in S.near_duplicates(spark.createDataFrame([(1, a), (7, a), (7, b), (9, b)], schema)).collect()}
+    assert comp == {(1, 1), (7, 1), (7, 7), (9, 7)}
+
+
+def test_texts_of_one_id_in_one_component_leave_one(spark):
+    rng = np.random.default_rng(8)
+    words = [str(w) for w in rng.choice(list("abcdefghijklmnop"), 400)]
+    twin = [*words[:-1], "zz"]
+    rows = [(4, " ".join(words)), (4, " ".join(twin)), (8, " ".join(words))]
+    assert (plain_simhash(rows[0][1]) ^ plain_simhash(rows[1][1])).bit_count() <= 4
+    kept = S.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(kept) == 1 and kept[0]["doc_id"] == 4
+
+
 def test_large_group_of_copies_is_one_leaf(spark):
     rows = [(i, "the same five words again and again") for i in range(3000)]
     got = S.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
