@@ -214,14 +214,15 @@ def _permuted(fp, order: list[tuple[int, int]]):
 
 
 def link_edges(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """(u, v): edges that connect the linked rows of ``nodes`` (node, fp), fp
-    distinct, at most one per node and trie."""
+    """(u, v): edges that connect the linked rows of ``nodes`` (fp, least), fp distinct,
+    at most one per node and trie.  A node is (least, fp): its smallest id comes first, so
+    the smallest node of a component tells the component's smallest id."""
     deals = _dealt(max_bits)
-    rows = nodes.select("node", F.explode(F.array(*[
+    rows = nodes.select("least", F.col("fp").alias("node"), F.explode(F.array(*[
         F.struct(F.lit(k).alias("deal"),
                  F.shiftrightunsigned(_permuted(F.col("fp"), order), 64 - bits).alias("key"),
                  _permuted(F.col("fp"), order).alias("code"))
-        for k, (order, bits) in enumerate(deals)])).alias("x")).select("node", "x.*")
+        for k, (order, bits) in enumerate(deals)])).alias("x")).select("least", "node", "x.*")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve(part):
@@ -229,16 +230,17 @@ def link_edges(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
                 of = part[part[:, 0] == k]
                 codes = of[:, 2].copy().view(np.uint64)
                 sort = np.argsort(codes)
-                codes, node = codes[sort], of[sort, 1]
+                codes, node, least = codes[sort], of[sort, 1], of[sort, 4]
                 root = trie_links(codes, deals[int(k)][1], max_bits)
                 away = root != np.arange(len(root))
                 if away.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(node[away]), pa.array(node[root[away]])], ["u", "v"])
+                    to = root[away]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(x) for x in (least[away], node[away], least[to], node[to])], ["ul", "uf", "vl", "vf"])
 
         held, size = [], 0
         for batch in batches:
-            cols = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)]
-            held.append(np.stack([cols[0], cols[1], cols[2], cols[3]], axis=1))
+            held.append(np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5)], axis=1))
             size += len(held[-1])
             if size >= LEAVES_AT_ONCE:  # cut where a key ends
                 part = np.concatenate(held)
@@ -251,9 +253,10 @@ def link_edges(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
             yield from solve(np.concatenate(held))
 
     # each fingerprint is met once per deal; Spark sorts by key (spilling), the task reads key after key
-    dealt = (rows.select(F.col("deal").cast("long").alias("deal"), "node", "code", "key")
+    dealt = (rows.select(F.col("deal").cast("long").alias("deal"), "node", "code", "key", "least")
              .repartition("deal", "key").sortWithinPartitions("deal", "key"))
-    return dealt.mapInArrow(run, "u long, v long")
+    pair = lambda x: F.struct(F.col(f"{x}l").alias("least"), F.col(f"{x}f").alias("fp"))
+    return dealt.mapInArrow(run, "ul long, uf long, vl long, vf long").select(pair("u").alias("u"), pair("v").alias("v"))
 
 
 def _components(df: DataFrame, id_col: str, text_col: str, n: int, max_bits: int) -> DataFrame:
@@ -261,13 +264,12 @@ def _components(df: DataFrame, id_col: str, text_col: str, n: int, max_bits: int
     and ``head`` is a component's own, so texts of one id are judged each by itself."""
     fps = materialise(fingerprints(df, id_col, text_col, n), "simhash")
     nodes = materialise(fps.groupBy("fp").agg(F.min("id").alias("least")), "simhash-nodes")
-    links = link_edges(nodes.where("least is not null").select(F.col("fp").alias("node"), "fp"), max_bits)
-    comp = star_components(links)
-    heads = nodes.join(comp, nodes.fp == comp.node, "left").select(
-        F.col("fp").alias("fp2"), "least", F.coalesce("component", "fp").alias("head"))
-    least = heads.groupBy("head").agg(F.min("least").alias("component_id"))
-    of_fp = heads.join(least, "head").select("fp2", "head", "component_id")
-    return fps.join(of_fp, fps.fp == of_fp.fp2).drop("fp2")
+    comp = star_components(link_edges(nodes.where("least is not null"), max_bits))
+    own = F.struct("least", "fp")
+    of_fp = nodes.join(comp, own == F.col("node"), "left").select(
+        F.col("fp").alias("fp2"), F.coalesce("component", own).alias("head"))
+    out = fps.join(of_fp, fps.fp == of_fp.fp2).drop("fp2")
+    return out.withColumn("component_id", F.col("head.least"))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
