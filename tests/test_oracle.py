@@ -27,11 +27,30 @@ def test_matches_duckdb(name, spark, duck, sf_dir):
     assert_same(scols, srows, dcols, drows)
 
 
+# What the fits of the registered queries must show on any data of this size.
+FACTS = {
+    "cv_grid": lambda r: len(r) == 25 and max(x["gap"] for x in r) <= 1e-3 and any(x["best"] for x in r),
+    "svm_linear": lambda r: r[0]["gap"] <= 1e-4, "svm_rff": lambda r: r[0]["gap"] <= 1e-4,
+    "svm_tuned": lambda r: r[0]["gap"] <= 1e-4 and 1 <= r[0]["cost"] <= 5,
+    "mlp_restarts": lambda r: len(r) == 5 and all(x["reached"] == (x["slope"] < 0.01) for x in r),
+    "mlp_scores": lambda r: all(0 <= x["prob"] <= 1 for x in r) and len({x["app_id"] for x in r}) == len(r),
+    "random_forest_oob": lambda r: len(r) == 4 and 0 < r[0]["error"] < 1,
+    "random_forest_importance": lambda r: abs(sum(x["importance"] for x in r) - 1) < 1e-9,
+    "pca_variance": lambda r: len(r) == 64 and abs(r[-1]["cumulative"] - 1) < 1e-9,
+    "ts_arima_select": lambda r: len(r) == 50 and all(x["p"] == len(x["ar"]) and x["q"] == len(x["ma"]) for x in r),
+    "ts_model_mape": lambda r: {x["model"] for x in r} == {"classical", "ar", "arima"},
+    "ts_arima_forecast": lambda r: len(r) == 300 and all(x["forecast"] == x["forecast"] for x in r),
+    "ts_pacf": lambda r: all(abs(x["pacf"]) <= 1 + 1e-9 for x in r),
+    "ts_adf": lambda r: all(0.01 <= x["p_value"] <= 0.99 for x in r),
+    "stepwise_aic": lambda r: [x["aic"] for x in sorted(r, key=lambda x: x["step"])] == sorted((x["aic"] for x in r), reverse=True),
+    "backward_eliminate": lambda r: all(x["p_value"] <= 0.05 for x in r if x["status"] == "kept" and x["term"] != "(Intercept)"),
+}
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_rows_only_queries_run(name, spark, sf_dir):
-    df = QUERIES[name](spark, sf_dir)
-    assert df.count() >= 0
-    assert len(df.columns) > 0
+    rows = QUERIES[name](spark, sf_dir).collect()
+    assert rows and FACTS.get(name, lambda _: True)(rows)
 
 
 def test_every_oracle_has_a_query():
