@@ -281,9 +281,10 @@ def pages_of(found: DataFrame) -> DataFrame:
         F.col("type").alias("record_type"), F.nullif(number("refers"), F.lit("")).cast("long").alias("refers_to"),
         "payload_bytes", F.when(F.col("type") == "revisit", F.regexp_replace("digest", "^sha256:", ""))
         .otherwise(F.col("payload_digest")).alias("payload_digest"))
-    sizes = (rows.where("record_type = 'response'").groupBy(F.col("page_id").alias("refers_to"))
+    # one page id may stand for several texts: the digest tells which one is meant
+    sizes = (rows.where("record_type = 'response'").groupBy(F.col("page_id").alias("refers_to"), "payload_digest")
              .agg(F.max("payload_bytes").alias("size")))
     first = rows.where("record_type = 'response'").withColumn("size", F.col("payload_bytes"))
-    again = rows.where("record_type = 'revisit'").join(sizes, "refers_to", "left")
+    again = rows.where("record_type = 'revisit'").join(sizes, ["refers_to", "payload_digest"], "left")
     return first.unionByName(again).select(
         "page_id", F.col("size").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")

@@ -55,6 +55,15 @@ def test_repeated_ids_and_empty_table(spark):
     assert W.pages_of(W.read_archives(spark, path)).collect() == []
 
 
+def test_one_id_with_several_texts(spark):
+    rows = [(1, "u", "A" * 200), (1, "u", "B" * 300), (2, "u", "A" * 200), (3, "u", "B" * 300)]
+    path = shared_path(spark, "warc-test")
+    W.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
+    got = sorted((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"])
+                 for r in W.pages_of(W.read_archives(spark, path)).collect())
+    assert got == [(1, 200, "response", None), (1, 300, "response", None), (2, 200, "revisit", 1), (3, 300, "revisit", 1)]
+
+
 def test_truncated_record_is_left_out(spark):
     path = shared_path(spark, "warc-test")
     text = W.records(spark.createDataFrame([(1, "u", "abc")], "page_id long, url string, html string")).first()[0] + "\r\n"
