@@ -4,16 +4,19 @@ Text is folded first: compatibility forms and accents are undone, homoglyphs
 and digit or symbol substitutions are replaced by the Latin letters they stand
 for (inside words that hold a letter), and what lies between words becomes one
 blank.  The lexicon holds whole words and beginnings of words; both are learned
-from labelled documents: a term's weight is its smoothed log-odds between toxic
-and clean documents, and terms that are common in toxic documents and all but
-absent from clean ones stay.  Exception phrases are the two- and three-word
-surroundings in which a lexicon word is met in clean documents and in no toxic
-one; a match inside one does not count.  A term that toxic documents rest on but
-that clean ones hold too is judged on its clean uses outside such phrases.
-
-A document's score is a logistic of its matched weight: the strongest term's
-weight, raised by the logarithm of the hits per thousand words, so that a single
-hit in a very long text counts less than in a short one.
+from labelled documents: a term's weight is the logarithm of how much more often
+it occurs per word of toxic documents than of clean ones, and terms stay that
+toxic documents hold far more often than chance would have it.  Clean documents
+may hold them too: what counts is how densely.  Exception phrases are the two- and
+three-word surroundings in which a lexicon word is met in clean documents and in
+no toxic one; a match inside one does not count.  A term that toxic documents rest
+on but that clean ones hold as often is judged on its clean uses outside such
+phrases.
+
+A document's score is a logistic of its matched weight: the weights of all words
+hit, summed per thousand words (fifty more than there are, so that one word is no
+evidence by itself), as a logarithm.  The logistic's slope is fitted to the learning
+rows; its threshold lies where their F1 is highest.
 
 Learning uses at most about ``MAX_LABELLED`` labelled documents (a documented
 bound, drawn evenly by hash) and never labels, language, source or id as an
@@ -45,9 +48,13 @@ from quire.llm.common import materialise
 MAX_LABELLED = 200_000
 #: beginnings of words that may become terms, in letters
 STEMS = (4, 5, 6, 7)
-#: a term needs this many toxic documents (more if chance would do that) and this log-odds
+#: a term needs this many toxic documents (more if chance would do that), this weight, and
+#: so many standard deviations more toxic documents than chance gives
 MIN_DOCS = 3
-MIN_WEIGHT = 2.5
+MIN_WEIGHT = 1.5
+MIN_SURPRISE = 4.0
+#: log-odds of a term that is judged outside exception phrases
+MIN_RESCUED = 2.5
 #: toxic documents to expect with a phrase, were it like its term, before their absence excuses it
 MIN_EXPECTED = 5.0
 THRESHOLD = 0.7
@@ -83,11 +90,15 @@ def fold(text: str | None) -> list[str]:
     return _TOKEN.findall(text)
 
 
-def units(words: list[str]) -> set[str]:
-    """What a document offers as terms: " word " and " beginning"."""
-    out = {f" {w} " for w in words}
-    for n in STEMS:
-        out |= {" " + w[:n] for w in words if len(w) >= n}
+def units(words: list[str]) -> Counter[str]:
+    """What a document offers as terms, " word " and " beginning", with their occurrences."""
+    out: Counter[str] = Counter()
+    for w, n in Counter(words).items():
+        out[f" {w} "] += n
+        for k in STEMS:
+            if len(w) < k:
+                break
+            out[" " + w[:k]] += n
     return out
 
 
@@ -111,13 +122,12 @@ class Lexicon:
         return found
 
 
-def matched(words: list[str], automaton, exceptions: frozenset[str]) -> tuple[dict[str, float], int]:
-    """(weight of each distinct term that counts, number of words hit)."""
+def _hits(words: list[str], automaton, exceptions: frozenset[str]) -> Iterator[tuple[int, str, float]]:
+    """(place, term, weight) of every match that counts."""
     if not words or not len(automaton):
-        return {}, 0
+        return
     text = " " + " ".join(words) + " "
     ends = None
-    terms, places = {}, set()
     for end, (term, weight) in automaton.iter(text):
         start = end - len(term) + 1
         if exceptions:
@@ -127,24 +137,40 @@ def matched(words: list[str], automaton, exceptions: frozenset[str]) -> tuple[di
             around = {" ".join(words[max(i - a, 0):i + b + 1]) for a, b in _SPANS}
             if around & exceptions:
                 continue
+        yield start, term, weight
+
+
+def matched(words: list[str], automaton, exceptions: frozenset[str]) -> tuple[dict[str, float], int]:
+    """(weight of each distinct term that counts, number of words hit)."""
+    terms, places = {}, set()
+    for start, term, weight in _hits(words, automaton, exceptions):
         terms[term] = weight
         places.add(start)
     return terms, len(places)
 
 
+def weighed(words: list[str], automaton, exceptions: frozenset[str]) -> tuple[float, set[str]]:
+    """(matched weight, distinct terms that count): a word hit weighs as the
+    strongest of its terms; the sum is taken per thousand words, as a logarithm."""
+    best, terms = {}, set()
+    for start, term, weight in _hits(words, automaton, exceptions):
+        best[start] = max(best.get(start, 0.0), weight)
+        terms.add(term)
+    return math.log1p(1000.0 * sum(best.values()) / (len(words) + 50)), terms
+
+
 def strength(words: list[str], automaton, exceptions: frozenset[str]) -> float:
-    """The matched weight: the strongest term, and hits per thousand words."""
-    terms, hits = matched(words, automaton, exceptions)
-    if not hits:
-        return 0.0
-    rate = 1000.0 * hits / (len(words) + 50)
-    return max(terms.values()) * (1.0 + 0.25 * math.log1p(rate))
+    """The matched weight alone."""
+    return weighed(words, automaton, exceptions)[0]
+
+
+def _squashed(z: float) -> float:
+    return 1.0 / (1.0 + math.exp(-max(min(z, 30.0), -30.0)))
 
 
 def score(words: list[str], lexicon: Lexicon, automaton) -> float:
     """Between 0 and 1, the higher the likelier toxic."""
-    z = lexicon.bias + lexicon.scale * strength(words, automaton, lexicon.exceptions)
-    return 1.0 / (1.0 + math.exp(-max(min(z, 30.0), -30.0)))
+    return _squashed(lexicon.bias + lexicon.scale * strength(words, automaton, lexicon.exceptions))
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -188,21 +214,32 @@ def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic",
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts: tuple[Counter, Counter] = (Counter(), Counter())
+            docs: tuple[Counter, Counter] = (Counter(), Counter())
+            uses: tuple[Counter, Counter] = (Counter(), Counter())
             for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if y in (0, 1):
-                    counts[y].update(units(fold(t)))
-            terms = list(counts[1].keys() | counts[0].keys())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(terms, pa.string()), pa.array([counts[1][x] for x in terms], pa.int64()),
-                 pa.array([counts[0][x] for x in terms], pa.int64())], ["term", "a", "b"])
+                    words = fold(t)
+                    own = units(words)
+                    own[""] = len(words)  # all words, under the empty term
+                    docs[y].update(own.keys())
+                    uses[y].update(own)
+            terms = list(docs[1].keys() | docs[0].keys())
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *[
+                pa.array([n[x] for x in terms], pa.int64()) for n in (docs[1], docs[0], uses[1], uses[0])]],
+                ["term", "a", "b", "ua", "ub"])
 
     # so many toxic documents that a term dealt by chance has fewer in most samples
     least = max(MIN_DOCS, math.ceil(math.log(toxic + clean) / math.log((toxic + clean) / toxic)))
-    sums = materialise(rows.mapInArrow(count, "term string, a long, b long").groupBy("term")
-                       .agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where(F.col("a") >= least), "terms")
-    found = {r["term"]: (r["a"], r["b"], r["w"]) for r in sums.withColumn("w", _log_odds("a", "b", toxic, clean))
-             .where((F.col("w") >= MIN_WEIGHT) & (F.col("a") > 20 * F.col("b"))).collect()}
+    sums = materialise(rows.mapInArrow(count, "term string, a long, b long, ua long, ub long").groupBy("term")
+                       .agg(*[F.sum(c).alias(c) for c in ("a", "b", "ua", "ub")]).where(F.col("a") >= least), "terms")
+    whole = sums.where("term = ''").first()
+    if whole is None:  # fewer toxic documents than a term needs
+        return Lexicon()
+    sums = sums.where("term <> ''")
+    chance = (F.col("a") + F.col("b")) * F.lit(toxic / (toxic + clean))
+    found = {r["term"]: (r["a"], r["b"], r["w"]) for r in sums
+             .withColumn("w", F.log((F.col("ua") + 0.5) / F.lit(whole["ua"] + 1.0)) - F.log((F.col("ub") + 0.5) / F.lit(whole["ub"] + 1.0)))
+             .where((F.col("w") >= MIN_WEIGHT) & ((F.col("a") - chance) / F.sqrt(chance) >= MIN_SURPRISE)).collect()}
     weights = _chosen(found, rows)
     odds = {t: found[t][0] / max(found[t][1], 0.05) for t in weights}
     rescued, their_odds = _rescued(Lexicon(weights), sums, rows, toxic, clean, least)
@@ -222,7 +259,7 @@ def _chosen(found: dict[str, tuple[int, int, float]], rows: DataFrame) -> dict[s
     stems = _stems(found)
     weights = {t: w for t, (_, _, w) in found.items() if t in stems or (
         t.endswith(" ") and not any(t.startswith(stem) for stem in stems))}
-    leads = _leads(Lexicon(weights), rows)
+    leads = _leads(Lexicon({t: found[t][0] * w for t, w in weights.items()}), rows)
     most = max((found[t][0] for t in weights), default=0)
     # words that merely keep company with stronger terms (texts that repeat) go
     return {t: w for t, w in weights.items() if leads.get(t, 0) >= MIN_DOCS or 4 * found[t][0] >= most}
@@ -275,13 +312,13 @@ def _rescued(lexicon: Lexicon, sums: DataFrame, rows: DataFrame, toxic: int, cle
     for t, (a, _) in could.items():
         b = rest.get(t, 0)
         w = math.log((a + 0.5) / (toxic - a + 0.5)) - math.log((b + 0.5) / (clean - b + 0.5))
-        if w >= MIN_WEIGHT and a > 20 * b:
+        if w >= MIN_RESCUED and a > 20 * b:
             out[t] = (a, b, w)
     return out, {t: odds[t] for t in out}
 
 
 def _leads(lexicon: Lexicon, rows: DataFrame) -> dict[str, int]:
-    """Per term, the toxic documents in which it is the strongest."""
+    """Per term, the toxic documents in which it is the strongest (by the lexicon's numbers)."""
 
     def strongest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()
@@ -338,7 +375,7 @@ def _surroundings(lexicon: Lexicon, rows: DataFrame, odds: dict[str, float], exc
             values, ratio = [], {}
             for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = fold(t)
-                values.append((y, round(strength(words, mine, exceptions), 1)))
+                values.append((y, round(strength(words, mine, exceptions), 2)))
                 if with_phrases and y in (0, 1) and words:
                     near = set()
                     text = " " + " ".join(words) + " "
@@ -375,9 +412,28 @@ def _fitted(lexicon: Lexicon, rows: DataFrame, odds: dict[str, float]) -> Lexico
         seen = _surroundings(lexicon, rows, odds, lexicon.exceptions, with_phrases=False).collect()
     points = [(r["v"], r["clean"], r["toxic"]) for r in seen if r["phrase"] is None]
     lexicon.bias, lexicon.scale = _logistic(points)
+    cut = _best_cut(points)
+    if cut is not None:
+        lexicon.bias = math.log(THRESHOLD / (1 - THRESHOLD)) - lexicon.scale * cut
     return lexicon
 
 
+def _best_cut(points: list[tuple[float, int, int]]) -> float | None:
+    """The positive value from which on the rows are best called toxic, by F1:
+    halfway between that of the last row called so and the next one below."""
+    toxic = sum(p[2] for p in points)
+    values = sorted({p[0] for p in points} | {0.0}, reverse=True)
+    rows = {v: (sum(p[1] for p in points if p[0] == v), sum(p[2] for p in points if p[0] == v)) for v in values}
+    best, cut, called, right = 0.0, None, 0, 0
+    for v, below in zip(values, values[1:]):
+        called += sum(rows[v])
+        right += rows[v][1]
+        f1 = 2 * right / (called + toxic) if toxic else 0.0
+        if f1 > best:
+            best, cut = f1, (v + below) / 2
+    return cut
+
+
 def _logistic(points: list[tuple[float, int, int]]) -> tuple[float, float]:
     """(bias, scale > 0) of a one-variable logistic by Newton steps with a
     small ridge, over (value, clean rows, toxic rows)."""
@@ -409,9 +465,9 @@ def scored(df: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: st
         for batch in batches:
             scores, terms = [], []
             for t in batch.column(1):
-                words = fold(t.as_py())
-                scores.append(score(words, mine, automaton))
-                terms.append(sorted(matched(words, automaton, mine.exceptions)[0]))
+                value, own = weighed(fold(t.as_py()), automaton, mine.exceptions)
+                scores.append(_squashed(mine.bias + mine.scale * value))
+                terms.append(sorted(own))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()),
                                               pa.array(terms, pa.list_(pa.string()))], ["id", "score", "terms"])
 

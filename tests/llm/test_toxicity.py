@@ -1,7 +1,10 @@
 """Folding, learning, exceptions and held-out accuracy."""
 
+import math
 import random
 
+from pyspark.sql import functions as F
+
 from quire.llm import queries
 from quire.llm import toxicity as X
 
@@ -88,3 +91,57 @@ def test_held_out_rows(spark, sf_dir):
     got = queries.QUERIES["op3_toxicity"](spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id").where("held_out")
     n = {(r["toxic"], r["predicted"]): r["count"] for r in got.groupBy("toxic", "predicted").count().collect()}
     assert n.get((0, 1), 0) == 0 and n[1, 1] >= 0.7 * (n[1, 1] + n.get((1, 0), 0))
+
+
+def test_matching_and_scores_against_plain_python(spark):
+    """Scores of learned terms and phrases equal those of a search word by word."""
+    lexicon = X.learn(spark.createDataFrame(corpus(), "text string, toxic int"))
+    assert lexicon.exceptions
+    texts = [t for t, _ in corpus(120)] + ["", None, "moron", "idiot village idiot moron grobxta", "bata " * 3000 + "moron"]
+
+    def plain(text):
+        words = X.fold(text)
+        total = 0.0
+        for i, word in enumerate(words):
+            spans = [words[max(i - a, 0):i + b + 1] for a, b in ((1, 0), (0, 1), (1, 1), (2, 0), (0, 2))]
+            if any(" ".join(s) in lexicon.exceptions for s in spans):
+                continue
+            total += max((w for t, w in lexicon.weights.items() if f" {word} ".startswith(t)), default=0.0)
+        z = lexicon.bias + lexicon.scale * math.log1p(1000 * total / (len(words) + 50))
+        return 1 / (1 + math.exp(-max(min(z, 30.0), -30.0)))
+
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in X.scored(df, lexicon).collect()}
+    assert len(got) == len(texts)
+    assert all(abs(got[i] - plain(t)) < 1e-9 for i, t in enumerate(texts))
+
+
+def test_a_term_of_clean_documents_too_counts_by_its_density(spark):
+    """A stem that a third of the clean documents hold once, and toxic ones often, is learned; one use is no verdict."""
+    r = random.Random(5)
+    words = [a + b for a in "ba ko li mu re".split() for b in "ta ne so ri".split()]
+    rows = []
+    for i in range(600):
+        text = [r.choice(words) for _ in range(120)]
+        for _ in range(5 if i % 8 == 0 else int(i % 3 == 0)):
+            text.insert(r.randrange(len(text)), "grobx" + r.choice(words))
+        rows.append((" ".join(text), int(i % 8 == 0)))
+    lexicon = X.learn(spark.createDataFrame(rows, "text string, toxic int"))
+    assert any(t.startswith(" grobx") for t in lexicon.weights)
+    filler = " ".join(words * 6)
+    df = spark.createDataFrame([(1, filler + " grobxta"), (2, filler + " grobxta grobxli grobxso grobxmu grobxre")], "doc_id long, text string")
+    assert [r["predicted"] for r in X.scored(df, lexicon).orderBy("doc_id").collect()] == [0, 1]
+
+
+def test_held_out_recall_per_language(spark):
+    """sf0.1, held-out labels: found toxic documents per language, and clean ones called toxic."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    got = (queries.QUERIES["op3_toxicity"](spark, sf).where("held_out").join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id")
+           .groupBy("lang", "toxic").agg(F.sum("predicted").alias("called"), F.count("*").alias("n")).collect())
+    found = {r["lang"]: r["called"] / r["n"] for r in got if r["toxic"] == 1}
+    clean = [(r["called"], r["n"]) for r in got if r["toxic"] == 0]
+    # measured: de 19 of 20, en 75 of 82, es 12 of 12, fr 29 of 30; 3 of 1,200 clean ones
+    assert sum(r["called"] for r in got if r["toxic"] == 1) >= 0.9 * sum(r["n"] for r in got if r["toxic"] == 1)
+    assert min(found.values()) >= 0.85
+    assert sum(c for c, _ in clean) < 0.01 * sum(n for _, n in clean)
