@@ -59,6 +59,7 @@ LENGTH = 50
 SEED = 16
 #: text of one vectorised step, text per bucket of seeds, and of segments per bucket and shard
 PART_BYTES = 1 << 21
+BLOCK = 1 << 16
 BUCKET_BYTES = 1 << 24
 SEGMENT_BUCKET_BYTES = 1 << 22
 SHARD_BYTES = 1 << 22
@@ -72,7 +73,16 @@ _BASE, _MIX = 0x100000001B3, np.uint64(0xFF51AFD7ED558CCD)
 
 def _window_seeds(data: np.ndarray, length: int) -> np.ndarray:
     """Per window of ``length`` bytes: the smallest seed hash (top 44 bits) and
-    its place (low 20 bits, wrapping)."""
+    its place (low 20 bits, wrapping).  Worked through in blocks that stay in a
+    processor's cache."""
+    out = np.empty(max(len(data) - length + 1, 0), np.uint64)
+    for at in range(0, len(out), BLOCK):
+        out[at:at + BLOCK] = _block_seeds(data[at:at + BLOCK + length - 1], at, length)
+    return out
+
+
+def _block_seeds(data: np.ndarray, at: int, length: int) -> np.ndarray:
+    """``_window_seeds`` of one block, which begins at ``at``."""
     power = lambda n: np.uint64(pow(_BASE, n, 1 << 64))
     part, wide, h, done = data.astype(np.uint64) + np.uint64(1), 1, None, 0
     while wide <= SEED:  # hashes of strings of 1, 2, 4, ... bytes; those in SEED's sum are put together
@@ -91,7 +101,7 @@ def _window_seeds(data: np.ndarray, length: int) -> np.ndarray:
     h ^= h >> np.uint64(29)
     h *= _MIX
     h &= ~_PLACE
-    h |= np.arange(len(h), dtype=np.uint64) & _PLACE
+    h |= np.arange(at, at + len(h), dtype=np.uint64) & _PLACE
     wide, span = length - SEED + 1, 1
     while 2 * span <= wide:
         h = np.minimum(h[:-span], h[span:])
@@ -162,17 +172,14 @@ def shared_seeds(rows: DataFrame, buckets: int, length: int = LENGTH) -> DataFra
             texts = [b"" if not ok or _is_copy(t, g) else t
                      for ok, t, g in zip(known, _text_bytes(batch.column(1)), batch.column(2).to_pylist())]
             for _, _, row, _, _, key in segments(texts, length):
-                doc = docs[row]
-                order = np.lexsort((doc, key))
-                key, doc = key[order], doc[order]
-                keep = np.concatenate(([True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])))
-                key, doc = key[keep], doc[keep]
+                order = np.argsort(key)
+                key, doc = key[order], docs[row][order]
                 first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-                many = np.diff(np.append(first, len(key)))
-                several = many > 1
-                here = np.repeat(several, many)
+                low = np.minimum.reduceat(doc, first)
+                several = low != np.maximum.reduceat(doc, first)
+                here = np.repeat(several, np.diff(np.append(first, len(key))))
                 probe = (key[first] << np.uint64(1)) | several
-                out = [*_blobs(0, (key[first] % np.uint64(buckets)).astype(np.int64), probe, doc[first]),
+                out = [*_blobs(0, (key[first] % np.uint64(buckets)).astype(np.int64), probe, low),
                        *_blobs(1, doc[here] % buckets, key[here], doc[here])]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(
                     zip(*out), (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["bucket", "kind", "keys", "docs"])
@@ -184,15 +191,17 @@ def shared_seeds(rows: DataFrame, buckets: int, length: int = LENGTH) -> DataFra
         some = lambda parts, k, t: np.concatenate([p for p, of in zip(parts, kinds) if of == k] or [np.array([], t)])
         key, doc = some(keys, 0, np.uint64), some(docs, 0, np.int64)
         several, key = (key & np.uint64(1)).astype(bool), key >> np.uint64(1)
-        order = np.lexsort((doc, key))
+        order = np.argsort(key)
         key, doc, several = key[order], doc[order], several[order]
-        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.array([], int)
-        last = np.append(first[1:], len(key)) - 1
-        shared = np.repeat((doc[first] != doc[last]) | (np.add.reduceat(several, first) > 0) if len(first) else [],
-                           last - first + 1).astype(bool)
+        if len(key):
+            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            in_two = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
+            shared = np.repeat(in_two | np.logical_or.reduceat(several, first), np.diff(np.append(first, len(key))))
+        else:
+            shared = np.zeros(0, bool)
         key = np.concatenate((key[shared], some(keys, 1, np.uint64)))
         doc = np.concatenate((doc[shared], some(docs, 1, np.int64)))
-        order = np.argsort(doc, kind="stable")
+        order = np.argsort(doc)
         key, doc = key[order], doc[order]
         cuts = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else np.array([], int)
         ends = [*cuts[1:].tolist(), len(doc)]
@@ -225,13 +234,22 @@ def busy_seeds(docs: DataFrame, total_bytes: int, length: int = LENGTH) -> np.nd
     return np.array(sorted(r["key"] for r in found), np.uint64)
 
 
-def suffix_array(text: np.ndarray) -> np.ndarray:
-    """The suffix array of symbols below 512, by Larsson-Sadakane refinement."""
+def _words(text: np.ndarray) -> np.ndarray:
+    """The eight symbols from every place on as one number of the same order."""
+    padded = np.concatenate((text.astype(np.uint8), np.zeros(7, np.uint8)))
+    return np.lib.stride_tricks.sliding_window_view(padded, 8).copy().view(">u8").ravel().astype(np.uint64)
+
+
+def suffix_array(text: np.ndarray, left: np.ndarray | None = None) -> np.ndarray:
+    """The suffix array of symbols below 256, by Larsson-Sadakane refinement from
+    the order of the first eight.  With ``left``, the symbols before the end mark
+    (0) of each place's segment, end marks all differ, the earlier being smaller:
+    nothing is compared beyond them."""
     n = len(text)
-    padded = np.concatenate((text.astype(np.int64), np.zeros(7, np.int64)))
-    key = padded[:n].copy()
-    for j in range(1, 7):
-        key = (key << 9) | padded[j:n + j]
+    key = _words(text)
+    if left is not None:
+        ended = np.flatnonzero(left < 7)
+        key[ended] &= ~((np.uint64(1) << (8 * (7 - left[ended])).astype(np.uint64)) - np.uint64(1))
     order = np.argsort(key)
     sorted_ = key[order]
     new = np.concatenate(([True], sorted_[1:] != sorted_[:-1]))
@@ -240,36 +258,44 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     rank = np.empty(n + 1, np.int64)
     rank[n] = -1
     rank[order] = np.repeat(first, size)  # a group's rank: where it begins
-    h = 7
-    open_ = np.repeat(size > 1, size)
-    while open_.any():
-        slots = np.flatnonzero(open_)
+    h = 8
+    open_ = np.flatnonzero(np.repeat(size > 1, size))
+    if left is not None:  # equal up to an end mark: its place decides
+        ended = left[order[open_]] < h
+        slots = open_[ended]
         places = order[slots]
+        order[slots] = places[np.argsort(rank[places] * (n + 2) + places)]
+        rank[order[slots]] = slots
+        open_ = open_[~ended]
+    while len(open_):
+        places = order[open_]
         group = rank[places]
         after = rank[np.minimum(places + h, n)]
         within = np.argsort(group * (n + 2) + after + 1)
         places, group, after = places[within], group[within], after[within]
-        order[slots] = places
+        order[open_] = places
         new = np.concatenate(([True], (group[1:] != group[:-1]) | (after[1:] != after[:-1])))
         first = np.flatnonzero(new)
-        size = np.diff(np.append(first, len(slots)))
-        rank[places] = np.repeat(slots[first], size)
-        open_[slots] = np.repeat(size > 1, size)
+        size = np.diff(np.append(first, len(open_)))
+        rank[places] = np.repeat(open_[first], size)
+        open_ = open_[np.repeat(size > 1, size)]
         h *= 2
     return order
 
 
 def common_prefixes(text: np.ndarray, order: np.ndarray, begins: np.ndarray, ends: np.ndarray, most: int) -> np.ndarray:
-    """Kasai's common prefix of every suffix with its neighbour before it in
-    the suffix array, up to ``most``; by place in the text.  A step works on one
-    place of every segment: the prefix is at least the one of the place before
-    less one, and is extended from there."""
+    """Kasai's common prefix of every suffix that starts between a segment's
+    begin and end with its neighbour before it in the suffix array, up to
+    ``most``; by place in the text.  A step works on one place of every segment:
+    the prefix is at least the one of the place before less one, and is extended
+    from there, eight symbols at a time."""
     n = len(text)
     before = np.full(n, -1)
     before[order[1:]] = order[:-1]
     out = np.zeros(n, np.int64)
-    padded = np.concatenate((text, np.zeros(most + 1, text.dtype)))
+    words = _words(np.concatenate((text, np.zeros(most + 8, text.dtype))))
     held = np.zeros(len(begins), np.int64)
+    steps = [np.uint64(1 << (8 * k)) for k in range(8)]
     for t in range(int((ends - begins).max(initial=0))):
         live = np.flatnonzero(begins + t < ends)
         at = begins[live] + t
@@ -278,11 +304,13 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, begins: np.ndarray, end
         size[near < 0] = 0
         grow = np.flatnonzero((near >= 0) & (size < most))
         while len(grow):
-            same = padded[at[grow] + size[grow]] == padded[near[grow] + size[grow]]
-            same &= (at[grow] + size[grow] < n) & (near[grow] + size[grow] < n)
-            grow = grow[same]
-            size[grow] += 1
-            grow = grow[size[grow] < most]
+            differ = words[at[grow] + size[grow]] ^ words[near[grow] + size[grow]]
+            same = np.zeros(len(grow), np.int64)
+            for step in steps:
+                same += differ < step
+            size[grow] += same
+            grow = grow[(same == 8) & (size[grow] < most)]
+        np.minimum(size, np.minimum(most, n - np.maximum(at, near)), out=size)
         out[at] = size
         held[live] = size
     return out
@@ -293,14 +321,15 @@ class Shard:
 
     def __init__(self, parts: list[bytes], low: np.ndarray, high: np.ndarray, length: int):
         sizes = np.array([len(p) for p in parts])
-        text = np.frombuffer(b"\0".join([*parts, b""]), np.uint8).astype(np.int16) + 1
+        text = np.frombuffer(b"\0".join([*parts, b""]), np.uint8) + np.uint8(1)  # no byte of UTF-8 is 255
         begins = np.cumsum(sizes + 1) - sizes - 1
         ends = begins + sizes
         text[ends] = 0
-        order = suffix_array(text)
         owner = np.repeat(np.arange(len(parts)), sizes + 1)
-        prefix = common_prefixes(text, order, begins, ends, length)
-        window = (ends[owner] - np.arange(len(text))) >= length
+        left = ends[owner] - np.arange(len(text))
+        order = suffix_array(text, left)
+        prefix = common_prefixes(text, order, begins, ends - length + 1, length)
+        window = left >= length
         order = order[window[order]]
         new = prefix[order] < length
         new[:1] = True
@@ -315,7 +344,7 @@ class Shard:
     @cached_property
     def heads(self) -> np.ndarray:
         """The classes' strings as rows of big-endian words, which compare as the bytes do."""
-        raw = np.lib.stride_tricks.sliding_window_view((self._text - 1).astype(np.uint8), self._length)[self._first]
+        raw = np.lib.stride_tricks.sliding_window_view(self._text - np.uint8(1), self._length)[self._first]
         words = np.zeros((len(raw), -(-self._length // 8) * 8), np.uint8)
         words[:, :self._length] = raw
         return words.view(">u8").astype(np.uint64)

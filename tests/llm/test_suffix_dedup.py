@@ -28,6 +28,26 @@ def test_suffix_array_and_common_prefixes(letters):
         assert plain[a] == 0 or prefix[a] == n
 
 
+def test_end_marks_that_differ():
+    """With the places' ends given, suffixes are ordered as if each end mark were a symbol of its own."""
+    rng = np.random.default_rng(8)
+    base = bytes(rng.integers(97, 99, 70).astype(np.uint8))
+    parts = [base[a:a + k] for a, k in zip(rng.integers(0, 20, 60), rng.integers(0, 70, 60))]
+    sizes = np.array([len(p) for p in parts])
+    text = np.frombuffer(b"\0".join([*parts, b""]), np.uint8) + np.uint8(1)
+    begins = np.cumsum(sizes + 1) - sizes - 1
+    ends = begins + sizes
+    text[ends] = 0
+    left = np.repeat(ends, sizes + 1) - np.arange(len(text))
+    order = D.suffix_array(text, left)
+    plain = text.tolist()
+    assert order.tolist() == sorted(range(len(plain)), key=lambda i: (plain[i:i + left[i]], i + left[i]) if left[i] else ([], i))
+    prefix = D.common_prefixes(text, order, begins, ends - 20 + 1, 20)
+    for a, b in zip(order[1:].tolist(), order[:-1].tolist()):
+        if left[a] >= 20:
+            assert (prefix[a] == 20) == (left[b] >= 20 and plain[a:a + 20] == plain[b:b + 20])
+
+
 def test_shards_merge_by_binary_search():
     rng = np.random.default_rng(1)
     parts = [bytes(rng.integers(97, 99, 76).astype(np.uint8)) for _ in range(10)] * 3
