@@ -53,7 +53,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import row_column, text_bytes
+from quire.llm.common import materialise, row_column, text_bytes
 
 LENGTH = 50
 SEED = 16
@@ -67,6 +67,8 @@ SHARD_BYTES = 1 << 22
 #: characters, and the segments of a seed, in bytes, from which they are split
 SAMPLE_BYTES, SAMPLE_SHARE, SAMPLE_PIECE = 1 << 22, 1 / 64, 1 << 14
 BUSY_BYTES = 1 << 21
+#: groups of copies above this part of all copies are told by broadcast, so at most so many are
+HOT_SHARE = 1000
 _PLACE = np.uint64((1 << 20) - 1)
 _BASE, _MIX = 0x100000001B3, np.uint64(0xFF51AFD7ED558CCD)
 
@@ -149,7 +151,7 @@ def segments(texts: list[bytes], length: int = LENGTH):
 
 def _blobs(kind: int, bucket: np.ndarray, keys: np.ndarray, docs: np.ndarray):
     """(bucket, kind, keys, docs) rows, keys and documents packed per bucket."""
-    order = np.lexsort((keys, docs, bucket))
+    order = np.lexsort((docs, bucket))
     bucket, keys, docs = bucket[order], keys[order], docs[order]
     cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.array([], int)
     for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)]):
@@ -458,8 +460,14 @@ def copies(docs: DataFrame, length: int) -> DataFrame:
     """(cdoc, gone): per document the MD5 of its texts that a document with a smaller
     id has too, word for word."""
     texts = docs.where(F.octet_length("row.t") >= length).select("doc", F.md5(F.col("row.t").cast("binary")).alias("h"))
-    first = texts.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
-    later = texts.join(first.select("h", "first"), "h").where("doc > first")
+    first = materialise(texts.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("n"))
+                        .where("first < last"), "copied")
+    # at most HOT_SHARE groups hold more than a HOT_SHARE-th of all copies: their rows stay where they are
+    least = (first.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE
+    hot = first.where(F.col("n") > least).select(F.col("h").alias("hot_h"), F.col("first").alias("hot_first"))
+    told = texts.join(F.broadcast(hot), F.col("h") == F.col("hot_h"), "left")
+    few = told.where("hot_h is null").join(first.where(F.col("n") <= least).select("h", "first"), "h").select("doc", "h", "first")
+    later = few.unionAll(told.where("hot_h is not null").select("doc", "h", "hot_first")).where("doc > first")
     return later.groupBy(F.col("doc").alias("cdoc")).agg(F.collect_set("h").alias("gone"))
 
 

@@ -148,3 +148,13 @@ def test_without_repeats_keeps_columns(spark):
 
 def test_empty_table(spark):
     assert D.repeated_passages(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+@pytest.mark.parametrize("share", [1, 4, 1000])
+def test_large_groups_of_copies(spark, monkeypatch, share):
+    """Groups of copies told by broadcast, by join, or some by each."""
+    monkeypatch.setattr(D, "HOT_SHARE", share)
+    a, b, c = ("".join(chr(97 + (i * k) % 23) for i in range(90)) for k in (3, 5, 7))
+    rows = [(i, a) for i in range(60)] + [(100 + i, b) for i in range(3)] + [(200, c), (100, c), (None, a), (7, b)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert digests(df) == brute([(i, t.encode()) for i, t in rows])
