@@ -90,11 +90,13 @@ def _block_seeds(data: np.ndarray, at: int, length: int) -> np.ndarray:
     while wide <= SEED:  # hashes of strings of 1, 2, 4, ... bytes; those in SEED's sum are put together
         if SEED & wide:
             if h is None:
-                h = part.copy()
+                h = part if 2 * wide > SEED else part.copy()
             else:
                 n = min(len(part), len(h) - wide)
                 h = part[:n] * power(done) + h[wide:wide + n]
             done += wide
+        if 2 * wide > SEED:
+            break
         part = part[:-wide] * power(wide) + part[wide:]
         wide *= 2
     h = h[:len(data) - SEED + 1]
@@ -121,18 +123,24 @@ def segments(texts: list[bytes], length: int = LENGTH):
         sizes = np.array([len(data) for _, _, data in group])
         begins = np.cumsum(sizes) - sizes
         count = np.maximum(sizes - length + 1, 0)
-        owner = np.repeat(np.arange(len(group)), count)
-        if not len(owner):
+        some = count > 0
+        if not some.any():
             return None
-        at = np.arange(len(owner)) + np.repeat(begins - (np.cumsum(count) - count), count)
-        best = _window_seeds(np.frombuffer(buffer, np.uint8), length)[at]
-        place = at + ((best - at.astype(np.uint64)) & _PLACE).astype(np.int64)
-        first = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (owner[1:] != owner[:-1]))))
-        n = np.diff(np.append(first, len(at)))
-        own = owner[first]
+        best = _window_seeds(np.frombuffer(buffer, np.uint8), length)
+        new = np.empty(len(best), bool)  # where a run, or what lies between two texts, begins
+        np.not_equal(best[1:], best[:-1], out=new[1:])
+        new[0] = True
+        new[begins[some]] = True
+        after = (begins + count)[some]
+        new[after[after < len(best)]] = True
+        first = np.flatnonzero(new)
+        n = np.diff(np.append(first, len(best)))
+        own = np.searchsorted(begins, first, "right") - 1
+        inside = first - begins[own] < count[own]
+        first, n, own = first[inside], n[inside], own[inside]
         rows = np.array([r for r, _, _ in group])[own]
-        start = at[first] - begins[own] + np.array([o for _, o, _ in group])[own]
-        return buffer, at[first], rows, start, n, best[first] >> np.uint64(20)
+        start = first - begins[own] + np.array([o for _, o, _ in group])[own]
+        return buffer, first, rows, start, n, best[first] >> np.uint64(20)
 
     for row, text in enumerate(texts):
         for off in range(0, max(len(text) - length + 1, 0), PART_BYTES):
