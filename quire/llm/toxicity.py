@@ -90,11 +90,20 @@ def fold(text: str | None) -> list[str]:
     return _TOKEN.findall(text)
 
 
-def units(words: list[str]) -> Counter[str]:
-    """What a document offers as terms, " word " and " beginning", with their occurrences."""
+def units(words: set[str]) -> set[str]:
+    """What a document offers as terms: " word " and " beginning"."""
+    out = {f" {w} " for w in words}
+    for n in STEMS:
+        out |= {" " + w[:n] for w in words if len(w) >= n}
+    return out
+
+
+def uses(words: Counter[str]) -> Counter[str]:
+    """Occurrences of the terms, from those of the words; "" stands for all words."""
     out: Counter[str] = Counter()
-    for w, n in Counter(words).items():
-        out[f" {w} "] += n
+    for w, n in words.items():
+        out[f" {w} "] = n
+        out[""] += n
         for k in STEMS:
             if len(w) < k:
                 break
@@ -215,17 +224,17 @@ def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic",
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs: tuple[Counter, Counter] = (Counter(), Counter())
-            uses: tuple[Counter, Counter] = (Counter(), Counter())
+            words: tuple[Counter, Counter] = (Counter(), Counter())
             for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if y in (0, 1):
-                    words = fold(t)
-                    own = units(words)
-                    own[""] = len(words)  # all words, under the empty term
-                    docs[y].update(own.keys())
-                    uses[y].update(own)
+                    own = fold(t)
+                    docs[y].update(units(set(own)))
+                    docs[y][""] += 1
+                    words[y].update(own)
+            used = uses(words[0]), uses(words[1])
             terms = list(docs[1].keys() | docs[0].keys())
             yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *[
-                pa.array([n[x] for x in terms], pa.int64()) for n in (docs[1], docs[0], uses[1], uses[0])]],
+                pa.array([n[x] for x in terms], pa.int64()) for n in (docs[1], docs[0], used[1], used[0])]],
                 ["term", "a", "b", "ua", "ub"])
 
     # so many toxic documents that a term dealt by chance has fewer in most samples
@@ -281,7 +290,7 @@ def _rescued(lexicon: Lexicon, sums: DataFrame, rows: DataFrame, toxic: int, cle
             for t in batch.column(0).to_pylist():
                 words = fold(t)
                 if words and not matched(words, automaton, frozenset())[1]:
-                    n.update(units(words))
+                    n.update(units(set(words)))
                     n[""] += 1
             yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["term", "r"])
 
