@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.scalars import sigmoid
 from quire.operators.ols import solve
-from quire.session import ship_package
+from quire.session import ship_package, spread
 
 #: rows that a task turns into matrices at once
 ROWS_AT_ONCE = 4096
@@ -52,8 +52,27 @@ class LogitFit:
             rows, "term string, estimate double, std_error double, z_value double, p_value double")
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (y, w, x) as blocks: y of all rows, then w, then x row by row."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, ROWS_AT_ONCE):
+            batch = whole.slice(at, ROWS_AT_ONCE)
+            cells = [c.to_numpy(zero_copy_only=False) for c in (batch.column(0), batch.column(1), batch.column(2).flatten())]
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64()),
+                                              pa.array([np.concatenate(cells).tobytes()], pa.binary())], ["n", "block"])
+
+
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(y, w, x) of each block of ``LogitData.rows``."""
+    for batch in batches:
+        for n, block in zip(batch.column(0).to_pylist(), batch.column(1)):
+            cells = np.frombuffer(block.as_buffer())
+            yield cells[:n], cells[n:2 * n], cells[2 * n:].reshape(n, -1)
+
+
 class LogitData:
-    """Rows (y, w, [1, features...]) kept in memory or on disk for the passes of a search."""
+    """Rows (y, w, [1, features...]) kept in memory or on disk for the passes of a search,
+    as blocks of doubles that a pass reads without converting them."""
 
     def __init__(self, df: DataFrame, label: str, features: Sequence[str], weight: str | None = None):
         ship_package(df.sparkSession)
@@ -62,8 +81,9 @@ class LogitData:
         rows = df.select(col(label).alias("y"), (col(weight) if weight else F.lit(1.0)).alias("w"),
                          F.array(F.lit(1.0), *[col(f) for f in self.features]).alias("x"))
         there = F.col("y").isNotNull() & F.col("w").isNotNull() & ~F.exists("x", lambda v: v.isNull() | F.isnan(v))
-        self.rows = rows.where(there).persist(StorageLevel.MEMORY_AND_DISK)
-        self.n = self.rows.count()
+        self.rows = spread(rows.where(there)).mapInArrow(_packed, "n long, block binary") \
+            .persist(StorageLevel.MEMORY_AND_DISK)
+        self.n = self.rows.agg(F.sum("n").alias("n")).first()["n"] or 0
 
     def __enter__(self) -> LogitData:
         return self
@@ -77,30 +97,25 @@ class LogitData:
     def moments(self, columns: Sequence[Sequence[int]], betas: Sequence[np.ndarray]) -> list[tuple]:
         """(information, score, log-likelihood) of each candidate at its coefficients: one pass."""
         sizes = [len(c) for c in columns]
-        width = 1 + len(self.features)
-        spread = np.zeros((width, len(columns)))
+        beta = np.zeros((1 + len(self.features), len(columns)))
         for j, (c, b) in enumerate(zip(columns, betas)):
-            spread[c, j] = b
+            beta[c, j] = b
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(sum(k * k + k + 1 for k in sizes))
-            for whole in batches:
-                for at in range(0, whole.num_rows, ROWS_AT_ONCE):
-                    batch = whole.slice(at, ROWS_AT_ONCE)
-                    y, w = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-                    x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(len(y), width)
-                    eta = x @ spread
-                    mu = 1.0 / (1.0 + np.exp(-np.clip(eta, -700, 700)))
-                    like = w @ (y[:, None] * eta - np.logaddexp(0.0, eta))
-                    slope = w[:, None] * (y[:, None] - mu)
-                    curve = w[:, None] * mu * (1.0 - mu)
-                    place = 0
-                    for j, c in enumerate(columns):
-                        own, k = x[:, c], len(c)
-                        total[place:place + k * k] += ((own * curve[:, j:j + 1]).T @ own).ravel()
-                        total[place + k * k:place + k * k + k] += own.T @ slope[:, j]
-                        total[place + k * k + k] += like[j]
-                        place += k * k + k + 1
+            for y, w, x in blocks(batches):
+                eta = x @ beta
+                mu = 1.0 / (1.0 + np.exp(-np.clip(eta, -700, 700)))
+                like = w @ (y[:, None] * eta - np.logaddexp(0.0, eta))
+                slope = w[:, None] * (y[:, None] - mu)
+                curve = w[:, None] * mu * (1.0 - mu)
+                place = 0
+                for j, c in enumerate(columns):
+                    own, k = x[:, c], len(c)
+                    total[place:place + k * k] += ((own * curve[:, j:j + 1]).T @ own).ravel()
+                    total[place + k * k:place + k * k + k] += own.T @ slope[:, j]
+                    total[place + k * k + k] += like[j]
+                    place += k * k + k + 1
             yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], ["m"])
 
         total, out, place = np.zeros(sum(k * k + k + 1 for k in sizes)), [], 0

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.scalars import sigmoid
-from quire.operators.logit import ROWS_AT_ONCE, LogitData
+from quire.operators.logit import LogitData, blocks
 
 # Factors and limits of the sign steps.
 GROW, SHRINK, FIRST_STEP, LEAST_STEP, MOST_STEP = 1.2, 0.5, 0.1, 1e-10, 0.1
@@ -43,8 +43,16 @@ def forward(x: np.ndarray, weights: np.ndarray, hidden: int) -> tuple[np.ndarray
     return h, _logistic(h @ weights[x.shape[1] * hidden:])
 
 
-def error_and_slopes(x: np.ndarray, y: np.ndarray, weights: np.ndarray, hidden: int, curve: bool) -> tuple:
-    """Half the squared errors, their slope, and (``curve``) their second derivatives."""
+def products(x: np.ndarray) -> np.ndarray:
+    """Products of any two columns, one line each: they serve all restarts."""
+    lines = np.ascontiguousarray(x.T)
+    return np.vstack([lines[i] * lines[i:] for i in range(len(lines))])
+
+
+def error_and_slopes(x: np.ndarray, y: np.ndarray, weights: np.ndarray, hidden: int, curve: bool,
+                     pairs: np.ndarray | None = None) -> tuple:
+    """Half the squared errors, their slope, and (``curve``) their second derivatives;
+    ``pairs`` are the rows' ``products``."""
     h, out = forward(x, weights, hidden)
     width = x.shape[1]
     miss, bend = out - y, out * (1 - out)
@@ -54,16 +62,23 @@ def error_and_slopes(x: np.ndarray, y: np.ndarray, weights: np.ndarray, hidden:
     slope = np.concatenate([(x.T @ (pull[:, None] * second * rise)).ravel(), h.T @ pull])
     if not curve:
         return float(miss @ miss) / 2, slope, None
-    # the output is logistic in a; its slope in the weights and a's own second derivatives
-    inner = np.hstack([(x[:, :, None] * (second * rise)[:, None, :]).reshape(len(x), -1), h])
-    matrix = (inner * (bend * bend + pull * (1 - 2 * out))[:, None]).T @ inner
-    for j in range(hidden):
-        at = np.arange(width) * hidden + j
-        turn = pull * second[j] * rise[:, j] * (1 - 2 * unit[:, j])
-        matrix[np.ix_(at, at)] += (x * turn[:, None]).T @ x
-        cross = x.T @ (pull * rise[:, j])
-        matrix[at, width * hidden + 1 + j] += cross
-        matrix[width * hidden + 1 + j, at] += cross
+    # the output is logistic in a; its slope in the weights and a's own second derivatives.
+    # Weights of two inputs and two units meet in one sum over products of inputs.
+    pairs = products(x) if pairs is None else pairs
+    curved = bend * bend + pull * (1 - 2 * out)
+    lines, rises = np.ascontiguousarray(h.T), np.ascontiguousarray(rise.T)
+    steep, count = second[:, None] * rises, width * hidden
+    j, k = np.triu_indices(hidden)
+    both = steep[j] * (steep * curved)[k]
+    both[j == k] += steep * pull * (1 - 2 * lines[1:])
+    sums, (a, b) = pairs @ both.T, np.triu_indices(width)
+    inputs = np.empty((width, hidden, width, hidden))
+    for one, two in ((a[:, None], b[:, None]), (b[:, None], a[:, None])):
+        inputs[one, j, two, k] = inputs[one, k, two, j] = sums
+    mixed = steep[:, None, :] * (lines * curved)
+    mixed[np.arange(hidden), np.arange(hidden) + 1] += rises * pull
+    cross = (x.T @ mixed.reshape(-1, len(x)).T).reshape(count, hidden + 1)
+    matrix = np.block([[inputs.reshape(count, count), cross], [cross.T, (lines * curved) @ h]])
     return float(miss @ miss) / 2, slope, matrix
 
 
@@ -169,24 +184,21 @@ def resilient_net(df: DataFrame, label: str, features: Sequence[str], hidden: in
 
 def _measured(data: LogitData, points: Sequence[tuple[np.ndarray, bool]], hidden: int) -> list[tuple]:
     """Error, slope and matrix of every restart at its weights: one pass."""
-    count, width = len(points[0][0]), 1 + len(data.features)
+    count = len(points[0][0])
     sizes = [1 + count + (count * count if curve else 0) for _, curve in points]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(sum(sizes))
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
-                batch = whole.slice(at, ROWS_AT_ONCE)
-                y = batch.column(0).to_numpy(zero_copy_only=False)
-                x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(len(y), width)
-                place = 0
-                for (w, curve), size in zip(points, sizes):
-                    error, slope, matrix = error_and_slopes(x, y, w, hidden, curve)
-                    total[place] += error
-                    total[place + 1:place + 1 + count] += slope
-                    if curve:
-                        total[place + 1 + count:place + size] += matrix.ravel()
-                    place += size
+        for y, _, x in blocks(batches):
+            pairs = products(x) if any(curve for _, curve in points) else None
+            place = 0
+            for (w, curve), size in zip(points, sizes):
+                error, slope, matrix = error_and_slopes(x, y, w, hidden, curve, pairs)
+                total[place] += error
+                total[place + 1:place + 1 + count] += slope
+                if curve:
+                    total[place + 1 + count:place + size] += matrix.ravel()
+                place += size
         yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], ["v"])
 
     sums = data.rows.mapInArrow(run, "v array<double>").select(Summarizer.sum(array_to_vector("v")).alias("v"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import re
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _DEFAULTS = {
     "spark.ui.enabled": "false",
@@ -66,11 +67,21 @@ def default_parallelism(spark: SparkSession) -> int:
     return max(int(spark.sparkContext.defaultParallelism), 1)
 
 
+#: rows that ``spread`` puts into one part at most, on average
+ROWS_A_PART = 1 << 18
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows in even parts, one per core at least: a frame kept for many passes
+    otherwise has the parts of its files, which for a few megabytes is a single one."""
+    return df.repartition(max(default_parallelism(df.sparkSession), math.ceil(df.count() / ROWS_A_PART)))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-__all__ = ["get_session", "checkpoint_dir", "default_parallelism", "shuffle_partitions", "ship_package"]
+__all__ = ["get_session", "checkpoint_dir", "default_parallelism", "shuffle_partitions", "ship_package", "spread"]
 
 
 _SHIPPED: set[str] = set()

@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from quire.operators import nets as N
 
@@ -74,3 +75,20 @@ def test_odd_input(spark, rows):
     df = spark.createDataFrame(rows, "a double, y double")
     fit = N.resilient_net(df, "y", ["a"], 2, restarts=2, sign_steps=5, max_steps=60)
     assert len(fit.restarts) == 2 and len(fit.weights) == 2 * 2 + 3
+
+
+def test_rows_of_one_part_are_trained_on_by_all_cores(spark):
+    x, y = data(500)
+    one = frame(spark, x, y).coalesce(1)
+    with N.LogitData(one, "y", ["a", "b", "c"]) as kept:
+        assert kept.n == 500
+        assert kept.rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+        assert kept.rows.groupBy(F.spark_partition_id()).agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] <= 150
+
+
+def test_shared_products_change_nothing():
+    x, y = data(200, 3)
+    x = np.hstack([np.ones((200, 1)), x])
+    w = N.start_weights(4 * 5 + 6, 1, 2)
+    alone, shared = N.error_and_slopes(x, y, w, 5, True), N.error_and_slopes(x, y, w, 5, True, N.products(x))
+    assert all(np.allclose(a, b, rtol=1e-12) for a, b in zip(alone, shared)) and np.allclose(shared[2], shared[2].T)
