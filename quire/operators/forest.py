@@ -8,6 +8,10 @@ positive weight per bin of the node's ``mtry`` random features, one tree after t
 other.  Counts of a tree meet in one task, which adds them up as they stream in and
 picks the tree's splits; only the splits reach the driver.  A batch is as many trees
 as keep what a task sends within ``CELLS`` counts.
+
+Rows are binned once and kept as blocks of bytes.  While they fill fewer parts than
+there are cores, each part is kept once per group of trees: all cores work, and what
+they send does not grow with their number.
 """
 
 from __future__ import annotations
@@ -19,18 +23,22 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark import StorageLevel, TaskContext
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.operators.radix import column_quantile_values
-from quire.session import ship_package
+from quire.session import default_parallelism, ship_package, spread
 
 BINS = 32
 #: counts that a task sends in one pass: of all open nodes of the batch's trees
 CELLS = 1 << 25
+#: rows that a task reads in a pass at most, on average
+ROWS_A_TASK = 1 << 20
+#: rows of a kept block
+BLOCK_ROWS = 1 << 12
 ROWS_AT_ONCE = 1 << 15
 # Poisson(1) draws for 16 random bits
 _POISSON = np.searchsorted(np.cumsum([math.exp(-1) / math.factorial(k) for k in range(10)]),
@@ -59,18 +67,22 @@ class Forest:
     depth: int
 
     def binned(self, x: np.ndarray) -> np.ndarray:
-        return np.column_stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(self.edges)]).astype(np.uint8)
+        return binned(self.edges, x)
 
     def reached(self, flat: np.ndarray, width: int, rows: np.ndarray, tree: int, levels: int) -> tuple[np.ndarray, np.ndarray]:
         """(rows, node): of the given rows those that lie on level ``levels``, and where."""
         feature, cut, at = self.feature[tree], self.cut[tree], np.zeros(len(rows), np.int64)
+        first = rows * width
         for _ in range(levels):
             f = feature.take(at)
-            on = np.flatnonzero(f >= 0)
-            if len(on) < len(at):
-                rows, at, f = rows.take(on), at.take(on), f.take(on)
-            at = 2 * at + 1 + (flat.take(rows * width + f) > cut.take(at))
-        return rows, at
+            if len(f) and f.min() < 0:
+                on = np.flatnonzero(f >= 0)
+                first, at, f = first.take(on), at.take(on), f.take(on)
+            right = flat.take(first + f) > cut.take(at)
+            at *= 2
+            at += 1
+            at += right
+        return first // width, at
 
     def leaves(self, flat: np.ndarray, width: int, rows: np.ndarray, tree: int) -> tuple[np.ndarray, np.ndarray]:
         """(rows, leaf) of the given rows, in another order."""
@@ -107,7 +119,7 @@ class Forest:
             ones, total = forest.votes(forest.binned(rows))
             return pd.Series(ones / np.maximum(total, 1))
 
-        return df.withColumn(out, score(F.array(*[F.col(f"`{f}`").cast("double") for f in self.features])))
+        return spread(df).withColumn(out, score(F.array(*[F.col(f"`{f}`").cast("double") for f in self.features])))
 
     def importances(self, spark) -> DataFrame:
         """(feature, mean_decrease_gini, importance): per tree, and as a share of all."""
@@ -118,15 +130,22 @@ class Forest:
 
 
 class ForestRows:
-    """(key hash, label, [features]) kept for the passes; rows with a NULL or NaN are left out."""
+    """(key hash, label, bins) kept for the passes; rows with a NULL or NaN are left out.
+    Every part of the rows is there ``groups`` times, for as many groups of trees."""
 
-    def __init__(self, df: DataFrame, label: str, features: Sequence[str], key: str):
+    def __init__(self, df: DataFrame, label: str, features: Sequence[str], key: str, edges: Sequence[np.ndarray]):
         ship_package(df.sparkSession)
         x = F.array(*[F.col(f"`{f}`").cast("double") for f in features])
         rows = df.select(F.xxhash64(key).alias("k"), F.col(label).cast("double").alias("y"), x.alias("x"))
         there = F.col("y").isNotNull() & ~F.exists("x", lambda v: v.isNull() | F.isnan(v))
-        self.rows, self.width = rows.where(there).persist(StorageLevel.MEMORY_AND_DISK), len(features)
-        self.n = self.rows.count()
+        rows, self.width = rows.where(there), len(features)
+        self.n = rows.count()
+        parts = max(1, math.ceil(self.n / ROWS_A_TASK))
+        self.groups = max(1, math.ceil(default_parallelism(df.sparkSession) / parts))
+        blocks = rows.repartition(parts).mapInArrow(_packing(edges, self.width), "part int, at int, n int, k binary, y binary, b binary")
+        own = F.explode(F.array(*[F.lit(g) for g in range(self.groups)])).alias("group")
+        dealt = blocks.select("*", own).repartitionById(parts * self.groups, F.col("part") * self.groups + F.col("group"))
+        self.rows = dealt.persist(StorageLevel.MEMORY_AND_DISK)
 
     def __enter__(self) -> ForestRows:
         return self
@@ -135,32 +154,61 @@ class ForestRows:
         self.rows.unpersist()
 
     def summed(self, run, size: int) -> np.ndarray:
-        """Sum over the tasks of the vectors that ``run(total, key, y, x)`` fills."""
+        """Sum over the tasks of the vectors that ``run(total, key, y, bins)`` fills, each row once."""
         if not self.n or not size:
             return np.zeros(size)
-        width = self.width
+        width, groups = self.width, self.groups
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(size)
             held, count = [], 0
-            for batch in batches:
-                held.append(batch)
-                count += batch.num_rows
+            for group, at, block in _blocks(batches, width):
+                if at % groups != group:    # another group's copy of the block is counted
+                    continue
+                held.append(block)
+                count += len(block[0])
                 if count >= ROWS_AT_ONCE:
-                    run(total, *_columns(held, width))
+                    run(total, *_joined(held))
                     held, count = [], 0
             if count:
-                run(total, *_columns(held, width))
+                run(total, *_joined(held))
             yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], ["v"])
 
         sums = self.rows.mapInArrow(work, "v array<double>").select(Summarizer.sum(array_to_vector("v")).alias("v"))
         return sums.first()["v"].toArray()
 
 
-def _columns(batches: list[pa.RecordBatch], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    x = np.concatenate([b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, width) for b in batches])
-    k, y = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in batches]) for i in (0, 1))
-    return k, y, x
+def _packing(edges: Sequence[np.ndarray], width: int):
+    """Rows (k, y, x) to blocks of their bytes, the numbers as bins."""
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, at = TaskContext.get().partitionId(), 0
+        for whole in batches:
+            for start in range(0, whole.num_rows, BLOCK_ROWS):
+                batch = whole.slice(start, BLOCK_ROWS)
+                k, y, x = (c.to_numpy(zero_copy_only=False) for c in (batch.column(0), batch.column(1), batch.column(2).flatten()))
+                cells = [k.tobytes(), y.tobytes(), binned(edges, x.reshape(-1, width)).tobytes()]
+                yield pa.RecordBatch.from_arrays([*[pa.array([v], pa.int32()) for v in (part, at, batch.num_rows)],
+                                                  *[pa.array([c], pa.binary()) for c in cells]], ["part", "at", "n", "k", "y", "b"])
+                at += 1
+
+    return pack
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[int, int, tuple[np.ndarray, ...]]]:
+    """(group, place in the part, (key, label, bins)) of the kept blocks."""
+    for batch in batches:
+        group, at, cells = batch.column("group"), batch.column("at"), [batch.column(c) for c in ("k", "y", "b")]
+        for i in range(batch.num_rows):
+            k, y, b = (np.frombuffer(c[i].as_buffer(), t) for c, t in zip(cells, (np.int64, np.float64, np.uint8)))
+            yield group[i].as_py(), at[i].as_py(), (k, y, b.reshape(-1, width))
+
+
+def _joined(blocks: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    return tuple(np.concatenate(c) for c in zip(*blocks))
+
+
+def binned(edges: Sequence[np.ndarray], x: np.ndarray) -> np.ndarray:
+    return np.column_stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(edges)]).astype(np.uint8)
 
 
 def node_features(seed: int, tree: int, nodes: np.ndarray, features: int, mtry: int) -> np.ndarray:
@@ -201,23 +249,23 @@ def fit_forest(df: DataFrame, label: str, features: Sequence[str], key: str, num
     shape = (num_trees, 2 ** (max_depth + 1) - 1)
     forest = Forest(features, edges, np.full(shape, -1, np.int16), np.zeros(shape, np.uint8), np.zeros(shape),
                     np.zeros((num_trees, len(features))), seed, max_depth)
-    with ForestRows(df, label, features, key) as rows:
+    with ForestRows(df, label, features, key, edges) as rows:
         open_ = {t: np.zeros(1, np.int64) for t in range(num_trees)} if rows.n else {}
         for level in range(max_depth):
             grown: dict[int, np.ndarray] = {}
-            for batch in _batches(open_, mtry):
+            for batch in _batches(open_, mtry, CELLS * rows.groups):
                 grown |= _grow(rows, forest, batch, level, mtry, least_rows)
             open_ = grown
         counts = rows.summed(_oob(df, forest), 4).reshape(2, 2)
     return forest, {(a, b): int(counts[a, b]) for a in (0, 1) for b in (0, 1)}
 
 
-def _batches(open_: dict[int, np.ndarray], mtry: int) -> Iterator[dict[int, np.ndarray]]:
+def _batches(open_: dict[int, np.ndarray], mtry: int, most: int) -> Iterator[dict[int, np.ndarray]]:
     """Trees together as long as their counts fit."""
     part, cells = {}, 0
     for t, nodes in open_.items():
         size = len(nodes) * mtry * BINS * 2
-        if part and cells + size > CELLS:
+        if part and cells + size > most:
             yield part
             part, cells = {}, 0
         part[t] = nodes
@@ -233,19 +281,21 @@ _SPLITS = "tree int, node array<int>, feature array<int>, cut array<int>, gain a
 def _grow(rows: ForestRows, forest: Forest, batch: dict[int, np.ndarray], level: int, mtry: int,
           least_rows: int) -> dict[int, np.ndarray]:
     """Splits the open nodes of the batch's trees; returns the nodes open on the next level."""
-    seed, width = forest.seed, len(forest.features)
+    seed, width, groups = forest.seed, len(forest.features), rows.groups
     trees = Forest(forest.features, forest.edges, {t: forest.feature[t] for t in batch}, {t: forest.cut[t] for t in batch},
                    None, None, seed, forest.depth)
     shared = rows.rows.sparkSession.sparkContext.broadcast((trees, batch))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees, open_ = shared.value
-        parts = [(k, y, trees.binned(x)) for k, y, x in (_columns([b], width) for b in batches if b.num_rows)]
+        parts, group = [], 0
+        for group, _, block in _blocks(batches, width):
+            parts.append(block)
         if not parts:
             return
-        key, y, binned = (np.concatenate(c) for c in zip(*parts))
-        flat = binned.ravel()
-        for t, nodes in open_.items():
+        key, y, bins = _joined(parts)
+        flat, positive = bins.ravel(), y.astype(np.int64)
+        for t, nodes in list(open_.items())[group::groups]:
             allowed = node_features(seed, t, nodes, width, mtry)
             weight = bootstrap_weights(key, t, seed)
             own, at = trees.reached(flat, width, np.flatnonzero(weight), t, level)
@@ -254,10 +304,17 @@ def _grow(rows: ForestRows, forest: Forest, batch: dict[int, np.ndarray], level:
             slot = slots.take(at)
             on = np.flatnonzero(slot >= 0)
             own, slot = own.take(on), slot.take(on)
-            w = np.repeat(weight.take(own).astype(float), mtry)
-            code = ((slot * mtry)[:, None] + np.arange(mtry)) * BINS + flat.take((own * width)[:, None] + allowed.take(slot, 0))
-            code, size = code.ravel(), len(nodes) * mtry * BINS
-            total = np.stack([np.bincount(code, w, size), np.bincount(code, w * np.repeat(y.take(own), mtry), size)]).astype(np.int32)
+            # one count a feature, of the cells of both labels
+            w, first, total = weight.take(own).astype(float), own * width, np.zeros((len(nodes) * mtry * BINS, 2))
+            cells = slot * (2 * mtry * BINS) + positive.take(own)
+            for j, f in enumerate(np.ascontiguousarray(allowed.T)):
+                code = flat.take(first + f.take(slot)).astype(np.int64)
+                code *= 2
+                code += cells
+                code += 2 * j * BINS
+                total += np.bincount(code, w, total.size).reshape(total.shape)
+            total[:, 0] += total[:, 1]
+            total = np.ascontiguousarray(total.T, np.int32)
             yield pa.RecordBatch.from_arrays([pa.array([t], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["tree", "c"])
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,15 +334,16 @@ def _grow(rows: ForestRows, forest: Forest, batch: dict[int, np.ndarray], level:
 
     sums = rows.rows.mapInArrow(count, "tree int, c binary").repartition("tree").sortWithinPartitions("tree")
     out = {}
-    for r in sums.mapInArrow(choose, _SPLITS).collect():
-        t, at, feature = r["tree"], np.array(r["node"], np.int64), np.array(r["feature"], np.int64)
-        n, one, ln, lone = (np.array(r[c], float) for c in ("n", "one", "left_n", "left_one"))
+    found = sums.mapInArrow(choose, _SPLITS).toArrow().combine_chunks()
+    for i, t in enumerate(found.column("tree").to_pylist()):
+        at, feature, cut, gain, n, one, ln, lone = (found.column(c)[i].values.to_numpy() for c in found.column_names[1:])
+        at, feature = at.astype(np.int64), feature.astype(np.int64)
         if level == 0 and len(at):
             forest.positive[t][at] = one / n
         split = feature >= 0
         at, n, one, ln, lone = at[split], n[split], one[split], ln[split], lone[split]
-        forest.feature[t][at], forest.cut[t][at] = feature[split], np.array(r["cut"], np.int64)[split]
-        np.add.at(forest.decrease[t], feature[split], np.array(r["gain"], float)[split])
+        forest.feature[t][at], forest.cut[t][at] = feature[split], cut[split]
+        np.add.at(forest.decrease[t], feature[split], gain[split])
         children = []
         for side, (cn, cone) in enumerate(((ln, lone), (n - ln, one - lone))):
             child = 2 * at + 1 + side
@@ -316,9 +374,8 @@ def _splits(tree: int, nodes: np.ndarray, total: np.ndarray, seed: int, width: i
 def _oob(df: DataFrame, forest: Forest):
     shared = df.sparkSession.sparkContext.broadcast(forest)
 
-    def run(total, key, y, x):
-        forest = shared.value
-        ones, votes = forest.votes(forest.binned(x), key)
+    def run(total, key, y, bins):
+        ones, votes = shared.value.votes(bins, key)
         seen = votes > 0
         np.add.at(total, (2 * y[seen] + (2 * ones[seen] > votes[seen])).astype(int), 1)
 

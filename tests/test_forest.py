@@ -109,3 +109,17 @@ def test_odd_input(spark, rows):
     forest, counts = R.fit_forest(df, "y", ["f"], "id", num_trees=4, max_depth=3)
     assert (forest.feature < 0).all() and sum(counts.values()) <= 2
     assert R.oob_table(counts, spark).count() == 4
+
+
+@pytest.mark.parametrize("most", [1 << 20, 100])
+def test_every_core_has_rows_and_no_part_is_large(spark, monkeypatch, most):
+    """One part of rows: a copy per group of trees; several parts: groups enough for the cores."""
+    monkeypatch.setattr(R, "ROWS_A_TASK", most)
+    pdf, cores = data(450), spark.sparkContext.defaultParallelism
+    edges = [np.linspace(-2, 2, 9)] * 4
+    with R.ForestRows(spark.createDataFrame(pdf).coalesce(1), "y", FEATURES, "id", edges) as rows:
+        held = rows.rows.groupBy(F.spark_partition_id().alias("task"), "part", "group").agg(F.sum("n").alias("n")).toPandas()
+        assert len(held) == held.task.nunique() == rows.rows.rdd.getNumPartitions() >= cores
+        assert (held.groupby("group").n.sum() == 450).all() and held.n.max() <= (450 if most > 450 else 150)
+        assert rows.summed(lambda total, key, y, bins: np.add.at(total, y.astype(int), 1), 2).tolist() == [
+            (pdf.y == 0).sum(), (pdf.y == 1).sum()]
