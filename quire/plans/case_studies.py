@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quire.operators import aggregate as agg
 from quire.operators import clean, evaluate, features as fe, models as M, pca, scorecard as sc, svm
 from quire.operators import timeseries as ts
-from quire.plans.standins import applicants, investments, segment_orders, segment_series
+from quire.plans.standins import applicants, investments, materialised, segment_orders, segment_series
 
 
 def investment_study(spark: SparkSession, d: str, amount_lo: float = 5000, amount_hi: float = 50000,
@@ -43,10 +43,11 @@ def credit_scoring_study(spark: SparkSession, d: str, split_ratio: float = 0.7,
                          ) -> dict[str, DataFrame]:
     """Clean -> WOE/IV -> stratified split -> balanced weighted logit with stepwise and
     VIF/p-value elimination -> evaluator -> lift -> scorecard -> cutoff table -> benefit.
-    WOE and scaling are fitted on the training part only."""
+    WOE and scaling are fitted on the training part only.  The applicants are joined once:
+    every later step reads them again, and a join of its own sends customers through the driver."""
     a = applicants(spark, d)
-    a = clean.drop_invalid(a, F.col("o_totalprice") > 0)
     numeric, categorical = ["o_totalprice", "c_acctbal"], ["c_mktsegment", "o_orderpriority", "n_name"]
+    a = materialised(clean.drop_invalid(a, F.col("o_totalprice") > 0).select("app_id", "y", *numeric, *categorical))
     split = fe.stratified_split(a, "y", "app_id", split_ratio)
     train, test = split.filter("is_train"), split.filter("NOT is_train")
     woe = fe.fit_woe(train, "y", numeric, categorical)
