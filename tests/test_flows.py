@@ -34,7 +34,10 @@ def test_credit_scoring_study(spark):
     assert out["evaluation"].count() == 1
     assert out["cutoffs"].count() == 8
     assert out["benefit"].count() == 1
-    # the applicants were joined once: no answer joins customers again
+
+
+def test_credit_scoring_study_joins_applicants_once(spark):
+    out = cs.credit_scoring_study(spark, SMALL)
     assert all("c_custkey" not in df._jdf.queryExecution().toString() for df in out.values())
 
 
