@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from quire.session import checkpoint_dir
 #: a word: a run of anything but the six ASCII white-space characters
 WORD_RE = r"[^\x20\x09-\x0D]+"
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
+#: rows that a task works on at once, in bytes
+SLICE_BYTES = 1 << 22
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -43,6 +47,27 @@ def text_bytes(col) -> "F.Column":
     return F.coalesce(F.octet_length(col), F.lit(0)).cast("long")
 
 
+def release() -> None:
+    """Give what Arrow and numpy have freed back to the system.  A Python worker
+    stays between tasks and stages, beside an executor that needs the memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim is not None:
+        trim(0)
+
+
+def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches``, in order, in parts of about ``size`` bytes, so that
+    what a task makes of them stays small; after the last, free memory is released."""
+    try:
+        for batch in batches:
+            rows = max(batch.num_rows * size // max(batch.nbytes, 1), 1)
+            for at in range(0, batch.num_rows, rows):
+                yield batch.slice(at, rows)
+    finally:
+        release()
+
+
 def word_blocks(data: bytes, carry: int, size: int = 1 << 20) -> Iterator[list[bytes]]:
     """Words of ``data`` in lists of about ``size`` bytes, each list beginning
     with the ``carry`` words before it, so that a text of any length is worked

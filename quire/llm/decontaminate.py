@@ -33,13 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import row_column, word_blocks
+from quire.llm.common import row_column, slices, word_blocks
 
 SHINGLE_WORDS = 5
 CONTAINMENT = 0.8
 #: bounds of one block of items: number, and bytes of text
 BLOCK_ITEMS = 20_000
 BLOCK_BYTES = 32_000_000
+#: words whose hashes a task remembers
+MAX_WORDS = 250_000
 
 _ASCII = "".join(chr(c) if chr(c).isalnum() else " " for c in range(128)).lower().encode()
 _TABLE = _ASCII + bytes(range(128, 256))
@@ -54,7 +56,7 @@ class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         from xxhash import xxh64_intdigest
 
-        if len(self) > 1_000_000:
+        if len(self) >= MAX_WORDS:
             self.clear()
         self[word] = h = xxh64_intdigest(word)
         return h
@@ -182,7 +184,7 @@ def contained_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", d
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index, seen = shared.value, _WordHashes()
-            for batch in batches:
+            for batch in slices(batches):
                 found = [(d.as_py(), *m) for d, t in zip(batch.column(0), batch.column(1))
                          for m in dict.fromkeys(index.matches(t.as_py(), seen))]
                 if found:

@@ -33,11 +33,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import materialise
+from quire.llm.common import materialise, slices
 from quire.llm.token_counts import MAX_PIECES, TOKENIZER, Splitter, sweeps
 
 LENGTH = 1024
 END_ID = 0
+#: characters split and looked up at once
+SWEEP = 1 << 19
 _AFTER_BLANK = re.compile(r" [^\s]+")
 
 
@@ -139,10 +141,13 @@ class TokenIds:
         self.known[self.used:self.used + len(ids)] = ids
         self.ends[numbers + 1] = self.used + np.cumsum(sizes)
         self.used, self.count = self.used + len(ids), self.count + len(sizes)
-        if 2 * self.count > len(self.place):  # twice as many places, everything entered again
+        size = len(self.place)
+        while 2 * self.count > size:
+            size *= 2
+        if size > len(self.place):  # everything is entered again
             old, taken = self.keys, np.flatnonzero(self.place >= 0)
             had = self.place[taken].astype(np.int64)
-            self.table(4 * len(self.place))
+            self.table(size)
             self.put(old[0][taken], old[1][taken], had)
         self.put(first, second, numbers)
 
@@ -170,7 +175,7 @@ class TokenIds:
         found = self.find(first, second)
         missing = np.flatnonzero(found < 0)
         if len(missing):
-            if self.count > MAX_PIECES:
+            if self.count + len(missing) > MAX_PIECES:
                 self.forget()
                 missing = np.arange(len(starts))
             own = missing[np.unique(first[missing], return_index=True)[1]]
@@ -184,7 +189,7 @@ class TokenIds:
         whole = {row: np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
                  for row, text in enumerate(texts) if text and self.specials and self.specials.search(text)}
         counts, chunks = np.zeros(len(texts), np.int64), []
-        for group in sweeps([None if row in whole else t for row, t in enumerate(texts)], None):
+        for group in sweeps([None if row in whole else t for row, t in enumerate(texts)], None, SWEEP):
             parts = [t for _, t in group]
             cuts = self.splitter.piece_starts(parts)
             offset = np.cumsum([0, *map(len, parts)])
@@ -245,7 +250,7 @@ def tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in slices(batches):
             ids, n = encoder(path).arrays(batch.column(1).to_pylist())
             own = np.cumsum(n)
             ids = np.insert(ids, own, end_id).astype(stored)
@@ -280,7 +285,7 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     kind, stored = dict(first.dtypes)["id"], id_type(path, end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             part, at, n = (batch.column(i).to_numpy() for i in (0, 1, 3))
             begin = at + np.fromiter(map(base.value.__getitem__, part.tolist()), np.int64, len(part))
             count = (begin + n - 1) // length - begin // length + 1

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import materialise, row_column, star_components, word_blocks
+from quire.llm.common import materialise, row_column, slices, star_components, word_blocks
 
 SHINGLE_WORDS = 4
 MAX_BITS = 4
@@ -73,7 +73,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts of one id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             fps = np.array([simhash(t.as_py(), n) for t in batch.column(1)], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), batch.column(2)],
                                              ["id", "fp", "text_hash"])

@@ -43,6 +43,7 @@ in parts that overlap, so memory is bounded by ``PART_BYTES``.
 from __future__ import annotations
 
 import hashlib
+import sys
 from collections.abc import Iterator
 from functools import cached_property
 from math import ceil
@@ -53,7 +54,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import materialise, row_column, text_bytes
+from quire.llm.common import materialise, release, row_column, slices, text_bytes
 
 LENGTH = 50
 SEED = 16
@@ -176,7 +177,7 @@ def shared_seeds(rows: DataFrame, buckets: int, length: int = LENGTH) -> DataFra
     too; ``rows`` has doc, row and gone, and copies take no part."""
 
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             known = batch.column(0).is_valid().to_pylist()
             docs = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
             texts = [b"" if not ok or _is_copy(t, g) else t
@@ -195,6 +196,7 @@ def shared_seeds(rows: DataFrame, buckets: int, length: int = LENGTH) -> DataFra
                     zip(*out), (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["bucket", "kind", "keys", "docs"])
 
     def settle(table: pa.Table) -> pa.Table:
+        release()  # of the buckets before
         kinds = np.array(table["kind"].to_pylist())
         keys = [np.frombuffer(x, np.uint64) for x in table["keys"].to_pylist()]
         docs = [np.frombuffer(x, np.int64) for x in table["docs"].to_pylist()]
@@ -233,7 +235,7 @@ def busy_seeds(docs: DataFrame, total_bytes: int, length: int = LENGTH) -> np.nd
         F.transform(places, lambda c: F.substring(F.col("t"), c * SAMPLE_PIECE + 1, F.lit(SAMPLE_PIECE + length - 1)))).alias("t"))
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t.encode("utf-8", "surrogatepass") for t in batch.column(0).to_pylist()]
             for buffer, at, _, _, n, key in segments(texts, length):
                 names, _ = _names(_cut_out(buffer, at, n, length))
@@ -247,7 +249,8 @@ def busy_seeds(docs: DataFrame, total_bytes: int, length: int = LENGTH) -> np.nd
 def _words(text: np.ndarray) -> np.ndarray:
     """The eight symbols from every place on as one number of the same order."""
     padded = np.concatenate((text.astype(np.uint8), np.zeros(7, np.uint8)))
-    return np.lib.stride_tricks.sliding_window_view(padded, 8).copy().view(">u8").ravel().astype(np.uint64)
+    found = np.lib.stride_tricks.sliding_window_view(padded, 8).copy().view(np.uint64).ravel()
+    return found.byteswap(inplace=True) if sys.byteorder == "little" else found
 
 
 def suffix_array(text: np.ndarray, left: np.ndarray | None = None) -> np.ndarray:
@@ -256,32 +259,34 @@ def suffix_array(text: np.ndarray, left: np.ndarray | None = None) -> np.ndarray
     (0) of each place's segment, end marks all differ, the earlier being smaller:
     nothing is compared beyond them."""
     n = len(text)
+    kind = np.int32 if n < 1 << 30 else np.int64  # of places and ranks
     key = _words(text)
     if left is not None:
         ended = np.flatnonzero(left < 7)
         key[ended] &= ~((np.uint64(1) << (8 * (7 - left[ended])).astype(np.uint64)) - np.uint64(1))
-    order = np.argsort(key)
+    order = np.argsort(key).astype(kind)
     sorted_ = key[order]
     new = np.concatenate(([True], sorted_[1:] != sorted_[:-1]))
     first = np.flatnonzero(new)
     size = np.diff(np.append(first, n))
-    rank = np.empty(n + 1, np.int64)
+    rank = np.empty(n + 1, kind)
     rank[n] = -1
     rank[order] = np.repeat(first, size)  # a group's rank: where it begins
+    del key, sorted_, new, first
     h = 8
     open_ = np.flatnonzero(np.repeat(size > 1, size))
     if left is not None:  # equal up to an end mark: its place decides
         ended = left[order[open_]] < h
         slots = open_[ended]
         places = order[slots]
-        order[slots] = places[np.argsort(rank[places] * (n + 2) + places)]
+        order[slots] = places[np.argsort(rank[places].astype(np.int64) * (n + 2) + places)]
         rank[order[slots]] = slots
         open_ = open_[~ended]
     while len(open_):
         places = order[open_]
         group = rank[places]
         after = rank[np.minimum(places + h, n)]
-        within = np.argsort(group * (n + 2) + after + 1)
+        within = np.argsort(group.astype(np.int64) * (n + 2) + after + 1)
         places, group, after = places[within], group[within], after[within]
         order[open_] = places
         new = np.concatenate(([True], (group[1:] != group[:-1]) | (after[1:] != after[:-1])))
@@ -300,9 +305,9 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, begins: np.ndarray, end
     the prefix is at least the one of the place before less one, and is extended
     from there, eight symbols at a time."""
     n = len(text)
-    before = np.full(n, -1)
+    before = np.full(n, -1, order.dtype)
     before[order[1:]] = order[:-1]
-    out = np.zeros(n, np.int64)
+    out = np.zeros(n, np.int32)
     words = _words(np.concatenate((text, np.zeros(most + 8, text.dtype))))
     held = np.zeros(len(begins), np.int64)
     steps = [np.uint64(1 << (8 * k)) for k in range(8)]
@@ -335,8 +340,8 @@ class Shard:
         begins = np.cumsum(sizes + 1) - sizes - 1
         ends = begins + sizes
         text[ends] = 0
-        owner = np.repeat(np.arange(len(parts)), sizes + 1)
-        left = ends[owner] - np.arange(len(text))
+        owner = np.repeat(np.arange(len(parts), dtype=np.int32), sizes + 1)
+        left = ends.astype(np.int32)[owner] - np.arange(len(text), dtype=np.int32)
         order = suffix_array(text, left)
         prefix = common_prefixes(text, order, begins, ends - length + 1, length)
         window = left >= length
@@ -345,7 +350,7 @@ class Shard:
         new[:1] = True
         first = np.flatnonzero(new)
         self.kind = (np.cumsum(new) - 1).astype(np.int32)  # class of each window, in sorted order
-        self.owner = owner[order].astype(np.int32)
+        self.owner = owner[order]
         self.place = (order - begins[self.owner]).astype(np.int8)
         self.low = np.minimum.reduceat(low[self.owner], first) if len(first) else low[:0]
         self.high = np.maximum.reduceat(high[self.owner], first) if len(first) else high[:0]
@@ -417,6 +422,7 @@ def _unpacked(data: bytes, n: int) -> list[bytes]:
 def _window_marks(table: pa.Table, length: int) -> pa.Table:
     """(s1, s2, low, mask) for the segments of one bucket: per smallest id, the
     windows whose string is in a document with that id and in another."""
+    release()  # of the buckets before
     texts = [x for data, n in zip(table["segments"].to_pylist(), table["n"].to_pylist()) for x in _unpacked(data, n)]
     s1, s2 = _names(texts)
     low, high = (np.frombuffer(b"".join(table[c].to_pylist()), np.int64) for c in ("low", "high"))
@@ -536,7 +542,7 @@ def _busy_hits(wide: DataFrame, busy: np.ndarray, length: int) -> DataFrame:
     """(doc, place, mask) of the windows of busy seeds that a smaller id has too."""
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for s1, s2, doc, _ in _busy_windows(batch, length, busy):
                 order = np.lexsort((s2, s1))
                 s1, s2, doc = s1[order], s2[order], doc[order]
@@ -547,7 +553,7 @@ def _busy_hits(wide: DataFrame, busy: np.ndarray, length: int) -> DataFrame:
                         ["s1", "s2", "low", "high"])
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for x in _busy_windows(batch, length, busy):
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in x], ["s1", "s2", "doc", "place"])
 
@@ -574,7 +580,7 @@ def _bucketed(wide: DataFrame, segment_buckets: int, busy: np.ndarray, length: i
     busy, equal ones merged per task."""
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for doc, _, buffer, at, _, n, key in _shared_segments(batch, length, busy):
                 parts = _cut_out(buffer, at, n, length)
                 s1, s2 = _names(parts)
@@ -609,7 +615,7 @@ def marks(docs: DataFrame, again: DataFrame, total_bytes: int, length: int = LEN
     busy = busy_seeds(docs, total_bytes, length)
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for doc, text_key, buffer, at, start, n, _ in _shared_segments(batch, length, busy):
                 s1, s2 = _names(_cut_out(buffer, at, n, length))
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (s1, s2, doc, text_key | start)],
@@ -662,7 +668,7 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     schema = T.StructType([joined.schema["row"], *[T.StructField(k, v) for k, v in new.items()]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             spans, sizes, kept = [], [], []
             for data, g, m in zip(_text_bytes(batch.column(0)), batch.column(1), batch.column(2)):
                 cuts = [(0, len(data))] if _is_copy(data, g.as_py()) else spans_of(data, m.as_py() or [], length)

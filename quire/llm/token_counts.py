@@ -345,8 +345,8 @@ def cut(text: str, starts: np.ndarray) -> list[str]:
     return [text[a:b] for a, b in zip(at, [*at[1:], len(text)])]
 
 
-def sweeps(texts: list[str | None], specials: re.Pattern | None) -> Iterator[list[tuple[int, str]]]:
-    """(row, text to split) in groups of about SWEEP characters, without the
+def sweeps(texts: list[str | None], specials: re.Pattern | None, most: int = SWEEP) -> Iterator[list[tuple[int, str]]]:
+    """(row, text to split) in groups of about ``most`` characters, without the
     special strings."""
     group, size = [], 0
     for row, text in enumerate(texts):
@@ -355,7 +355,7 @@ def sweeps(texts: list[str | None], specials: re.Pattern | None) -> Iterator[lis
                 if part:
                     group.append((row, part))
                     size += len(part)
-                if size >= SWEEP:
+                if size >= most:
                     yield group
                     group, size = [], 0
     if group:
