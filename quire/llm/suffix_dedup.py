@@ -10,12 +10,16 @@ the smallest id takes part in what follows: all its strings start there.
 Texts are dealt to shards by content, so that equal strings meet.  Every window
 of ``length`` bytes has a seed, the 16-byte string in it with the smallest hash
 (a function of the window alone); a run of windows with one seed is a segment of
-at most 84 bytes.  A first pass finds the seeds that occur in two documents or
-more: tasks merge equal seeds, report each once to the bucket of its hash, and
-learn which are shared.  Segments of other seeds cannot hold a repeated string
-and go no further.  Equal segments are merged in the task (a group of copies, or
+at most 84 bytes.  A window of 50 bytes holds 17 bytes before its seed or 18 after
+it, so a window that repeats shares its seed with one of these contexts, of 33 or
+34 bytes, which chance alone seldom repeats however large the corpus.  A first pass
+finds the contexts that occur in two documents or more: tasks merge equal ones,
+report each once to the bucket of its hash, and learn which are shared.  Windows
+whose context is not shared cannot repeat and go no further; the others of a
+segment stay.  Equal segments are merged in the task (a group of copies, or
 a passage that a third of all documents share, is one segment per task), dealt
-to buckets by seed, and sorted there in shards of bounded size:
+to buckets by seed with the places where they stand, and sorted there in shards of
+bounded size:
 
 * a suffix array per shard by Larsson-Sadakane refinement (the ranks of the
   first h symbols give those of 2h; only groups that are still equal are sorted
@@ -29,9 +33,9 @@ A seed whose different segments would overfill a bucket (a phrase shorter than
 segments are not sorted: their windows are dealt by their own hash, and Spark
 sums up the smallest and largest id of each, first in the tasks.
 
-Each class carries its smallest document id; a segment gets back, per smallest
-id, the mask of its windows, occurrences with a larger id mark them, and a
-document's marks come together for the removal.  Text crosses the network once.
+Each class carries its smallest document id; the bucket marks the windows of every
+occurrence with a larger id, and a document's marks come together for the removal.
+Text crosses the network once.
 
 Cases: a null text is empty; texts shorter than ``length`` lose nothing; rows
 with a null id lose nothing and remove nothing from others; rows that repeat an
@@ -68,6 +72,9 @@ SHARD_BYTES = 1 << 22
 #: characters, and the segments of a seed, in bytes, from which they are split
 SAMPLE_BYTES, SAMPLE_SHARE, SAMPLE_PIECE = 1 << 22, 1 / 64, 1 << 14
 BUSY_BYTES = 1 << 21
+#: what a task gathers before it deals it to the buckets: contexts, and bytes of segments.
+#: Rows dealt are gatherings times buckets, so small gatherings cost more the larger the table is
+HELD_KEYS, HELD_BYTES = 1 << 19, 1 << 23
 #: groups of copies above this part of all copies are told by broadcast, so at most so many are
 HOT_SHARE = 1000
 _PLACE = np.uint64((1 << 20) - 1)
@@ -117,6 +124,12 @@ def _block_seeds(data: np.ndarray, at: int, length: int) -> np.ndarray:
 def segments(texts: list[bytes], length: int = LENGTH):
     """Runs of windows with one seed, for many texts: yields (buffer, place in
     it, row, place in the text, number of windows, seed hash)."""
+    for *found, _ in _placed_segments(texts, length):
+        yield tuple(found)
+
+
+def _placed_segments(texts: list[bytes], length: int):
+    """``segments`` with the place of each seed in the buffer."""
     group, size = [], 0
 
     def work():
@@ -141,7 +154,8 @@ def segments(texts: list[bytes], length: int = LENGTH):
         first, n, own = first[inside], n[inside], own[inside]
         rows = np.array([r for r, _, _ in group])[own]
         start = first - begins[own] + np.array([o for _, o, _ in group])[own]
-        return buffer, first, rows, start, n, best[first] >> np.uint64(20)
+        seed = first + (((best[first] & _PLACE).astype(np.int64) - first) & int(_PLACE))
+        return buffer, first, rows, start, n, best[first] >> np.uint64(20), seed
 
     for row, text in enumerate(texts):
         for off in range(0, max(len(text) - length + 1, 0), PART_BYTES):
@@ -158,6 +172,44 @@ def segments(texts: list[bytes], length: int = LENGTH):
         yield found
 
 
+def _hashes(buffer: bytes, at: np.ndarray, size: int, salt: int) -> np.ndarray:
+    """64-bit hashes of the strings of ``size`` bytes (8 at least) at the given places."""
+    words = np.ndarray((max(len(buffer) - 7, 0),), "<u8", buffer, 0, (1,))  # the eight bytes from every place on
+    out = np.full(len(at), salt, np.uint64)
+    for step in [*range(0, size - 8, 8), size - 8]:
+        out ^= out >> np.uint64(32)
+        out *= _MIX
+        out += words[at + step]
+    for _ in range(2):
+        out ^= out >> np.uint64(29)
+        out *= _MIX
+    return out ^ (out >> np.uint64(32))
+
+
+def contexts(buffer: bytes, at: np.ndarray, n: np.ndarray, seed: np.ndarray, length: int):
+    """Of segments: (has windows with the longer half before their seed, hash of that
+    half with the seed, the same two for the half after it, number of the former windows)."""
+    before = (length - SEED + 1) // 2
+    after = length - SEED - before + 1
+    lead = np.clip(seed - before - at + 1, 0, n)  # windows that begin ``before`` bytes or more before the seed
+    has_lead, has_rest = lead > 0, lead < n
+    keys = []
+    for has, place, size, salt in ((has_lead, seed - before, before + SEED, 1), (has_rest, seed, SEED + after, 2)):
+        key = np.zeros(len(at), np.uint64)
+        key[has] = _hashes(buffer, place[has], size, salt)
+        keys.append(key)
+    return has_lead, keys[0], has_rest, keys[1], lead
+
+
+def _tag(key: np.ndarray) -> np.ndarray:
+    """31 bits of a context's hash, others than those that choose its bucket."""
+    return (key >> np.uint64(33)).astype(np.uint32)
+
+
+def _key_bucket(key: np.ndarray, buckets: int) -> np.ndarray:
+    return ((key & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int64)
+
+
 def _blobs(kind: int, bucket: np.ndarray, keys: np.ndarray, docs: np.ndarray):
     """(bucket, kind, keys, docs) rows, keys and documents packed per bucket."""
     order = np.lexsort((docs, bucket))
@@ -169,40 +221,56 @@ def _blobs(kind: int, bucket: np.ndarray, keys: np.ndarray, docs: np.ndarray):
 
 def _text_bytes(rows: pa.StructArray) -> list[bytes]:
     """The texts (first field) of packed rows."""
-    return [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in rows.flatten()[0]]
+    return [t or b"" for t in rows.flatten()[0].cast(pa.binary()).to_pylist()]
 
 
 def shared_seeds(rows: DataFrame, buckets: int, length: int = LENGTH) -> DataFrame:
-    """(doc, keys): the seed hashes of a document that occur in another one
-    too; ``rows`` has doc, row and gone, and copies take no part."""
+    """(doc, keys): the tags of a document's seeds with their contexts that occur in
+    another one too; ``rows`` has doc, row and gone, and copies take no part.  A tag
+    may be equal by chance (in a bucket of 2 million, one in a thousand), which the
+    sorting finds out."""
+
+    def dealt(keys: list[np.ndarray], docs: list[np.ndarray]) -> pa.RecordBatch:
+        key, doc = np.concatenate(keys), np.concatenate(docs)
+        order = np.argsort(key)
+        key, doc = key[order], doc[order]
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        low = np.minimum.reduceat(doc, first)
+        several = low != np.maximum.reduceat(doc, first)
+        here = np.repeat(several, np.diff(np.append(first, len(key))))
+        probe = (_tag(key[first]) << np.uint32(1)) | several
+        out = [*_blobs(0, _key_bucket(key[first], buckets), probe, low),
+               *_blobs(1, doc[here] % buckets, _tag(key[here]), doc[here])]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(
+            zip(*out), (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["bucket", "kind", "keys", "docs"])
 
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, of, held = [], [], 0
         for batch in slices(batches):
             known = batch.column(0).is_valid().to_pylist()
             docs = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
             texts = [b"" if not ok or _is_copy(t, g) else t
                      for ok, t, g in zip(known, _text_bytes(batch.column(1)), batch.column(2).to_pylist())]
-            for _, _, row, _, _, key in segments(texts, length):
-                order = np.argsort(key)
-                key, doc = key[order], docs[row][order]
-                first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-                low = np.minimum.reduceat(doc, first)
-                several = low != np.maximum.reduceat(doc, first)
-                here = np.repeat(several, np.diff(np.append(first, len(key))))
-                probe = (key[first] << np.uint64(1)) | several
-                out = [*_blobs(0, (key[first] % np.uint64(buckets)).astype(np.int64), probe, low),
-                       *_blobs(1, doc[here] % buckets, key[here], doc[here])]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(
-                    zip(*out), (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["bucket", "kind", "keys", "docs"])
+            for buffer, at, row, _, n, _, seed in _placed_segments(texts, length):
+                has_lead, lead_key, has_rest, rest_key, _ = contexts(buffer, at, n, seed, length)
+                doc = docs[row]
+                keys += [lead_key[has_lead], rest_key[has_rest]]
+                of += [doc[has_lead], doc[has_rest]]
+                held += len(keys[-1]) + len(keys[-2])
+                if held >= HELD_KEYS:
+                    yield dealt(keys, of)
+                    keys, of, held = [], [], 0
+        if held:
+            yield dealt(keys, of)
 
     def settle(table: pa.Table) -> pa.Table:
         release()  # of the buckets before
         kinds = np.array(table["kind"].to_pylist())
-        keys = [np.frombuffer(x, np.uint64) for x in table["keys"].to_pylist()]
+        keys = [np.frombuffer(x, np.uint32) for x in table["keys"].to_pylist()]
         docs = [np.frombuffer(x, np.int64) for x in table["docs"].to_pylist()]
         some = lambda parts, k, t: np.concatenate([p for p, of in zip(parts, kinds) if of == k] or [np.array([], t)])
-        key, doc = some(keys, 0, np.uint64), some(docs, 0, np.int64)
-        several, key = (key & np.uint64(1)).astype(bool), key >> np.uint64(1)
+        key, doc = some(keys, 0, np.uint32), some(docs, 0, np.int64)
+        several, key = (key & np.uint32(1)).astype(bool), key >> np.uint32(1)
         order = np.argsort(key)
         key, doc, several = key[order], doc[order], several[order]
         if len(key):
@@ -211,14 +279,14 @@ def shared_seeds(rows: DataFrame, buckets: int, length: int = LENGTH) -> DataFra
             shared = np.repeat(in_two | np.logical_or.reduceat(several, first), np.diff(np.append(first, len(key))))
         else:
             shared = np.zeros(0, bool)
-        key = np.concatenate((key[shared], some(keys, 1, np.uint64)))
+        key = np.concatenate((key[shared], some(keys, 1, np.uint32)))
         doc = np.concatenate((doc[shared], some(docs, 1, np.int64)))
         order = np.argsort(doc)
         key, doc = key[order], doc[order]
         cuts = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else np.array([], int)
         ends = [*cuts[1:].tolist(), len(doc)]
         return pa.table({"doc": pa.array(doc[cuts], pa.int64()), "keys": pa.array(
-            [np.unique(key[a:b]).tobytes() for a, b in zip(cuts.tolist(), ends)], pa.binary())})
+            [key[a:b].tobytes() for a, b in zip(cuts.tolist(), ends)], pa.binary())})
 
     # (no filter here: the rows come from the same shuffle as in the later steps)
     reports = rows.mapInArrow(report, "bucket long, kind int, keys binary, docs binary")
@@ -420,18 +488,23 @@ def _unpacked(data: bytes, n: int) -> list[bytes]:
 
 
 def _window_marks(table: pa.Table, length: int) -> pa.Table:
-    """(s1, s2, low, mask) for the segments of one bucket: per smallest id, the
-    windows whose string is in a document with that id and in another."""
+    """(doc, place, mask) for the occurrences of one bucket's segments: the windows
+    whose string is in a document with a smaller id."""
     release()  # of the buckets before
     texts = [x for data, n in zip(table["segments"].to_pylist(), table["n"].to_pylist()) for x in _unpacked(data, n)]
     s1, s2 = _names(texts)
-    low, high = (np.frombuffer(b"".join(table[c].to_pylist()), np.int64) for c in ("low", "high"))
+    count = np.frombuffer(b"".join(table["counts"].to_pylist()), np.int32)
+    docs, places = (np.frombuffer(b"".join(table[c].to_pylist()), np.int64) for c in ("docs", "places"))
     order = np.lexsort((s2, s1))
-    s1, s2, low, high = s1[order], s2[order], low[order], high[order]
-    first = np.flatnonzero(np.concatenate(([True], (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1]))))
-    low, high = np.minimum.reduceat(low, first), np.maximum.reduceat(high, first)
-    s1, s2 = s1[first], s2[first]
-    texts = [texts[i] for i in order[first].tolist()]
+    new = np.concatenate(([True], (np.diff(s1[order]) != 0) | (np.diff(s2[order]) != 0)))
+    texts = [texts[i] for i in order[new].tolist()]
+    kind = np.empty(len(order), np.int64)  # equal segments of several tasks are one
+    kind[order] = np.cumsum(new) - 1
+    kind = np.repeat(kind, count)
+    order = np.argsort(kind, kind="stable")
+    kind, docs, places = kind[order], docs[order], places[order]
+    first = np.flatnonzero(np.concatenate(([True], kind[1:] != kind[:-1])))
+    low, high = np.minimum.reduceat(docs, first), np.maximum.reduceat(docs, first)
     shards = []
     cuts = [0]
     size = 0
@@ -445,22 +518,32 @@ def _window_marks(table: pa.Table, length: int) -> pa.Table:
     for a, b in zip(cuts[:-1], cuts[1:]):
         shards.append(Shard(texts[a:b], low[a:b], high[a:b], length))
     merged(shards)
-    out = [[], [], [], []]
+    owners, smallest, masks = [], [], []  # per segment and smallest id, the windows
     for at, shard in zip(cuts, shards):
         lows, highs = shard.low[shard.kind], shard.high[shard.kind]
         hit = lows < highs
         owner, place, lows = shard.owner[hit] + at, shard.place[hit], lows[hit]
         sort = np.lexsort((lows, owner))
         owner, place, lows = owner[sort], place[sort], lows[sort]
-        first = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (lows[1:] != lows[:-1])))) \
-            if len(owner) else np.array([], int)
-        if len(first):
-            mask = np.bitwise_or.reduceat(np.int64(1) << place.astype(np.int64), first)
-            for x, y in zip(out, (s1[owner[first]], s2[owner[first]], lows[first], mask)):
-                x.append(y)
-    kinds = (np.int64, np.int32, np.int64, np.int64)
-    return pa.table({n: pa.array(np.concatenate(x) if x else np.array([], k)) for n, x, k in zip(
-        ("s1", "s2", "low", "mask"), out, kinds)})
+        if len(owner):
+            begin = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (lows[1:] != lows[:-1]))))
+            owners.append(owner[begin])
+            smallest.append(lows[begin])
+            masks.append(np.bitwise_or.reduceat(np.int64(1) << place.astype(np.int64), begin))
+    mark = np.zeros(len(docs), np.int64)
+    if owners:
+        owner, lows, mask = map(np.concatenate, (owners, smallest, masks))
+        begin = np.searchsorted(owner, np.arange(len(texts) + 1))
+        at, end = begin[:-1][kind], begin[1:][kind]
+        live = np.flatnonzero(at < end)
+        at, end = at[live], end[live]
+        while len(live):
+            mark[live] |= np.where(docs[live] > lows[at], mask[at], 0)
+            at += 1
+            more = at < end
+            live, at, end = live[more], at[more], end[more]
+    hit = mark != 0
+    return pa.table({"doc": pa.array(docs[hit]), "place": pa.array(places[hit]), "mask": pa.array(mark[hit])})
 
 
 def _text_key(data: bytes) -> int:
@@ -507,26 +590,31 @@ def _among(keys: np.ndarray, pool: np.ndarray) -> np.ndarray:
 
 
 def _shared_segments(batch: pa.RecordBatch, length: int, busy: np.ndarray, of_busy: bool = False):
-    """(documents, text keys, what ``segments`` yields) of a batch's shared
-    seeds: of the busy ones, or of the others."""
+    """(documents, text keys, what ``segments`` yields) of a batch's windows with a
+    shared context: of the busy seeds, or of the others."""
     docs, texts, wanted = [], [], []
     for doc, data, gone, keys in zip(batch.column(0), _text_bytes(batch.column(1)), batch.column(2), batch.column(3)):
-        if keys.is_valid and doc.is_valid:
-            own = np.frombuffer(b"".join(keys.as_py()), np.uint64)
-            own = own[_among(own, busy) == of_busy]
-            if len(own) and not _is_copy(data, gone.as_py()):
-                docs.append(doc.as_py())
-                texts.append(data)
-                wanted.append(own)
+        if keys.is_valid and doc.is_valid and not _is_copy(data, gone.as_py()):
+            docs.append(doc.as_py())
+            texts.append(data)
+            wanted += keys.as_py()
     if not docs:
         return
     text_keys = np.array([_text_key(t) for t in texts], np.int64)
     docs = np.array(docs, np.int64)
-    pool = np.unique(np.concatenate(wanted))
-    for buffer, at, row, start, n, key in segments(texts, length):
-        # seeds shared by any document of the batch: the sorting decides exactly
-        here = _among(key, pool)
-        yield docs[row[here]], text_keys[row[here]], buffer, at[here], start[here], n[here], key[here]
+    pool = np.unique(np.frombuffer(b"".join(wanted), np.uint32))
+    for buffer, at, row, start, n, key, seed in _placed_segments(texts, length):
+        own = _among(key, busy) == of_busy
+        at, row, start, n, key, seed = at[own], row[own], start[own], n[own], key[own], seed[own]
+        # contexts shared by any document of the batch: the sorting decides exactly
+        has_lead, lead_key, has_rest, rest_key, lead = contexts(buffer, at, n, seed, length)
+        has_lead &= _among(_tag(lead_key), pool)
+        has_rest &= _among(_tag(rest_key), pool)
+        skip = np.where(has_lead, 0, lead)
+        n = np.where(has_rest, n, lead) - skip
+        here = has_lead | has_rest
+        skip = skip[here]
+        yield docs[row[here]], text_keys[row[here]], buffer, at[here] + skip, start[here] + skip, n[here], key[here]
 
 
 def _busy_windows(batch: pa.RecordBatch, length: int, busy: np.ndarray):
@@ -576,30 +664,40 @@ def _names(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _bucketed(wide: DataFrame, segment_buckets: int, busy: np.ndarray, length: int) -> DataFrame:
-    """(bucket, n, segments, low, high): the segments of seeds that are not
-    busy, equal ones merged per task."""
+    """(bucket, n, segments, counts, docs, places): the segments of seeds that are not
+    busy, equal ones merged per task, with the places of each."""
+
+    def dealt(held: list[tuple]) -> pa.RecordBatch:
+        s1, s2, bucket, doc, place = (np.concatenate([x[i] for x in held]) for i in range(5))
+        parts = [p for x in held for p in x[5]]
+        order = np.lexsort((s2, s1, bucket))
+        s1, s2, bucket, doc, place = s1[order], s2[order], bucket[order], doc[order], place[order]
+        first = np.flatnonzero(np.concatenate(([True], (np.diff(s1) != 0) | (np.diff(s2) != 0) | (np.diff(bucket) != 0))))
+        head, bucket, ends = order[first].tolist(), bucket[first], np.append(first, len(order))
+        count = np.diff(ends).astype(np.int32)
+        cuts = np.flatnonzero(np.concatenate(([True], np.diff(bucket) != 0)))
+        out = [(int(bucket[a]), b - a, _packed([parts[i] for i in head[a:b]]), count[a:b].tobytes(),
+                doc[ends[a]:ends[b]].tobytes(), place[ends[a]:ends[b]].tobytes())
+               for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(head)])]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(
+            zip(*out), (pa.int64(), pa.int64(), *[pa.binary()] * 4))], ["bucket", "n", "segments", "counts", "docs", "places"])
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in slices(batches):
-            for doc, _, buffer, at, _, n, key in _shared_segments(batch, length, busy):
-                parts = _cut_out(buffer, at, n, length)
-                s1, s2 = _names(parts)
-                bucket = (key % np.uint64(segment_buckets)).astype(np.int64)
-                order = np.lexsort((s2, s1, bucket))
-                s1, s2, bucket, doc = s1[order], s2[order], bucket[order], doc[order]
-                if not len(order):
+            for doc, text_key, buffer, at, start, n, key in _shared_segments(batch, length, busy):
+                if not len(at):
                     continue
-                first = np.flatnonzero(np.concatenate(([True], (np.diff(s1) != 0) | (np.diff(s2) != 0) | (np.diff(bucket) != 0))))
-                low, high = np.minimum.reduceat(doc, first), np.maximum.reduceat(doc, first)
-                head, bucket = order[first].tolist(), bucket[first]
-                cuts = np.flatnonzero(np.concatenate(([True], np.diff(bucket) != 0)))
-                out = [(int(bucket[a]), b - a, _packed([parts[i] for i in head[a:b]]), low[a:b].tobytes(), high[a:b].tobytes())
-                       for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(head)])]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(
-                    zip(*out), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))],
-                    ["bucket", "n", "segments", "low", "high"])
+                parts = _cut_out(buffer, at, n, length)
+                held.append((*_names(parts), (key % np.uint64(segment_buckets)).astype(np.int64), doc, text_key | start, parts))
+                size += int((n + length - 1).sum())
+                if size >= HELD_BYTES:
+                    yield dealt(held)
+                    held, size = [], 0
+        if held:
+            yield dealt(held)
 
-    return wide.mapInArrow(distinct, "bucket long, n long, segments binary, low binary, high binary")
+    return wide.mapInArrow(distinct, "bucket long, n long, segments binary, counts binary, docs binary, places binary")
 
 
 def marks(docs: DataFrame, again: DataFrame, total_bytes: int, length: int = LENGTH) -> DataFrame:
@@ -614,36 +712,25 @@ def marks(docs: DataFrame, again: DataFrame, total_bytes: int, length: int = LEN
     wide = _with_seeds(rows, shared_seeds(rows, buckets, length))
     busy = busy_seeds(docs, total_bytes, length)
 
-    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            for doc, text_key, buffer, at, start, n, _ in _shared_segments(batch, length, busy):
-                s1, s2 = _names(_cut_out(buffer, at, n, length))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (s1, s2, doc, text_key | start)],
-                                                 ["s1", "s2", "doc", "place"])
-
-    found = (_bucketed(wide, segment_buckets, busy, length)
-             .groupBy("bucket").applyInArrow(lambda t: _window_marks(t, length), "s1 long, s2 int, low long, mask long"))
-    places = wide.mapInArrow(occurrences, "s1 long, s2 int, doc long, place long")
-    hits = places.join(found, ["s1", "s2"]).where("doc > low").select("doc", "place", "mask")
+    hits = (_bucketed(wide, segment_buckets, busy, length)
+            .groupBy("bucket").applyInArrow(lambda t: _window_marks(t, length), "doc long, place long, mask long"))
     if len(busy):
         hits = hits.unionByName(_busy_hits(wide, busy, length))
     return hits.groupBy("doc").agg(F.collect_list(F.struct("place", "mask")).alias("marks"))
 
 
-def spans_of(data: bytes, marked: list[dict], length: int) -> list[tuple[int, int]]:
-    """Maximal runs (start, length) covered by the marked windows of a text."""
-    if not marked:
-        return []
-    at, mask = (np.array([m[c] for m in marked], np.int64) for c in ("place", "mask"))
-    own = at & ~np.int64(0xFFFFFFFF) == _text_key(data)
-    at, mask = at[own] & 0xFFFFFFFF, mask[own]
+def spans_of(data: bytes, at: np.ndarray, mask: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal runs (starts, lengths) covered by the marked windows of a text."""
+    if len(at):
+        own = at & ~np.int64(0xFFFFFFFF) == _text_key(data)
+        at, mask = at[own] & 0xFFFFFFFF, mask[own]
     if not len(at):
-        return []
+        return at, at
     hit, bit = np.nonzero((mask[:, None] >> np.arange(length - SEED + 1)) & 1)
     starts = np.unique(at[hit] + bit)
     first = np.flatnonzero(np.concatenate(([True], np.diff(starts) > length)))
     last = np.append(first[1:], len(starts)) - 1
-    return list(zip(starts[first].tolist(), (starts[last] + length - starts[first]).tolist()))
+    return starts[first], starts[last] + length - starts[first]
 
 
 def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
@@ -670,19 +757,26 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             spans, sizes, kept = [], [], []
-            for data, g, m in zip(_text_bytes(batch.column(0)), batch.column(1), batch.column(2)):
-                cuts = [(0, len(data))] if _is_copy(data, g.as_py()) else spans_of(data, m.as_py() or [], length)
+            found = batch.column(2)
+            ends = found.offsets.to_numpy()
+            place, mask = (c.to_numpy() for c in found.values.flatten())
+            for data, g, a, b in zip(_text_bytes(batch.column(0)), batch.column(1).to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):
+                if _is_copy(data, g):
+                    cuts = np.zeros(1, np.int64), np.array([len(data)])
+                else:
+                    cuts = spans_of(data, place[a:b], mask[a:b], length)
                 at, left = 0, []
-                for start, size in cuts:
+                for start, size in zip(*(c.tolist() for c in cuts)):
                     left.append(data[at:start])
                     at = start + size
-                spans.append([{"start": s, "length": n} for s, n in cuts])
+                spans.append(cuts)
                 sizes.append(len(data))
-                kept.append(b"".join([*left, data[at:]]) if cuts else data)
+                kept.append(b"".join([*left, data[at:]]) if at else data)
+            count = np.array([len(x) for x, _ in spans], np.int64)
+            runs = pa.StructArray.from_arrays([pa.array(np.concatenate(x)) for x in zip(*spans)], ["start", "length"])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))),
-                 pa.array(sizes, pa.int64()), pa.array([a - len(k) for a, k in zip(sizes, kept)], pa.int64()),
-                 pa.array([len(x) for x in spans], pa.int64()),
+                [batch.column(0), pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)), pa.int32()), runs),
+                 pa.array(sizes, pa.int64()), pa.array([a - len(k) for a, k in zip(sizes, kept)], pa.int64()), pa.array(count),
                  pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())],
                 ["row", *new])
 

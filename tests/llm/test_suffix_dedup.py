@@ -158,3 +158,57 @@ def test_large_groups_of_copies(spark, monkeypatch, share):
     rows = [(i, a) for i in range(60)] + [(100 + i, b) for i in range(3)] + [(200, c), (100, c), (None, a), (7, b)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert digests(df) == brute([(i, t.encode()) for i, t in rows])
+
+
+def dealt(spark, rows, buckets=16):
+    """What the buckets of segments get: (bucket, n) rows."""
+    docs = spark.createDataFrame(rows, "doc long, text string").repartition(2).select(
+        "doc", F.struct(F.col("text").alias("t")).alias("row"), F.lit(None).cast("array<string>").alias("gone"))
+    wide = D._with_seeds(docs, D.shared_seeds(docs, buckets)).repartition(2).localCheckpoint()
+    return D._bucketed(wide, buckets, np.array([], np.uint64), D.LENGTH).select("bucket", "n").collect()
+
+
+def test_seeds_equal_by_chance_are_not_sorted(spark):
+    """Few words, so most strings of 16 bytes come again, but no passage of 50 bytes; one pair of documents has one."""
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abcdefgh"), 7)) for _ in range(30)]
+    rows = [(i, " ".join(rng.choice(words, 300))) for i in range(150)]
+    passage = "a passage of some sixty bytes that two of the documents share, "
+    rows = [(i, passage + t if i in (3, 90) else t) for i, t in rows]
+    texts = [t.encode() for _, t in rows]
+    seen = {}
+    for _, _, row, _, _, key in D.segments(texts):
+        for r, k in zip(row.tolist(), key.tolist()):
+            seen.setdefault(k, set()).add(r)
+    total = sum(len(r) for r in seen.values())
+    assert sum(len(r) for r in seen.values() if len(r) > 1) > 0.7 * total
+    assert 0 < sum(r["n"] for r in dealt(spark, rows)) < 0.05 * total
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert digests(df) == brute([(i, t.encode()) for i, t in rows])
+
+
+def test_rows_dealt_do_not_grow_with_the_parts_of_a_task(spark, monkeypatch):
+    monkeypatch.setattr(D, "PART_BYTES", 500)
+    rng = np.random.default_rng(6)
+    passages = ["".join(rng.choice(list("abcdefghijkl "), 90)) for _ in range(60)]
+    rows = [(i, "".join(rng.choice(passages, 6))) for i in range(120)]
+    found = dealt(spark, rows, 4)
+    assert len(found) <= 2 * 4 and {r["bucket"] for r in found} == {0, 1, 2, 3}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert digests(df) == brute([(i, t.encode()) for i, t in rows])
+
+
+def test_contexts_decide_which_windows_of_a_segment_stay():
+    """Every window is in the half that its seed's place says, and equal windows have equal contexts."""
+    rng = np.random.default_rng(7)
+    base = bytes(rng.integers(97, 123, 400).astype(np.uint8))
+    texts = [base, b"x" * 31 + base[100:290] + b"y" * 40]
+    known = {}
+    for buffer, at, row, start, n, _, seed in D._placed_segments(texts, 50):
+        has_lead, lead_key, has_rest, rest_key, lead = D.contexts(buffer, at, n, seed, 50)
+        assert ((lead > 0) == has_lead).all() and ((lead < n) == has_rest).all()
+        for i in range(len(at)):
+            for k in range(n[i]):
+                key = int(lead_key[i] if k < lead[i] else rest_key[i])
+                assert known.setdefault(buffer[at[i] + k:at[i] + k + 50], key) == key
+    assert len(known) < sum(len(t) - 49 for t in texts)
