@@ -2,8 +2,16 @@
 
 Numbers are cut at their quantiles into at most 32 bins.  A tree's bootstrap is a
 Poisson(1) weight from a hash of (row key, tree), so any task can tell at any time how
-often a row is in a tree's sample, and 0 means out of bag.  Trees grow level by
-level: in one pass a task counts, for every open node of a batch of trees, weight and
+often a row is in a tree's sample, and 0 means out of bag.
+
+Rows with equal bins differ in their weights and labels only.  While the table has at
+most ``MOST_CELLS`` different rows of bins (cells; 32 bins and the levels of categories
+bound them, whatever the number of rows), a task adds up a tree's weights per cell and
+label, once for all levels; the sums of all parts of the rows meet in one task, which
+grows the whole tree on them and votes for every cell.  The out-of-bag pass looks up the
+votes of a row's cell.
+
+With more cells, trees grow level by level: in one pass a task counts, for every open node of a batch of trees, weight and
 positive weight per bin of the node's ``mtry`` random features, one tree after the
 other.  Counts of a tree meet in one task, which adds them up as they stream in and
 picks the tree's splits; only the splits reach the driver.  A batch is as many trees
@@ -40,17 +48,30 @@ ROWS_A_TASK = 1 << 20
 #: rows of a kept block
 BLOCK_ROWS = 1 << 12
 ROWS_AT_ONCE = 1 << 15
+#: different rows of bins up to which trees grow on them, not on rows
+MOST_CELLS = 1 << 20
+#: rows whose weights a task adds up per cell, on average, and bytes of such sums dealt at once
+CELL_ROWS_A_TASK = 1 << 22
+SUMS_AT_ONCE = 1 << 31
 # Poisson(1) draws for 16 random bits
 _POISSON = np.searchsorted(np.cumsum([math.exp(-1) / math.factorial(k) for k in range(10)]),
                            (np.arange(1 << 16) + 0.5) / (1 << 16), side="right").astype(np.int8)
 
 
+def _mixed(key: np.ndarray, tree: int, seed: int, x: np.ndarray, spare: np.ndarray) -> np.ndarray:
+    """Hash of (row key, tree), in ``x``; its first 16 bits draw the weight."""
+    np.add(key, np.uint64(0x9E3779B97F4A7C15 * (1 + tree + (seed << 32)) % (1 << 64)), out=x)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        np.right_shift(x, np.uint64(shift), out=spare)
+        np.bitwise_xor(x, spare, out=x)
+        np.multiply(x, np.uint64(factor), out=x)
+    return x
+
+
 def bootstrap_weights(key: np.ndarray, tree: int, seed: int) -> np.ndarray:
     """Poisson(1) weight of each row in a tree's sample, from a hash of its key."""
-    with np.errstate(over="ignore"):
-        x = key.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15) * np.uint64(1 + tree + (seed << 32))
-        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    key = key.astype(np.int64).view(np.uint64)
+    x = _mixed(key, tree, seed, np.empty_like(key), np.empty_like(key))
     return _POISSON.take((x >> np.uint64(48)).astype(np.int64))
 
 
@@ -110,16 +131,22 @@ class Forest:
     def probability(self, df: DataFrame, out: str = "prob") -> DataFrame:
         """Adds the share of trees that vote for 1."""
         ship_package(df.sparkSession)
-        shared = df.sparkSession.sparkContext.broadcast(self)
+        shared, edges, width = df.sparkSession.sparkContext.broadcast(self), self.edges, len(self.features)
+
+        @F.pandas_udf("binary")
+        def bins(x: pd.Series) -> pd.Series:
+            rows = np.stack(x.to_numpy()).astype(float) if len(x) else np.zeros((0, width))
+            return pd.Series([r.tobytes() for r in binned(edges, rows)], dtype=object)
 
         @F.pandas_udf("double")
         def score(x: pd.Series) -> pd.Series:
-            forest = shared.value
-            rows = np.stack(x.to_numpy()).astype(float) if len(x) else np.zeros((0, len(forest.features)))
-            ones, total = forest.votes(forest.binned(rows))
+            ones, total = shared.value.votes(np.frombuffer(b"".join(x), np.uint8).reshape(len(x), width))
             return pd.Series(ones / np.maximum(total, 1))
 
-        return spread(df).withColumn(out, score(F.array(*[F.col(f"`{f}`").cast("double") for f in self.features])))
+        # rows with equal bins have equal votes: each row of bins is judged once
+        rows = df.drop(out).withColumn("_bins", bins(F.array(*[F.col(f"`{f}`").cast("double") for f in self.features])))
+        judged = spread(rows.select("_bins").distinct()).withColumn(out, score("_bins"))
+        return rows.join(judged, "_bins").drop("_bins")
 
     def importances(self, spark) -> DataFrame:
         """(feature, mean_decrease_gini, importance): per tree, and as a share of all."""
@@ -142,7 +169,7 @@ class ForestRows:
         self.n = rows.count()
         parts = max(1, math.ceil(self.n / ROWS_A_TASK))
         self.groups = max(1, math.ceil(default_parallelism(df.sparkSession) / parts))
-        blocks = rows.repartition(parts).mapInArrow(_packing(edges, self.width), "part int, at int, n int, k binary, y binary, b binary")
+        blocks = rows.repartition(parts).mapInArrow(_packing(edges, self.width), _BLOCKS)
         own = F.explode(F.array(*[F.lit(g) for g in range(self.groups)])).alias("group")
         dealt = blocks.select("*", own).repartitionById(parts * self.groups, F.col("part") * self.groups + F.col("group"))
         self.rows = dealt.persist(StorageLevel.MEMORY_AND_DISK)
@@ -178,6 +205,241 @@ class ForestRows:
         return sums.first()["v"].toArray()
 
 
+class CellRows:
+    """Rows as (key hash, cell and label), kept for the passes if the different rows of bins
+    are at most ``MOST_CELLS`` (``fit`` says so).  Rows with a NULL or NaN are left out.  Every
+    part of the rows is there ``groups`` times, for as many groups of trees."""
+
+    def __init__(self, df: DataFrame, label: str, features: Sequence[str], key: str, edges: Sequence[np.ndarray]):
+        spark = df.sparkSession
+        ship_package(spark)
+        width = self.width = len(features)
+        x = F.array(*[F.col(f"`{f}`").cast("double") for f in features])
+        rows = df.select(F.xxhash64(key).alias("k"), F.col(label).cast("double").alias("y"), x.alias("x"))
+        rows = rows.where(F.col("y").isNotNull() & ~F.exists("x", lambda v: v.isNull() | F.isnan(v)))
+        self.kept = [spread(rows).mapInArrow(_packing(edges, width), _BLOCKS).persist(StorageLevel.MEMORY_AND_DISK)]
+
+        def different(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, count = [], 0
+            for batch in batches:
+                for b in batch.column("b"):
+                    held.append(_cells_of(b.as_buffer(), width))
+                    count += len(held[-1])
+                    if count > MOST_CELLS:
+                        held = [np.unique(np.concatenate(held))]
+                        count = len(held[0])
+                        if count > MOST_CELLS // 2:
+                            yield _cell_batch(held[0])
+                            held, count = [], 0
+            if held:
+                yield _cell_batch(np.unique(np.concatenate(held)))
+
+        cells = self.kept[0].mapInArrow(different, "cell binary").distinct()
+        found = cells.limit(MOST_CELLS + 1).toArrow().column(0).combine_chunks()
+        self.fit = len(found) <= MOST_CELLS
+        if not self.fit:
+            return
+        cells = np.sort(_cells_of(b"".join(found.to_pylist()), width))
+        self.cells, self.shared = len(cells), spark.sparkContext.broadcast(cells)
+        self.n = self.kept[0].agg(F.sum("n").alias("n")).first()["n"] or 0
+        self.parts = max(1, math.ceil(self.n / CELL_ROWS_A_TASK))
+        self.groups = max(1, math.ceil(default_parallelism(spark) / self.parts))
+        own = F.explode(F.array(*[F.lit(g) for g in range(self.groups)])).alias("group")
+        shared, parts = self.shared, self.parts
+
+        def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at = TaskContext.get().partitionId()  # blocks are dealt to parts in turn
+            for batch in batches:
+                for n, k, y, b in zip(*(batch.column(c) for c in ("n", "k", "y", "b"))):
+                    code = 2 * np.searchsorted(shared.value, _cells_of(b.as_buffer(), width))
+                    code += np.frombuffer(y.as_buffer()).astype(np.int64)
+                    cells = [k.as_py(), code.astype(np.int32).tobytes()]
+                    yield pa.RecordBatch.from_arrays([*[pa.array([v], pa.int32()) for v in (at % parts, at // parts)],
+                                                      *[pa.array([c], pa.binary()) for c in cells]], ["part", "at", "k", "c"])
+                    at += 1
+
+        rows = self.kept[0].mapInArrow(coded, "part int, at int, k binary, c binary").select("*", own)
+        dealt = rows.repartitionById(self.parts * self.groups, F.col("part") * self.groups + F.col("group"))
+        self.kept.append(dealt.persist(StorageLevel.MEMORY_AND_DISK))
+
+    def __enter__(self) -> CellRows:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for x in self.kept:
+            x.unpersist()
+
+    def grow(self, forest: Forest, mtry: int, least_rows: int) -> None:
+        """Grows all trees, and keeps what they vote for each cell."""
+        trees = len(forest.feature)
+        self.votes = np.zeros((trees, -(-self.cells // 8)), np.uint8)
+        if not self.n:
+            return
+        seed, depth, size, groups, width, shared = forest.seed, forest.depth, 2 * self.cells, self.groups, self.width, self.shared
+
+        at_once = trees if self.parts == 1 else max(1, SUMS_AT_ONCE // (self.parts * size))
+        for begin in range(0, trees, at_once):
+            batch = range(begin, min(begin + at_once, trees))
+
+            def count(batches: Iterator[pa.RecordBatch], batch=batch) -> Iterator[pa.RecordBatch]:
+                rows = _sorted_rows(_cell_blocks(batches))
+                if rows is None:
+                    return
+                group, key, code = rows
+                for t in batch[group::groups]:
+                    total = np.zeros(size, np.int32)
+                    for codes, sums in _weights_of(key, code, t, seed):
+                        total[codes] = sums
+                    small = next(k for k in (np.uint8, np.uint16, np.int32) if total.max() <= np.iinfo(k).max)
+                    yield pa.RecordBatch.from_arrays([pa.array([t], pa.int32()), pa.array(
+                        [total.astype(small).tobytes()], pa.binary())], ["tree", "c"])
+
+            def grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                cells = shared.value.view(np.uint8).reshape(-1, width)
+                for t, total in _added(batches, size):
+                    yield _grown_tree(t, cells, total, seed, mtry, least_rows, depth)
+
+            sums = self.kept[1].mapInArrow(count, "tree int, c binary")
+            if self.parts > 1:
+                sums = sums.repartition("tree").sortWithinPartitions("tree")
+            found = sums.mapInArrow(grown, "tree int, feature binary, cut binary, positive binary, decrease binary, votes binary").toArrow()
+            for t, *cells in zip(*(found.column(c).to_pylist() for c in found.column_names)):
+                for row, cell in zip((forest.feature, forest.cut, forest.positive, forest.decrease, self.votes), cells):
+                    row[t] = np.frombuffer(cell, row.dtype)
+
+    def out_of_bag(self, seed: int) -> np.ndarray:
+        """Rows by (label, vote of the trees that left the row out), each row counted once."""
+        if not self.n:
+            return np.zeros(4, np.int64)
+        groups = self.groups
+        votes = self.kept[1].sparkSession.sparkContext.broadcast(self.votes)
+        most = np.uint64(int(np.searchsorted(_POISSON, 1)) << 48)  # hashes below it draw weight 0
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = _sorted_rows((g, at, x) for g, at, x in _cell_blocks(batches) if at % groups == g)
+            total = np.zeros(4, np.int64)
+            for a in range(0, len(rows[1]) if rows else 0, ROWS_AT_ONCE):
+                key, code = (c[a:a + ROWS_AT_ONCE] for c in rows[1:])
+                cell = (code >> 1).astype(np.int64)
+                low, high = cell[0] // 8, cell[-1] // 8 + 1
+                cell -= 8 * low
+                x, spare = np.empty_like(key), np.empty_like(key)
+                ones, seen = np.zeros(len(key), np.int32), np.zeros(len(key), np.int32)
+                for t, bits in enumerate(votes.value):
+                    out = _mixed(key, t, seed, x, spare) < most
+                    seen += out
+                    out &= np.unpackbits(bits[low:high]).view(bool).take(cell)
+                    ones += out
+                judged = seen > 0
+                total += np.bincount(2 * (code[judged] & 1) + (2 * ones[judged] > seen[judged]), minlength=4)
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()) for i in total], list("abcd"))
+
+        sums = self.kept[1].mapInArrow(work, "a long, b long, c long, d long").agg(*[F.sum(c).alias(c) for c in "abcd"]).first()
+        votes.unpersist()
+        return np.array(sums, np.int64)
+
+
+def _cells_of(data, width: int) -> np.ndarray:
+    """Rows of ``width`` bins as one value each, which compares as the bins do."""
+    return np.frombuffer(data, f"S{width}")
+
+
+def _cell_batch(cells: np.ndarray) -> pa.RecordBatch:
+    width, data = cells.dtype.itemsize, cells.tobytes()
+    return pa.RecordBatch.from_arrays([pa.array([data[i:i + width] for i in range(0, len(data), width)], pa.binary())], ["cell"])
+
+
+def _cell_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, tuple[np.ndarray, ...]]]:
+    """(group, place in the part, (key, cell and label)) of the kept blocks."""
+    for batch in batches:
+        for group, at, k, c in zip(*(batch.column(c) for c in ("group", "at", "k", "c"))):
+            yield group.as_py(), at.as_py(), (np.frombuffer(k.as_buffer(), np.uint64), np.frombuffer(c.as_buffer(), np.int32))
+
+
+def _sorted_rows(blocks) -> tuple[int, np.ndarray, np.ndarray] | None:
+    """(group, keys, codes) of all blocks in the order of the codes."""
+    held = [(g, x) for g, _, x in blocks]
+    if not held:
+        return None
+    key, code = _joined([x for _, x in held])
+    order = np.argsort(code)
+    return held[0][0], key[order], code[order]
+
+
+def _weights_of(key: np.ndarray, code: np.ndarray, tree: int, seed: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(codes, sums of the weights in the tree's sample) of sorted rows, in parts that stay in a
+    processor's cache; no code is in two of them."""
+    first = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+    ends = np.append(first, len(code))
+    x, spare = np.empty(ROWS_AT_ONCE, np.uint64), np.empty(ROWS_AT_ONCE, np.uint64)
+    a = 0
+    while a < len(first):
+        b = max(int(np.searchsorted(ends, ends[a] + ROWS_AT_ONCE, side="right")) - 1, a + 1)
+        n = ends[b] - ends[a]
+        if n > len(x):
+            x, spare = np.empty(n, np.uint64), np.empty(n, np.uint64)
+        drawn = _mixed(key[ends[a]:ends[b]], tree, seed, x[:n], spare[:n])
+        drawn >>= np.uint64(48)
+        weight = _POISSON.take(drawn.view(np.int64), mode="clip")
+        yield code[first[a:b]], np.add.reduceat(weight, first[a:b] - ends[a], dtype=np.int32)
+        a = b
+
+
+def _added(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(tree, sums) of the parts of each tree, which come together."""
+    tree, total = None, None
+    for batch in batches:
+        for t, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+            part = np.frombuffer(data.as_buffer(), {1: np.uint8, 2: np.uint16, 4: np.int32}[len(data.as_buffer()) // size])
+            if t == tree:
+                total += part
+            else:
+                if tree is not None:
+                    yield tree, total
+                tree, total = t, part.astype(np.int64)
+    if tree is not None:
+        yield tree, total
+
+
+def _grown_tree(tree: int, cells: np.ndarray, total: np.ndarray, seed: int, mtry: int, least_rows: int, depth: int) -> pa.RecordBatch:
+    """A tree grown on the weights per (cell, label), with its vote for every cell."""
+    width, flat, heap = cells.shape[1], cells.ravel(), 2 ** (depth + 1) - 1
+    feature, cut = np.full(heap, -1, np.int16), np.zeros(heap, np.uint8)
+    positive, decrease = np.zeros(heap), np.zeros(width)
+    one = total[1::2].astype(float)
+    weight = total[::2] + one
+    own = np.flatnonzero(weight)
+    weight, one, at, nodes = weight[own], one[own], np.zeros(len(own), np.int64), np.zeros(1, np.int64)
+    for level in range(depth):
+        allowed = node_features(seed, tree, nodes, width, mtry)
+        slots = np.full(2 ** (level + 1), -1, np.int64)
+        slots[nodes] = np.arange(len(nodes))
+        slot = slots.take(at)
+        on = np.flatnonzero(slot >= 0)
+        own, weight, one, at, slot = (v.take(on) for v in (own, weight, one, at, slot))
+        counts, first = np.zeros((2, len(nodes) * mtry * BINS)), own * width
+        for j, f in enumerate(np.ascontiguousarray(allowed.T)):
+            code = slot * (mtry * BINS) + j * BINS
+            code += flat.take(first + f.take(slot))
+            counts[0] += np.bincount(code, weight, counts.shape[1])
+            counts[1] += np.bincount(code, one, counts.shape[1])
+        nodes = _split(feature, cut, positive, decrease, nodes, *_chosen(tree, nodes, counts, allowed, least_rows), least_rows)
+        if not len(nodes):
+            break
+        on = np.flatnonzero(feature.take(at) >= 0)
+        own, weight, one, at = (v.take(on) for v in (own, weight, one, at))
+        at = 2 * at + 1 + (flat.take(own * width + feature.take(at)) > cut.take(at))
+    plain = Forest([], [], feature[None], cut[None], None, None, seed, depth)
+    rows, leaf = plain.leaves(flat, width, np.arange(len(cells)), 0)
+    votes = np.zeros(len(cells), bool)
+    votes[rows] = positive.take(leaf) > 0.5
+    return pa.RecordBatch.from_arrays([pa.array([tree], pa.int32()), *[pa.array([v.tobytes()], pa.binary()) for v in (
+        feature, cut, positive, decrease, np.packbits(votes))]], ["tree", "feature", "cut", "positive", "decrease", "votes"])
+
+
+_BLOCKS = "part int, at int, n int, k binary, y binary, b binary"
+
+
 def _packing(edges: Sequence[np.ndarray], width: int):
     """Rows (k, y, x) to blocks of their bytes, the numbers as bins."""
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,6 +511,11 @@ def fit_forest(df: DataFrame, label: str, features: Sequence[str], key: str, num
     shape = (num_trees, 2 ** (max_depth + 1) - 1)
     forest = Forest(features, edges, np.full(shape, -1, np.int16), np.zeros(shape, np.uint8), np.zeros(shape),
                     np.zeros((num_trees, len(features))), seed, max_depth)
+    with CellRows(df, label, features, key, edges) as cells:
+        if cells.fit:
+            cells.grow(forest, mtry, least_rows)
+            counts = cells.out_of_bag(seed).reshape(2, 2)
+            return forest, {(a, b): int(counts[a, b]) for a in (0, 1) for b in (0, 1)}
     with ForestRows(df, label, features, key, edges) as rows:
         open_ = {t: np.zeros(1, np.int64) for t in range(num_trees)} if rows.n else {}
         for level in range(max_depth):
@@ -336,35 +603,47 @@ def _grow(rows: ForestRows, forest: Forest, batch: dict[int, np.ndarray], level:
     out = {}
     found = sums.mapInArrow(choose, _SPLITS).toArrow().combine_chunks()
     for i, t in enumerate(found.column("tree").to_pylist()):
-        at, feature, cut, gain, n, one, ln, lone = (found.column(c)[i].values.to_numpy() for c in found.column_names[1:])
-        at, feature = at.astype(np.int64), feature.astype(np.int64)
-        if level == 0 and len(at):
-            forest.positive[t][at] = one / n
-        split = feature >= 0
-        at, n, one, ln, lone = at[split], n[split], one[split], ln[split], lone[split]
-        forest.feature[t][at], forest.cut[t][at] = feature[split], cut[split]
-        np.add.at(forest.decrease[t], feature[split], gain[split])
-        children = []
-        for side, (cn, cone) in enumerate(((ln, lone), (n - ln, one - lone))):
-            child = 2 * at + 1 + side
-            forest.positive[t][child] = cone / np.maximum(cn, 1)
-            children.append(child[(cn >= least_rows) & (cone > 0) & (cone < cn)])
-        nodes = np.sort(np.concatenate(children))
+        at, feature, cut, *found_at = (found.column(c)[i].values.to_numpy() for c in found.column_names[1:])
+        nodes = _split(forest.feature[t], forest.cut[t], forest.positive[t], forest.decrease[t], at.astype(np.int64),
+                       feature.astype(np.int64), cut, *found_at, least_rows)
         if len(nodes):
             out[t] = nodes
     shared.unpersist()
     return out
 
 
-def _splits(tree: int, nodes: np.ndarray, total: np.ndarray, seed: int, width: int, mtry: int,
-            least_rows: int) -> pa.RecordBatch:
-    """The open nodes of a tree with their split (feature -1 without one)."""
-    hist = np.moveaxis(total.reshape(2, len(nodes), mtry, BINS), 0, -1).astype(float)
+def _split(features: np.ndarray, cuts: np.ndarray, positive: np.ndarray, decrease: np.ndarray, at: np.ndarray,
+           feature: np.ndarray, cut: np.ndarray, gain: np.ndarray, n: np.ndarray, one: np.ndarray, ln: np.ndarray,
+           lone: np.ndarray, least_rows: int) -> np.ndarray:
+    """Enters a level's splits in the arrays of a tree; returns the nodes open on the next level."""
+    if len(at) and at[0] == 0:
+        positive[at] = one / n
+    split = feature >= 0
+    at, n, one, ln, lone = at[split], n[split], one[split], ln[split], lone[split]
+    features[at], cuts[at] = feature[split], cut[split]
+    np.add.at(decrease, feature[split], gain[split])
+    children = []
+    for side, (cn, cone) in enumerate(((ln, lone), (n - ln, one - lone))):
+        child = 2 * at + 1 + side
+        positive[child] = cone / np.maximum(cn, 1)
+        children.append(child[(cn >= least_rows) & (cone > 0) & (cone < cn)])
+    return np.sort(np.concatenate(children))
+
+
+def _chosen(tree: int, nodes: np.ndarray, total: np.ndarray, allowed: np.ndarray, least_rows: int) -> list[np.ndarray]:
+    """(feature, cut, gain, n, one, left_n, left_one) of the open nodes of a tree (feature -1 without a split)."""
+    hist = np.moveaxis(total.reshape(2, len(nodes), allowed.shape[1], BINS), 0, -1).astype(float)
     n, one = hist[:, 0, :, 0].sum(1), hist[:, 0, :, 1].sum(1)
     choice, cut, gain, left = best_splits(hist)
     split = (gain > 1e-9 * np.maximum(n, 1)) & (n >= least_rows)
-    feature = np.where(split, node_features(seed, tree, nodes, width, mtry)[np.arange(len(nodes)), choice], -1)
-    cells = [nodes, feature, cut, gain, np.maximum(n, 1e-300), one, left[:, 0], left[:, 1]]
+    feature = np.where(split, allowed[np.arange(len(nodes)), choice], -1)
+    return [feature, cut, gain, np.maximum(n, 1e-300), one, left[:, 0], left[:, 1]]
+
+
+def _splits(tree: int, nodes: np.ndarray, total: np.ndarray, seed: int, width: int, mtry: int,
+            least_rows: int) -> pa.RecordBatch:
+    """The open nodes of a tree with their split."""
+    cells = [nodes, *_chosen(tree, nodes, total, node_features(seed, tree, nodes, width, mtry), least_rows)]
     kinds = [pa.int32()] * 3 + [pa.float64()] * 5
     return pa.RecordBatch.from_arrays(
         [pa.array([tree], pa.int32()), *[pa.array([c.tolist()], pa.list_(k)) for c, k in zip(cells, kinds)]],

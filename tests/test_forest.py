@@ -123,3 +123,62 @@ def test_every_core_has_rows_and_no_part_is_large(spark, monkeypatch, most):
         assert (held.groupby("group").n.sum() == 450).all() and held.n.max() <= (450 if most > 450 else 150)
         assert rows.summed(lambda total, key, y, bins: np.add.at(total, y.astype(int), 1), 2).tolist() == [
             (pdf.y == 0).sum(), (pdf.y == 1).sum()]
+
+
+def fitted(df, **more):
+    forest, counts = R.fit_forest(df, "y", FEATURES, "id", num_trees=20, mtry=2, max_depth=6, seed=3, **more)
+    return [forest.feature, forest.cut, forest.positive, forest.decrease], counts
+
+
+def coarse(n=900):
+    pdf = data(n, 4)
+    pdf[["f0", "f2"]] = pdf[["f0", "f2"]].round()
+    return pdf
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_cells_give_the_trees_of_the_rows(spark, monkeypatch, parts):
+    """Trees on weights per cell, from one or several parts of the rows, equal those on rows to the last bit."""
+    df = spark.createDataFrame(pd.concat([coarse(), coarse(70)])).repartition(3)  # some keys come twice
+    monkeypatch.setattr(R, "CELL_ROWS_A_TASK", 1000 // parts)
+    monkeypatch.setattr(R, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(R, "SUMS_AT_ONCE", 20_000)
+    monkeypatch.setattr(R, "ROWS_AT_ONCE", 64)
+    found, counts = fitted(df)
+    monkeypatch.setattr(R, "MOST_CELLS", 0)
+    plain, same = fitted(df)
+    assert all((a == b).all() for a, b in zip(found, plain)) and counts == same and sum(counts.values()) > 900
+
+
+def test_more_cells_than_fit_are_seen(spark, monkeypatch):
+    monkeypatch.setattr(R, "MOST_CELLS", 60)
+    df, edges = spark.createDataFrame(data()), [np.linspace(-2, 2, 9)] * 4
+    with R.CellRows(df, "y", FEATURES, "id", edges) as cells:
+        assert not cells.fit
+    monkeypatch.setattr(R, "MOST_CELLS", 6000)
+    with R.CellRows(df, "y", FEATURES, "id", edges) as cells:
+        want = np.unique(R.binned(edges, data()[FEATURES].to_numpy()), axis=0)
+        assert cells.fit and cells.cells == len(want)
+
+
+def test_passes_do_not_grow_with_the_depth(spark):
+    df, sc = spark.createDataFrame(coarse()).repartition(3).cache(), spark.sparkContext
+    jobs = []
+    for depth in (2, 7):
+        sc.setJobGroup(f"forest-{depth}", "")
+        forest, _ = R.fit_forest(df, "y", FEATURES, "id", num_trees=5, mtry=2, max_depth=depth)
+        jobs.append(len(sc.statusTracker().getJobIdsForGroup(f"forest-{depth}")))
+        assert (forest.feature[:, 2 ** (depth - 1) - 1:] >= 0).any()
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < jobs[1] <= jobs[0]
+
+
+def test_equal_rows_are_judged_once_and_all_kept(spark):
+    pdf = coarse()
+    forest, _ = R.fit_forest(spark.createDataFrame(pdf), "y", FEATURES, "id", num_trees=10, mtry=2)
+    both = pd.concat([pdf, pdf, pd.DataFrame({"id": [-1], "f0": [float("nan")], "f1": [9.0], "f2": [-9.0], "f3": [0.0], "y": [1.0]})])
+    got = forest.probability(spark.createDataFrame(both)).toPandas()
+    ones, total = forest.votes(forest.binned(both[FEATURES].to_numpy()))
+    want = pd.DataFrame({"id": both.id, "prob": ones / total}).sort_values("id")
+    assert list(got.columns) == [*both.columns, "prob"]
+    assert np.allclose(got.sort_values("id")["prob"], want["prob"]) and (got.sort_values("id")["id"].to_numpy() == want["id"]).all()
