@@ -92,3 +92,41 @@ def test_shared_products_change_nothing():
     w = N.start_weights(4 * 5 + 6, 1, 2)
     alone, shared = N.error_and_slopes(x, y, w, 5, True), N.error_and_slopes(x, y, w, 5, True, N.products(x))
     assert all(np.allclose(a, b, rtol=1e-12) for a, b in zip(alone, shared)) and np.allclose(shared[2], shared[2].T)
+
+
+def with_categories(n=4000, seed=6):
+    rng = np.random.default_rng(seed)
+    a, b, c = rng.normal(size=n), rng.integers(0, 3, n), rng.integers(0, 2, n)
+    x = np.column_stack([a, b == 1, b == 2, c, rng.normal(size=n)]).astype(float)
+    return x, (rng.uniform(size=n) < 1 / (1 + np.exp(-a + b - c))).astype(float)
+
+
+def test_set_apart_columns_change_nothing(spark, monkeypatch):
+    """Blocks of constant 0/1 columns hold every row once, in fewer columns, and measure the same."""
+    monkeypatch.setattr(N, "ROWS_A_PATTERN", 64)
+    x, y = with_categories()
+    df = spark.createDataFrame(pd.DataFrame({**{f"x{i}": x[:, i] for i in range(5)}, "y": y})).repartition(3)
+    with N.NetRows(df, "y", [f"x{i}" for i in range(5)]) as data:
+        rows = data.rows.collect()
+        assert sum(r["n"] for r in rows) == data.n == len(x)
+        got = []
+        for r in rows:
+            pattern, lines = np.frombuffer(r["pattern"]), np.frombuffer(r["block"]).reshape(-1, r["n"])
+            assert np.isnan(pattern).tolist() == [True, True, False, False, False, True] and len(lines) == 3
+            whole = np.tile(pattern, (r["n"], 1))
+            whole[:, [1, 5]] = lines[1:].T
+            got.append(np.column_stack([lines[0], whole[:, 1:]]))
+        assert (np.unique(np.concatenate(got), axis=0) == np.unique(np.column_stack([y, x]), axis=0)).all()
+        points = [(N.start_weights(6 * 4 + 5, 1, r), r > 1) for r in (1, 2, 3)]
+        for (w, curve), found in zip(points, N._measured(data, points, 4)):
+            want = N.error_and_slopes(np.hstack([np.ones((len(x), 1)), x]), y, w, 4, curve)
+            assert np.isclose(found[0], want[0], rtol=1e-12) and np.allclose(found[1], want[1], rtol=1e-9, atol=1e-9)
+            assert (found[2] is None) == (not curve) and (not curve or np.allclose(found[2], want[2], rtol=1e-9, atol=1e-9))
+
+
+def test_columns_of_many_values_are_not_set_apart():
+    rng = np.random.default_rng(1)
+    x = np.column_stack([np.ones(1000), rng.normal(size=1000), rng.integers(0, 2, 1000), rng.integers(0, 9, 1000), np.full(1000, 7.0)])
+    apart, code = N._set_apart(x, 10)
+    assert apart == [4, 2] and len(np.unique(code)) == 2
+    assert N._set_apart(x[:50], 0)[0] == []
