@@ -55,10 +55,7 @@ def forward(x: np.ndarray, weights: np.ndarray, hidden: int) -> tuple[np.ndarray
 
 def products(x: np.ndarray) -> np.ndarray:
     """Products of any two columns, one line each: they serve all restarts."""
-    return _products(np.ascontiguousarray(x.T))
-
-
-def _products(lines: np.ndarray) -> np.ndarray:
+    lines = np.ascontiguousarray(x.T)
     return np.vstack([lines[i] * lines[i:] for i in range(len(lines))])
 
 
@@ -66,7 +63,37 @@ def error_and_slopes(x: np.ndarray, y: np.ndarray, weights: np.ndarray, hidden:
                      pairs: np.ndarray | None = None) -> tuple:
     """Half the squared errors, their slope, and (``curve``) their second derivatives;
     ``pairs`` are the rows' ``products``."""
-    return _measures(np.ascontiguousarray(x.T), y, weights, hidden, curve, pairs)
+    h, out = forward(x, weights, hidden)
+    width = x.shape[1]
+    miss, bend = out - y, out * (1 - out)
+    second, unit = weights[width * hidden + 1:], h[:, 1:]
+    rise = unit * (1 - unit)
+    pull = miss * bend
+    slope = np.concatenate([(x.T @ (pull[:, None] * second * rise)).ravel(), h.T @ pull])
+    if not curve:
+        return float(miss @ miss) / 2, slope, None
+    # the output is logistic in a; its slope in the weights and a's own second derivatives.
+    # Weights of two inputs and two units meet in one sum over products of inputs.
+    pairs = products(x) if pairs is None else pairs
+    curved = bend * bend + pull * (1 - 2 * out)
+    lines, rises = np.ascontiguousarray(h.T), np.ascontiguousarray(rise.T)
+    steep, count = second[:, None] * rises, width * hidden
+    j, k = np.triu_indices(hidden)
+    both = steep[j] * (steep * curved)[k]
+    both[j == k] += steep * pull * (1 - 2 * lines[1:])
+    sums, (a, b) = pairs @ both.T, np.triu_indices(width)
+    inputs = np.empty((width, hidden, width, hidden))
+    for one, two in ((a[:, None], b[:, None]), (b[:, None], a[:, None])):
+        inputs[one, j, two, k] = inputs[one, k, two, j] = sums
+    mixed = steep[:, None, :] * (lines * curved)
+    mixed[np.arange(hidden), np.arange(hidden) + 1] += rises * pull
+    cross = (x.T @ mixed.reshape(-1, len(x)).T).reshape(count, hidden + 1)
+    matrix = np.block([[inputs.reshape(count, count), cross], [cross.T, (lines * curved) @ h]])
+    return float(miss @ miss) / 2, slope, matrix
+
+
+def _products(lines: np.ndarray) -> np.ndarray:
+    return np.vstack([lines[i] * lines[i:] for i in range(len(lines))])
 
 
 @lru_cache(maxsize=64)
@@ -86,7 +113,7 @@ def _logistic_of(x: np.ndarray) -> np.ndarray:
 
 def _measures(inputs: np.ndarray, y: np.ndarray, weights: np.ndarray, hidden: int, curve: bool,
               pairs: np.ndarray | None = None) -> tuple:
-    """``error_and_slopes`` of inputs by line."""
+    """``error_and_slopes`` of inputs by line, with fewer passes over them."""
     width, n = inputs.shape
     count, second = width * hidden, weights[width * hidden + 1:]
     lines = np.ones((hidden + 1, n))  # the units with a leading 1
@@ -102,8 +129,6 @@ def _measures(inputs: np.ndarray, y: np.ndarray, weights: np.ndarray, hidden: in
     slope = np.concatenate([(inputs @ pulled.T).ravel(), lines @ pull])
     if not curve:
         return float(miss @ miss) / 2, slope, None
-    # the output is logistic in a; its slope in the weights and a's own second derivatives.
-    # Weights of two inputs and two units meet in one sum over products of inputs.
     pairs = _products(inputs) if pairs is None else pairs
     curved = bend * bend + pull * (1 - 2 * out)
     bent = steep * curved
@@ -235,7 +260,8 @@ def resilient_net(df: DataFrame, label: str, features: Sequence[str], hidden: in
 class NetRows:
     """Rows in blocks whose set-apart columns are constant, kept for the passes: (n, pattern,
     block), the pattern having a value for every such column and NaN for the others, whose
-    lines follow the labels in the block (the first column, of ones, is left out)."""
+    lines follow the labels in the block (the first column, of ones, is left out).  Where no
+    column is set apart, the pattern is empty and the block is that of ``LogitData``."""
 
     def __init__(self, df: DataFrame, label: str, features: Sequence[str]):
         with LogitData(df, label, features) as data:
@@ -270,11 +296,17 @@ def _set_apart(x: np.ndarray, most: int) -> tuple[list[int], np.ndarray]:
 def _by_pattern(rows_a_pattern: int):
     """Blocks of ``LogitData.rows`` to those of ``NetRows``."""
     def regroup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(y, x) for y, _, x in blocks(batches)]
+        whole = list(batches)
+        held = [(y, x) for y, _, x in blocks(whole)]
         if not held:
             return
         y, x = (np.concatenate(c) for c in zip(*held))
         apart, code = _set_apart(x, len(x) // rows_a_pattern)
+        if not apart:
+            for batch in whole:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b""] * batch.num_rows, pa.binary()), batch.column(1)],
+                                                 ["n", "pattern", "block"])
+            return
         dense = [c for c in range(1, x.shape[1]) if c not in apart]
         order = np.argsort(code, kind="stable")
         ends = np.append(np.flatnonzero(np.diff(code[order], prepend=-1)), len(order))
@@ -307,20 +339,34 @@ def _measured(data: NetRows, points: Sequence[tuple[np.ndarray, bool]], hidden:
     sizes = [1 + count + (count * count if curve else 0) for _, curve in points]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(sum(sizes))
         found: dict[bytes, tuple] = {}  # per pattern: the map of its weights, those of the points, and their sums
+        curves = any(curve for _, curve in points)
         for batch in batches:
             for n, pattern, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                cells = np.frombuffer(block.as_buffer())
+                if not pattern:
+                    y, x = cells[:n], cells[2 * n:].reshape(n, -1)
+                    pairs = products(x) if curves else None
+                    place = 0
+                    for (w, curve), size in zip(points, sizes):
+                        error, slope, matrix = error_and_slopes(x, y, w, hidden, curve, pairs)
+                        total[place] += error
+                        total[place + 1:place + 1 + count] += slope
+                        if curve:
+                            total[place + 1 + count:place + size] += matrix.ravel()
+                        place += size
+                    continue
                 if pattern not in found:
                     to = _carried(np.frombuffer(pattern), hidden)
                     found[pattern] = to, [to @ w for w, _ in points], [[0.0, 0.0, 0.0] for _ in points]
                 _, weights, sums = found[pattern]
-                lines = np.frombuffer(block.as_buffer()).reshape(-1, n)
+                lines = cells.reshape(-1, n)
                 inputs = np.vstack([np.ones(n), lines[1:]])
-                pairs = _products(inputs) if any(curve for _, curve in points) else None
-                for w, (_, curve), total in zip(weights, points, sums):
+                pairs = _products(inputs) if curves else None
+                for w, (_, curve), own in zip(weights, points, sums):
                     for i, v in enumerate(_measures(inputs, lines[0], w, hidden, curve, pairs)[:3 if curve else 2]):
-                        total[i] = total[i] + v
-        total = np.zeros(sum(sizes))
+                        own[i] = own[i] + v
         for to, _, sums in found.values():
             place = 0
             for (error, slope, matrix), (_, curve), size in zip(sums, points, sizes):
